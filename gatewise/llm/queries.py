@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, near_dedup
 
 
 def queries() -> dict:
     return {
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_line_dedup": line_dedup.ORACLE,
+        "op10_near_dedup": near_dedup.ORACLE,
     }
