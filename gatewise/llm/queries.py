@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, near_dedup
+from . import decontaminate, line_dedup, near_dedup
 
 
 def queries() -> dict:
     return {
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_decontamination": decontaminate.op9_decontamination,
         "op10_near_dedup": near_dedup.op10_near_dedup,
     }
 
@@ -15,5 +16,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op8_line_dedup": line_dedup.ORACLE,
+        "op9_decontamination": decontaminate.ORACLE,
         "op10_near_dedup": near_dedup.ORACLE,
     }
