@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, near_dedup
+from . import decontaminate, line_dedup, near_dedup, packing
 
 
 def queries() -> dict:
     return {
+        "op7_packing": packing.op7_packing,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_near_dedup": near_dedup.op10_near_dedup,
