@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, near_dedup, packing
+from . import decontaminate, lang_id, line_dedup, near_dedup, packing
 
 
 def queries() -> dict:
     return {
+        "op2_language_id": lang_id.op2_language_id,
         "op7_packing": packing.op7_packing,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_decontamination": decontaminate.op9_decontamination,
