@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lang_id, line_dedup, near_dedup, packing
+from . import chat, decontaminate, lang_id, line_dedup, near_dedup, packing
 
 
 def queries() -> dict:
     return {
         "op2_language_id": lang_id.op2_language_id,
+        "op5_chat_format": chat.op5_chat_format,
         "op7_packing": packing.op7_packing,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_decontamination": decontaminate.op9_decontamination,
@@ -17,6 +18,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_chat_format": chat.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
         "op9_decontamination": decontaminate.ORACLE,
         "op10_near_dedup": near_dedup.ORACLE,
