@@ -1,8 +1,8 @@
 """Near-duplicate groups by a multi-index Hamming join of b-bit MinHash signatures.
 
-A signature has ``CHUNKS * WIDTH`` components of 16 bits. It is split into ``CHUNKS``
-chunks; of two signatures that differ in at most ``CHUNKS * (ERRORS + 1) - 1`` components
-some chunk differs in at most ``ERRORS`` (pigeonhole). The allowed errors are enumerated by
+A signature has components of 16 bits and is split into chunks of ``WIDTH``; of two
+signatures that differ in fewer than ``chunks * (ERRORS + 1)`` components some chunk differs
+in at most ``ERRORS`` (pigeonhole). The allowed errors are enumerated by
 leaving components out, so every such pair meets under a common key. Documents with equal
 shingle sets are one class and never pair up; classes meet their bucket's smallest member
 first, and only buckets where that leaves a member apart are looked at pair by pair. What
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 from itertools import combinations
+from math import ceil, comb, log
 
 import numpy as np
 import pandas as pd
@@ -27,10 +28,12 @@ from .graphs import components, spread_groups
 
 by_value(__name__)
 
-CHUNKS, WIDTH, ERRORS = 8, 5, 1
-#: Signatures within this many differing components of 40 are candidates. A pair at the
-#: default threshold differs in 6 on average; beyond 22 lies a share below 1e-8 of them.
-ACCEPT = 22
+WIDTH, ERRORS = 5, 1
+#: Share of the pairs exactly at the threshold that may meet in no chunk. It sets the number of chunks.
+MISSED = 1e-6
+#: Share of such pairs whose signatures may be taken as too far apart to compare sets.
+REFUSED = 1e-8
+_MOST_CHUNKS = 64
 #: Shingles of a block of a candidate group.
 BLOCK = 1 << 20
 _CUT = 1 << 21
@@ -39,12 +42,25 @@ _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BYTE[65:91] = _BYTE[97:123]
 _IS_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_MULT = _rng.integers(0, 2**63, CHUNKS * WIDTH, dtype=np.uint64) * U64(2) + U64(1)
-_ADD = _rng.integers(0, 2**63, CHUNKS * WIDTH, dtype=np.uint64)
+_MULT = _rng.integers(0, 2**63, _MOST_CHUNKS * WIDTH, dtype=np.uint64) * U64(2) + U64(1)
+_ADD = _rng.integers(0, 2**63, _MOST_CHUNKS * WIDTH, dtype=np.uint64)
 _B = 0x9E3779B97F4A7C15 | 1
 _B_INV = pow(_B, -1, 1 << 64)
 
 
+def design(percent: int) -> tuple[int, int]:
+    """Chunks, and the largest signature distance of a candidate pair, for links of ``percent`` or more."""
+    same = percent / 100
+    meets = sum(comb(WIDTH, e) * same ** (WIDTH - e) * (1 - same) ** e for e in range(ERRORS + 1))
+    chunks = 1 if meets >= 1 else min(_MOST_CHUNKS, ceil(log(MISSED) / log(1 - meets)))
+    n = chunks * WIDTH
+    beyond, accept = 1.0, -1
+    while beyond > REFUSED and accept < n:
+        accept += 1
+        beyond -= comb(n, accept) * (1 - same) ** accept * same ** (n - accept)
+    return chunks, accept
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
@@ -88,7 +104,7 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-def signature_table(docs: DataFrame, text_col: str, id_col: str, size: int) -> DataFrame:
+def signature_table(docs: DataFrame, text_col: str, id_col: str, size: int, chunks: int) -> DataFrame:
     """(doc_id, cid, n, sig): set hash (16 bytes, null for an empty set), set size and signature of each row."""
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("cid", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("sig", T.BinaryType())]
@@ -103,8 +119,8 @@ def signature_table(docs: DataFrame, text_col: str, id_col: str, size: int) -> D
                 if not held:
                     return
                 flat, starts = np.concatenate(held), np.concatenate([[0], np.cumsum([len(x) for x in held])[:-1]])
-                low = np.empty((len(held), len(_MULT)), np.uint64)
-                for k in range(len(_MULT)):
+                low = np.empty((len(held), chunks * WIDTH), np.uint64)
+                for k in range(chunks * WIDTH):
                     low[:, k] = np.minimum.reduceat(flat * _MULT[k] + _ADD[k], starts)
                 sig = (mix64(low) >> U64(48)).astype(np.uint16)
                 h1 = np.add.reduceat(mix64(flat + U64(0x1234567)), starts)
@@ -135,7 +151,7 @@ def signature_table(docs: DataFrame, text_col: str, id_col: str, size: int) -> D
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def chunk_keys(classes: DataFrame, chunks: int = CHUNKS, width: int = WIDTH, errors: int = ERRORS) -> DataFrame:
+def chunk_keys(classes: DataFrame, chunks: int, width: int = WIDTH, errors: int = ERRORS) -> DataFrame:
     """(key, nid): a key for every chunk and every choice of ``errors`` components left out."""
     picks = [[j for j in range(width) if j not in out] for out in combinations(range(width), errors)]
 
@@ -218,17 +234,17 @@ def link_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return root
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
+def _candidates(classes: DataFrame, chunks: int, accept: int) -> DataFrame:
     """(a, b) edges that join every two classes with near signatures into one group."""
-    keys = chunk_keys(classes)
+    keys = chunk_keys(classes, chunks)
     shared = keys.groupBy("key").agg(F.min("nid").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = stash(keys.join(shared, "key").where("nid <> leader"), "near-members")
     sigs = classes.select("nid", "sig")
 
     def compare(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, CHUNKS * WIDTH) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_apart(a, b) <= ACCEPT)], names=["leader", "nid", "near"])
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, chunks * WIDTH) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_apart(a, b) <= accept)], names=["leader", "nid", "near"])
 
     pairs = (
         members.select("leader", "nid").distinct()
@@ -246,17 +262,17 @@ def _candidates(classes: DataFrame) -> DataFrame:
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", "nid"])
-        sig = np.frombuffer(b"".join(pdf.sig), np.uint16).reshape(-1, CHUNKS * WIDTH)
+        sig = np.frombuffer(b"".join(pdf.sig), np.uint16).reshape(-1, chunks * WIDTH)
         key, nid = pdf.key.to_numpy(), pdf.nid.to_numpy()
         cuts = np.flatnonzero(np.diff(key)) + 1
-        a = np.concatenate([nid[lo:hi][cluster_signatures(sig[lo:hi], ACCEPT)] for lo, hi in zip([0, *cuts], [*cuts, len(key)], strict=True)])
+        a = np.concatenate([nid[lo:hi][cluster_signatures(sig[lo:hi], accept)] for lo, hi in zip([0, *cuts], [*cuts, len(key)], strict=True)])
         return pd.DataFrame({"a": a, "b": nid})[a != nid]
 
     rest = spread_groups(weighted, "key", "nid", "w", 20_000).join(sigs, "nid").groupBy("task").applyInPandas(cluster, "a long, b long")
     return direct.unionByName(rest)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 3, percent: int = 85) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``.
 
     Words are runs of anything but [space, \\t..\\r], A-Z lower-cased; a document's set
@@ -266,12 +282,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text_col: str = "text"
     nothing. A null id counts as larger than any other: it names a component only of null
     ids. Repeated ids stay separate rows; equal texts share a component. ``docs`` may
     hold any other columns. The signatures miss a pair at the threshold with a
-    probability of about 6e-7, and surely none that differs in 15 components or fewer.
+    probability of at most ``MISSED``, and none that differs in fewer components than
+    the pigeonhole allows.
     """
-    table = stash(signature_table(docs, text_col, id_col, size), "near-sets")
+    chunks, accept = design(percent)
+    table = stash(signature_table(docs, text_col, id_col, size, chunks), "near-sets")
     grouped = table.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"))
     classes = stash(grouped.withColumn("nid", F.monotonically_increasing_id()), "near-classes")
-    groups = stash(components(_candidates(classes)), "near-groups")
+    groups = stash(components(_candidates(classes, chunks, accept)), "near-groups")
     found = classes.select("nid", "cid", "rep", "n").join(groups.withColumnRenamed("node", "nid"), "nid")
     members = stash(spread_groups(found, "root", "nid", "n", BLOCK), "near-tasks")
 
