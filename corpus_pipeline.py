@@ -1,25 +1,56 @@
-"""The corpus pipeline: operators of ``gatewise.llm`` run one after another over documents."""
+"""The corpus pipeline: operators of ``gatewise.llm`` run one after another over documents.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows the stage before it kept.
+All but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gatewise.llm import line_dedup
+from gatewise.llm import decontaminate, lang_id, line_dedup, near_dedup, packing
 from gatewise.llm.common import stash
 
 
+def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text has no language (null, or without a letter) go."""
+    named = lang_id.identify(spark, docs)
+    return named.where(F.col("lang_pred") != "und").select(*docs.columns)
+
+
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of ten documents or more go from every text; rows stay, ``n_chars`` follows the text."""
-    from pyspark.sql import functions as F
-
     done = line_dedup.drop_common_lines(spark, docs, min_docs=10)
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one of the smallest id (five words, 0.8)."""
+    kept = near_dedup.near_duplicates(spark, docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+
+
+def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of the benchmark go."""
+    found = decontaminate.contamination(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("not contaminated").select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the texts, placed in sequences of 2048 tokens."""
+    return packing.pack(spark, docs)
+
+
 STAGES = [
+    ("language ID", language_filter),
     ("line dedup", drop_shared_lines),
+    ("MinHash near-dedup", near_duplicate_filter),
+    ("benchmark decontamination", benchmark_filter),
+    ("best-fit packing", pack_sequences),
 ]
 
+#: SQL cannot express the language models, so there is none for the whole.
 ORACLE_SQL = None
 
 
