@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lang_id, line_dedup, near_dedup, packing
+from . import chat, decontaminate, lang_id, licenses, line_dedup, near_dedup, packing
 
 
 def queries() -> dict:
     return {
         "op2_language_id": lang_id.op2_language_id,
+        "op3_license_scan": licenses.op3_license_scan,
         "op5_chat_format": chat.op5_chat_format,
         "op7_packing": packing.op7_packing,
         "op8_line_dedup": line_dedup.op8_line_dedup,
