@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lang_id, licenses, line_dedup, near_dedup, packing
+from . import chat, decontaminate, lang_id, licenses, line_dedup, near_dedup, packing, top_k
 
 
 def queries() -> dict:
     return {
         "op2_language_id": lang_id.op2_language_id,
         "op3_license_scan": licenses.op3_license_scan,
+        "op4_top_k": top_k.op4_top_k,
         "op5_chat_format": chat.op5_chat_format,
         "op7_packing": packing.op7_packing,
         "op8_line_dedup": line_dedup.op8_line_dedup,
@@ -19,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_top_k": top_k.ORACLE,
         "op5_chat_format": chat.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
         "op9_decontamination": decontaminate.ORACLE,
