@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, lang_id, licenses, line_dedup, near_dedup, packing, top_k
+from . import chat, decontaminate, html_text, lang_id, licenses, line_dedup, near_dedup, packing, top_k
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_license_scan": licenses.op3_license_scan,
         "op4_top_k": top_k.op4_top_k,
         "op5_chat_format": chat.op5_chat_format,
+        "op6_html_text": html_text.op6_html_text,
         "op7_packing": packing.op7_packing,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_decontamination": decontaminate.op9_decontamination,
