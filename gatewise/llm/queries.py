@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_text, lang_id, licenses, line_dedup, near_dedup, packing, top_k
+from . import chat, decontaminate, html_text, lang_id, licenses, line_dedup, near_dedup, packing, quality, top_k
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
         "op2_language_id": lang_id.op2_language_id,
         "op3_license_scan": licenses.op3_license_scan,
         "op4_top_k": top_k.op4_top_k,
