@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, stash
 
 WINDOW, GRAM = 10, 5
-#: Benchmark windows up to this many are broadcast to the join; beyond, both sides are shuffled.
+#: Benchmark windows up to this many, and of this many bytes, are broadcast to the join; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Largest filter of fingerprints put into the plan, in 64-bit words.
 _FILTER_WORDS = 1 << 14
@@ -113,7 +114,8 @@ def contamination(
     seen = stash(df.select("_row", *keep, "n_words", F.expr(both).alias("_hits")), "bench-seen")
 
     right = windows.select("len", "fp", "win", "set_id")
-    if windows.count() <= broadcast_rows:
+    n_windows, n_bytes = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("win") + 32), F.lit(0))).first()
+    if n_windows <= broadcast_rows and n_bytes <= BROADCAST_BYTES:
         right = F.broadcast(right)
     hits = seen.where("size(_hits) > 0").select("_row", F.expr("inline(_hits)")).join(right, ["len", "fp", "win"]).select("_row", "at", "len", "set_id")
     covered = "aggregate(array_sort(_spans), struct(0 as upto, 0L as n), (a, s) -> struct(greatest(a.upto, s.upto) as upto, a.n + greatest(s.upto - greatest(s.at, a.upto), 0) as n), a -> a.n)"
