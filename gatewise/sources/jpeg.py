@@ -62,6 +62,16 @@ def multipart(frames: DataFrame) -> DataFrame:
     return frames.withColumn("part", F.concat(head.cast("binary"), F.col("jpeg"), F.lit("\r\n").cast("binary")))
 
 
+def repeated(frames: DataFrame, step_us: int, until_us: int) -> DataFrame:
+    """What a viewer gets: at every multiple of ``step_us`` the latest frame of (stream, t, jpeg) so far."""
+    from pyspark.sql import Window
+
+    upto = F.coalesce(F.lead("t").over(Window.partitionBy("stream").orderBy("t")), F.lit(until_us)) - 1
+    first = F.ceil(F.col("t") / step_us) * step_us
+    spans = frames.withColumn("_from", first).withColumn("_to", upto).where("_from <= _to")
+    return spans.select("stream", F.explode(F.sequence("_from", "_to", F.lit(step_us).cast("long"))).alias("tick"), "jpeg")
+
+
 def _ship() -> None:
     import sys
 

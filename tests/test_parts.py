@@ -86,6 +86,33 @@ def test_overlap(spark):
     assert {(r.target, r.detection) for r in best} == {(1, 1), (2, 2), (3, 3)}
 
 
+def test_repeated_frames(spark):
+    frames = spark.createDataFrame([(1, 0, b"a"), (1, 250, b"b"), (1, 260, b"c"), (2, 90, b"d")], "stream long, t long, jpeg binary")
+    got = jpeg.repeated(frames, 100, 400).collect()
+    assert sorted((r.stream, r.tick, bytes(r.jpeg)) for r in got) == [(1, 0, b"a"), (1, 100, b"a"), (1, 200, b"a"), (1, 300, b"c"), (2, 100, b"d"), (2, 200, b"d"), (2, 300, b"d")]
+
+
+def test_control_tables(spark, tmp_path):
+    import json
+
+    from gatewise.sources import control_tables as c
+
+    path = str(tmp_path / "lines")
+    assert [r.line1 for r in c.read_lines(spark, path).collect()] == [None]
+    raw = '{"line1":[[0.1,0.4],[0.9,0.5]],"line2":[[0.0,0.6],[1.0,0.7]]}'
+    c.append_lines(spark, path, raw, 10)
+    c.append_lines(spark, path, "broken", 20)
+    rows = {r.valid_from: json.loads(r.json) for r in c.lines_json(c.read_lines(spark, path)).collect()}
+    assert rows[10] == {"width": 1280, "height": 720, **json.loads(raw)}
+    assert rows[20] == {"width": 1280, "height": 720, "line1": None, "line2": None}
+    seen = control.with_lines(spark.createDataFrame([(5,), (15,), (25,)], "t long"), c.read_lines(spark, path))
+    assert [r.t for r in seen.collect()] == [15]
+    resets = str(tmp_path / "resets")
+    assert c.read_resets(spark, resets).count() == 0
+    c.append_reset(spark, resets, 7)
+    assert [r.t for r in c.read_resets(spark, resets).collect()] == [7]
+
+
 def test_state_file(spark, tmp_path):
     import json
 
