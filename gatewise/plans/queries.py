@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import CounterConfig
 from ..functions import geometry as g
-from ..operators import assoc, control, ingest, metrics, tracks, transitions
+from ..operators import assoc, control, ingest, lifecycle, metrics, tracks, transitions
 from ..sources import jpeg, settings
 from . import event_tables as ev
 
@@ -473,6 +473,22 @@ def cosine_reid(spark, d):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    "target_lifecycle",
+    f"""WITH {ev.OBS}, f AS (SELECT DISTINCT source_id, track_id, CAST(floor(t / 3600000000) AS BIGINT) AS frame FROM obs WHERE track_id IS NOT NULL),
+    g AS (SELECT *, frame - lag(frame) OVER w - 1 AS gap FROM f WINDOW w AS (PARTITION BY source_id, track_id ORDER BY frame)),
+    r AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 5 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, track_id ORDER BY frame) AS run FROM g),
+    runs AS (SELECT source_id, track_id, run, min(frame) AS a, max(frame) - min(frame) + 1 AS span, arg_min(gap, frame) AS gap FROM r GROUP BY ALL),
+    c AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 90 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, track_id ORDER BY run) AS chain FROM runs),
+    k AS (SELECT *, coalesce(bool_or(span >= 12) OVER (PARTITION BY source_id, track_id, chain ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS carried FROM c),
+    n AS (SELECT *, sum(CASE WHEN carried THEN 0 ELSE 1 END) OVER (PARTITION BY source_id, track_id ORDER BY run) AS target FROM k)
+    SELECT r.source_id, r.track_id, r.frame, CAST(target AS BIGINT) AS target, carried OR r.frame - n.a + 1 >= 12 AS active FROM r JOIN n USING (source_id, track_id, run)""",
+)
+def target_lifecycle(spark, d):
+    hours = ingest.tracked(ev.observations(spark, d)).select("source_id", "track_id", F.floor(F.col("t") / 3_600_000_000).alias("frame")).distinct()
+    return lifecycle.with_targets(hours, lifecycle.LifecycleConfig())
+
+
 # ---- byte streams and streams
 
 

@@ -113,6 +113,30 @@ def test_control_tables(spark, tmp_path):
     assert [r.t for r in c.read_resets(spark, resets).collect()] == [7]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_lifecycle_equals_fold(spark, seed):
+    import random
+
+    from gatewise.operators.lifecycle import LifecycleConfig, with_targets
+
+    r = random.Random(seed)
+    config = LifecycleConfig(probation=4, early_termination=1, shadow=6)
+    frames = {k: sorted({f for _ in range(r.randint(1, 60)) for f in [r.randint(0, 160)]}) for k in range(8)}
+    want = []
+    for k, own in frames.items():
+        target, start, last, active = 0, None, None, False
+        for f in own:
+            missed = None if last is None else f - last - 1
+            if missed is None or missed > (config.shadow if active else config.early_termination):
+                target, start, active = target + 1, f, False
+            active = active or f - start + 1 >= config.probation
+            want.append((0, k, f, target, active))
+            last = f
+    rows = spark.createDataFrame([(0, k, f) for k, own in frames.items() for f in own], "source_id int, track_id long, frame long")
+    got = with_targets(rows, config).select("source_id", "track_id", "frame", "target", "active").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_state_file(spark, tmp_path):
     import json
 
