@@ -52,28 +52,52 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
 
 class _Block:
-    __slots__ = ("path", "container", "chars", "linked", "parts")
+    __slots__ = ("chars", "container", "inside", "last", "linked", "parts", "path")
 
-    def __init__(self, path, container):
-        self.path, self.container, self.chars, self.linked, self.parts = path, container, 0, 0, []
+    def __init__(self, path: int, container: int, inside: bool, last: str):
+        self.path, self.container, self.inside, self.last = path, container, inside, last
+        self.linked, self.parts = 0, []
 
 
-def blocks_of(page: str) -> list[tuple[str, int, str, int]]:
-    """(tag path, container number, text, linked characters) of each block outside parts that are never content."""
-    stack: list[tuple[str, str, bool, int]] = []  # tag, path step, excluded, element number
+class _Open:
+    """An open element; inline ones share the path of the element around them."""
+
+    __slots__ = ("bad", "container", "inside", "last", "path", "serial", "tag")
+
+    def __init__(self, tag, path, serial, container, inside, last, bad):
+        self.tag, self.path, self.serial, self.container = tag, path, serial, container
+        self.inside, self.last, self.bad = inside, last, bad
+
+
+def blocks_of(page: str) -> list[tuple[_Block, str]]:
+    """Blocks with their text, outside parts that are never content. Paths are numbered, not spelled out."""
+    paths: dict[tuple[int, str], int] = {}
+    stack = [_Open("", -1, 0, 0, False, "", False)]
+    opened: dict[str, int] = {}
     out: list[_Block] = []
     now: _Block | None = None
-    serial, raw, in_link, excluded = 0, None, 0, 0
+    serial, raw, excluded = 0, None, 0
 
     def close(to: int) -> None:
-        nonlocal now, in_link, excluded
+        nonlocal now, excluded
         while len(stack) > to:
-            tag, _, bad, _ = stack.pop()
-            excluded -= bad
-            in_link -= tag == "a"
-            if tag not in _INLINE:
+            gone = stack.pop()
+            opened[gone.tag] -= 1
+            excluded -= gone.bad
+            if gone.tag not in _INLINE:
                 now = None
 
+    def close_up_to(tags: set[str], stop) -> None:
+        """Close the innermost open element of ``tags`` with what is in it, unless ``stop`` comes first."""
+        if not any(opened.get(t) for t in tags):
+            return
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in tags:
+                close(i)
+                return
+            if stop(stack[i].tag):
+                return
+
     for m in _TOKEN.finditer(page):
         name = m.group(2)
         if raw is not None:
@@ -82,61 +106,40 @@ def blocks_of(page: str) -> list[tuple[str, int, str, int]]:
             continue
         if not name:
             text = m.group()
-            if text[0] == "<" and len(text) > 1 and text[1] in "!?":
-                continue
-            if excluded:
+            if excluded or text[0] == "<" and text[1:2] in ("!", "?"):
                 continue
             if now is None:
                 if text.isspace():
                     continue
-                steps = [s for t, s, _, _ in stack if t not in _INLINE]
-                numbers = [n for t, _, _, n in stack if t not in _INLINE]
-                now = _Block("/".join(steps), numbers[-2] if len(numbers) > 1 else 0)
+                around = stack[-1]
+                now = _Block(around.path, around.container, around.inside, around.last)
                 out.append(now)
             now.parts.append(text)
-            if in_link:
+            if opened.get("a"):
                 now.linked += len(text.strip())
             continue
         tag = name.lower()
         if m.group(1):
             if tag in ("p", "br"):
                 now = None
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+            close_up_to({tag}, lambda t: False)
             continue
         if tag in _P_ENDS:
-            for i in range(len(stack) - 1, -1, -1):  # an open paragraph, with what is open in it, ends here
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] not in _INLINE:
-                    break
+            close_up_to({"p"}, lambda t: t not in _INLINE)  # an open paragraph ends here
             now = None
         if tag in _SAME_ENDS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in _SAME_ENDS[tag]:
-                    close(i)
-                    break
-                if stack[i][0] in _SCOPES:
-                    break
+            close_up_to(_SAME_ENDS[tag], lambda t: t in _SCOPES)
         if tag in ("br", "hr"):
             now = None
             continue
         if tag == "body":
-            for i in range(len(stack)):
-                if stack[i][0] == "head":
-                    close(i)
-                    break
-        if tag in _VOID or m.group(3).endswith("/") and tag in _RAW:
+            close_up_to({"head"}, lambda t: False)
+        if tag in _VOID or tag == "plaintext" or tag in _RAW and m.group(3).endswith("/"):
             continue
         if tag in _RAW:
             raw = tag
             continue
-        if tag == "plaintext":
-            continue
-        attributes = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m.group(3))} if m.group(3) else {}
+        attributes = {k.lower(): x or y or z for k, x, y, z in _ATTRIBUTE.findall(m.group(3))} if m.group(3) else {}
         named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
         bad = (
             tag in _ASIDE
@@ -146,22 +149,26 @@ def blocks_of(page: str) -> list[tuple[str, int, str, int]]:
             or bool(_ROLE.search(attributes.get("role", "")))
             or tag not in ("html", "body", "article", "main") and named != " " and bool(_MARKED.search(named))
         )
-        if tag not in _INLINE:
+        around = stack[-1]
+        if tag in _INLINE:
+            stack.append(_Open(tag, around.path, around.serial, around.container, around.inside, around.last, bad))
+        else:
             now = None
-        serial += 1
-        step = tag + ("." + ".".join(sorted(attributes["class"].split())) if attributes.get("class") else "")
-        stack.append((tag, step, bad, serial))
+            serial += 1
+            step = tag + ("." + ".".join(sorted(attributes["class"].split())) if attributes.get("class") else "")
+            path = paths.setdefault((around.path, step), len(paths))
+            stack.append(_Open(tag, path, serial, around.serial, around.inside or tag in ("article", "main"), tag, bad))
+        opened[tag] = opened.get(tag, 0) + 1
         excluded += bad
-        in_link += tag == "a"
     done = []
-    for b in out:
-        text = _SPACE.sub(" ", html.unescape("".join(b.parts))).strip()
+    for block in out:
+        text = _SPACE.sub(" ", html.unescape("".join(block.parts))).strip()
         if text:
-            done.append((b.path, b.container, text, min(b.linked, len(text))))
+            done.append((block, text))
     return done
 
 
-_HEADING = re.compile(r"h[1-6](?:\.|$)")
+_HEADED = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 def main_text(page: str | None, window: int = 1, share: float = 0.1) -> str:
@@ -169,30 +176,31 @@ def main_text(page: str | None, window: int = 1, share: float = 0.1) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    paths: dict[str, int] = {}
-    where = [paths.setdefault(p, len(paths)) for p, _, _, _ in blocks]
+    paths: dict[int, int] = {}
+    where = [paths.setdefault(b.path, len(paths)) for b, _ in blocks]
     chars, points, linked, count = (np.zeros(len(paths)) for _ in range(4))
-    for i, (_, _, text, link) in zip(where, blocks, strict=True):
+    inside = np.zeros(len(paths), bool)
+    for i, (b, text) in zip(where, blocks, strict=True):
         chars[i] += len(text)
         points[i] += len(_PUNCTUATION.findall(text))
-        linked[i] += link
+        linked[i] += min(b.linked, len(text))
         count[i] += 1
-    plain = chars - linked
-    smooth = lambda x: np.array([x[max(0, i - window) : i + window + 1].mean() for i in range(len(x))])
-    ratio = (plain / count + smooth(plain / count)) / 2
-    fused = np.sqrt(ratio * (1 + points / count)) * np.where(linked > 0.5 * chars, 0, 1)
+        inside[i] |= b.inside
+    few = np.ones(2 * window + 1)
+    smooth = lambda x: np.convolve(x, few)[window : window + len(x)] / np.convolve(np.ones(len(x)), few)[window : window + len(x)]
+    plain = (chars - linked) / count
+    fused = np.sqrt((plain + smooth(plain)) / 2 * (1 + points / count))
+    prose = linked <= 0.5 * chars
+    fused[~prose] = 0
     content = fused >= share * fused.max()
-    names = list(paths)
-    inside = [re.search(r"(?:^|/)(?:article|main)(?:\.|/|$)", p) is not None for p in names]
-    if any(inside) and any(c and a for c, a in zip(content, inside, strict=True)):
-        # The page says where its article is: its paths stay unless they are lists of links.
-        content = np.array([a and linked[i] <= 0.5 * chars[i] for i, a in enumerate(inside)])
+    if (content & inside).any():
+        content = inside & prose  # the page says where its article is: all its paths stay but lists of links
     else:
-        heads = {c for i, (_, c, _, _) in zip(where, blocks, strict=True) if content[i]}
-        for i, (p, c, _, _) in zip(where, blocks, strict=True):
-            if c in heads and linked[i] <= 0.5 * chars[i] and (_HEADING.match(p.rsplit("/", 1)[-1]) or p.rsplit("/", 1)[-1] == "p"):
+        heads = {b.container for i, (b, _) in zip(where, blocks, strict=True) if content[i]}
+        for i, (b, _) in zip(where, blocks, strict=True):
+            if b.container in heads and prose[i] and b.last in _HEADED:
                 content[i] = True
-    return "\n\n".join(text for i, (_, _, text, _) in zip(where, blocks, strict=True) if content[i])
+    return "\n\n".join(text for i, (_, text) in zip(where, blocks, strict=True) if content[i])
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
