@@ -137,6 +137,36 @@ def test_lifecycle_equals_fold(spark, seed):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_files_of_batches_as_stream_and_table(spark, tmp_path):
+    import json
+
+    from gatewise.config import Line
+    from gatewise.operators.transitions import crossing_events
+    from gatewise.sources import streams
+    from gatewise.streaming.counter import crossing_stream
+
+    box = lambda y: {"left": 0.5, "top": y, "width": 0.0, "height": 0.0}
+    inside = tmp_path / "in"
+    inside.mkdir()
+    ys, last = [0.3, 0.5, 0.7, 0.5, 0.3], None
+    for i, y in enumerate([*ys, None]):
+        t = (i + 1 if y is not None else 10_000) * SECOND  # the first watermark, time 0, drops what is not later
+        objects = [{"class_id": 0, "object_id": 7, "rect": box(y)}, {"class_id": 0, "object_id": 2**64 - 1, "rect": box(y)}] if y is not None else [{"class_id": 0, "object_id": 9, "rect": box(0.1)}]
+        batch = {"t": t, "prev_tick": last, "frames": [{"source_id": 0, "objects": objects}, {"source_id": 1, "objects": []}]}
+        (inside / f"{i}.json").write_text(json.dumps(batch))
+        os.utime(inside / f"{i}.json", (1_000_000 + i, 1_000_000 + i))
+        last = t
+    lines, config = (Line(0, 0.4, 1, 0.4), Line(0, 0.6, 1, 0.6)), CounterConfig(width=1.0, height=1.0)
+    table = streams.batch_table(spark, str(inside))
+    assert streams.frames(table).count() == 12
+    want = sorted(map(tuple, crossing_events(streams.observations(table), *lines, config).collect()))
+    assert [w[-1] for w in want] == ["entry", "exit"]
+    live = crossing_stream(streams.observations(streams.batch_stream(spark, str(inside), 2)), *lines, config)
+    run = live.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted(map(tuple, spark.read.schema(live.schema).parquet(str(tmp_path / "out")).collect())) == want
+
+
 def test_state_file(spark, tmp_path):
     import json
 
