@@ -77,7 +77,18 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stash_path = path
+    return back
+
+
+def release(*stashed: DataFrame) -> None:
+    """Delete tables of ``stash`` that nothing still to run reads."""
+    for df in stashed:
+        path = getattr(df, "_stash_path", None)
+        if path:
+            drop_path(df.sparkSession, path)
+            _written.remove((df.sparkSession, path))
 
 
 def with_fields(schema: T.StructType, new: list[T.StructField]) -> T.StructType:

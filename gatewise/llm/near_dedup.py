@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, by_value, mix64, stash
+from .common import U64, by_value, mix64, release, stash
 from .graphs import components, spread_groups
 
 by_value(__name__)
@@ -234,8 +234,8 @@ def link_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return root
 
 
-def _candidates(classes: DataFrame, chunks: int, accept: int) -> DataFrame:
-    """(a, b) edges that join every two classes with near signatures into one group."""
+def _candidates(classes: DataFrame, chunks: int, accept: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b) edges that join every two classes with near signatures into one group, and the tables they read."""
     keys = chunk_keys(classes, chunks)
     shared = keys.groupBy("key").agg(F.min("nid").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = stash(keys.join(shared, "key").where("nid <> leader"), "near-members")
@@ -269,7 +269,7 @@ def _candidates(classes: DataFrame, chunks: int, accept: int) -> DataFrame:
         return pd.DataFrame({"a": a, "b": nid})[a != nid]
 
     rest = spread_groups(weighted, "key", "nid", "w", 20_000).join(sigs, "nid").groupBy("task").applyInPandas(cluster, "a long, b long")
-    return direct.unionByName(rest)
+    return direct.unionByName(rest), [members, pairs, torn]
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
@@ -289,7 +289,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text_col: str = "text"
     table = stash(signature_table(docs, text_col, id_col, size, chunks), "near-sets")
     grouped = table.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"))
     classes = stash(grouped.withColumn("nid", F.monotonically_increasing_id()), "near-classes")
-    groups = stash(components(_candidates(classes, chunks, accept)), "near-groups")
+    candidates, used = _candidates(classes, chunks, accept)
+    groups = stash(components(candidates), "near-groups")
+    release(*used)
     found = classes.select("nid", "cid", "rep", "n").join(groups.withColumnRenamed("node", "nid"), "nid")
     members = stash(spread_groups(found, "root", "nid", "n", BLOCK), "near-tasks")
 
@@ -321,6 +323,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text_col: str = "text"
 
     links = members.select("task", "root", "nid", "cid").join(sets, "cid").groupBy("task").applyInPandas(confirm, "a long, b long")
     linked = stash(components(links), "near-links")
+    release(groups, members)
     placed = classes.select("nid", "cid", "rep").join(linked.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     low = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_class = placed.join(low, "root").select("cid", "component_id")
