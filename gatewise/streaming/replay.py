@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,17 @@ HEARTBEAT_TRACK = -1
 
 def shared_folder(spark: SparkSession) -> str:
     """Where driver and executors both see files: ``spark.checkpoint.dir``, or a folder of a local session."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/gatewise/replay-{uuid.uuid4().hex}"
+    path = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/gatewise/replay-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may have ended before the interpreter does
+        return
 
 
 def replay_events(ticked: DataFrame, line1: Line, line2: Line, config: CounterConfig, files: int = 4) -> DataFrame:
