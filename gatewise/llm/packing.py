@@ -2,15 +2,17 @@
 
 Only the histogram of piece lengths (as many rows as the capacity) reaches the driver.
 There bin completion works on counts: take the largest length left, enumerate the
-undominated fillings of the room beside it, use a filling as often as the counts allow,
-prune by the waste that a better solution could still afford. Best-fit decreasing gives
-the first incumbent. Pieces then find their place by their rank within their length.
+undominated fillings of the room beside it one by one, use a filling as often as the counts
+allow and then less often, prune by the waste that a better solution could still afford.
+Best-fit decreasing gives the first incumbent. Only the number of nodes ends a search early. Pieces then find their place by their rank within their length.
 """
 
 from __future__ import annotations
 
 import zlib
 from array import array
+from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from .common import by_value, stash, with_fields
 by_value(__name__)
 
 CAPACITY = 2048
-#: Nodes of the branch-and-bound search; when they are spent the incumbent stands.
+#: Nodes of the branch-and-bound search (see ``bin_completion``); when they are spent the incumbent stands.
 NODES = 4000
 #: Pieces of one salted group when ranks are dealt.
 RANK_GROUP = 1 << 20
@@ -115,6 +117,8 @@ def token_pieces(docs: DataFrame, text_col: str, id_col: str, capacity: int, end
 # ---- the plan over the histogram: a list of (lengths with multiplicity, copies)
 
 Pattern = tuple[dict[int, int], int]
+#: Pieces as (length, times), the longest first.
+Filling = tuple[tuple[int, int], ...]
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -159,107 +163,153 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[Pattern]:
     return [(used, k) for groups in open_.values() for used, k in groups]
 
 
-def fillings(counts: np.ndarray, room: int, keep: int = 3) -> list[dict[int, int]]:
-    """Undominated fillings of ``room`` from the lengths left, least waste first."""
+def _sums(lengths: list[int], times: list[int], room: int) -> list[int]:
+    """For each i the sums, up to ``room``, of pieces of the first i lengths, as the bits of a number."""
+    mask, out = (1 << room + 1) - 1, [1]
+    for x, n in zip(lengths, times, strict=True):
+        bits, n, step = out[-1], min(n, room // x), 1
+        while n:
+            step = min(step, n)
+            bits |= bits << x * step & mask
+            n -= step
+            step *= 2
+        out.append(bits)
+    return out
+
+
+def _dominated(filling: Filling, spare: int, waste: int) -> bool:
+    """Whether one of the ``spare`` lengths (as bits) can take the place of other pieces, or of none, and of waste."""
+    one = more = 0  # sums of one piece, and of several
+    for x, m in filling:
+        for _ in range(m):
+            more |= (more | one) << x
+            one |= 1 << x
+    above, reach = (one | more | 1) << 1, 1  # up to ``waste`` more than a sum
+    while reach < waste:
+        step = min(reach, waste - reach)
+        above |= above << step
+        reach += step
+    return bool(spare & (above | more if waste else more))
+
+
+def fillings(counts: np.ndarray, room: int, after: tuple[int, Filling] | None = None, most: int | None = None) -> Iterator[tuple[int, Filling] | None]:
+    """Every undominated filling of ``room`` from the lengths left, as (waste, filling).
+
+    They come in order of waste, up to ``most``, and of one waste those of the longest pieces
+    first; only those behind ``after`` if it is given. A filling is dominated when a piece
+    left over can take the place of some of its pieces that fit into it, or of none, within
+    the waste; None stands for each one made and found dominated.
+    """
     have = np.flatnonzero(counts[: room + 1])
-    have = have[have > 0]
-    if not len(have):
-        return [{}]
-    if have[-1] == room:
-        return [{room: 1}]  # one piece that fills the room dominates every other filling
-    floor = np.zeros(room + 1, np.int64)
-    floor[have] = have
-    floor = np.maximum.accumulate(floor)
-    tried: list[list[int]] = []
-    second = floor[room - have]
-    same = (second == have) & (counts[have] < 2)
-    second = np.where(same, floor[np.maximum(np.minimum(room - have, have - 1), 0)], second)
-    pair = have + second
-    for i in np.lexsort((-have, -pair))[:keep]:
-        tried.append([int(have[i]), int(second[i])])
-    if pair.max() < room:
-        for a in have[::-1][:24]:
-            rest = room - a
-            own = counts.copy()
-            own[a] -= 1
-            inner = have[(have <= rest) & (own[have] > 0)]
-            if not len(inner):
-                continue
-            b2 = floor[rest - inner]
-            ok = (b2 == 0) | (own[b2] - (inner == b2) > 0)
-            if ok.any():
-                j = int(np.argmax(np.where(ok, inner + b2, -1)))
-                tried.append([int(a), int(inner[j]), int(b2[j])])
-    out, seen = [], set()
-    for one in tried:
-        use: dict[int, int] = {}
-        for x in one:
-            if x:
-                use[x] = use.get(x, 0) + 1
-        slack = room - sum(k * x for x, k in use.items())
-        while slack:  # a filling that leaves room for a piece is dominated
-            x = int(floor[slack]) if slack <= room else 0
-            while x and counts[x] - use.get(x, 0) <= 0:
-                x = int(floor[x - 1])
-            if not x:
-                break
-            use[x] = use.get(x, 0) + 1
-            slack -= x
-        key = tuple(sorted(use.items()))
-        # swapping one piece for a larger one that still fits dominates
-        if key not in seen and not any(counts[y] - use.get(int(y), 0) > 0 for x in use for y in have[(have > x) & (have <= x + slack)]):
-            seen.add(key)
-            out.append((slack, -max(use), use))
-    return [use for _, _, use in sorted(out, key=lambda t: t[:2])[:keep]] or [{int(have[-1]): 1}]
+    lengths = have[have > 0].tolist()
+    times = [int(counts[x]) for x in lengths]
+    if lengths and lengths[-1] == room:  # one piece that fills the room dominates every other filling
+        if after is None:
+            yield 0, ((room, 1),)
+        return
+    whole = _sums(lengths, times, room)[-1]
+    every = sum(1 << x for x in lengths)
+    small = forced = 0  # pieces no longer than the waste are all inside, or the filling is dominated
+    for waste in range(after[0] if after else 0, room + 1 if most is None else min(room, most) + 1):
+        while small < len(lengths) and lengths[small] <= waste:
+            forced += lengths[small] * times[small]
+            small += 1
+        if forced > room - waste:
+            return
+        if not whole >> room - waste & 1:
+            continue
+        tail = tuple((x, n) for x, n in zip(lengths[:small][::-1], times[:small][::-1], strict=True))
+        free, n_free = lengths[small:], times[small:]
+        sums = _sums(free, n_free, room)
+        bound = tuple(r for r in after[1] if r[0] > waste) if after and waste == after[0] else None
+
+        def walk(top: int, rest: int, head: Filling, bound: Filling | None) -> Iterator[Filling]:
+            """Ways to ``rest`` by the first ``top`` lengths, the longest pieces first, behind ``bound``."""
+            if not rest:
+                if bound is None:
+                    yield head
+                return
+            if bound is not None and not bound:
+                return
+            for i in range(bisect_right(free, rest, 0, top) - 1, -1, -1):
+                if not sums[i + 1] >> rest & 1:
+                    return
+                x = free[i]
+                if bound and x > bound[0][0]:
+                    continue
+                for m in range(min(n_free[i], rest // x), 0, -1):
+                    if bound and x == bound[0][0] and m > bound[0][1]:
+                        continue
+                    if sums[i] >> rest - m * x & 1:
+                        yield from walk(i, rest - m * x, (*head, (x, m)), bound[1:] if bound and (x, m) == bound[0] else None)
+
+        for head in walk(len(free), room - waste - forced, (), bound):
+            found = (*head, *tail)
+            full = sum(1 << x for x, m in found if m == counts[x])
+            yield None if _dominated(found, every ^ full, waste) else (waste, found)
 
 
 def bin_completion(counts: np.ndarray, capacity: int, nodes: int = NODES) -> list[Pattern]:
-    """A packing by branch and bound from the best-fit incumbent; optimal where it meets the lower bound."""
+    """A packing by branch and bound from the best-fit incumbent.
+
+    It is optimal unless the search ends by its ``nodes``: each filling made, dominated or
+    not, and each number of copies of one is a node. Sequences that hold the largest length
+    left are taken in the order of ``fillings``.
+    """
     best = best_fit_decreasing(counts, capacity)
     best_n, bound = sum(k for _, k in best), lower_bound(counts, capacity)
     if best_n <= bound:
         return best
     lengths = np.arange(len(counts))
     left, total = counts.astype(np.int64).copy(), int((counts * lengths).sum())
-    path: list[Pattern] = []
+    path: list[tuple[int, tuple[int, Filling], int]] = []
     used = waste = 0
-    stack: list[tuple[int, list[dict[int, int]]]] = []
-
-    def branch():
-        top = int(np.flatnonzero(left)[-1])
-        left[top] -= 1
-        found = fillings(left, capacity - top)
-        left[top] += 1
-        stack.append((top, found[::-1]))
-
-    branch()
-    while stack and nodes and best_n > bound:
-        top, choices = stack[-1]
-        if len(path) == len(stack):  # back at this node: undo its last choice
-            use, k = path.pop()
-            for x, m in use.items():
-                left[x] += m * k
-            used -= k
-            waste -= k * (capacity - sum(x * m for x, m in use.items()))
-        if not choices:
-            stack.pop()
-            continue
-        nodes -= 1
-        use = dict(choices.pop())
+    after: tuple[int, Filling] | None = None
+
+    def with_top(top: int, filling: Filling) -> dict[int, int]:
+        use = dict(filling)
         use[top] = use.get(top, 0) + 1
-        k = int(min(left[x] // m for x, m in use.items()))
-        for x, m in use.items():
+        return use
+
+    def place(top: int, found: tuple[int, Filling], k: int) -> None:
+        nonlocal used, waste
+        for x, m in with_top(top, found[1]).items():
             left[x] -= m * k
         used += k
-        waste += k * (capacity - sum(x * m for x, m in use.items()))
-        path.append((use, k))
-        if waste > (best_n - 1) * capacity - total:
-            continue  # more waste than a better solution affords
+        waste += k * found[0]
+
+    while nodes > 0 and best_n > bound:
+        spare = (best_n - 1) * capacity - total - waste  # more waste than that no better solution affords
+        step = None
         if not left.any():
             if used < best_n:
-                best, best_n = list(path), used
-            continue
-        branch()
+                best, best_n = [(with_top(top, found[1]), k) for top, found, k in path], used
+        elif spare >= 0:
+            top = int(np.flatnonzero(left)[-1])
+            rest = left.copy()
+            rest[top] -= 1
+            for found in fillings(rest, capacity - top, after, spare):
+                nodes -= 1
+                if found or not nodes:
+                    break
+            else:
+                found = None
+            if found:
+                k = int(min(left[x] // m for x, m in with_top(top, found[1]).items()))
+                step = top, found, min(k, spare // found[0]) if found[0] else k
+        if step is None:  # back: fewer copies of the last choice, or the next filling
+            if not path:
+                break
+            top, found, k = path.pop()
+            place(top, found, -k)
+            if k == 1 or found[1] in ((), ((capacity - top, 1),)):  # the only filling: fewer copies lead nowhere
+                after = found
+                continue
+            nodes -= 1
+            step = top, found, k - 1
+        place(*step)
+        path.append(step)
+        after = step[1] if left[step[0]] else None
     return best
 
 

@@ -59,6 +59,46 @@ def test_large_plans_keep_every_piece():
     assert packing.bin_completion(np.zeros(11, int), 10) == []
 
 
+def test_plan_by_fillings_of_many_pieces():
+    counts = np.bincount([900, 600, 500, 474, 474, 287, 287, 287, 287], minlength=2049)
+    assert used(packing.best_fit_decreasing(counts, 2048), 2048, counts) == 3
+    assert used(packing.bin_completion(counts, 2048), 2048, counts) == 2
+
+
+def test_plans_without_waste_are_found():
+    r, harder = random.Random(3), 0
+    for _ in range(60):
+        capacity, sizes = 60, []
+        for _ in range(4):
+            cuts = sorted(r.sample(range(5, capacity - 4), r.randint(2, 4)))
+            sizes += [b - a for a, b in zip([0, *cuts], [*cuts, capacity], strict=True)]
+        counts = np.bincount(sizes, minlength=capacity + 1)
+        harder += used(packing.best_fit_decreasing(counts, capacity), capacity, counts) > 4
+        assert used(packing.bin_completion(counts, capacity, nodes=10**6), capacity, counts) == 4
+    assert harder > 10
+
+
+def test_fillings_against_brute_force():
+    r = random.Random(4)
+    for _ in range(80):
+        room = r.randint(3, 24)
+        counts = np.array([0] + [r.choice([0, 0, 1, 2]) for _ in range(room)])
+        lengths = [int(x) for x in np.flatnonzero(counts)][::-1]
+        every = [f for f in product(*(range(counts[x] + 1) for x in lengths)) if sum(map(int.__mul__, f, lengths)) <= room]
+        want = []
+        for f in every:
+            waste = room - sum(map(int.__mul__, f, lengths))
+            parts = [(sum(map(int.__mul__, p, lengths)), sum(p)) for p in product(*(range(m + 1) for m in f))]
+            if not any(s <= x <= s + waste and (n != 1 or s < x) for x, m in zip(lengths, f, strict=True) if m < counts[x] for s, n in parts):
+                want.append((waste, [-m for m in f], tuple((x, m) for x, m in zip(lengths, f, strict=True) if m)))
+        want = [(w, f) for w, _, f in sorted(want)]
+        got = [f for f in packing.fillings(counts, room) if f]
+        assert got == want
+        for i, f in enumerate(got):
+            assert [g for g in packing.fillings(counts, room, f) if g] == want[i + 1 :]
+        assert [g for g in packing.fillings(counts, room, None, 1) if g] == [f for f in want if f[0] <= 1]
+
+
 def pieces(texts, capacity):
     from tokenizers import Tokenizer
 
