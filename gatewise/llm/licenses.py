@@ -23,11 +23,15 @@ BASE = {
 }
 
 _V = r"(?: v(?:ersion)?)?"
+#: Between a name and its number where they are not one word.
+_GAP = r"(?: v(?:ersion)? ?| )"
 _OR = r"(?: only| or later| or any later version| and later)?"
 
-#: Hand-written signatures over lower-cased words: (label, keywords that must all occur, expressions).
+#: Hand-written signatures over lower-cased words: (label, keywords that every match of every expression holds, expressions).
 SIGNATURES = [
-    ("gpl-1.0", ["gnu"], [rf"gnu (?:general public license|gpl){_V} 1(?: 0)?{_OR}", rf"gpl{_V} ?1(?: 0){_OR}"]),
+    ("gpl-1.0", ["gnu"], [rf"gnu (?:general public license|gpl){_V} 1(?: 0)?{_OR}"]),
+    ("gpl-1.0", ["gpl"], [rf"gpl{_GAP}1 0{_OR}"]),
+    ("gpl-1.0", ["gpl1"], [rf"gpl1 0{_OR}"]),
     ("gpl-2.0", ["gnu"], [rf"gnu (?:general public license|gpl){_V} ?2(?: 0)?{_OR}", r"gnu general public license as published by the free software foundation version 2"]),
     ("gpl-3.0", ["gnu"], [rf"gnu (?:general public license|gpl){_V} ?3(?: 0)?{_OR}", r"gnu general public license as published by the free software foundation(?: either)? version 3"]),
     ("gpl", ["gnu"], [r"gnu gpl", r"gnu general public licen[cs]e", r"gnu public license", r"gnu org licenses(?: gpl(?: \d(?: \d)?)?)?"]),
@@ -38,9 +42,12 @@ SIGNATURES = [
     ("lgpl-3.0", ["lesser"], [rf"gnu lesser general public license{_V} ?3(?: 0)?{_OR}"]),
     ("lgpl", ["lesser"], [r"(?:gnu )?lesser general public license"]),
     ("lgpl-2.0", ["library"], [rf"gnu library general public license(?:{_V} ?2(?: 0)?)?{_OR}"]),
-    ("lgpl", ["lgpl"], [r"gnu lgpl", r"lgpl license", rf"lgpl{_V} ?[23](?: [01])?{_OR}"]),
+    ("lgpl", ["lgpl"], [r"gnu lgpl", r"lgpl license", rf"lgpl{_GAP}[23](?: [01])?{_OR}"]),
+    ("lgpl", ["lgpl2"], [rf"lgpl2(?: [01])?{_OR}"]),
+    ("lgpl", ["lgpl3"], [rf"lgpl3(?: [01])?{_OR}"]),
     ("agpl-3.0", ["affero"], [rf"gnu affero general public license(?:{_V} ?3(?: 0)?)?{_OR}", r"affero general public license"]),
-    ("agpl-3.0", ["agpl"], [r"gnu agpl", r"agpl license", rf"agpl{_V} ?3(?: 0)?{_OR}"]),
+    ("agpl-3.0", ["agpl"], [r"gnu agpl", r"agpl license", rf"agpl{_GAP}3(?: 0)?{_OR}"]),
+    ("agpl-3.0", ["agpl3"], [rf"agpl3(?: 0)?{_OR}"]),
     ("gfdl", ["documentation"], [rf"gnu free documentation license(?:{_V} 1 [123])?{_OR}"]),
     ("gpl-classpath", ["classpath"], [r"gnu classpath exception", r"classpath exception to the gpl"]),
     ("apache-1.1", ["apache"], [rf"apache (?:software )?license{_V} 1 1"]),
@@ -48,10 +55,12 @@ SIGNATURES = [
     ("apache", ["apache"], [r"apache (?:software |public )?licen[cs]e", r"(?:www )?apache org licenses"]),
     ("apache-2.0", ["asl"], [r"asl 2 0"]),
     ("mit", ["mit"], [r"(?:the )?mit licen[cs]e", r"mit x11 license", r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?mit", r"opensource org licenses mit(?: license)?", r"mit style license", r"expat mit"]),
-    ("mit", ["granted"], [r"permission is hereby granted free of charge to any person obtaining a copy", r"the above copyright notice and this permission notice shall be included in all copies"]),
+    ("mit", ["granted"], [r"permission is hereby granted free of charge to any person obtaining a copy"]),
+    ("mit", ["permission", "copies"], [r"the above copyright notice and this permission notice shall be included in all copies"]),
     ("mit", ["expat"], [r"expat license"]),
     ("mit-0", ["attribution"], [r"mit no attribution(?: license)?"]),
-    ("bsd-2-clause", ["bsd"], [r"bsd 2 clause(?: license)?", r"2 clause bsd(?: license)?", r"simplified bsd license", r"freebsd license"]),
+    ("bsd-2-clause", ["bsd"], [r"bsd 2 clause(?: license)?", r"2 clause bsd(?: license)?", r"simplified bsd license"]),
+    ("bsd-2-clause", ["freebsd"], [r"freebsd license"]),
     ("bsd-3-clause", ["bsd"], [r"bsd 3 clause(?: license)?", r"3 clause bsd(?: license)?", r"(?:new|modified|revised) bsd license", r"opensource org licenses bsd 3 clause"]),
     ("bsd-4-clause", ["bsd"], [r"bsd 4 clause(?: license)?", r"4 clause bsd(?: license)?", r"original bsd license"]),
     ("0bsd", ["bsd"], [r"(?:zero clause|0 clause|0) bsd(?: license)?"]),
@@ -73,13 +82,15 @@ SIGNATURES = [
     ("eupl-1.2", ["eupl"], [r"eupl(?: v?1 [12])?"]),
     ("eupl-1.2", ["european"], [r"european union public licen[cs]e"]),
     ("artistic-2.0", ["artistic"], [rf"artistic license{_V} ?2(?: 0)?"]),
-    ("artistic", ["artistic"], [r"artistic license", r"same terms as perl itself"]),
+    ("artistic", ["artistic"], [r"artistic license"]),
+    ("artistic", ["perl", "itself"], [r"same terms as perl itself"]),
     ("zlib", ["zlib"], [r"zlib (?:libpng )?license"]),
     ("boost-1.0", ["boost"], [rf"boost software license(?:{_V} 1 0)?"]),
     ("unlicense", ["unlicense"], [r"(?:the )?unlicense", r"unlicense org"]),
     ("public-domain", ["domain"], [r"(?:released|placed|dedicated) (?:in)?to the public domain", r"this is free and unencumbered software released into the public domain", r"public domain dedication"]),
     ("wtfpl", ["wtfpl"], [r"wtfpl(?: license)?"]),
-    ("python-2.0", ["python"], [r"python software foundation license(?: version 2)?", r"psf license"]),
+    ("python-2.0", ["python"], [r"python software foundation license(?: version 2)?"]),
+    ("python-2.0", ["psf"], [r"psf license"]),
     ("php-3.01", ["php"], [r"php license(?: version 3 01?)?"]),
     ("ruby", ["ruby"], [r"ruby license", r"same license as ruby"]),
     ("openssl", ["openssl"], [r"openssl license"]),
@@ -149,6 +160,7 @@ def scan(docs: DataFrame, text_col: str = "text", table: list[dict] | None = Non
     """
     table = rules() if table is None else table
     keys = sorted({w for r in table for w in r["needs"]})
+    some = F.size("_keys") >= (1 if all(r["needs"] for r in table) else 0)  # a rule without keywords is tried everywhere
     literal = F.from_json(F.lit(json.dumps(table)), _RULE)
     keep = [c for c in docs.columns if c.lower() not in ("n_words", "found", "detections")]
     df = docs.select(*keep, words(F.col(text_col)).alias("_w"))
@@ -166,9 +178,9 @@ def scan(docs: DataFrame, text_col: str = "text", table: list[dict] | None = Non
         f"(a, p) -> if(p.hit is null, a, {step}), a -> a.out)"
     )
     tried = "filter(_rules, r -> size(array_except(r.needs, _keys)) = 0)"
-    found = f"if(size(_keys) < 1, {none}, array_sort(flatten(transform({tried}, r -> {one})), (x, y) -> case when x.start <> y.start then x.start - y.start when x.upto <> y.upto then y.upto - x.upto else x.order - y.order end))"
+    found = f"if(_text is null, {none}, array_sort(flatten(transform({tried}, r -> {one})), (x, y) -> case when x.start <> y.start then x.start - y.start when x.upto <> y.upto then y.upto - x.upto else x.order - y.order end))"
     kept = f"aggregate(found, struct(-1 as far, {none} as out), (a, x) -> if(x.upto <= a.far, a, struct(x.upto as far, concat(a.out, array(x)) as out)), a -> a.out)"
-    df = df.withColumn("_text", F.when(F.size("_keys") > 0, F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")))).withColumn("_rules", literal)
+    df = df.withColumn("_text", F.when(some, F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")))).withColumn("_rules", literal)
     df = df.select(*keep, "n_words", F.expr(found).alias("found"))
     return df.withColumn("detections", F.expr(kept))
 

@@ -232,6 +232,71 @@ def test_license_rules(spark):
     assert all(re.compile(x["regex"]) for x in licenses.rules())
 
 
+def sayings(e):
+    """Every text of an expression; digits and the open gap stand as one example."""
+
+    def choices(i):
+        out = []
+        while True:
+            got, i = sequence(i)
+            out += got
+            if i == len(e) or e[i] == ")":
+                return out, i
+            i += 1
+
+    def sequence(i):
+        out = [""]
+        while i < len(e) and e[i] not in "|)":
+            if e.startswith("(?:", i):
+                part, i = choices(i + 3)
+                i += 1
+            elif e[i] == "[":
+                part, i = list(e[i + 1 : e.index("]", i)]), e.index("]", i) + 1
+            elif e.startswith(".{1,80}?", i):
+                part, i = ["any one"], i + len(".{1,80}?")
+            elif e.startswith("\\d", i):
+                part, i = ["4"], i + 2
+            else:
+                part, i = [e[i]], i + 1
+            if e[i : i + 1] == "?":
+                part, i = [*part, ""], i + 1
+            out = [a + b for a in out for b in part]
+        return out, i
+
+    return choices(0)[0]
+
+
+def test_license_keywords_lose_nothing(spark):
+    rules, texts = licenses.rules(), []
+    for x in rules:
+        e = x["regex"].removeprefix("(?<= )").removesuffix("(?= )")
+        every = sayings(e)
+        assert all(re.fullmatch(e, t) for t in every)
+        assert x["needs"], e
+        assert all(set(x["needs"]) <= set(t.split()) for t in every), e
+        texts += [every[0], every[-1]]
+    docs = spark.createDataFrame(list(enumerate([*texts, "no rule"])), "doc_id long, text string")
+    with_keys = [x.found for x in licenses.scan(docs).orderBy("doc_id").collect()]
+    assert with_keys == [x.found for x in licenses.scan(docs, table=[{**x, "needs": []} for x in rules]).orderBy("doc_id").collect()]
+    assert all(with_keys[:-1])
+    assert not with_keys[-1]
+
+
+def test_license_rules_apart_from_their_family(spark):
+    say = {
+        "under the same terms as Perl itself": ["artistic"],
+        "FreeBSD license": ["bsd-2-clause"],
+        "PSF License": ["python-2.0"],
+        "GPL v1.0": ["gpl-1.0"],
+        "GPL1.0 only": ["gpl-1.0"],
+        "LGPL3 or later": ["lgpl"],
+        "AGPL3": ["agpl-3.0"],
+        "The above copyright notice and this permission notice shall be included in all copies": ["mit"],
+    }
+    got = licenses.scan(spark.createDataFrame(list(enumerate(say)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [[d.label for d in x.detections] for x in got] == list(say.values())
+
+
 # ---- chat
 
 
