@@ -26,9 +26,15 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one of the smallest id (five words, 0.8)."""
-    kept = near_dedup.near_duplicates(spark, docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each near-duplicate group stays, the one of the smallest id (five words, 0.8).
+
+    A null id counts as larger than any other. Of several rows of that id in a group one stays.
+    """
+    rows = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
+    groups = near_dedup.near_duplicates(spark, rows, id_col="_row", size=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    kept = rows.select("_row", "doc_id").join(groups, "_row").groupBy("component_id").agg(first).select(F.col("first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

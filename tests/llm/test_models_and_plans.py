@@ -314,3 +314,13 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, now, "/root/testdata/sf0.001")
     assert {r.doc_id for r in packed.collect()} == ids
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_pipeline_keeps_one_row_of_a_group(spark):
+    import corpus_pipeline
+
+    same, other = "one two three four five six seven eight", "quite another text of more than five words"
+    rows = [(7, same), (7, same), (3, same), (None, same), (None, other), (None, other), (5, other), (5, other), (5, "a third text under the id of another"), (9, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_filter(spark, docs.repartition(3), "").collect()]
+    assert sorted(got, key=repr) == sorted([(3, same), (5, other), (5, "a third text under the id of another"), (9, None), (9, "")], key=repr)
