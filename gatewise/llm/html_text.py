@@ -1,10 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes blocks, each with its path of tags from the root. For every distinct path the
-text length, the punctuation and the number of blocks are summed; the ratios of text and
-of punctuation to blocks are smoothed over the paths in page order, fused by their product,
-and compared with a threshold from the page itself. Blocks on paths above it, and the paths
-beside them under the same container, are the article.
+A page becomes blocks of text, each with its path of tags from the root. For every distinct
+path the text outside links, the punctuation and the number of blocks are summed. The
+ratios of text and of punctuation to blocks are fused into one score of the path, which is
+smoothed over the paths that come before and after it in the page and share its container,
+and compared with a share of the best score. The blocks of the paths above it are the article.
+
+What a tag or a class says of an element (navigation, advert, comments ...) decides nothing:
+it multiplies the scores of the paths below it, unless the heaviest path lies there too.
 """
 
 from __future__ import annotations
@@ -21,199 +24,268 @@ from .common import by_value, map_texts, with_fields
 
 by_value(__name__)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-#: Elements whose content is raw up to their own end tag and never text of a page.
-_RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "textarea", "title", "xmp", "noembed", "noframes"}
+#: Comments and declarations; a tag, where a quote opens a value only right after "="; text; a lone "<".
+_TOKEN = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*(?:>|\Z))"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*)(?:>|\Z)|[^<]+|<",
+    re.S,
+)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Elements whose content is no markup up to their own end tag.
+_RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
+#: Elements whose content is no text of a page.
+_UNSEEN = {"head", "noscript", "template", "object", "svg", "math", "canvas", "select", "option", "optgroup", "datalist", "button", "audio", "video", "map"}
+_OF_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt",
     "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img",
 }
-#: Elements that are never part of an article.
-_ASIDE = {"head", "nav", "header", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "fieldset", "datalist", "audio", "video", "input"}
 _P_ENDS = {
     "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul", "li", "dt", "dd", "td", "th", "tr",
 }
 _SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPES = {"ul", "ol", "dl", "table", "select", "menu"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that hold running text; only such paths lend each other their score.
+_PROSE = _HEADINGS | {"p", "li", "dt", "dd", "blockquote", "pre", "figcaption", "td", "th", "caption", "summary"}
+
+#: Tags, roles and words of a class or id that speak against an element.
+_BESIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 _ROLE = re.compile(r"navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu|toolbar", re.I)
-#: Words of a class or id that mark a part beside the article.
-_MARKED = re.compile(
+_WORDS = re.compile(
     r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|adsense|adsbox|sponsor(?:ed|s)?|promo(?:tions?)?|banners?|nav|navbar|navigation|menus?|menubar|breadcrumbs?|"
-    r"header|masthead|footer|sidebars?|side|aside|widgets?|comments?|commentlist|disqus|respond|repl(?:y|ies)|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletters?|"
-    r"subscribe|subscription|signup|login|search|share|sharing|social|related|recommend(?:ed|ations?)?|recirc|toolbar|pagination|pager|tags|taglist|legal|copyright|disclaimer|skip|hidden)"
+    r"footer|sidebars?|aside|widgets?|comments?|commentlist|disqus|respond|repl(?:y|ies)|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletters?|"
+    r"subscribe|subscription|signup|login|search|share|sharing|social|related|recommend(?:ed|ations?)?|recirc|toolbar|pagination|pager|taglist|copyright|disclaimer)"
     r"(?:$|[^a-z])",
     re.I,
 )
+_HEAD_WORDS = re.compile(r"(?:^|[^a-z])(?:header|masthead)(?:$|[^a-z])", re.I)
+_ABOUT_OTHERS = re.compile(r"(?:^|\s)(?:no|not|has|with|without)[-_]\S*", re.I)
 _SPACE = re.compile(r"\s+")
-_PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
+#: Punctuation of sentences; the dots of an address are none.
+_PUNCTUATION = re.compile(r"[.,;:!?…]+(?=[\s\"'»”’)\]]|$)|[。，、；：！？]")
+
+#: Share of the best score that a path needs.
+SHARE = 0.25
+#: Paths looked at on either side when scores are smoothed, and steps up to a common container.
+WINDOW, REACH = 3, 3
+#: What a score is multiplied by below an element with a word against it.
+DOUBT = 0.02
 
 
 class _Block:
-    __slots__ = ("chars", "container", "inside", "last", "linked", "parts", "path")
+    __slots__ = ("linked", "parts", "path")
 
-    def __init__(self, path: int, container: int, inside: bool, last: str):
-        self.path, self.container, self.inside, self.last = path, container, inside, last
-        self.linked, self.parts = 0, []
+    def __init__(self, path: int):
+        self.path, self.linked, self.parts = path, 0, []
 
 
 class _Open:
     """An open element; inline ones share the path of the element around them."""
 
-    __slots__ = ("bad", "container", "inside", "last", "path", "serial", "tag")
-
-    def __init__(self, tag, path, serial, container, inside, last, bad):
-        self.tag, self.path, self.serial, self.container = tag, path, serial, container
-        self.inside, self.last, self.bad = inside, last, bad
-
-
-def blocks_of(page: str) -> list[tuple[_Block, str]]:
-    """Blocks with their text, outside parts that are never content. Paths are numbered, not spelled out."""
-    paths: dict[tuple[int, str], int] = {}
-    stack = [_Open("", -1, 0, 0, False, "", False)]
-    opened: dict[str, int] = {}
-    out: list[_Block] = []
-    now: _Block | None = None
-    serial, raw, excluded = 0, None, 0
-
-    def close(to: int) -> None:
-        nonlocal now, excluded
-        while len(stack) > to:
-            gone = stack.pop()
-            opened[gone.tag] -= 1
-            excluded -= gone.bad
-            if gone.tag not in _INLINE:
-                now = None
+    __slots__ = ("framed", "path", "tag", "unseen")
 
-    def close_up_to(tags: set[str], stop) -> None:
-        """Close the innermost open element of ``tags`` with what is in it, unless ``stop`` comes first."""
-        if not any(opened.get(t) for t in tags):
-            return
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                close(i)
-                return
-            if stop(stack[i].tag):
+    def __init__(self, tag: str, path: int, framed: bool, unseen: bool):
+        self.tag, self.path, self.framed, self.unseen = tag, path, framed, unseen
+
+
+class Page:
+    """The blocks of a page, and its distinct paths as a tree (``parent`` of each, its last ``tag``, ``doubted`` or not)."""
+
+    def __init__(self, page: str):
+        self.parent, self.tag, self.doubted = [-1], [""], [False]
+        self.blocks: list[tuple[int, int, str]] = []
+        self._numbers: dict[tuple[int, str, bool], int] = {}
+        self._read(page)
+
+    def _path(self, parent: int, tag: str, names: str, doubted: bool) -> int:
+        key = (parent, f"{tag}.{names}", doubted)
+        found = self._numbers.get(key)
+        if found is None:
+            found = self._numbers[key] = len(self.parent)
+            self.parent.append(parent)
+            self.tag.append(tag)
+            self.doubted.append(doubted)
+        return found
+
+    def _read(self, page: str) -> None:
+        stack = [_Open("", 0, False, False)]
+        opened: dict[str, int] = {}
+        out: list[_Block] = []
+        now: _Block | None = None
+        unseen, at, end = 0, 0, len(page)
+
+        def close(to: int) -> None:
+            nonlocal now, unseen
+            while len(stack) > to:
+                gone = stack.pop()
+                opened[gone.tag] -= 1
+                unseen -= gone.unseen
+                if gone.tag not in _INLINE:
+                    now = None
+
+        def close_up_to(tags: set[str], stop) -> None:
+            """Close the innermost open element of ``tags`` with what is in it, unless ``stop`` comes first."""
+            if not any(opened.get(t) for t in tags):
                 return
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in tags:
+                    close(i)
+                    return
+                if stop(stack[i].tag):
+                    return
 
-    for m in _TOKEN.finditer(page):
-        name = m.group(2)
-        if raw is not None:
-            if name and m.group(1) and name.lower() == raw:
-                raw = None
-            continue
-        if not name:
-            text = m.group()
-            if excluded or text[0] == "<" and text[1:2] in ("!", "?"):
-                continue
-            if now is None:
-                if text.isspace():
+        while at < end:
+            m = _TOKEN.match(page, at)
+            at = m.end()
+            name = m.group(2)
+            if not name:
+                text = m.group()
+                if unseen or text[0] == "<" and len(text) > 1:
                     continue
-                around = stack[-1]
-                now = _Block(around.path, around.container, around.inside, around.last)
-                out.append(now)
-            now.parts.append(text)
-            if opened.get("a"):
-                now.linked += len(text.strip())
-            continue
-        tag = name.lower()
-        if m.group(1):
-            if tag in ("p", "br"):
+                if now is None:
+                    if text.isspace():
+                        continue
+                    now = _Block(stack[-1].path)
+                    out.append(now)
+                text = html.unescape(text)
+                now.parts.append(text)
+                if opened.get("a"):
+                    now.linked += len(text.strip())
+                continue
+            tag = name.lower()
+            if m.group(1):
+                if tag in ("p", "br"):
+                    now = None
+                close_up_to({tag}, lambda t: False)
+                continue
+            if opened.get("head") and tag not in _OF_HEAD:
+                close_up_to({"head"}, lambda t: False)
+            if tag in _P_ENDS:
+                close_up_to({"p"}, lambda t: t not in _INLINE)  # an open paragraph ends here
                 now = None
-            close_up_to({tag}, lambda t: False)
-            continue
-        if tag in _P_ENDS:
-            close_up_to({"p"}, lambda t: t not in _INLINE)  # an open paragraph ends here
-            now = None
-        if tag in _SAME_ENDS:
-            close_up_to(_SAME_ENDS[tag], lambda t: t in _SCOPES)
-        if tag in ("br", "hr"):
-            now = None
-            continue
-        if tag == "body":
-            close_up_to({"head"}, lambda t: False)
-        if tag in _VOID or tag == "plaintext" or tag in _RAW and m.group(3).endswith("/"):
-            continue
-        if tag in _RAW:
-            raw = tag
-            continue
-        attributes = {k.lower(): x or y or z for k, x, y, z in _ATTRIBUTE.findall(m.group(3))} if m.group(3) else {}
-        named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-        bad = (
-            tag in _ASIDE
-            or "hidden" in attributes
-            or attributes.get("aria-hidden") == "true"
-            or "display:none" in attributes.get("style", "").replace(" ", "")
-            or bool(_ROLE.search(attributes.get("role", "")))
-            or tag not in ("html", "body", "article", "main") and named != " " and bool(_MARKED.search(named))
-        )
-        around = stack[-1]
-        if tag in _INLINE:
-            stack.append(_Open(tag, around.path, around.serial, around.container, around.inside, around.last, bad))
-        else:
-            now = None
-            serial += 1
-            step = tag + ("." + ".".join(sorted(attributes["class"].split())) if attributes.get("class") else "")
-            path = paths.setdefault((around.path, step), len(paths))
-            stack.append(_Open(tag, path, serial, around.serial, around.inside or tag in ("article", "main"), tag, bad))
-        opened[tag] = opened.get(tag, 0) + 1
-        excluded += bad
-    done = []
-    for block in out:
-        text = _SPACE.sub(" ", html.unescape("".join(block.parts))).strip()
-        if text:
-            done.append((block, text))
-    return done
-
-
-_HEADED = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
-
-
-def main_text(page: str | None, window: int = 1, share: float = 0.1) -> str:
-    """The article of ``page``, its blocks joined by an empty line; "" if there is none."""
-    blocks = blocks_of(page or "")
-    if not blocks:
-        return ""
-    paths: dict[int, int] = {}
-    where = [paths.setdefault(b.path, len(paths)) for b, _ in blocks]
-    chars, points, linked, count = (np.zeros(len(paths)) for _ in range(4))
-    inside = np.zeros(len(paths), bool)
-    for i, (b, text) in zip(where, blocks, strict=True):
-        chars[i] += len(text)
+            if tag in _SAME_ENDS:
+                close_up_to(_SAME_ENDS[tag], lambda t: t in _SCOPES)
+            if tag in ("br", "hr"):
+                now = None
+                continue
+            if tag == "plaintext" or tag in _VOID or tag in ("svg", "math") and m.group(3).endswith("/"):
+                continue
+            if tag in _RAW:
+                over = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = over.end() if over else end
+                continue
+            around = stack[-1]
+            attributes = {k.lower(): x or y or z for k, x, y, z in _ATTRIBUTE.findall(m.group(3))} if m.group(3) else {}
+            unseen_here = tag in _UNSEEN or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
+            if tag in _INLINE:
+                stack.append(_Open(tag, around.path, around.framed, unseen_here))
+            else:
+                now = None
+                framed = around.framed or tag in ("article", "main", "section")
+                names = " ".join(sorted(c for c in attributes.get("class", "").split() if not any(x.isdigit() for x in c)))
+                stack.append(_Open(tag, self._path(around.path, tag, names, _doubted(tag, attributes, around.framed)), framed, unseen_here))
+            opened[tag] = opened.get(tag, 0) + 1
+            unseen += unseen_here
+        for block in out:
+            text = _SPACE.sub(" ", "".join(block.parts)).strip()
+            if text:
+                self.blocks.append((block.path, min(block.linked, len(text)), text))
+
+
+def _doubted(tag: str, attributes: dict[str, str], framed: bool) -> bool:
+    """Whether tag, role, class or id speak against an element; a header inside an article does not."""
+    if tag in _BESIDE or tag == "header" and not framed or _ROLE.search(attributes.get("role", "")):
+        return True
+    if tag in _HEADINGS or tag in ("html", "body", "article", "main"):
+        return False
+    named = _ABOUT_OTHERS.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}")
+    return bool(_WORDS.search(named)) or not framed and bool(_HEAD_WORDS.search(named))
+
+
+def _kinship(page: Page, a: int, b: int) -> float:
+    """1 / steps to the common container of two paths of running text, one of which lies right in it; else 0."""
+    if page.tag[a] not in _PROSE or page.tag[b] not in _PROSE:
+        return 0.0
+    for near, far in ((a, b), (b, a)):
+        home, up = page.parent[near], far
+        for steps in range(1, REACH + 1):
+            up = page.parent[up]
+            if up < 0:
+                break
+            if up == home:
+                return 1 / steps
+    return 0.0
+
+
+def path_scores(page: Page, window: int = WINDOW, doubt: float = DOUBT) -> dict[int, float]:
+    """The fused and smoothed score of every path that holds text, in page order.
+
+    Of a path with n blocks, c characters outside links and p punctuation marks the ratios
+    fuse to ``c/n * (1 + log(1 + p/n)) * sqrt(c)``; 0 if more than half of its text is links. Smoothing
+    takes the mean with the paths up to ``window`` before and after, weighted by kinship, and
+    never lowers a score. ``doubt`` multiplies scores of doubted paths; doubts about elements
+    around the heaviest path (most text, after ``doubt``) are void.
+    """
+    order: dict[int, int] = {}
+    for path, _, _ in page.blocks:
+        order.setdefault(path, len(order))
+    plain, points, linked, count = (np.zeros(len(order)) for _ in range(4))
+    for path, in_links, text in page.blocks:
+        i = order[path]
+        plain[i] += len(text) - in_links
         points[i] += len(_PUNCTUATION.findall(text))
-        linked[i] += min(b.linked, len(text))
+        linked[i] += in_links
         count[i] += 1
-        inside[i] |= b.inside
-    few = np.ones(2 * window + 1)
-    smooth = lambda x: np.convolve(x, few)[window : window + len(x)] / np.convolve(np.ones(len(x)), few)[window : window + len(x)]
-    plain = (chars - linked) / count
-    fused = np.sqrt((plain + smooth(plain)) / 2 * (1 + points / count))
-    prose = linked <= 0.5 * chars
-    fused[~prose] = 0
-    content = fused >= share * fused.max()
-    if (content & inside).any():
-        content = inside & prose  # the page says where its article is: all its paths stay but lists of links
-    else:
-        heads = {b.container for i, (b, _) in zip(where, blocks, strict=True) if content[i]}
-        for i, (b, _) in zip(where, blocks, strict=True):
-            if b.container in heads and prose[i] and b.last in _HEADED:
-                content[i] = True
-    return "\n\n".join(text for i, (_, text) in zip(where, blocks, strict=True) if content[i])
-
-
-def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    prose = linked <= plain
+    ratio = np.where(prose, plain / count * (1 + np.log1p(points / count)) * np.sqrt(plain), 0.0)
+    paths = list(order)
+    score = ratio.copy()
+    for i, a in enumerate(paths):
+        total, weight = ratio[i], 1.0
+        for j in range(max(0, i - window), min(len(paths), i + window + 1)):
+            if j != i and prose[i] and (k := _kinship(page, a, paths[j])):
+                total += k * ratio[j]
+                weight += k
+        score[i] = max(ratio[i], total / weight)
+    own = list(page.doubted)
+
+    def doubted() -> np.ndarray:
+        below = list(own)
+        for p in range(1, len(below)):  # a parent has the smaller number
+            below[p] |= below[page.parent[p]]
+        return np.where([below[p] for p in paths], doubt, 1.0)
+
+    if paths:
+        p = paths[int(np.argmax(plain * prose * doubted()))]
+        while p > 0:
+            own[p] = False
+            p = page.parent[p]
+        score = score * doubted()
+    return dict(zip(paths, score.tolist(), strict=True))
+
+
+def main_text(page: str | None, share: float = SHARE, window: int = WINDOW, doubt: float = DOUBT) -> str:
+    """The article of ``page``, its blocks joined by an empty line; "" if there is none."""
+    read = Page(page or "")
+    scores = path_scores(read, window, doubt)
+    least = share * max(scores.values(), default=0.0)
+    return "\n\n".join(text for path, _, text in read.blocks if scores[path] >= least and scores[path] > 0)
+
+
+def extract(pages: DataFrame, html_col: str = "html", share: float = SHARE) -> DataFrame:
     """``pages`` with ``text``, the main text of each page, and ``n_chars``, its code points.
 
-    Null and empty pages, and pages without an article, give an empty text. Input columns
-    of these names give way, others pass unchanged; repeated rows stay as they are.
+    Null and empty pages, and pages without text outside links, give an empty text. Input
+    columns of these names give way, others pass unchanged; repeated rows stay as they are.
     """
     new = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
 
     def make():
         def step(texts, batch):
-            out = [main_text(t) for t in texts]
+            out = [main_text(t, share) for t in texts]
             return {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
 
         return step

@@ -237,11 +237,110 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <aside><p>More, to read.</p></aside><footer>&copy; someone, 2020.</footer></body></html>"""
 
 
-@pytest.mark.parametrize("shell", ["<article>%s</article>", "<main><div class='post'>%s</div></main>", "<div id='content'>%s</div>"])
+@pytest.mark.parametrize("shell", ["<article>%s</article>", "<main><div class='post'>%s</div></main>", "<div id='content'>%s</div>", "<div class='layout has-sidebar'>%s</div>", "<form class='page'><div>%s</div></form>"])
 def test_article(shell):
-    inner = "<h1>A &amp; B</h1><p><b>First,\n  sentence. &#233;<br><p>Second <a href='x'>one</a>, with more.</p>Tail, text here.<p>x &lt; y</p>"
+    inner = "<h1>A &amp; B</h1><p><b>First,\n  sentence. &#233;<br><p>Second <a href='x'>one</a>, with more.</p>Tail, text here.<p>x &lt; y, and much more of it.</p>"
     got = html_text.main_text(PAGE % (shell % inner))
-    assert got == "A & B\n\nFirst, sentence. é\n\nSecond one, with more.\n\nTail, text here.\n\nx < y"
+    assert got == "A & B\n\nFirst, sentence. é\n\nSecond one, with more.\n\nTail, text here.\n\nx < y, and much more of it."
+    bare = html_text.main_text(PAGE % inner.replace("Tail, text here.", ""))
+    assert bare == got.replace("Tail, text here.\n\n", "")
+
+
+def test_markup_that_misleads():
+    """Raw elements end at their own end tag only, a quote inside an unquoted value is no quote, wrappers speak for nothing."""
+    for page, want in {
+        "<script>for(i=0;i<n;i++){x()}</script><p>hello, there.": "hello, there.",
+        "<script>s=\"<!--\";</script><p>hello, there.": "hello, there.",
+        "<style>a:after{content:'<p>'}</style ><p>hello, there.": "hello, there.",
+        "<p title=don't>hello, there.</p>": "hello, there.",
+        "<p title='a>b'>hello, there.</p>": "hello, there.",
+        "<div class='layout has-sidebar'><p>hello, there.</p></div>": "hello, there.",
+        "<div class='sidebar'><p>hello, there.</p></div>": "hello, there.",
+        "<div class='entry no-comments'><p>hello, there.</p></div>": "hello, there.",
+        "<article><header><h1>Title</h1></header><p>hello, there. More of it.</p></article>": "Title\n\nhello, there. More of it.",
+        "<head><title>no</title><p>hello, &<b>amp;</b> there.": "hello, &amp; there.",
+        "<!--><p>hello, there.": "hello, there.",
+        "<svg><text>no, no.</text></svg><p hidden>no, no.</p><p>hello, there.": "hello, there.",
+    }.items():
+        assert html_text.main_text(page) == want, page
+
+
+def scores_in_full(paths, window):
+    """The scores of path_scores from (tag path, text, linked) triples without doubts, pair by pair."""
+    from math import log, sqrt
+
+    order = list(dict.fromkeys(p for p, _, _ in paths))
+    ratio, prose = {}, {}
+    for p in order:
+        own = [(t, n) for q, t, n in paths if q == p]
+        c, marks = sum(len(t) - n for t, n in own), sum(t.count(".") + t.count(",") for t, _ in own)
+        prose[p] = sum(n for _, n in own) <= c
+        ratio[p] = c / len(own) * (1 + log(1 + marks / len(own))) * sqrt(c) if prose[p] else 0.0
+
+    def kin(a, b):
+        found = [max(len(a), len(b)) - k for k in range(1, max(len(a), len(b))) if a[:k] == b[:k] and len(a) >= k and len(b) >= k and min(len(a), len(b)) == k + 1]
+        return 1 / found[0] if found and found[0] <= html_text.REACH and {a[-1], b[-1]} <= html_text._PROSE else 0.0
+
+    out = []
+    for i, p in enumerate(order):
+        near = [(kin(p, q), ratio[q]) for q in order[max(0, i - window) : i + window + 1] if q != p] if prose[p] else []
+        out.append(max(ratio[p], (ratio[p] + sum(k * x for k, x in near)) / (1 + sum(k for k, _ in near))))
+    return out
+
+
+def nested(r, depth, paths, at=("", "body")):
+    """A random well-formed page as html; its blocks go to ``paths``."""
+    out = ""
+    for _ in range(r.randint(1, 4)):
+        if depth and r.random() < 0.5:
+            tag = r.choice(["div", "section", "ul"])
+            out += f"<{tag}>{nested(r, depth - 1, paths, (*at, tag))}</{tag}>"
+        else:
+            tag = r.choice(["p", "h2", "blockquote", "div"])
+            text = " ".join(r.choice(["one", "two,", "three."]) for _ in range(r.randint(1, 30))).strip()
+            link = text if r.random() < 0.3 else ""
+            body = f"<a href='x'>{text}</a>" if link else text
+            paths.append(((*at, tag), text, len(link)))
+            out += f"<{tag}>{body}</{tag}>"
+    return out
+
+
+def test_path_scores_against_brute_force():
+    r = random.Random(6)
+    for _ in range(60):
+        paths = []
+        page = f"<body>{nested(r, 3, paths)}</body>"
+        read = html_text.Page(page)
+        assert [t for _, _, t in read.blocks] == [t for _, t, _ in paths]
+        got = html_text.path_scores(read)
+        assert np.allclose(list(got.values()), scores_in_full(paths, html_text.WINDOW))
+        order = dict(zip(dict.fromkeys(p for p, _, _ in paths), got.values(), strict=True))
+        best = max(order.values())
+        assert html_text.main_text(page) == "\n\n".join(t for p, t, _ in paths if order[p] >= html_text.SHARE * best and order[p] > 0)
+
+
+def made_page(r):
+    """A page without an article element, and its main text."""
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    title, body = sentence(6), [" ".join(sentence(r.randint(6, 14)) for _ in range(r.randint(2, 5))) for _ in range(r.randint(3, 8))]
+    items = [sentence(5) for _ in range(r.choice([0, 4]))]
+    inner = f"<h1>{title}</h1>" + "".join(f"<p>{b}</p>" for b in body) + ("<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>" if items else "")
+    for _ in range(r.randint(0, 3)):
+        inner = f"<div class='{r.choice(['wrap', 'has-sidebar', 'row no-ads', 'content'])}'>{inner}</div>"
+    links = "".join(f"<li><a href='/x'>{word()}, {word()}.</a></li>" for _ in range(6))
+    beside = [f"<nav><ul>{links}</ul></nav>", f"<div><div>{sentence(4)}</div></div>", f"<div class='sidebar'><p>{sentence(9)}</p></div>"]
+    below = [f"<div id='comments'>{''.join(f'<p>{sentence(8)}</p>' for _ in range(3))}</div>", f"<footer><p>&copy; {sentence(4)}</p></footer>"]
+    return f"<html><head><title>t</title></head><body>{''.join(beside)}<div>{inner}</div>{''.join(below)}</body></html>", "\n\n".join([title, *body, *items])
+
+
+def test_made_pages_and_what_the_threshold_does():
+    r = random.Random(7)
+    pages = [made_page(r) for _ in range(200)]
+    assert all(html_text.main_text(p) == want for p, want in pages)
+    assert sum(html_text.main_text(p, doubt=1.0) == want for p, want in pages) > 150  # the ratios alone
+    assert not any(html_text.main_text(p, share=0.0) == want for p, want in pages)
+    assert not any(html_text.main_text(p, share=0.0, doubt=1.0) == want for p, want in pages)
 
 
 def test_html_edges(spark):
@@ -258,10 +357,15 @@ def test_pages_against_their_template(spark):
     import html
     import re
 
+    alone = []
     for r in html_text.extract(spark.read.parquet(f"{DATA}/pages.parquet")).collect():
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S).group(1)
         blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in re.split(r"</?(?:p|h1|br)>", inner)]
-        assert r.text == "\n\n".join(b for b in blocks if b)
+        want = "\n\n".join(b for b in blocks if b)
+        assert r.text == want
+        alone.append(html_text.main_text(r.html, doubt=1.0) == want)
+        assert html_text.main_text(r.html, share=0.0) != want
+    assert sum(alone) > 0.85 * len(alone)  # without a word about tags or classes
 
 
 # ---- top-k
