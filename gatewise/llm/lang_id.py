@@ -1,35 +1,39 @@
 """Language identification by unigram piece models, summed over all segmentations.
 
 Each language has a probability for every piece of one fixed public vocabulary, learned by
-expectation-maximisation over all segmentations of its training words. A word's likelihood
-is the forward sum over its segmentations; a text's is the product over its words.
+expectation-maximisation over all segmentations of its training words: Spark sums the
+expected counts of the pieces, the driver divides them. A word's likelihood is the forward
+sum over its segmentations, in logarithms; a text's is the product over its words.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import regex
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, by_value, held_out, map_texts, mix64, with_fields
+from .common import U64, by_value, held_out, map_texts, mix64, release, stash, with_fields
 
 by_value(__name__)
 
-#: The model is fitted on a sample of about this many labelled documents a language ...
+#: The model is fitted on a sample of about this many labelled documents a language.
 TRAIN_DOCS = 1000
-#: ... and on at most this many distinct words of them, the most frequent first.
-TRAIN_WORDS = 150_000
+#: More languages than this are refused: the model holds a number for each piece of each.
+MOST_LANGUAGES = 1000
 EM_ROUNDS = 4
 SMOOTH = 0.02
-#: Longer words are scored in parts of this many letters.
-WORD_LETTERS = 40
-MAX_PIECE = 9
-_LETTERS = re.compile(r"[^\W\d_]+")
-_REMEMBERED = 300_000
+_ASCII, _LETTERS = re.compile(r"[a-z]+"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Words whose likelihoods a task remembers, and the longest of them; others are worked out again.
+_REMEMBERED, _REMEMBERED_LETTERS = 300_000, 64
+#: Letters of a stretch of words that is looked up at once.
+_STRETCH = 1 << 18
 _START = "▁"
 
 
@@ -39,28 +43,33 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _spells(piece: str) -> bool:
+    return bool(piece) and all(unicodedata.category(c)[0] in "LM" for c in piece)
+
+
 def vocabulary(path: str) -> list[str]:
     """Distinct lower-cased pieces of letters, some led by the word-start mark; the file is only read."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if len(p) <= MAX_PIECE and p.lstrip(_START).isalpha() and p.count(_START) <= 1 and (_START not in p or p[0] == _START))
+    return sorted(p for p in pieces if p == _START or _spells(p.removeprefix(_START)))
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-cased runs of letters, long ones in parts."""
-    found = _LETTERS.findall((text or "").lower())
-    if any(len(w) > WORD_LETTERS for w in found):
-        found = [w[i : i + WORD_LETTERS] for w in found for i in range(0, len(w), WORD_LETTERS)]
-    return found
+    """Lower-cased runs of letters (general category L, with the marks on them), whole."""
+    text = (text or "").lower()
+    return (_ASCII if text.isascii() else _LETTERS).findall(text)
 
 
 class Lattice:
-    """All segmentations of words into pieces of ``vocab``; any single character is a piece at least unknown."""
+    """All segmentations of words into pieces of ``vocab``; any single character is a piece, unknown ones too.
+
+    Pieces are numbered as in ``vocab``; ``size`` stands for unknown characters.
+    """
 
     def __init__(self, vocab: list[str]):
-        self.size = len(vocab)
+        self.size, self.deep = len(vocab), max(map(len, vocab), default=1)
         hashes = np.array([self._hash(p) for p in vocab], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], order.astype(np.int64)
@@ -74,102 +83,128 @@ class Lattice:
             h = mix64(h * U64(31) + U64(ord(c) + 1))
         return h[0]
 
-    def arcs(self, words: list[str]) -> np.ndarray:
-        """ids[n, start, length - 1] for words of one length, led by the start mark; ``size`` is unknown, ``size + 1`` no piece."""
-        n, width = len(words), len(words[0]) + 1
-        code = np.frombuffer("".join(_START + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, width).astype(np.uint64)
-        deep = min(MAX_PIECE, width)
-        ids = np.full((n, width, deep), self.size + 1, np.int64)
-        h = np.zeros((n, width), np.uint64)
-        for k in range(deep):
-            h = mix64(h[:, : width - k] * U64(31) + code[:, k:] + U64(1))
-            flat = h.reshape(-1)
+    @staticmethod
+    def codes(words: list[str]) -> np.ndarray:
+        """Characters of words of one length, led by the start mark."""
+        return np.frombuffer("".join(_START + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.uint64)
+
+    def stretches(self, n: int, width: int) -> list[tuple[int, int]]:
+        step = max(1, _STRETCH // n)
+        return [(lo, min(width, lo + step)) for lo in range(0, width, step)]
+
+    def arcs(self, codes: np.ndarray, lo: int, hi: int) -> list[list[tuple[int, np.ndarray | None, np.ndarray]]]:
+        """For each start from ``lo`` up to ``hi`` its arcs (length, rows that have one or None for all, pieces), length 1 first."""
+        part = codes[:, lo : min(codes.shape[1], hi + self.deep - 1)]
+        n, width = part.shape
+        out: list[list] = [[] for _ in range(hi - lo)]
+        h = np.zeros((n, hi - lo), np.uint64)
+        for k in range(min(self.deep, width)):
+            starts = min(hi - lo, width - k)
+            h = mix64(h[:, :starts] * U64(31) + part[:, k : k + starts] + U64(1))
+            flat = h.T.reshape(-1)  # by start, then by row
             at = np.flatnonzero(self.maybe[(flat & U64((1 << 20) - 1)).astype(np.int64)])
             pos = np.minimum(np.searchsorted(self.hashes, flat[at]), max(self.size - 1, 0))
             good = self.hashes[pos] == flat[at] if self.size else np.zeros(0, bool)
-            put = np.full(len(flat), self.size + 1, np.int64)
-            put[at[good]] = self.ids[pos[good]]
+            at, ids = at[good], self.ids[pos[good]] if self.size else at[good]
             if k == 0:
-                put[put > self.size] = self.size
-            ids[:, : width - k, k] = put.reshape(n, width - k)
-        return ids
-
-    def forward(self, ids: np.ndarray, probs: np.ndarray) -> np.ndarray:
-        """alpha[n, position, model] for probs[piece, model]."""
-        n, width, deep = ids.shape
-        alpha = np.zeros((n, width + 1, probs.shape[1]))
-        alpha[:, 0] = 1
-        for j in range(1, width + 1):
-            for k in range(1, min(deep, j) + 1):
-                alpha[:, j] += alpha[:, j - k] * probs[ids[:, j - k, k - 1]]
-        return alpha
-
-    def expected(self, ids: np.ndarray, probs: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Expected counts of each piece over all segmentations, for one model."""
-        n, width, deep = ids.shape
-        alpha = self.forward(ids, probs[:, None])[:, :, 0]
-        beta = np.zeros((n, width + 1))
-        beta[:, width] = 1
-        for i in range(width - 1, -1, -1):
-            for k in range(1, min(deep, width - i) + 1):
-                beta[:, i] += probs[ids[:, i, k - 1]] * beta[:, i + k]
-        out = np.zeros(len(probs))
-        scale = weight / alpha[:, width]
-        for i in range(width):
-            for k in range(1, min(deep, width - i) + 1):
-                arc = ids[:, i, k - 1]
-                out += np.bincount(arc, weights=alpha[:, i] * probs[arc] * beta[:, i + k] * scale, minlength=len(probs))
+                every = np.full(len(flat), self.size, np.int64)
+                every[at] = ids
+                for s, one in enumerate(every.reshape(-1, n)):
+                    out[s].append((1, None, one))
+                continue
+            start, row = at // n, at % n
+            cut = np.searchsorted(start, np.arange(starts + 1))
+            for s in np.flatnonzero(np.diff(cut)):
+                mine = slice(cut[s], cut[s + 1])
+                out[s].append((k + 1, row[mine], ids[mine]))
+        return out
+
+    def _sum(self, at_one: np.ndarray, pending: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """log of the sum of what arrives: ``at_one`` over arcs of one character, ``pending`` over longer ones."""
+        if not pending:
+            return at_one
+        total = np.ones_like(at_one)
+        for rows, value in pending:
+            total[rows] += np.exp(value - at_one[rows])
+        return at_one + np.log(total)
+
+    def forward(self, words: list[str], logs: np.ndarray, keep: bool = False) -> np.ndarray:
+        """Log-likelihood[word, model] of words of one length for logs[piece, model]; of every prefix if ``keep``."""
+        codes = self.codes(words)
+        n, width = codes.shape
+        now = np.zeros((n, logs.shape[1]))
+        every = [now]
+        coming: dict[int, list] = {}
+        for lo, hi in self.stretches(n, width):
+            for i, own in enumerate(self.arcs(codes, lo, hi), lo):
+                for k, rows, ids in own[1:]:
+                    coming.setdefault(i + k, []).append((rows, now[rows] + logs[ids]))
+                now = self._sum(now + logs[own[0][2]], coming.pop(i + 1, []))
+                if keep:
+                    every.append(now)
+        return np.stack(every, 1) if keep else now
+
+    def expected(self, words: list[str], logs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Expected counts of each piece over all segmentations of words of one length, for one model."""
+        codes = self.codes(words)
+        n, width = codes.shape
+        ahead = self.forward(words, logs[:, None], keep=True)[:, :, 0]
+        behind = np.zeros((n, width + 1))
+        out = np.zeros(self.size + 1)
+        whole = ahead[:, width]
+        for lo, hi in reversed(self.stretches(n, width)):
+            for i, own in reversed(list(enumerate(self.arcs(codes, lo, hi), lo))):
+                arrive = [(rows, logs[ids] + behind[rows, i + k]) for k, rows, ids in own[1:]]
+                behind[:, i] = self._sum(logs[own[0][2]] + behind[:, i + 1], arrive)
+                for k, rows, ids in own:
+                    r = slice(None) if rows is None else rows
+                    np.add.at(out, ids, weight[r] * np.exp(ahead[r, i] + logs[ids] + behind[r, i + k] - whole[r]))
         return out
 
 
-def by_length(words: list[str], most: int = 20_000):
+def by_length(words: list[str], most: int = 20_000) -> Iterator[list[int]]:
+    """Positions of words of one length, at most ``most`` at once and fewer of long ones."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         groups.setdefault(len(w), []).append(i)
-    for where in groups.values():
-        for lo in range(0, len(where), most):
-            yield where[lo : lo + most]
-
-
-def fit(lattice: Lattice, counts: dict[str, dict[str, int]], rounds: int = EM_ROUNDS) -> tuple[list[str], np.ndarray]:
-    """Languages and probs[piece, language]; the last rows are unknown characters and no piece."""
-    langs, columns = sorted(counts), []
-    for lang in langs:
-        words, weight = list(counts[lang]), np.fromiter(counts[lang].values(), float)
-        parts = [(lattice.arcs([words[i] for i in where]), weight[where]) for where in by_length(words)]
-        probs = np.full(lattice.size + 2, 1.0 / (lattice.size + 1))
-        probs[-1] = 0
-        for _ in range(rounds):
-            soft = sum((lattice.expected(ids, probs, w) for ids, w in parts), np.zeros(lattice.size + 2))
-            soft[:-1] += SMOOTH
-            soft[-1] = 0
-            probs = soft / soft.sum()
-        columns.append(probs)
-    return langs, np.stack(columns, 1) if columns else np.zeros((lattice.size + 2, 0))
+    for length, where in groups.items():
+        step = max(1, min(most, _STRETCH // (length + 1)))
+        for lo in range(0, len(where), step):
+            yield where[lo : lo + step]
 
 
 class Scorer:
     """Log-likelihoods of texts under every language."""
 
-    def __init__(self, vocab: list[str], langs: list[str], probs: np.ndarray, prior: np.ndarray):
-        self.lattice, self.langs, self.probs, self.prior = Lattice(vocab), langs, probs, prior
+    def __init__(self, vocab: list[str], langs: list[str], logs: np.ndarray, prior: np.ndarray):
+        self.lattice, self.langs, self.logs, self.prior = Lattice(vocab), langs, logs, prior
         self.known: dict[str, int] = {}
         self.table = np.zeros((0, len(langs)))
 
-    def _learn(self, words: list[str]) -> None:
+    def _rows(self, words: list[str]) -> np.ndarray:
         rows = np.zeros((len(words), len(self.langs)))
         for where in by_length(words):
-            rows[where] = np.log(self.lattice.forward(self.lattice.arcs([words[i] for i in where]), self.probs)[:, -1] + 1e-300)
+            rows[where] = self.lattice.forward([words[i] for i in where], self.logs)
+        return rows
+
+    def _learn(self, words: list[str]) -> None:
         self.known.update(zip(words, range(len(self.table), len(self.table) + len(words)), strict=True))
-        self.table = np.concatenate([self.table, rows])
+        self.table = np.concatenate([self.table, self._rows(words)])
+
+    def likelihood(self, words: list[str]) -> np.ndarray:
+        """Of all words together, for each language; they must be known but for long ones."""
+        long_ = [w for w in words if len(w) > _REMEMBERED_LETTERS]
+        at = np.fromiter((self.known[w] for w in words if len(w) <= _REMEMBERED_LETTERS), np.int64, len(words) - len(long_))
+        return self.table[at].sum(0) + (self._rows(long_).sum(0) if long_ else 0.0)
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
         for lo in range(0, len(texts), 400):
             own = [words_of(t) for t in texts[lo : lo + 400]]
-            new = set().union(*own).difference(self.known)
+            every = {w for w in set().union(*own) if len(w) <= _REMEMBERED_LETTERS}
+            new = every.difference(self.known)
             if len(self.known) + len(new) > _REMEMBERED:
-                self.known, self.table, new = {}, self.table[:0], set().union(*own)
+                self.known, self.table, new = {}, self.table[:0], every
             if new and self.langs:
                 self._learn(sorted(new))
             for words in own:
@@ -177,21 +212,15 @@ class Scorer:
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                total = self.prior + self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))].sum(0)
+                total = self.prior + self.likelihood(words)
                 top = int(np.argmax(total))
                 langs.append(self.langs[top])
                 scores.append(float(1 / np.exp(total - total[top]).sum()))
         return langs, scores
 
 
-def train(labelled: DataFrame, vocab: list[str], text_col: str, lang_col: str, id_col: str, train_docs: int, train_words: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Fit on a sample of ``labelled`` drawn by a hash of the id, about ``train_docs`` rows a language."""
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}  # a row for each language
-    if not sizes:
-        return [], np.zeros((len(vocab) + 2, 0)), np.zeros(0)
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, train_docs / n))]), F.col(lang_col))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.where(draw < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+def count_words(labelled: DataFrame) -> DataFrame:
+    """(lang, word, n) of (lang, text)."""
 
     def count(batches):
         for batch in batches:
@@ -203,34 +232,81 @@ def train(labelled: DataFrame, vocab: list[str], text_col: str, lang_col: str, i
                 [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "word", "n"]
             )
 
-    per_word = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    ranked = per_word.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("_rank") <= train_words)
-    counts: dict[str, dict[str, int]] = {}
-    for batch in ranked.select("lang", "word", "n").toArrow().to_batches():
-        for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            counts.setdefault(lang, {})[word] = n
-    langs, probs = fit(Lattice(vocab), counts)
-    prior = np.log(np.array([sizes[x] for x in langs], float) / sum(sizes[x] for x in langs))
-    return langs, probs, prior
+    return labelled.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def fit(words: DataFrame, vocab: list[str], langs: list[str], rounds: int = EM_ROUNDS) -> np.ndarray:
+    """Log-probabilities[piece, language] from (lang, word, n); the last row is unknown characters.
+
+    In every round the tasks sum the expected counts of their words; what reaches the
+    driver is a number for each piece and language.
+    """
+    size, number = len(vocab), {lang: i for i, lang in enumerate(langs)}
+    logs = np.full((size + 1, len(langs)), -np.log(size + 1))
+    spark = words.sparkSession
+    for _ in range(rounds):
+        held = spark.sparkContext.broadcast((vocab, logs))
+
+        def expect(batches, held=held):
+            lattice, now = None, held.value[1]
+            soft: dict[str, np.ndarray] = {}
+            for batch in batches:
+                lattice = lattice or Lattice(held.value[0])
+                lang, word, n = (batch.column(i).to_pylist() for i in range(3))
+                for name in set(lang):
+                    mine = [i for i, x in enumerate(lang) if x == name]
+                    own, weight = [word[i] for i in mine], np.array([n[i] for i in mine], float)
+                    total = soft.setdefault(name, np.zeros(size + 1))
+                    for where in by_length(own):
+                        total += lattice.expected([own[i] for i in where], np.ascontiguousarray(now[:, number[name]]), weight[where])
+            for name, total in soft.items():
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "piece", "soft"])
+
+        sums = words.mapInArrow(expect, "lang string, piece int, soft double").groupBy("lang", "piece").agg(F.sum("soft").alias("soft"))
+        soft = np.full((size + 1, len(langs)), SMOOTH)
+        for batch in sums.toArrow().to_batches():  # at most pieces times languages
+            lang, piece, value = (batch.column(i) for i in range(3))
+            np.add.at(soft, (np.asarray(piece), np.array([number[x] for x in lang.to_pylist()], np.int64)), np.asarray(value))
+        logs = np.log(soft / soft.sum(0))
+        held.destroy()
+    return logs
+
+
+def train(labelled: DataFrame, vocab: list[str], text_col: str, lang_col: str, id_col: str, train_docs: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Fit on a sample of ``labelled`` drawn by a hash of the id, about ``train_docs`` rows a language."""
+    sizes = dict(labelled.groupBy(lang_col).count().limit(MOST_LANGUAGES + 1).collect())
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not sizes:
+        return [], np.zeros((len(vocab) + 1, 0)), np.zeros(0)
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, train_docs / n))]), F.col(lang_col))
+    draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+    sample = labelled.where(draw < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    words = stash(count_words(sample).repartition(2 * labelled.sparkSession.sparkContext.defaultParallelism), "words")
+    langs = sorted(sizes)
+    logs = fit(words, vocab, langs)
+    release(words)
+    return langs, logs, np.log(np.array([sizes[x] for x in langs], float) / sum(sizes.values()))
 
 
 def identify(
-    spark: SparkSession, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-    path: str | None = None, train_docs: int = TRAIN_DOCS, train_words: int = TRAIN_WORDS,
+    spark: SparkSession, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", path: str | None = None, train_docs: int = TRAIN_DOCS
 ) -> DataFrame:
     """``docs`` with ``held_out``, ``lang_pred`` and ``score``.
 
     Learns from rows with a language whose crc32(id) mod 4 is not 2 and predicts from the
     text alone. ``lang_pred`` is ``und`` with score 0 for texts that are null or without a
     letter, and for all if nothing is labelled. ``score`` is the posterior of the language
-    named; of equal ones the first by name wins. A null id is never held out. Input
-    columns named like an output give way, others pass unchanged; repeated rows stay.
+    named; of equal ones the first by name wins. Words of any length are summed whole. A
+    null id is never held out. Input columns named like an output give way, others pass
+    unchanged; repeated rows stay. More than ``MOST_LANGUAGES`` languages are an error.
     """
     vocab = vocabulary(path or default_vocabulary())
     out = held_out(F.col(id_col))
     labelled = docs.where(~out & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    langs, probs, prior = train(labelled, vocab, text_col, lang_col, id_col, train_docs, train_words)
-    held = spark.sparkContext.broadcast((vocab, langs, probs, prior))  # bounded by vocabulary and languages
+    model = train(labelled, vocab, text_col, lang_col, id_col, train_docs)
+    held = spark.sparkContext.broadcast((vocab, *model))  # bounded by vocabulary and languages
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
     def make():

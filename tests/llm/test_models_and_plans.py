@@ -133,28 +133,76 @@ def test_packing(spark, monkeypatch, capacity, group):
 
 
 def segmentations(word, table, unknown):
-    """Sum over all segmentations of a word of the product of its pieces."""
+    """Each segmentation of a word as a list of pieces; None stands for an unknown character."""
     if not word:
-        return 1.0
-    total = 0.0
-    for k in range(1, min(len(word), lang_id.MAX_PIECE) + 1):
-        p = table.get(word[:k], unknown if k == 1 else 0.0)
-        if p:
-            total += p * segmentations(word[k:], table, unknown)
-    return total
-
-
-def test_forward_sums_all_segmentations():
-    vocab = ["a", "b", "ab", "ba", "aba", "▁a", "▁ab", "bb"]
-    lattice = lang_id.Lattice(vocab)
-    probs = np.append(np.random.default_rng(1).dirichlet(np.ones(len(vocab) + 1)), 0.0)
-    table = dict(zip(vocab, probs, strict=False))
-    for word in ("abab", "bbaa", "xaby", "a", "abbabba"):
-        got = lattice.forward(lattice.arcs([word]), probs[:, None])[0, -1, 0]
-        assert np.isclose(got, segmentations("▁" + word, table, probs[len(vocab)]))
-    soft = lattice.expected(lattice.arcs(["abab", "bbaa"]), probs, np.ones(2))
-    assert (soft >= 0).all()
-    assert soft[-1] == 0
+        return [[]]
+    out = []
+    for k in range(1, len(word) + 1):
+        if word[:k] in table or k == 1:
+            out += [[word[:k] if word[:k] in table else None, *rest] for rest in segmentations(word[k:], table, unknown)]
+    return out
+
+
+VOCAB = ["a", "b", "ab", "ba", "aba", "▁a", "▁ab", "bb", "abbabba"]
+
+
+def test_forward_sums_all_segmentations(monkeypatch):
+    lattice = lang_id.Lattice(VOCAB)
+    probs = np.random.default_rng(1).dirichlet(np.ones(len(VOCAB) + 1))
+    logs, table = np.log(probs), dict(zip([*VOCAB, None], probs, strict=True))
+    for stretch in (lang_id._STRETCH, 2):
+        monkeypatch.setattr(lang_id, "_STRETCH", stretch)
+        soft = np.zeros(len(probs))
+        for n, word in enumerate(("abab", "bbaa", "xaby", "a", "abbabba"), 1):
+            each = [(s, np.prod([table[p] for p in s])) for s in segmentations("▁" + word, set(VOCAB), None)]
+            total = sum(p for _, p in each)
+            assert np.isclose(lattice.forward([word], logs[:, None])[0, 0], np.log(total))
+            for s, p in each:
+                for piece in s:
+                    soft[[*VOCAB, None].index(piece)] += n * p / total
+        got = lattice.expected(["abab", "bbaa", "xaby"], logs, np.array([1.0, 2, 3])) + lattice.expected(["a"], logs, np.array([4.0])) + lattice.expected(["abbabba"], logs, np.array([5.0]))
+        assert np.allclose(got, soft)
+
+
+@pytest.mark.parametrize("letters", [40, 10_000])
+def test_long_words_are_summed_whole(letters):
+    r = random.Random(2)
+    word = "".join(r.choice("abx漢") for _ in range(letters))
+    logs = np.log(np.random.default_rng(3).dirichlet(np.ones(len(VOCAB) + 1), 2).T)
+    for model in range(2):
+        table, text, best = dict(zip(VOCAB, logs[:, model], strict=False)), "▁" + word, [0.0]
+        for j in range(1, len(text) + 1):
+            into = [best[j - k] + table.get(text[j - k : j], logs[-1, model] if k == 1 else -np.inf) for k in range(1, min(j, 7) + 1)]
+            best.append(float(np.logaddexp.reduce(into)))
+        assert np.isclose(lang_id.Lattice(VOCAB).forward([word], logs)[0, model], best[-1], rtol=1e-9)
+        scorer = lang_id.Scorer(VOCAB, ["x", "y"], logs, np.zeros(2))
+        assert scorer._rows([word, "ab"]).shape == (2, 2)
+        assert np.isclose(scorer.likelihood([word])[model] if letters > 64 else best[-1], best[-1])
+
+
+def test_fit_equals_plain_em(spark):
+    words = {"x": {"abab": 3, "bbaa": 1, "xaby": 2}, "y": {"bb": 5, "é": 1}}
+    rows = spark.createDataFrame([(lang, w, n) for lang, own in words.items() for w, n in own.items()], "lang string, word string, n long").repartition(3)
+    got = lang_id.fit(rows, VOCAB, ["x", "y"], rounds=3)
+    for i, lang in enumerate(words):
+        table = dict.fromkeys([*VOCAB, None], 1 / (len(VOCAB) + 1))
+        for _ in range(3):
+            soft = dict.fromkeys(table, lang_id.SMOOTH)
+            for w, n in words[lang].items():
+                each = [(s, np.prod([table[p] for p in s])) for s in segmentations("▁" + w, set(VOCAB), None)]
+                for s, p in each:
+                    for piece in s:
+                        soft[piece] += n * p / sum(q for _, q in each)
+            table = {k: v / sum(soft.values()) for k, v in soft.items()}
+        assert np.allclose(np.exp(got[:, i]), [table[p] for p in [*VOCAB, None]])
+
+
+def test_vocabulary_is_whole():
+    vocab = lang_id.vocabulary(lang_id.default_vocabulary())
+    assert max(map(len, vocab)) > 12
+    assert len(vocab) > 23_900
+    assert lang_id.words_of("² ½ ① 12 _") == []
+    assert lang_id.words_of("a² हिन्दी Ünï x_y") == ["a", "हिन्दी", "ünï", "x", "y"]
 
 
 def test_language_held_out(spark):
@@ -168,7 +216,7 @@ def test_language_held_out(spark):
 
 
 def test_language_edges(spark):
-    rows = [(i, t, "en" if i % 2 else "de") for i, t in enumerate(EDGES * 2)]
+    rows = [(i, t, "en" if i % 2 else "de") for i, t in enumerate([*EDGES, "²½①", "漢字" * 5000] * 2)]
     rows += [(100 + i, t, lang) for i in range(30) for t, lang in (("the thing and that", "en"), ("der und schein mit", "de"))] + [(None, "the and", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = lang_id.identify(spark, docs).collect()
