@@ -1,8 +1,8 @@
 """License detection by ordered signature rules, in DataFrame and SQL functions only.
 
 Texts become words; a rule is a regular expression over them, tried only where all its
-keywords occur. Detections are resolved in order of start, length and rule: one inside
-another, or equal to one of an earlier rule, is suppressed.
+keywords occur. The order of the rules is their priority. A detection inside another is
+suppressed, and of two that overlap, or are equal, the one of the later rule.
 """
 
 from __future__ import annotations
@@ -123,66 +123,259 @@ SIGNATURES = [
     ("cc", ["creative"], [r"creative commons licen[cs]e", r"licensed under (?:a )?creative commons"]),
     ("all-rights-reserved", ["reserved"], [r"all rights reserved"]),
     ("proprietary", ["proprietary"], [r"proprietary and confidential", r"proprietary license"]),
+    # notices and clauses of the licenses' own texts
+    ("gpl", ["gnu", "redistribute"], [r"free software(?: you)? can redistribute it and or modify it under the terms of the gnu general public license"]),
+    ("gpl", ["merchantability", "gnu"], [r"implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"]),
+    ("gpl", ["received", "gnu"], [r"you should have received a copy of the gnu general public license along with (?:this|the) (?:program|library|file|software)"]),
+    ("gpl", ["verbatim"], [r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"]),
+    ("gpl-2.0", ["freedom", "licenses"], [r"the licenses for most software are designed to take away your freedom to share and change it"]),
+    ("gpl-3.0", ["copyleft", "gnu"], [r"the gnu general public license is a free copyleft license for software and other kinds of works"]),
+    ("gpl-3.0", ["covered", "propagate"], [r"to propagate a work means to do anything with it that without permission would make you directly or secondarily liable .{1,80}? covered work"]),
+    ("lgpl", ["lesser", "redistribute"], [r"free software(?: you)? can redistribute it and or modify it under the terms of the gnu lesser general public license"]),
+    ("lgpl", ["lesser", "received"], [r"you should have received a copy of the gnu lesser general public license along with (?:this|the) (?:program|library|file)"]),
+    ("lgpl-3.0", ["incorporates", "gnu"], [r"this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license"]),
+    ("agpl-3.0", ["affero", "received"], [r"you should have received a copy of the gnu affero general public license along with this program"]),
+    ("agpl-3.0", ["interacting", "remotely"], [r"all users interacting with it remotely through a computer network"]),
+    ("gfdl", ["invariant"], [r"with no invariant sections(?: with)? no front cover texts and(?: with)? no back cover texts"]),
+    ("fsf-all-permissive", ["royalty", "medium"], [r"copying and distribution of this file with or without modification are permitted in any medium without royalty"]),
+    ("gpl-classpath", ["linking", "exception"], [r"as a special exception the copyright holders of this library give you permission to link this library .{1,60}? linking"]),
+    ("gpl-autoconf", ["autoconf", "exception"], [r"as a special exception .{1,80}? configuration script generated by autoconf"]),
+    ("apache-2.0", ["compliance", "license"], [r"you may not use this file except in compliance with the license"]),
+    ("apache-2.0", ["basis", "conditions"], [r"distributed on an as is basis without warranties or conditions of any kind either express or implied"]),
+    ("apache-2.0", ["perpetual", "contributor"], [r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) license"]),
+    ("apache", ["asf"], [r"licensed to the apache software foundation asf under one or more contributor license agreements"]),
+    ("apache-1.1", ["apache", "includes"], [r"this product includes software developed by the apache (?:software foundation|group)"]),
+    ("mit", ["sublicense"], [r"(?:to )?use copy modify merge publish distribute sublicense and or sell copies of the software"]),
+    ("mit", ["noninfringement"], [r"warranties of merchantability fitness for a particular purpose and noninfringement"]),
+    ("mit-advertising", ["advertising", "authorization"], [r"shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization"]),
+    ("mit-cmu", ["cmu"], [r"(?:mit )?cmu license", r"cmu style license"]),
+    ("x11", ["x11"], [r"x11 license", r"x11 style license"]),
+    ("hpnd", ["historical"], [r"historical permission notice and disclaimer"]),
+    ("hpnd", ["pertaining"], [r"advertising or publicity pertaining to distribution of the software without specific written prior permission"]),
+    ("bsd", ["redistributions", "retain"], [r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"]),
+    ("bsd", ["redistributions", "reproduce"], [r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"]),
+    ("bsd", ["exemplary"], [r"liable for any direct indirect incidental special exemplary or consequential damages"]),
+    ("bsd-4-clause", ["advertising", "acknowledgement"], [r"all advertising materials mentioning features or use of this software must display the following acknowledgement"]),
+    ("bsd-4-clause", ["berkeley"], [r"this product includes software developed by the university of california berkeley"]),
+    ("bsd-3-clause-clear", ["patent", "granted"], [r"no express or implied licenses to any party s patent rights are granted by this license"]),
+    ("bsd-2-clause-patent", ["patent", "bsd"], [r"bsd 2 clause plus patent(?: license)?"]),
+    ("bsd-source-code", ["bsd"], [r"bsd source code attribution"]),
+    ("isc", ["disclaims"], [r"the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"]),
+    ("ncsa", ["ncsa"], [r"(?:university of illinois )?ncsa open source license"]),
+    ("zlib", ["misrepresented"], [r"the origin of this software must not be misrepresented you must not claim that you wrote the original software"]),
+    ("zlib", ["altered"], [r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software"]),
+    ("libpng", ["libpng"], [r"libpng license(?: version 2)?"]),
+    ("bzip2", ["bzip2"], [r"bzip2(?: and libbzip2)? license"]),
+    ("ijg", ["jpeg"], [r"this software is based in part on the work of the independent jpeg group"]),
+    ("libtiff", ["libtiff"], [r"libtiff license"]),
+    ("freetype", ["freetype"], [r"freetype (?:project )?license", r"portions of this software are copyright .{1,40}? the freetype project"]),
+    ("curl", ["curl"], [r"curl license"]),
+    ("icu", ["icu"], [r"icu license"]),
+    ("unicode", ["unicode"], [r"unicode (?:terms of use|license agreement|license v3)"]),
+    ("info-zip", ["info", "zip"], [r"info zip license"]),
+    ("tcl", ["tcl"], [r"tcl tk license", r"tcl license"]),
+    ("vim", ["vim"], [r"vim license"]),
+    ("postgresql", ["postgresql"], [r"postgresql licen[cs]e"]),
+    ("postgresql", ["fee", "agreement"], [r"for any purpose without fee and without a written agreement is hereby granted"]),
+    ("openldap", ["openldap"], [r"openldap public license"]),
+    ("openssl", ["eric", "openssl"], [r"openssl .{1,60}? cryptographic software written by eric young"]),
+    ("ssleay", ["ssleay"], [r"(?:original )?ssleay license"]),
+    ("w3c", ["w3c"], [r"w3c (?:software notice and license|software and document license|document license)"]),
+    ("sleepycat", ["sleepycat"], [r"sleepycat license"]),
+    ("qpl-1.0", ["qpl"], [r"qpl(?: 1 0)? license", r"qpl 1 0"]),
+    ("qpl-1.0", ["public", "q"], [r"q public license(?: version 1 0)?"]),
+    ("cecill-2.1", ["cecill"], [r"(?:licence|license) cecill(?: version)?(?: 2 1)?", r"cecill(?: free software)? license(?: agreement)?"]),
+    ("cecill-b", ["cecill"], [r"cecill b(?: license)?"]),
+    ("cecill-c", ["cecill"], [r"cecill c(?: license)?"]),
+    ("afl-3.0", ["academic"], [r"academic free license(?: version)?(?: 3 0)?"]),
+    ("ecl-2.0", ["educational"], [r"educational community license(?: version)?(?: 2 0)?"]),
+    ("ipl-1.0", ["ibm"], [r"ibm public license(?: version)?(?: 1 0)?"]),
+    ("lppl", ["latex"], [r"latex project public license(?: version)?(?: 1 3c?)?"]),
+    ("lppl", ["lppl"], [r"lppl(?: version)? 1 3c?", r"lppl maintenance status"]),
+    ("nasa-1.3", ["nasa"], [r"nasa open source agreement(?: version)?(?: 1 3)?"]),
+    ("rpl-1.5", ["reciprocal"], [r"reciprocal public license(?: version)?(?: 1 [15])?"]),
+    ("apsl-2.0", ["apple"], [r"apple public source license(?: version)?(?: 2 0)?"]),
+    ("spl-1.0", ["sun"], [r"sun public license(?: version)?(?: 1 0)?"]),
+    ("sissl", ["sun"], [r"sun industry standards source license"]),
+    ("watcom-1.0", ["watcom"], [r"sybase open watcom public license"]),
+    ("intel-acpi", ["intel"], [r"intel acpi (?:software )?license", r"intel open source license"]),
+    ("upl-1.0", ["permissive", "universal"], [r"universal permissive license(?: version| v)?(?: 1 0)?"]),
+    ("blueoak-1.0.0", ["oak"], [r"blue oak model license(?: 1 0 0)?"]),
+    ("mulan-2.0", ["mulan"], [r"mulan (?:permissive software license|psl)(?: v2| version 2)?"]),
+    ("eupl-1.2", ["eupl"], [r"licensed under the eupl(?: version)?(?: 1 2)?"]),
+    ("eclipse-distribution", ["eclipse"], [r"eclipse distribution license(?: v)?(?: 1 0)?"]),
+    ("epl", ["accompanying", "eclipse"], [r"this program and the accompanying materials are made available under the terms of the eclipse public license"]),
+    ("mpl-2.0", ["mozilla", "source"], [r"this source code form is subject to the terms of the mozilla public license"]),
+    ("mpl-2.0", ["mpl", "obtain"], [r"if a copy of the mpl was not distributed with this file you can obtain one at"]),
+    ("mpl-1.1", ["covered", "rights"], [r"see the license for the specific language governing rights and limitations under the license .{1,80}? covered code", r"covered code is provided under this license .{1,40}? rights"]),
+    ("cddl-1.0", ["cddl", "obtain"], [r"you can obtain a copy of the (?:license|cddl) at .{1,60}? cddl"]),
+    ("boost-1.0", ["boost", "org"], [r"boost org license 1 0(?: txt)?"]),
+    ("boost-1.0", ["machine", "executable"], [r"unless such copies or derivative works are solely in the form of machine executable object code"]),
+    ("unlicense", ["compile", "anyone"], [r"anyone is free to copy modify publish use compile sell or distribute this software"]),
+    ("wtfpl", ["want", "public"], [r"do what the (?:fuck|hell) you want to public license"]),
+    ("beerware", ["beer"], [r"beer ware license", r"you can buy me a beer in return"]),
+    ("beerware", ["beerware"], [r"beerware license"]),
+    ("json", ["evil"], [r"the software shall be used for good not evil"]),
+    ("python-2.0", ["psf", "basis"], [r"psf is making python available to licensee on an as is basis"]),
+    ("python-2.0", ["cnri"], [r"cnri (?:open source )?license agreement"]),
+    ("artistic", ["artistic", "clarified"], [r"clarified artistic license"]),
+    ("artistic", ["intent", "package"], [r"the intent of this document is to state the conditions under which a package may be copied"]),
+    ("ruby", ["ruby", "dual"], [r"dual licensed under the ruby license"]),
+    ("php-3.01", ["php", "includes"], [r"this product includes php(?: software)?"]),
+    ("zend-2.0", ["zend"], [r"zend (?:engine )?license(?: version)?(?: 2 00?)?"]),
+    ("ofl-1.1", ["font", "sil"], [r"this font software is licensed under the sil open font license"]),
+    ("ofl-1.1", ["reserved", "font"], [r"with reserved font name"]),
+    ("bitstream-vera", ["vera"], [r"bitstream vera (?:fonts )?(?:copyright|license)"]),
+    ("ubuntu-font-1.0", ["ubuntu"], [r"ubuntu font licen[cs]e(?: version)?(?: 1 0)?"]),
+    ("gust-font", ["gust"], [r"gust font license"]),
+    # licenses of data and models
+    ("odc-by-1.0", ["commons", "data"], [r"open data commons attribution license(?: v)?(?: 1 0)?"]),
+    ("odc-by-1.0", ["odc"], [r"odc by(?: v)?(?: 1 0)?"]),
+    ("pddl-1.0", ["commons", "dedication"], [r"open data commons public domain dedication and license"]),
+    ("odbl", ["openstreetmap"], [r"openstreetmap contributors(?: odbl)?"]),
+    ("ogl-3.0", ["government"], [r"open government licen[cs]e(?: v| version)?(?: ?3(?: 0)?)?"]),
+    ("etalab-2.0", ["etalab"], [r"(?:etalab )?open licence etalab", r"licence ouverte etalab", r"etalab 2 0"]),
+    ("dl-de-by-2.0", ["datenlizenz"], [r"datenlizenz deutschland(?: namensnennung)?(?: version)?(?: 2 0)?"]),
+    ("cdla-permissive", ["community", "data", "permissive"], [r"community data license agreement permissive(?: version)?(?: [12] 0)?"]),
+    ("cdla-sharing", ["community", "data", "sharing"], [r"community data license agreement sharing(?: version)?(?: 1 0)?"]),
+    ("openrail", ["openrail"], [r"(?:bigscience |creativeml |creative ml |bigcode )?openrail(?: m)?(?: license)?"]),
+    ("rail", ["responsible", "ai"], [r"responsible ai license"]),
+    ("llama-community", ["llama"], [r"(?:meta )?llama(?: [23])?(?: \d)? community license(?: agreement)?"]),
+    ("gemma", ["gemma"], [r"gemma terms of use", r"gemma license"]),
+    ("research-only", ["research"], [r"for (?:non ?commercial )?research (?:use|purposes) only"]),
+    ("cc0-1.0", ["waived"], [r"has waived all copyright and related or neighboring rights"]),
+    ("cc0-1.0", ["creative", "zero"], [r"creative commons zero(?: v1 0| 1 0)?(?: universal)?"]),
+    ("cc0-1.0", ["creative", "dedication"], [r"creative commons public domain dedication"]),
+    ("cc-pdm", ["creativecommons", "mark"], [r"creativecommons org publicdomain mark(?: 1 0)?"]),
+    ("cc-by-sa", ["wikipedia"], [r"text of this article from wikipedia", r"wikipedia .{1,40}? creative commons attribution share ?alike"]),
+    ("cc-by", ["original", "properly"], [r"use distribution and reproduction in any medium provided the original work is properly cited"]),
+    ("cc-by-nc", ["noncommercial", "medium"], [r"permits unrestricted noncommercial use distribution and reproduction in any medium"]),
+    ("cc-by-nd", ["noderivs"], [r"(?:creative commons )?attribution noderivs"]),
+    ("cc-by-nd", ["noderivatives"], [r"(?:creative commons )?attribution noderivatives"]),
+    ("cc", ["cc"], [r"cc licensed", r"cc licen[cs]e"]),
+    # source available, commercial and closed
+    ("sspl-1.0", ["server", "public"], [r"server side public license(?: version)?(?: 1)?"]),
+    ("sspl-1.0", ["sspl"], [r"sspl(?: v?1(?: 0)?)?"]),
+    ("busl-1.1", ["business"], [r"business source license(?: version)?(?: 1 1)?"]),
+    ("busl-1.1", ["busl"], [r"busl(?: 1 1)?"]),
+    ("elastic-2.0", ["elastic"], [r"elastic license(?: v)?(?: ?2(?: 0)?)?"]),
+    ("commons-clause", ["clause", "commons"], [r"commons clause(?: license)?(?: condition)?(?: v1 0)?"]),
+    ("polyform", ["polyform"], [r"polyform (?:noncommercial|small business|strict|shield|perimeter|internal use|free trial) license"]),
+    ("confluent-community", ["confluent"], [r"confluent community license(?: agreement)?"]),
+    ("functional-source", ["functional"], [r"functional source license(?: version)?(?: 1 [01])?"]),
+    ("hippocratic", ["hippocratic"], [r"hippocratic license(?: version)?(?: [23] [01])?"]),
+    ("anti-996", ["996"], [r"anti 996 license(?: version)?(?: 1 0)?"]),
+    ("parity", ["parity"], [r"parity public license(?: 7 0 0)?"]),
+    ("prosperity", ["prosperity"], [r"prosperity public license(?: 3 0 0)?"]),
+    ("dual-commercial", ["commercial", "dual"], [r"dual licensed under .{1,60}? commercial license"]),
+    ("commercial", ["commercial"], [r"commercial license agreement", r"requires a commercial license"]),
+    ("eula", ["end", "user"], [r"end user licen[cs]e agreement"]),
+    ("freeware", ["freeware"], [r"this (?:software|program) is freeware", r"freeware license"]),
+    ("shareware", ["shareware"], [r"this (?:software|program) is shareware", r"shareware license"]),
+    ("proprietary", ["trade"], [r"contains (?:proprietary|confidential) information and trade secrets", r"unpublished proprietary trade secrets"]),
+    ("proprietary", ["confidential"], [r"confidential and proprietary", r"strictly confidential"]),
+    ("proprietary", ["unauthorized", "copying"], [r"unauthorized copying of this (?:file|software|document) (?:via any medium )?is strictly prohibited"]),
+    ("proprietary", ["reproduced"], [r"no part of this (?:publication|book|document|work) may be reproduced", r"may not be reproduced (?:or distributed )?without (?:prior )?(?:written )?permission"]),
+    ("proprietary", ["licensed", "property"], [r"licensed materials property of"]),
+    ("proprietary", ["nvidia"], [r"nvidia proprietary", r"nvidia software license agreement"]),
+    ("all-rights-reserved", ["droits"], [r"tous droits réservés"]),
+    ("all-rights-reserved", ["rechte"], [r"alle rechte vorbehalten"]),
+    ("all-rights-reserved", ["derechos"], [r"todos los derechos reservados"]),
+    ("no-license", ["license", "unlicensed"], [r"(?:license )unlicensed"]),
+    ("gpl", ["gpl", "compatible"], [r"gpl compatible(?: free software)? license"]),
+    ("public-domain", ["domain", "hereby"], [r"hereby (?:placed|released|dedicated) (?:in|into|to) the public domain"]),
+    ("public-domain", ["domain", "government"], [r"work of the (?:u s|united states) government .{1,60}? public domain"]),
+    # machine-readable tags
+    ("gpl-2.0", ["spdx", "gpl"], [r"spdx license identifier gpl 2 0(?: only| or later)?"]),
+    ("gpl-3.0", ["spdx", "gpl"], [r"spdx license identifier gpl 3 0(?: only| or later)?"]),
+    ("lgpl-2.1", ["spdx", "lgpl"], [r"spdx license identifier lgpl 2 1(?: only| or later)?"]),
+    ("lgpl-3.0", ["spdx", "lgpl"], [r"spdx license identifier lgpl 3 0(?: only| or later)?"]),
+    ("agpl-3.0", ["spdx", "agpl"], [r"spdx license identifier agpl 3 0(?: only| or later)?"]),
+    ("apache-2.0", ["spdx", "apache"], [r"spdx license identifier apache 2 0"]),
+    ("mit", ["spdx", "mit"], [r"spdx license identifier mit"]),
+    ("bsd-2-clause", ["spdx", "bsd", "2"], [r"spdx license identifier bsd 2 clause"]),
+    ("bsd-3-clause", ["spdx", "bsd", "3"], [r"spdx license identifier bsd 3 clause"]),
+    ("isc", ["spdx", "isc"], [r"spdx license identifier isc"]),
+    ("mpl-2.0", ["spdx", "mpl"], [r"spdx license identifier mpl 2 0"]),
+    ("epl-2.0", ["spdx", "epl"], [r"spdx license identifier epl 2 0"]),
+    ("zlib", ["spdx", "zlib"], [r"spdx license identifier zlib"]),
+    ("boost-1.0", ["spdx", "bsl"], [r"spdx license identifier bsl 1 0"]),
+    ("unlicense", ["spdx", "unlicense"], [r"spdx license identifier unlicense"]),
+    ("cc0-1.0", ["spdx", "cc0"], [r"spdx license identifier cc0 1 0"]),
+    ("cc-by", ["spdx", "cc"], [r"spdx license identifier cc by \d 0"]),
+    ("cc-by-sa", ["spdx", "cc", "sa"], [r"spdx license identifier cc by sa \d 0"]),
+    ("mit", ["package", "mit"], [r"package license mit"]),
+    ("apache-2.0", ["apache", "osi"], [r"license osi approved apache software license"]),
+    ("mit", ["mit", "osi"], [r"license osi approved mit license"]),
+    ("bsd", ["bsd", "osi"], [r"license osi approved bsd license"]),
+    ("gpl", ["gnu", "osi"], [r"license osi approved gnu general public license(?: v2| v3)?(?: or later)?"]),
 ]
 
-#: Identifiers (as words) whose machine-readable tags are rules made from a pattern.
-_TAGGED = """
-gpl 1 0|gpl 2 0|gpl 3 0|lgpl 2 0|lgpl 2 1|lgpl 3 0|agpl 3 0|apache 1 1|apache 2 0|mit|mit 0|bsd 2 clause|bsd 3 clause|bsd 4 clause|0bsd|isc|mpl 1 1|mpl 2 0|
-epl 1 0|epl 2 0|cddl 1 0|cpl 1 0|eupl 1 2|artistic 2 0|zlib|bsl 1 0|unlicense|wtfpl|python 2 0|php 3 01|ruby|openssl|ofl 1 1|osl 3 0|ms pl|ms rl|odbl 1 0|
-cc0 1 0|cc by 3 0|cc by 4 0|cc by sa 3 0|cc by sa 4 0|cc by nc 4 0|cc by nd 4 0|cc by nc sa 4 0|cc by nc nd 4 0
-"""
-
 
 def rules() -> list[dict]:
-    """The ordered rules: base phrases, signatures, then machine-readable tags of every identifier."""
+    """The rules in order of priority: base phrases, then signatures."""
     out = [{"label": label, "needs": [phrase.split()[0], phrase.split()[-1]], "regex": phrase, "base": True, "weight": 0.9} for phrase, label in BASE.items()]
     for label, needs, expressions in SIGNATURES:
         out += [{"label": label, "needs": needs, "regex": e, "base": False, "weight": 0.9 if len(e.split()) > 2 else 0.7} for e in expressions]
-    for words_ in "".join(_TAGGED.split("\n")).split("|"):
-        parts = words_.split()
-        label = parts[0] + "".join(("." if b.isdigit() and a.isdigit() else "-") + b for a, b in zip(parts, parts[1:], strict=False))
-        suffix = r"(?: only| or later)?" if "gpl" in parts[0] else ""
-        for needs, prefix in ((["spdx", parts[0]], "spdx license identifier "), (["license", parts[0]], r"(?:package )?license (?:expression )?(?:is )?"), (["licenses", parts[0]], r"spdx org licenses ")):
-            out.append({"label": label, "needs": needs, "regex": prefix + words_ + suffix, "base": False, "weight": 1.0})
     return [{"order": i, **r, "regex": rf"(?<= ){r['regex']}(?= )"} for i, r in enumerate(out)]
 
 
 _RULE = "array<struct<order: int, label: string, needs: array<string>, regex: string, base: boolean, weight: double>>"
 
 
+_FOUND = "array<struct<start: int, upto: int, order: int, label: string, base: boolean, weight: double>>"
+
+
+#: SQL conditions: a text holds a mark, a word begins or ends with one. Words hold no control characters.
+_MARKED, _BEGINS, _ENDS = r"contains(m, '\u0001')", r"startswith(w, '\u0001')", r"endswith(w, '\u0002')"
+
+
+def _places(of: str) -> str:
+    """SQL: places of words that begin (``of`` is a condition on ``w``) in the array of words ``ws``."""
+    return f"filter(transform(ws, (w, i) -> if({of}, i, null)), i -> i is not null)"
+
+
 def scan(docs: DataFrame, text_col: str = "text", table: list[dict] | None = None) -> DataFrame:
     """``docs`` with ``n_words``, ``found`` and ``detections``.
 
     ``found`` lists every place where a rule matches, as structs (start, upto, order, label,
-    base, weight) in words from 0, sorted; ``detections`` those that stay after suppression.
-    Null and empty texts have no words. Repeated rows stay as they are; input columns named
-    like an output give way, others pass unchanged.
+    base, weight) in words from 0, sorted by start, longest first, then rule. ``detections``
+    is what stays: a place inside another one goes, of equal ones the later rule's; then, of
+    two neighbours that overlap, the one of the later rule (what each neighbour of a place
+    is, is settled before). Null and empty texts have no words. Repeated rows stay as they
+    are; input columns named like an output give way, others pass unchanged.
     """
     table = rules() if table is None else table
     keys = sorted({w for r in table for w in r["needs"]})
     some = F.size("_keys") >= (1 if all(r["needs"] for r in table) else 0)  # a rule without keywords is tried everywhere
     literal = F.from_json(F.lit(json.dumps(table)), _RULE)
-    keep = [c for c in docs.columns if c.lower() not in ("n_words", "found", "detections")]
-    df = docs.select(*keep, words(F.col(text_col)).alias("_w"))
+    given = [c for c in docs.columns if c.lower() not in ("n_words", "found", "detections")]
+    df = docs.select(F.struct(*given).alias("_given"), words(F.col(text_col)).alias("_w")) if given else docs.select(words(F.col(text_col)).alias("_w"))
     df = df.withColumn("_keys", F.array_distinct(F.filter("_w", lambda w: w.isin(keys)))).withColumn("n_words", F.size("_w").cast("long"))
-    none = "cast(array() as array<struct<start: int, upto: int, order: int, label: string, base: boolean, weight: double>>)"
-    # One run of a rule: spaces before a match, less one, are the words before it.
-    step = (
-        "struct(a.n + length(p.before) - length(replace(p.before, ' ')) + length(p.hit) - length(replace(p.hit, ' ')) as n, "
-        "concat(a.out, array(struct(a.n + length(p.before) - length(replace(p.before, ' ')) - 1 as start, "
-        "a.n + length(p.before) - length(replace(p.before, ' ')) + length(p.hit) - length(replace(p.hit, ' ')) as upto, "
-        "r.order as order, r.label as label, r.base as base, r.weight as weight))) as out)"
-    )
-    one = (
-        f"aggregate(zip_with(regexp_extract_all(_text, r.regex, 0), split(_text, r.regex), (h, b) -> struct(h as hit, b as before)), struct(0 as n, {none} as out), "
-        f"(a, p) -> if(p.hit is null, a, {step}), a -> a.out)"
-    )
+    # Matches are marked in the text, so the place of a mark among the words is the place of the match: linear in the words.
+    marked = r"regexp_replace(_text, r.regex, '\u0001$0\u0002')"
+    place = "struct(a as start, -b - 1 as neg, r.order as order, r.label as label, r.base as base, r.weight as weight)"
+    one = f"if({_MARKED}, flatten(transform(array(split(trim(m), ' ')), ws -> zip_with({_places(_BEGINS)}, {_places(_ENDS)}, (a, b) -> {place}))), array())"
     tried = "filter(_rules, r -> size(array_except(r.needs, _keys)) = 0)"
-    found = f"if(_text is null, {none}, array_sort(flatten(transform({tried}, r -> {one})), (x, y) -> case when x.start <> y.start then x.start - y.start when x.upto <> y.upto then y.upto - x.upto else x.order - y.order end))"
-    kept = f"aggregate(found, struct(-1 as far, {none} as out), (a, x) -> if(x.upto <= a.far, a, struct(x.upto as far, concat(a.out, array(x)) as out)), a -> a.out)"
+    every = f"sort_array(flatten(transform({tried}, r -> flatten(transform(array({marked}), m -> {one})))))"
+    found = f"if(_text is null, cast(array() as {_FOUND}), transform({every}, x -> struct(x.start as start, -x.neg as upto, x.order as order, x.label as label, x.base as base, x.weight as weight)))"
     df = df.withColumn("_text", F.when(some, F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")))).withColumn("_rules", literal)
-    df = df.select(*keep, "n_words", F.expr(found).alias("found"))
-    return df.withColumn("detections", F.expr(kept))
+    carried = [c for c in df.columns if c in ("_given", "n_words")]
+    df = df.select(*carried, F.expr(found).alias("found"))
+    # A place stays if it reaches beyond all before it. The running maximum goes block by block of the square root of their number.
+    size = "cast(ceil(sqrt(size(found))) as int)"
+    df = df.withColumn("_blocks", F.expr(f"if(size(found) = 0, array(), transform(sequence(0, size(found) - 1, {size}), i -> slice(found, i + 1, {size})))"))
+    df = df.withColumn("_reach", F.expr("transform(_blocks, b -> array_max(transform(b, x -> x.upto)))"))
+    inside = f"aggregate(b, struct(coalesce(array_max(slice(_reach, 1, i)), -1) as far, cast(array() as {_FOUND}) as out), (a, x) -> if(x.upto <= a.far, a, struct(x.upto as far, concat(a.out, array(x)) as out)), a -> a.out)"
+    df = df.withColumn("_outer", F.expr(f"flatten(transform(_blocks, (b, i) -> {inside}))"))
+    loses = "(coalesce(get(_outer, i - 1).upto > x.start and get(_outer, i - 1).order < x.order, false) or coalesce(get(_outer, i + 1).start < x.upto and get(_outer, i + 1).order < x.order, false))"
+    kept = F.expr(f"filter(_outer, (x, i) -> not {loses})")
+    return df.select(*([F.col("_given")[c].alias(c) for c in given]), "n_words", "found", kept.alias("detections"))
+
+
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op3_license_scan`` that SQL can express."""
+    return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_near_dedup": near_dedup.op10_near_dedup,
+        "license_base_places": licenses.license_base_places,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_line_dedup": line_dedup.ORACLE,
         "op9_decontamination": decontaminate.ORACLE,
         "op10_near_dedup": near_dedup.ORACLE,
+        "license_base_places": licenses.BASE_SQL,
     }
