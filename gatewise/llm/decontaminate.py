@@ -1,28 +1,27 @@
 """Benchmark decontamination by winnowing, in DataFrame and SQL functions only.
 
-Every window of ``WINDOW`` words is represented by the smallest hash of its
-``WINDOW - GRAM + 1`` k-grams. A window shared by a document and a benchmark text has the
-same fingerprint in both, so a join of fingerprints misses no shared span of ``WINDOW``
-words or more; the hits are then extended to whole windows, compared word for word.
+Every k-gram of words has a hash, and of every window of ``WINDOW`` words the smallest one
+is kept. Neighbouring windows mostly keep the same, so a text has few fingerprints. A window
+shared by a document and a benchmark text has the same fingerprint in both, so a join of
+the fingerprints of both sides misses no shared span of ``WINDOW`` words or more. Where they
+meet, the hit is extended to the windows that kept this fingerprint, compared word for word.
 Benchmark texts shorter than a window are windows of their own length.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, stash
 
 WINDOW, GRAM = 10, 5
-#: Benchmark windows up to this many, and of this many bytes, are broadcast to the join; beyond, both sides are shuffled.
+#: Benchmark fingerprints and windows up to this many, and windows of this many bytes, are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Largest filter of fingerprints put into the plan, in 64-bit words.
-_FILTER_WORDS = 1 << 14
+#: A k-gram's number: 44 bits of its hash, then its place, so that of equal hashes the last one is the smallest.
+_PLACES = (1 << 20) - 1
 
 
 def words(text):
@@ -30,52 +29,82 @@ def words(text):
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _GAP), "")
 
 
-def _hashes(of: str, n: int) -> str:
-    """SQL: hashes of every ``n`` consecutive elements of the array ``of``."""
+def _every(of: str, n: int, what: str) -> str:
+    """SQL: ``what`` of every ``n`` consecutive elements of the array ``of``; there ``{0}`` stands for them and i for the first one's place."""
     parts = ", ".join(["x"] + [f"get({of}, i + {j})" for j in range(1, n)])
-    return f"if(size({of}) < {n}, array(), slice(transform({of}, (x, i) -> xxhash64({parts})), 1, greatest(size({of}) - {n - 1}, 0)))"
+    return f"if(size({of}) < {n}, array(), slice(transform({of}, (x, i) -> {what.format(parts)}), 1, greatest(size({of}) - {n - 1}, 0)))"
 
 
-def _with_fingerprints(df: DataFrame, window: int, gram: int) -> DataFrame:
-    """Add ``_g`` (k-gram hashes) and ``_m`` (the fingerprint of each window) beside ``_w`` and ``_h``."""
-    span = window - gram + 1
-    df = df.withColumn("_g", F.expr(_hashes("_h", gram)))
-    if span == 1:
-        return df.withColumn("_m", F.col("_g"))
-    low = ", ".join(["x"] + [f"get(_g, i + {j})" for j in range(1, span)])
-    return df.withColumn("_m", F.expr(f"if(size(_g) < {span}, array(), slice(transform(_g, (x, i) -> least({low})), 1, greatest(size(_g) - {span - 1}, 0)))"))
+def _joined(of: str, n: int) -> str:
+    """SQL: the ``n`` elements of the array ``of`` from i on, with blanks between."""
+    return "concat_ws(' ', " + ", ".join(f"get({of}, i + {j})" for j in range(n)) + ")"
 
 
-def _hashed(df: DataFrame) -> DataFrame:
-    return df.withColumn("_h", F.expr("transform(_w, w -> xxhash64(w))"))
+def with_fingerprints(df: DataFrame, window: int = WINDOW, gram: int = GRAM, short: tuple[int, ...] = ()) -> DataFrame:
+    """Add ``_prints`` to the words ``_w``: structs (len, fp, at, n), the fingerprint kept by the ``n`` windows from word ``at`` on.
 
+    For the lengths ``short`` every window of that length is a fingerprint of its own.
+    """
+    df = df.withColumn("_h", F.expr("transform(_w, w -> xxhash64(w))"))
+    df = df.withColumn("_g", F.expr(_every("_h", gram, f"(xxhash64({{0}}) & {~_PLACES}L) | ({_PLACES}L - (i & {_PLACES}))")))
+    df = df.withColumn("_m", F.expr(_every("_g", window - gram + 1, "least({0})")) if window > gram else F.col("_g"))
+    # a run of windows begins where another k-gram than before is kept
+    begins = "filter(transform(_m, (m, j) -> if(j > 0 and get(_m, j - 1) = m, null, struct(shiftright(m, 20) as fp, j))), x -> x is not null)"
+    df = df.withColumn("_runs", F.expr(begins))
+    prints = [f"transform(_runs, (x, k) -> struct({window} as len, x.fp as fp, x.j as at, coalesce(get(_runs, k + 1).j, size(_m)) - x.j as n))"]
+    for n in short:
+        own = f"struct({n} as len, xxhash64({_joined('_w', n)}) as fp, i as at, 1 as n)"
+        prints.append(f"transform(if(size(_w) < {n}, array(), sequence(0, size(_w) - {n})), i -> {own})")
+    return df.withColumn("_prints", F.expr(f"concat({', '.join(prints)})")).drop("_h", "_g", "_m", "_runs")
 
-def benchmark_windows(bench: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(len, fp, win, set_id, items): the distinct windows of all items; ``items`` holds the sorted ids that share one."""
-    base = stash(bench.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("_w")).where("size(_w) > 0"), "bench")
-    long_ = _with_fingerprints(_hashed(base.where(f"size(_w) >= {window}")), window, gram)
-    cut = F.expr(f"inline(transform(_m, (m, i) -> struct({window} as len, m as fp, array_join(slice(_w, i + 1, {window}), ' ') as win)))")
-    short = _hashed(base.where(f"size(_w) < {window}")).selectExpr("item", "size(_w) as len", "xxhash64(array_join(_w, ' ')) as fp", "array_join(_w, ' ') as win")
-    each = long_.select("item", cut).unionByName(short)
-    return each.groupBy("len", "fp", "win").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
+#: SQL: the words of the windows of the print p. A slice would copy the whole text for each.
+_REACH = "transform(sequence(p.at, p.at + p.n + p.len - 2), k -> get(_w, k))"
 
-def _filter_of(prints: DataFrame) -> tuple[str, int]:
-    """A bit array over fingerprints as SQL, and its number of 64-bit words."""
-    n = prints.count()
-    words_ = 64
-    while words_ < _FILTER_WORDS and words_ * 2 < n:
-        words_ *= 2
-    at = F.expr(f"explode(array(shiftrightunsigned(fp, 3), shiftrightunsigned(fp, 29)))")
-    bits = prints.select(at.alias("b")).selectExpr(f"cast(shiftrightunsigned(b, 6) & {words_ - 1} as int) as word", "cast(b & 63 as int) as bit")
-    rows = bits.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("v")).collect()  # at most _FILTER_WORDS rows
-    held = dict(rows)
-    return "cast(split('" + ",".join(str(held.get(i, 0)) for i in range(words_)) + "', ',') as array<bigint>)", words_
 
+def benchmark_tables(bench: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+    """Distinct fingerprints (len, fp) of all items, and their distinct windows (len, win, set_id, items).
 
-def _may_hold(x: str, array: str, n: int) -> str:
-    one = lambda by: f"(shiftright(get({array}, cast(shiftrightunsigned({x}, {by + 6}) & {n - 1} as int)), cast(shiftrightunsigned({x}, {by}) & 63 as int)) & 1L) = 1L"
-    return f"{one(3)} and {one(29)}"
+    ``items`` holds the sorted ids of the items that share a window, ``set_id`` stands for them.
+    """
+    base = stash(bench.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("_w")).where("size(_w) > 0"), "bench")
+    long_, short = base.where(f"size(_w) >= {window}"), base.where(f"size(_w) < {window}")
+    prints = with_fingerprints(long_, window, gram).select(F.explode_outer("_prints").alias("p")).where("p is not null").select("p.len", "p.fp")
+    prints = prints.unionByName(short.selectExpr("size(_w) as len", "xxhash64(array_join(_w, ' ')) as fp")).distinct()
+    each = long_.select("item", F.expr(f"inline(transform(sequence(0, size(_w) - {window}), i -> struct({window} as len, {_joined('_w', window)} as win)))"))
+    each = each.unionByName(short.selectExpr("item", "size(_w) as len", "array_join(_w, ' ') as win"))
+    windows = each.groupBy("len", "win").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return stash(prints, "bench-prints"), stash(windows.withColumn("set_id", F.xxhash64(F.concat_ws(",", "items"))), "bench-windows")
+
+
+def fingerprint_hits(docs: DataFrame, doc_fields: list[str], prints: DataFrame, short: tuple[int, ...], window: int, gram: int, broadcast: bool) -> tuple[DataFrame, DataFrame]:
+    """Documents (_row, doc) and hits (_row, len, at, words): the places whose fingerprint the benchmark has too, with the words of their windows.
+
+    ``docs`` has ``_doc``, a struct of columns to carry on, and the words ``_w``. The texts
+    are read once if the benchmark's fingerprints are broadcast. Otherwise numbers alone are
+    shuffled to meet them, and only then joined to the words. (Outer generators: for the
+    others Spark derives a filter that works out all fingerprints once more, step by step.)
+    """
+    carried = F.struct(*[F.col("_doc")[c].alias(c) for c in doc_fields], F.size("_w").cast("long").alias("n_words")).alias("doc")
+    if broadcast:
+        own = with_fingerprints(docs.select(F.monotonically_increasing_id().alias("_row"), carried, "_w"), window, gram, short)
+        row = "transform(_prints, p -> struct(p.len as len, p.fp as fp, p.at as at, {0} as words, {1} as doc))"
+        nothing = f"cast(null as {docs_type(own, 'doc')})"
+        alone = "array(struct(cast(null as int) as len, cast(null as bigint) as fp, cast(null as int) as at, cast(null as array<string>) as words, doc))"
+        flat = own.select("_row", F.expr(f"inline_outer(concat({alone}, {row.format(_REACH, nothing)}))"))
+        met = flat.join(F.broadcast(prints.withColumn("hit", F.lit(True))), ["len", "fp"], "left").where("doc is not null or hit")
+        seen = stash(met.select("_row", "doc", "len", "at", "words"), "bench-seen")
+        return seen.where("doc is not null").select("_row", "doc"), seen.where("doc is null").select("_row", "len", "at", "words")
+    seen = stash(docs.select(F.monotonically_increasing_id().alias("_row"), carried, "_w"), "bench-seen")
+    each = with_fingerprints(seen.select("_row", "_w"), window, gram, short).select("_row", F.expr("inline_outer(_prints)")).where("len is not null")
+    met = each.join(prints, ["len", "fp"], "left_semi").groupBy("_row").agg(F.collect_list(F.struct("len", "at", "n")).alias("_met"))  # bounded by one document
+    back = seen.select("_row", "_w").join(met, "_row")
+    hits = back.select("_row", F.expr(f"inline_outer(transform(_met, p -> struct(p.len as len, p.at as at, {_REACH} as words)))"))
+    return seen.select("_row", "doc"), hits
+
+
+def docs_type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
 
 
 def contamination(
@@ -90,34 +119,19 @@ def contamination(
     but is not listed. Repeated rows and ids stay as they are. Input columns named like an
     output give way, other columns pass unchanged. With an empty benchmark nothing is hit.
     """
-    windows = stash(benchmark_windows(bench, window, gram).withColumn("set_id", F.xxhash64(F.concat_ws(",", "items"))), "bench-windows")
-    lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # at most ``window`` values
+    prints, windows = benchmark_tables(bench, window, gram)
+    short = tuple(sorted(r[0] for r in windows.where(F.col("len") < window).select("len").distinct().collect()))  # less than ``window`` values
     new = ("n_words", "n_hit", "n_items", "items", "contaminated")
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
-    df = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, words(F.col(text_col)).alias("_w"))
-    df = df.withColumn("n_words", F.size("_w").cast("long"))
-    parts = []
-    if lengths:
-        df = _hashed(df)
-    for n in lengths:
-        array, size = _filter_of(windows.where(F.col("len") == n).select("fp").distinct())
-        if n == window:
-            df = _with_fingerprints(df, window, gram)
-            of = "_m"
-        else:
-            of = f"_s{n}"
-            df = df.withColumn(of, F.expr(f"transform(if(size(_w) < {n}, array(), sequence(1, size(_w) - {n - 1})), i -> xxhash64(array_join(slice(_w, i, {n}), ' ')))"))
-        df = df.withColumn(f"_at{n}", F.expr(f"filter(transform({of}, (m, i) -> if({_may_hold('m', array, size)}, i, -1)), i -> i >= 0)"))
-        df = df.withColumn(f"_hits{n}", F.expr(f"transform(_at{n}, i -> struct({n} as len, get({of}, i) as fp, array_join(slice(_w, i + 1, {n}), ' ') as win, i as at))"))
-        parts.append(f"_hits{n}")
-    both = reduce(lambda a, b: f"concat({a}, {b})", parts) if parts else "cast(array() as array<struct<len: int, fp: bigint, win: string, at: int>>)"
-    seen = stash(df.select("_row", *keep, "n_words", F.expr(both).alias("_hits")), "bench-seen")
-
-    right = windows.select("len", "fp", "win", "set_id")
+    carried = F.struct(*keep) if keep else F.struct(F.lit(0))
+    rows, hits = fingerprint_hits(docs.select(carried.alias("_doc"), words(F.col(text_col)).alias("_w")), keep, prints, short, window, gram, prints.count() <= broadcast_rows)
+
+    right = windows.select("len", "win", "set_id")
     n_windows, n_bytes = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("win") + 32), F.lit(0))).first()
     if n_windows <= broadcast_rows and n_bytes <= BROADCAST_BYTES:
         right = F.broadcast(right)
-    hits = seen.where("size(_hits) > 0").select("_row", F.expr("inline(_hits)")).join(right, ["len", "fp", "win"]).select("_row", "at", "len", "set_id")
+    around = "inline(transform(sequence(0, size(words) - len), i -> struct(at + i as at, array_join(slice(words, i + 1, len), ' ') as win)))"
+    hits = hits.select("_row", "len", F.expr(around)).join(right, ["len", "win"]).select("_row", "at", "len", "set_id")
     covered = "aggregate(array_sort(_spans), struct(0 as upto, 0L as n), (a, s) -> struct(greatest(a.upto, s.upto) as upto, a.n + greatest(s.upto - greatest(s.at, a.upto), 0) as n), a -> a.n)"
     per_doc = hits.groupBy("_row").agg(  # bounded by the words of one document
         F.collect_list(F.struct("at", (F.col("at") + F.col("len")).alias("upto"))).alias("_spans"), F.collect_set("set_id").alias("_sets")
@@ -127,10 +141,11 @@ def contamination(
     named = per_doc.select("_row", F.explode("_sets").alias("set_id")).join(sets, "set_id")
     named = named.groupBy("_row").agg(F.expr("sort_array(array_distinct(flatten(collect_list(items))))").alias("items"))
     found = per_doc.select("_row", "n_hit").join(named, "_row", "left")
-    out = seen.drop("_hits").join(found, "_row", "left").drop("_row")
     items = F.coalesce("items", F.expr("cast(array() as array<string>)"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select(*keep, "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))
+    return rows.join(found, "_row", "left").select(
+        *[F.col("doc")[c].alias(c) for c in [*keep, "n_words"]], n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated")
+    )
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,6 +186,36 @@ def test_decontamination(spark, broadcast_rows):
     assert all(x.n_items == len(x["items"]) and x.kept == "old" for x in got)
 
 
+def test_fingerprints_are_winnowed(spark):
+    """Few of the windows begin a run, every window belongs to one, and a shared window keeps the same print anywhere."""
+    r = random.Random(8)
+    base = [r.choice("abcdefghijklmnop") + r.choice("abcdefghijklmnop") for _ in range(400)]
+    texts = [base, ["x"] * 3 + base[50:90] + ["y"] * 7, ["z"] * 11 + base[55:65], ["same"] * 50, base[:9], []]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, _w array<string>")
+    got = {x.doc_id: [tuple(p) for p in x._prints] for x in decontaminate.with_fingerprints(df).collect()}
+    for i, t in enumerate(texts):
+        assert [at + k for _, _, at, n in got[i] for k in range(n)] == list(range(max(0, len(t) - 9)))
+    assert len(got[0]) < 0.5 * 391  # about 2 of 7
+    kept = lambda i, j: next(fp for _, fp, at, n in got[i] if at <= j < at + n)
+    assert all(kept(0, 50 + j) == kept(1, 3 + j) for j in range(31))
+    assert kept(0, 55) == kept(2, 11)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_without_shared_fingerprints_no_window_is_compared(spark, broadcast):
+    r = random.Random(9)
+    text = [" ".join(f"w{r.randint(0, 5000)}" for _ in range(200)) for _ in range(20)]
+    items = [(0, " ".join(text[3].split()[20:50])), (1, "short one")]
+    prints, windows = decontaminate.benchmark_tables(spark.createDataFrame(items, "item_id long, text string"))
+    docs = table(spark, [*text, "a short one"]).select(F.struct("doc_id").alias("_doc"), decontaminate.words(F.col("text")).alias("_w"))
+    rows, hits = decontaminate.fingerprint_hits(docs, ["doc_id"], prints, (2,), 10, 5, broadcast)
+    compared = hits.selectExpr("_row", "len", "size(words) - len + 1 as n").collect()
+    assert rows.count() == 21
+    assert sum(x.n for x in compared if x.len == 10) in range(21, 40)  # of 20 * 191 windows
+    assert sum(x.n for x in compared if x.len == 2) == 1
+    assert not decontaminate.fingerprint_hits(docs, ["doc_id"], prints.limit(0), (2,), 10, 5, broadcast)[1].count()
+
+
 def test_decontamination_of_nothing(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     some = decontaminate.contamination(spark, table(spark, ["a b", None]), bench).collect()
