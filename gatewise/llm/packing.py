@@ -38,20 +38,26 @@ def default_tokenizer() -> str:
 
 
 class TokenIds:
-    """Ids of whole texts as little-endian uint32 bytes; special strings in a text are ordinary text.
+    """Ids of whole texts as little-endian uint32 bytes, as ``encode(text, add_special_tokens=False)`` gives them.
 
-    ``path`` is a byte-level BPE file of the tokenizers library. Where the same vocabulary
-    lies beside it as ranks, tiktoken gives the same ids several times faster; the
-    tokenizers library takes what tiktoken refuses.
+    ``path`` is a byte-level BPE file of the tokenizers library; its special strings are
+    single ids wherever a text holds them. Where the same vocabulary lies beside it as
+    ranks, tiktoken gives the same ids several times faster; the tokenizers library takes
+    what tiktoken refuses.
     """
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.path, self.whole, self.fast = path, None, None
         ranks = os.path.splitext(path)[0] + ".tiktoken"
         if os.path.exists(ranks):
+            with open(path, encoding="utf-8") as file:
+                added = json.load(file).get("added_tokens") or []
+            if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in added):
+                return
             import base64
 
             import public_tokenizers
@@ -59,21 +65,21 @@ class TokenIds:
 
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+            special = {x["content"]: x["id"] for x in added}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={k: v for k, v in table.items() if v not in special.values()}, special_tokens=special)
 
     def _slow(self, text: str) -> list[int]:
         if self.whole is None:
             from tokenizers import Tokenizer
 
             self.whole = Tokenizer.from_file(self.path)
-            self.whole.encode_special_tokens = True
         return self.whole.encode(text, add_special_tokens=False).ids
 
     def of(self, text: str) -> bytes:
         ids = None
         if self.fast is not None:
             try:
-                ids = self.fast.encode_ordinary(text)
+                ids = self.fast.encode(text, allowed_special="all", disallowed_special=())
             except (KeyboardInterrupt, SystemExit):
                 raise
             except BaseException:  # its native code panics on some very long runs  # noqa: BLE001
