@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Template:
-    """``opening`` + role + newline + text + ``closing`` for each turn, and where loss lies."""
+    """``opening`` + role + newline + text + ``closing`` for each turn, and where loss lies.
+
+    Both marks begin with two different characters. ``closing`` must not begin with the second
+    character of ``opening``, or a text could make up a mark together with it.
+    """
 
     opening: str = "<|im_start|>"
     closing: str = "<|im_end|>\n"
@@ -34,22 +38,52 @@ class Template:
     )
     ends: tuple[str, ...] = ("answered",)
 
+    def __post_init__(self):
+        leads = self.leads()
+        if any(len(set(x)) < 2 or "\\" in x or "\n" in x for x in leads) or self.closing[:1] == self.opening[1:2]:
+            raise ValueError("marks that texts cannot be kept apart from")
+
+    def leads(self) -> list[str]:
+        """The first two characters of the marks: inside texts they never stand together."""
+        return sorted({self.opening[:2], self.closing[:2]})
+
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-# Marks open with "<|"; inside a text "<", any backslashes and "|" get one backslash more.
-_ESCAPE = r"regexp_replace({0}, '<(\\\\*)\\|', '<$1\\\\|')"
-_UNESCAPE = r"regexp_replace({0}, '<(\\\\*)\\\\\\|', '<$1|')"
+# Between the two characters of a lead, and any backslashes already there, a text gets one backslash more.
+def _escape(of: str, t: Template) -> str:
+    for lead in t.leads():
+        a, b = map(_regex, lead)
+        of = f"regexp_replace({of}, {_quoted(f'({a})({_BACK}*)({b})')}, {_quoted('$1$2' + _BACK + '$3')})"
+    return of
+
+
+def _unescape(of: str, t: Template) -> str:
+    for lead in reversed(t.leads()):
+        a, b = map(_regex, lead)
+        of = f"regexp_replace({of}, {_quoted(f'({a})({_BACK}*){_BACK}({b})')}, '$1$2$3')"
+    return of
 
 
-def _role_out(role: str) -> str:
-    return f"replace(replace(replace({role}, '%', '%25'), '\\n', '%0A'), '|', '%7C')"
+_BACK = "\\\\"  # one backslash, as a regular expression has it
 
 
-def _role_in(role: str) -> str:
-    return f"replace(replace(replace({role}, '%7C', '|'), '%0A', '\\n'), '%25', '%')"
+def _role_codes(t: Template) -> list[tuple[str, str]]:
+    return [(c, f"%{ord(c):02X}") for c in ["%", "\n", *sorted({x[1] for x in t.leads()} - {"%"})]]
+
+
+def _role_out(role: str, t: Template) -> str:
+    for c, code in _role_codes(t):
+        role = f"replace({role}, {_quoted(c)}, '{code}')"
+    return role
+
+
+def _role_in(role: str, t: Template) -> str:
+    for c, code in reversed(_role_codes(t)):
+        role = f"replace({role}, '{code}', {_quoted(c)})"
+    return role
 
 
 def format_chats(rows: DataFrame, template: Template | None = None) -> DataFrame:
@@ -68,8 +102,8 @@ def format_chats(rows: DataFrame, template: Template | None = None) -> DataFrame
     loss = f"x.role in ({', '.join(map(_quoted, t.loss_roles))})"
     segments = (
         f"flatten(transform(_turns, x -> array("
-        f"struct(concat({opening}, {_role_out('x.role')}, '\\n') as text, false as loss), "
-        f"struct({_ESCAPE.format('x.text')} as text, {loss} as loss), "
+        f"struct(concat({opening}, {_role_out('x.role', t)}, '\\n') as text, false as loss), "
+        f"struct({_escape('x.text', t)} as text, {loss} as loss), "
         f"struct({closing} as text, false as loss))))"
     )
     cases = " ".join(f"when s = {_quoted(a)} and x.role = {_quoted(role)} then {_quoted(b)}" for (a, role), b in t.moves.items())
@@ -81,9 +115,18 @@ def format_chats(rows: DataFrame, template: Template | None = None) -> DataFrame
 
 
 def loss_mask(segments: str = "segments") -> str:
-    """SQL: runs (start, length) of the formatted text under the loss flag, counted in code points from 0."""
+    """SQL: runs (start, length) of the formatted text under the loss flag, counted in code points from 0.
+
+    Places are sums of the lengths before; they are taken block by block of the square root
+    of the segments, so long conversations do not cost the square of their turns.
+    """
+    runs = "cast(array() as array<struct<start: int, length: int>>)"
+    size = f"cast(ceil(sqrt(greatest(size({segments}), 1))) as int)"
+    blocks = f"transform(sequence(0, greatest(size({segments}) - 1, 0), {size}), i -> slice({segments}, i + 1, {size}))"
+    lengths = "transform(bs, b -> aggregate(b, 0, (n, s) -> n + length(s.text)))"
     step = "struct(a.at + length(s.text) as at, if(s.loss, concat(a.runs, array(struct(a.at as start, length(s.text) as length))), a.runs) as runs)"
-    return f"aggregate({segments}, struct(0 as at, cast(array() as array<struct<start: int, length: int>>) as runs), (a, s) -> {step}, a -> a.runs)"
+    inside = f"aggregate(b, struct(aggregate(slice(ls, 1, i), 0, (n, l) -> n + l) as at, {runs} as runs), (a, s) -> {step}, a -> a.runs)"
+    return f"flatten(flatten(transform(array({blocks}), bs -> flatten(transform(array({lengths}), ls -> transform(bs, (b, i) -> {inside}))))))"
 
 
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
@@ -92,8 +135,8 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
     parts = f"split(formatted, {_quoted(_regex(t.opening))})"
     role = "substring_index(p, '\\n', 1)"
     body = f"substring(p, length({role}) + 2, length(p) - length({role}) - 1 - {len(t.closing)})"
-    turns = f"transform(slice(_parts, 2, size(_parts)), p -> struct({_role_in(role)} as role, {_UNESCAPE.format(body)} as text))"
-    under = f"array_join(transform(mask, m -> {_UNESCAPE.format('substring(formatted, m.start + 1, m.length)')}), '')"
+    turns = f"transform(slice(_parts, 2, size(_parts)), p -> struct({_role_in(role, t)} as role, {_unescape(body, t)} as text))"
+    under = f"array_join(transform(mask, m -> {_unescape('substring(formatted, m.start + 1, m.length)', t)}), '')"
     return formatted.withColumn("_parts", F.expr(parts)).withColumn("turns", F.expr(turns)).withColumn("loss_text", F.expr(under)).drop("_parts")
 
 
