@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_value
+from .common import by_value, stash
 
 by_value(__name__)
 
@@ -24,7 +24,7 @@ STEP, SCAN = 16, 2048
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(vec_id, dim, vec): floor(scale * x) of every component as int64 bytes; unusable vectors go."""
+    """(vec_id, dim, vec): floor(scale * x) of every component as bytes, of int32 where all fit, else of int64; unusable vectors go."""
 
     def run(batches):
         for batch in batches:
@@ -37,12 +37,20 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
                     continue
                 ids.append(vec_id)
                 dims.append(len(x))
-                out.append(np.floor(scale * x).astype(np.int64).tobytes())
+                whole = np.floor(scale * x)
+                out.append(whole.astype(np.int32 if np.abs(whole).max(initial=0) < 2**31 else np.int64).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["vec_id", "dim", "vec"])
 
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vec")).mapInArrow(run, "vec_id long, dim int, vec binary")
 
 
+def matrix(vecs, dim: int) -> np.ndarray:
+    """Vectors of ``quantised`` as rows of int64."""
+    if all(len(x) == 4 * dim for x in vecs):
+        return np.frombuffer(b"".join(vecs), np.int32).reshape(len(vecs), dim).astype(np.int64)
+    return np.stack([np.frombuffer(x, np.int32 if len(x) == 4 * dim else np.int64).astype(np.int64) for x in vecs])
+
+
 class Best:
     """The k best (score, id) of one query: larger scores first, then smaller ids."""
 
@@ -100,7 +108,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query, k: int = 5, id_col:
     components, and null ids, take no part. Repeated candidates count each; a query
     repeated with the same vector is asked once. Exact while sums stay below 2^63.
     """
-    base = quantised(vectors, id_col, vector_col, scale)
+    base = stash(quantised(vectors, id_col, vector_col, scale), "vectors")  # read three times
     queries = base.where(is_query).distinct()
     sizes = base.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).collect()  # a row for each length
     blocks = spark.createDataFrame([(r.dim, max(1, -(-r.q // QUERY_BLOCK)), max(1, -(-r.n // CANDIDATE_BLOCK))) for r in sizes], "dim int, nq int, nc int")
@@ -114,7 +122,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query, k: int = 5, id_col:
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "asked": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
         c = c.sort_values("c_vec_id")
         dim = int(q.dim.iloc[0])
-        asked, held = (np.frombuffer(b"".join(x), np.int64).reshape(len(x), dim) for x in (q.vec, c.c_vec))
+        asked, held = matrix(q.vec, dim), matrix(c.c_vec, dim)
         found = search(asked, q.vec_id.to_numpy(), held, c.c_vec_id.to_numpy(), k)
         n = [len(b.ids) for b in found]
         return pd.DataFrame(
