@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import sys
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -27,25 +26,9 @@ by_value(__name__)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder shared by driver and executors, from ``spark.checkpoint.dir``.
-
-    Only a session without that setting (tests, one machine) gets a folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        found = context.getCheckpointDir()
-        if not found:
-            found = tempfile.mkdtemp(prefix="gatewise-", dir=_own_base())
-            context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def _own_base() -> str:
-    import os
-
-    os.makedirs("/tmp/checkpoints", exist_ok=True)
-    return "/tmp/checkpoints"
+    """The folder shared by driver and executors: ``spark.checkpoint.dir``, else the context's, else one in the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch").rstrip("/")
 
 
 _written: list[tuple[SparkSession, str]] = []
@@ -68,8 +51,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here.
 
-    Lost executors cost no recomputation behind this point. The files go when the
-    driver's interpreter ends.
+    Lost executors cost no recomputation behind this point. The files go when ``release``
+    or ``release_since`` says so, at last when the driver's interpreter ends.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/gatewise/{label}-{uuid.uuid4().hex}"
@@ -86,11 +69,33 @@ def release(*stashed: DataFrame) -> None:
     """Delete tables of ``stash`` that nothing still to run reads."""
     for df in stashed:
         path = getattr(df, "_stash_path", None)
-        if path:
+        if path and (df.sparkSession, path) in _written:
             drop_path(df.sparkSession, path)
             _written.remove((df.sparkSession, path))
 
 
+def scratch_mark() -> int:
+    """A point to hand to ``release_since``."""
+    return len(_written)
+
+
+def release_since(mark: int, *keep: DataFrame) -> None:
+    """Delete the tables of ``stash`` written since ``mark`` but those of ``keep``: for a result that is written by then."""
+    kept = {getattr(df, "_stash_path", None) for df in keep}
+    for spark, path in _written[mark:]:
+        if path not in kept:
+            drop_path(spark, path)
+            _written.remove((spark, path))
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many underscores behind it as no column of ``frames`` has."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_fields(schema: T.StructType, new: list[T.StructField]) -> T.StructType:
     """``schema`` with ``new`` at its end; an input column of the same name gives way."""
     names = {f.name.lower() for f in new}

@@ -1,8 +1,9 @@
 """Drop lines that many documents share.
 
-Distinct line hashes found in enough documents are indexed by a sharded minimal
-perfect hash, whose shards hold compact fingerprint and count arrays; documents probe
-these arrays, no line is joined. While the arrays fit ``BROADCAST_BYTES`` every task
+Distinct line hashes are indexed by a sharded minimal perfect hash, whose shards hold
+compact fingerprint and count arrays; documents probe these arrays, no line is joined, and
+drop the lines whose count is large enough. Hashes of too few documents, which no probe
+could drop, are not put into the index. While the arrays fit ``BROADCAST_BYTES`` every task
 gets them; beyond that the line references (never the lines) are routed to the shards,
 each shard split into as many salted copies as its share of references asks for.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, by_value, map_texts, mix64, stash, with_fields
+from .common import U64, by_value, map_texts, mix64, stash, unused, with_fields
 
 by_value(__name__)
 
@@ -205,7 +206,7 @@ def drop_common_lines(
     shards = shard_table(common, n_shards)
     fields = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
     if total * _BYTES_A_KEY > broadcast_bytes:
-        return _routed(docs, text_col, fields, shards, n_shards)
+        return _routed(docs, text_col, fields, shards, n_shards, min_docs)
     held = spark.sparkContext.broadcast({r["shard"]: {k: bytes(r[k]) for k in ("sizes", "bits", "prints", "counts")} for r in shards.collect()})
 
     class Held:
@@ -214,58 +215,63 @@ def drop_common_lines(
     def find(h1, h2):
         if Held.index is None:
             Held.index = LineIndex(held.value, n_shards)
-        return Held.index.count(h1, h2) > 0
+        return Held.index.count(h1, h2) >= min_docs
 
     return _kept(docs, text_col, fields, find)
 
 
-def _routed(docs: DataFrame, text_col: str, fields: list[T.StructField], shards: DataFrame, n_shards: int) -> DataFrame:
+def _routed(docs: DataFrame, text_col: str, fields: list[T.StructField], shards: DataFrame, n_shards: int, min_docs: int) -> DataFrame:
     """Without a broadcast: references to lines go to the shards, the dropped line numbers come back."""
-    numbered = stash(docs.withColumn("_row", F.monotonically_increasing_id()), "lines-docs")
-    refs_schema = "_row long, line int, h1 long, h2 long, shard int"
+    row, gone = unused("_row", docs), unused("_gone", docs)
+    numbered = stash(docs.withColumn(row, F.monotonically_increasing_id()), "lines-docs")
+    refs_schema = "row long, line int, h1 long, h2 long, shard int"
 
     def refer(batches):
         for batch in batches:
             rows, nums, keys = [], [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for i, k in enumerate(line_hashes(text)[1]):
                     if k:
-                        rows.append(row)
+                        rows.append(r)
                         nums.append(i)
                         keys.append(k)
             h = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
             shard = (h[:, 0].astype(np.uint64) % U64(n_shards)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.int64()), pa.array(nums, pa.int32()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(shard)],
-                names=["_row", "line", "h1", "h2", "shard"],
+                names=["row", "line", "h1", "h2", "shard"],
             )
 
-    refs = stash(numbered.select("_row", F.col(text_col).alias("text")).mapInArrow(refer, refs_schema), "lines-refs")
+    refs = stash(numbered.select(F.col(row).alias("row"), F.col(text_col).alias("text")).mapInArrow(refer, refs_schema), "lines-refs")
     copies = refs.groupBy("shard").agg(F.ceil(F.count("*") / ROUTED_REFS).cast("int").alias("copies"))
-    salted = refs.join(copies, "shard").withColumn("salt", F.expr("cast(pmod(xxhash64(_row), copies) as int)")).drop("copies")
+    salted = refs.join(copies, "shard").withColumn("salt", F.expr("cast(pmod(xxhash64(row), copies) as int)")).drop("copies")
     spread = shards.join(copies, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"_row": pd.Series(dtype="int64"), "line": pd.Series(dtype="int32")})
+            return pd.DataFrame({"row": pd.Series(dtype="int64"), "line": pd.Series(dtype="int32")})
         s = int(right.shard.iloc[0])
         index = LineIndex({s: {k: bytes(right[k].iloc[0]) for k in ("sizes", "bits", "prints", "counts")}}, n_shards)
-        hit = index.count(left.h1.to_numpy().view(np.uint64), left.h2.to_numpy().view(np.uint64)) > 0
-        return left.loc[hit, ["_row", "line"]]
-
-    hits = salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(probe, "_row long, line int")
-    per_doc = hits.groupBy("_row").agg(F.collect_set("line").alias("_gone"))  # bounded by the lines of one document
-    joined = numbered.join(per_doc, "_row", "left")
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
-    kept = F.expr("array_join(filter(_lines, (x, i) -> not coalesce(array_contains(_gone, i), false)), '\\n')")
-    plain = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    return (
-        joined.withColumn("_lines", lines)
-        .withColumn("_text", F.when(F.col("_gone").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(kept))
-        .withColumn("_all", F.size("_lines").cast("long"))
-        .withColumn("_less", F.when(F.col("_gone").isNull(), F.lit(0)).otherwise(F.size("_gone")).cast("long"))
-        .select(*[F.col("_text").alias(text_col) if c == text_col else F.col(c) for c in plain], F.col("_all").alias(fields[0].name), F.col("_less").alias(fields[1].name))
-    )
+        hit = index.count(left.h1.to_numpy().view(np.uint64), left.h2.to_numpy().view(np.uint64)) >= min_docs
+        return left.loc[hit, ["row", "line"]]
+
+    hits = salted.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(probe, "row long, line int")
+    per_doc = hits.groupBy("row").agg(F.collect_list("line").alias(gone)).withColumnRenamed("row", row)  # bounded by the lines of one document
+    joined = numbered.join(per_doc, row, "left")
+
+    def make():
+        def step(texts, batch):
+            out, sizes, less = [], [], []
+            for text, lost in zip(texts, batch.column(batch.schema.get_field_index(gone)).to_pylist(), strict=True):
+                lines, lost = (text or "").split("\n"), set(lost or ())
+                sizes.append(len(lines))
+                less.append(len(lost))
+                out.append("\n".join(x for i, x in enumerate(lines) if i not in lost))
+            return {text_col: pa.array(out, pa.string()), fields[0].name: pa.array(sizes, pa.int64()), fields[1].name: pa.array(less, pa.int64())}
+
+        return step
+
+    return map_texts(joined, text_col, with_fields(docs.schema, fields), make)
 
 
 # ---- the registered query
