@@ -35,6 +35,24 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.select(F.col("a").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+#: Rows of one key that one task of a join takes.
+HOT = 100_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, which has a row for each value of ``on`` and in ``n`` (at least) the rows ``left`` has of it.
+
+    Values of more than ``HOT`` rows are dealt, by the column ``by``, to as many copies of
+    their row as they need. There are at most rows / ``HOT`` of them, so their list is
+    broadcast. Rows of a null value meet nothing and are dealt by ``by`` as well.
+    """
+    hot = F.broadcast(right.where(F.col("n") > HOT).select(on, F.ceil(F.col("n") / HOT).cast("int").alias("_copies")))
+    salt = F.when(F.col(on).isNull(), F.xxhash64(by)).otherwise(F.pmod(F.xxhash64(by), F.coalesce("_copies", F.lit(1))))
+    dealt = left.join(hot, on, "left").withColumn("_salt", salt).drop("_copies")
+    copied = right.join(hot, on, "left").withColumn("_salt", F.explode(F.expr("sequence(0L, coalesce(_copies, 1) - 1L)"))).drop("_copies")
+    return dealt.join(copied, [on, "_salt"], how).drop("_salt")
+
+
 def spread_groups(members: DataFrame, group: str, member: str, weight: str, limit: int) -> DataFrame:
     """Add ``task``: rows that one task takes together, at most about ``2 * limit`` of weight.
 

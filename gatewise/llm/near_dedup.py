@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import heapq
 from itertools import combinations
-from math import ceil, comb, log
+from math import ceil, comb, exp, lgamma, log
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import U64, by_value, mix64, release, stash
-from .graphs import components, spread_groups
+from .graphs import components, join_hot, spread_groups
 
 by_value(__name__)
 
@@ -33,7 +33,8 @@ WIDTH, ERRORS = 5, 1
 MISSED = 1e-6
 #: Share of such pairs whose signatures may be taken as too far apart to compare sets.
 REFUSED = 1e-8
-_MOST_CHUNKS = 64
+#: Chunks up to which signatures are made; thresholds that need more (below 26 per cent) are refused.
+MOST_CHUNKS = 800
 #: Shingles of a block of a candidate group.
 BLOCK = 1 << 20
 _CUT = 1 << 21
@@ -42,8 +43,6 @@ _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BYTE[65:91] = _BYTE[97:123]
 _IS_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_MULT = _rng.integers(0, 2**63, _MOST_CHUNKS * WIDTH, dtype=np.uint64) * U64(2) + U64(1)
-_ADD = _rng.integers(0, 2**63, _MOST_CHUNKS * WIDTH, dtype=np.uint64)
 _B = 0x9E3779B97F4A7C15 | 1
 _B_INV = pow(_B, -1, 1 << 64)
 
@@ -52,15 +51,23 @@ def design(percent: int) -> tuple[int, int]:
     """Chunks, and the largest signature distance of a candidate pair, for links of ``percent`` or more."""
     same = percent / 100
     meets = sum(comb(WIDTH, e) * same ** (WIDTH - e) * (1 - same) ** e for e in range(ERRORS + 1))
-    chunks = 1 if meets >= 1 else min(_MOST_CHUNKS, ceil(log(MISSED) / log(1 - meets)))
+    chunks = 1 if meets >= 1 else ceil(log(MISSED) / log(1 - meets)) if meets > 0 else MOST_CHUNKS + 1
+    if not 0 < percent <= 100 or chunks > MOST_CHUNKS:
+        raise ValueError(f"no signature of up to {MOST_CHUNKS} chunks finds pairs at {percent} per cent")
     n = chunks * WIDTH
     beyond, accept = 1.0, -1
-    while beyond > REFUSED and accept < n:
+    while beyond > REFUSED and accept < n and same < 1 or accept < 0:
         accept += 1
-        beyond -= comb(n, accept) * (1 - same) ** accept * same ** (n - accept)
+        odds = accept * log(1 - same) if accept else 0.0
+        beyond -= exp(lgamma(n + 1) - lgamma(accept + 1) - lgamma(n - accept + 1) + odds + (n - accept) * log(same))
     return chunks, accept
 
 
+def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands of ``n`` hash functions; those of a smaller ``n`` are the first of them."""
+    return (np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * U64(2) + U64(1) for seed in (21, 22))
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
@@ -112,6 +119,7 @@ def signature_table(docs: DataFrame, text_col: str, id_col: str, size: int, chun
 
     def run(batches):
         hasher = _Hasher()
+        mult, add = multipliers(chunks * WIDTH)
         for batch in batches:
             cids, sizes, sigs, held, room = [], [], [], [], 0
 
@@ -121,7 +129,7 @@ def signature_table(docs: DataFrame, text_col: str, id_col: str, size: int, chun
                 flat, starts = np.concatenate(held), np.concatenate([[0], np.cumsum([len(x) for x in held])[:-1]])
                 low = np.empty((len(held), chunks * WIDTH), np.uint64)
                 for k in range(chunks * WIDTH):
-                    low[:, k] = np.minimum.reduceat(flat * _MULT[k] + _ADD[k], starts)
+                    low[:, k] = np.minimum.reduceat(flat * mult[k] + add[k], starts)
                 sig = (mix64(low) >> U64(48)).astype(np.uint16)
                 h1 = np.add.reduceat(mix64(flat + U64(0x1234567)), starts)
                 h2 = np.add.reduceat(mix64(flat ^ U64(0x5DEECE66D1234)), starts)
@@ -237,8 +245,8 @@ def link_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
 def _candidates(classes: DataFrame, chunks: int, accept: int) -> tuple[DataFrame, list[DataFrame]]:
     """(a, b) edges that join every two classes with near signatures into one group, and the tables they read."""
     keys = chunk_keys(classes, chunks)
-    shared = keys.groupBy("key").agg(F.min("nid").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = stash(keys.join(shared, "key").where("nid <> leader"), "near-members")
+    shared = stash(keys.groupBy("key").agg(F.min("nid").alias("leader"), F.count("*").alias("n")).where("n > 1"), "near-keys")
+    members = stash(join_hot(keys, shared, "key", "nid").where("nid <> leader"), "near-members")
     sigs = classes.select("nid", "sig")
 
     def compare(batches):
@@ -246,11 +254,10 @@ def _candidates(classes: DataFrame, chunks: int, accept: int) -> tuple[DataFrame
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, chunks * WIDTH) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_apart(a, b) <= accept)], names=["leader", "nid", "near"])
 
+    met = members.select("leader", "nid").distinct().join(sigs.withColumnRenamed("sig", "sig2"), "nid")
+    led = members.groupBy("leader").agg(F.count("*").alias("n")).join(sigs.select(F.col("nid").alias("leader"), "sig"), "leader")
     pairs = (
-        members.select("leader", "nid").distinct()
-        .join(sigs.withColumnRenamed("sig", "sig2"), "nid")
-        .join(sigs.select(F.col("nid").alias("leader"), "sig"), "leader")
-        .select("leader", "nid", "sig", "sig2")
+        join_hot(met, led, "leader", "nid").select("leader", "nid", "sig", "sig2")
         .mapInArrow(compare, "leader long, nid long, near boolean")
     )
     pairs = stash(pairs, "near-pairs")
@@ -269,7 +276,7 @@ def _candidates(classes: DataFrame, chunks: int, accept: int) -> tuple[DataFrame
         return pd.DataFrame({"a": a, "b": nid})[a != nid]
 
     rest = spread_groups(weighted, "key", "nid", "w", 20_000).join(sigs, "nid").groupBy("task").applyInPandas(cluster, "a long, b long")
-    return direct.unionByName(rest), [members, pairs, torn]
+    return direct.unionByName(rest), [shared, members, pairs, torn]
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
@@ -283,11 +290,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text_col: str = "text"
     ids. Repeated ids stay separate rows; equal texts share a component. ``docs`` may
     hold any other columns. The signatures miss a pair at the threshold with a
     probability of at most ``MISSED``, and none that differs in fewer components than
-    the pigeonhole allows.
+    the pigeonhole allows; a ``percent`` too low for that is an error.
     """
     chunks, accept = design(percent)
     table = stash(signature_table(docs, text_col, id_col, size, chunks), "near-sets")
-    grouped = table.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"))
+    grouped = table.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.count("*").alias("copies"))
     classes = stash(grouped.withColumn("nid", F.monotonically_increasing_id()), "near-classes")
     candidates, used = _candidates(classes, chunks, accept)
     groups = stash(components(candidates), "near-groups")
@@ -324,12 +331,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text_col: str = "text"
     links = members.select("task", "root", "nid", "cid").join(sets, "cid").groupBy("task").applyInPandas(confirm, "a long, b long")
     linked = stash(components(links), "near-links")
     release(groups, members)
-    placed = classes.select("nid", "cid", "rep").join(linked.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    placed = classes.select("nid", "cid", "rep", "copies").join(linked.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     low = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_class = placed.join(low, "root").select("cid", "component_id")
-    out = table.select("doc_id", "cid", "n").join(by_class, "cid", "left")
+    by_class = stash(placed.join(low, "root").select("cid", "component_id", F.col("copies").alias("n")), "near-placed")
+    out = join_hot(table.select("doc_id", "cid", F.col("n").alias("n_shingles")), by_class, "cid", "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

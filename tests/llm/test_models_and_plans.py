@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gatewise.llm import html_text, lang_id, packing, quality, top_k
 
 DATA = "/root/testdata/sf0.01"
-EDGES = [None, "", " ", "\n", "12 34", "é", "a  b \n c", "word " * 30_000, "x" * 20_000, "<|endoftext|>"]
+EDGES = [None, "", " ", "\n", "12 34", "é", "a  b \n c", "word " * 30_000, "x" * 20_000, "<|endoftext|>", "a<|endoftext|>b"]
 
 
 # ---- packing
@@ -103,7 +103,6 @@ def pieces(texts, capacity):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(packing.default_tokenizer())
-    model.encode_special_tokens = True
     out = []
     for i, t in texts:
         ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -112,6 +111,17 @@ def pieces(texts, capacity):
     return sorted(out, key=repr)
 
 
+def test_ids_are_those_of_tokenizers():
+    from tokenizers import Tokenizer
+
+    ids, model, r = packing.TokenIds(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer()), random.Random(1)
+    assert np.frombuffer(ids.of("a<|endoftext|>b"), "<u4").tolist() == [64, 50256, 65]
+    bits = ["<|endoftext|>", "<|", "|>", " ", "\n", "a", "é", "漢", "\u0301", "<|endoftext|", "endoftext|>", "1", "'s", "\t", "😀", "\u00a0", "\u2028"]
+    for _ in range(3000):
+        text = "".join(r.choice(bits) if r.random() < 0.7 else chr(r.choice([r.randint(32, 0x2FFF), r.randint(0x10000, 0x1FFFF)])) for _ in range(r.randint(0, 30)))
+        assert np.frombuffer(ids.of(text), "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize(("capacity", "group"), [(2048, packing.RANK_GROUP), (64, 50)])
 def test_packing(spark, monkeypatch, capacity, group):
     monkeypatch.setattr(packing, "RANK_GROUP", group)
@@ -476,3 +486,29 @@ def test_pipeline_keeps_one_row_of_a_group(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_filter(spark, docs.repartition(3), "").collect()]
     assert sorted(got, key=repr) == sorted([(3, same), (5, other), (5, "a third text under the id of another"), (9, None), (9, "")], key=repr)
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Empty tables, repeated rows, null columns, and columns named like those of the operators."""
+    import corpus_pipeline
+
+    line, text = "a line that many documents share", "some words of a text that is long enough to be a document of its own "
+    rows = [(i, f"{text}{i} {i * 7} {i * 13}\n{line}") for i in range(12)] + [(3, f"{text}3 21 39\n{line}")] * 2 + [(None, None), (50, ""), (51, "12 34"), (None, "only this")]
+    odd = ["score", "held_out", "lang_pred", "n_lines", "n_dropped", "n_words", "items", "n_hit", "row", "_row", "_w", "group", "n", "cid"]
+    docs = spark.createDataFrame([(i, t, "en" if i else None, "s", 0, *(f"{c}!" for c in odd)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in odd))
+    where, now = "/root/testdata/sf0.001", docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, where)
+        assert now.columns == docs.columns, name
+        got = now.collect()
+        assert all(r[c] == f"{c}!" for r in got for c in odd), name
+        if name == "language ID":
+            assert len(got) == 15
+        if name == "line dedup":
+            assert len(got) == 15
+            assert not any(line in r.text for r in got)
+            assert all(r.n_chars == len(r.text) for r in got)
+        if name == "MinHash near-dedup":
+            assert sorted((r.doc_id for r in got), key=str) == [*sorted(range(12), key=str), None]
+        assert stage(spark, docs.limit(0), where).count() == 0
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, now, where).collect()} == {*range(12), None}

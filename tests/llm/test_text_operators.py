@@ -126,6 +126,38 @@ def test_sets_linked_only_through_a_hub():
     assert near_dedup.link_sets([*sets, base], 85).tolist() == [0] * 13
 
 
+def test_thresholds_that_no_signature_serves():
+    assert near_dedup.design(85) == (8, near_dedup.design(85)[1])
+    for percent in (30, 50, 80, 85, 100):
+        chunks, accept = near_dedup.design(percent)
+        meets = sum(near_dedup.comb(5, e) * (percent / 100) ** (5 - e) * (1 - percent / 100) ** e for e in range(2))
+        assert (1 - meets) ** chunks <= near_dedup.MISSED
+        assert accept < chunks * near_dedup.WIDTH or percent < 60
+    for percent in (0, 10, 101):
+        with pytest.raises(ValueError, match="no signature"):
+            near_dedup.design(percent)
+    assert all((a == b[:7]).all() for a, b in zip(near_dedup.multipliers(7), near_dedup.multipliers(90), strict=True))
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "HOT", 10)
+    left = spark.createDataFrame([(i % 3 if i % 5 else None, i) for i in range(200)], "k long, v long")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).where("k < 2").withColumn("name", F.concat(F.lit("k"), "k"))
+    for how in ("inner", "left"):
+        got = sorted((x.v, x.name) for x in graphs.join_hot(left, right, "k", "v", how).collect())
+        want = [(i, f"k{i % 3}" if i % 5 and i % 3 < 2 else None) for i in range(200)]
+        assert got == [x for x in want if how == "left" or x[1]]
+    salted = graphs.join_hot(left, right, "k", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in salted
+
+
+def test_near_dedup_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "HOT", 5)
+    texts = near_corpus(11, 8, 20)
+    got = near_dedup.near_duplicates(spark, table(spark, texts), size=3, percent=85).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == near_groups(texts, 3, 85)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(220)] + [(1000, 1000 + i) for i in range(1, 200)] + [(2000 + i, 2001 + i) for i in range(60)]
@@ -391,6 +423,33 @@ def test_chat_round_trip(spark):
         assert x.formatted.count("<|im_start|>") == x.formatted.count("<|im_end|>") == len(own)
 
 
+@pytest.mark.parametrize(("opening", "closing"), [("[INST]", "[/INST]\n"), ("<s>", "</s>"), ("#@", "!#x"), ("({", "})")])
+def test_chat_with_another_template(spark, opening, closing):
+    r = random.Random(6)
+    bits = [opening, closing, opening[0], opening[1], closing[0], closing[1:], "\\", "\\\\", "[\\/", "%2F", "x", "\n"]
+    rows = [(c, t, r.choice(["user", "assistant", "odd" + opening, "%5B"]), "".join(r.choice(bits) for _ in range(r.randint(0, 10)))) for c in range(30) for t in range(4)]
+    template = chat.Template(opening=opening, closing=closing)
+    done = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), template).withColumn("mask", F.expr(chat.loss_mask()))
+    for x in chat.read_back(done.select("conv_id", "formatted", "mask"), template).collect():
+        own = [(role, text) for c, _, role, text in rows if c == x.conv_id]
+        assert [(t.role, t.text) for t in x.turns] == own
+        assert x.loss_text == "".join(text for role, text in own if role == "assistant")
+
+
+def test_templates_that_cannot_be_kept_apart():
+    for opening, closing in (("<", "</s>"), ("<s>", "s>"), ("a\\b", "</s>"), ("##", "@#")):
+        with pytest.raises(ValueError, match="kept apart"):
+            chat.Template(opening=opening, closing=closing)
+
+
+def test_chat_of_very_many_turns(spark):
+    rows = spark.range(40_000).selectExpr("0L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id) as text")
+    done = chat.format_chats(rows).withColumn("mask", F.expr(chat.loss_mask()))
+    x = done.selectExpr("size(mask) as n", "element_at(mask, -1) as last", "length(formatted) as chars", "valid").first()
+    assert (x.n, x.valid) == (20_000, True)
+    assert x.last.start + x.last.length + len("<|im_end|>\n") == x.chars
+
+
 def test_chat_order(spark):
     say = {"sua": True, "ua": True, "uaua": True, "u": False, "au": False, "uua": False, "usa": False, "sa": False, "uax": False}
     names = {"s": "system", "u": "user", "a": "assistant", "x": "tool"}
