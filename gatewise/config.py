@@ -21,13 +21,14 @@ class Line:
 
 @dataclass(frozen=True)
 class CounterConfig:
-    """Frame size in pixels; transition window and track lifetime in microseconds."""
+    """Frame size in pixels; transition window, track lifetime, rate window and the time a rate counts for in microseconds."""
 
     width: float = 1280.0
     height: float = 720.0
     window_us: int = 30 * SECOND
     ttl_us: int = 120 * SECOND
     fps_window_us: int = SECOND
+    fps_unit_us: int = SECOND
 
 
 LINE = T.StructType([T.StructField(c, T.DoubleType()) for c in ("x1", "y1", "x2", "y2")])

@@ -29,17 +29,19 @@ def parse_lines(raw: Column) -> tuple[Column, Column]:
 def with_lines(observations: DataFrame, versions: DataFrame, bucket_us: int = DAY) -> DataFrame:
     """Add the lines in force (``line1``, ``line2``) and drop rows without both.
 
-    As-of join on time buckets: each version is cut into the buckets it covers, then an
-    equi-join on the bucket with the bounds as a residual condition.
+    As-of join on time buckets: each version that ended is cut into the buckets it covers,
+    then an equi-join on the bucket with the bounds as a residual condition. The version
+    still in force has no end and is one row; rows from its start on get it.
     """
     ends = Window.partitionBy(F.lit(0)).orderBy("valid_from")  # a handful of versions
-    spans = versions.withColumn("valid_to", F.lead("valid_from").over(ends))
-    far = observations.agg(F.max("t") + 1).scalar()
-    upto = F.coalesce("valid_to", F.greatest(far, F.col("valid_from") + 1))
-    spans = spans.where("line1 is not null and line2 is not null").withColumn("valid_to", upto)
-    pieces = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("valid_from") / bucket_us), F.floor((F.col("valid_to") - 1) / bucket_us))))
-    joined = observations.withColumn("_bucket", F.floor(F.col("t") / bucket_us)).join(pieces, "_bucket")
-    return joined.where("t >= valid_from and t < valid_to").drop("_bucket", "valid_from", "valid_to")
+    spans = versions.withColumn("valid_to", F.lead("valid_from").over(ends)).where("line1 is not null and line2 is not null")
+    bucket = F.floor(F.col("t") / bucket_us)
+    first, last = F.floor(F.col("valid_from") / bucket_us), F.floor((F.col("valid_to") - 1) / bucket_us)
+    closed = spans.where("valid_to is not null").withColumn("_bucket", F.explode(F.sequence(first, last)))
+    met = observations.withColumn("_bucket", bucket).join(closed, "_bucket").where("t >= valid_from and t < valid_to").drop("_bucket")
+    open_ = spans.where("valid_to is null")  # the last version, if it is on: one row without an end
+    still = observations.join(F.broadcast(open_), observations["t"] >= open_["valid_from"])
+    return met.unionByName(still).drop("valid_from", "valid_to")
 
 
 def since_last_reset(events: DataFrame, resets: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DAY = 86_400_000_000
+DAY, HOUR = 86_400_000_000, 3_600_000_000
 #: Both spellings of the id that marks an object without a track.
 UNTRACKED = "18446744073709551615"
 
@@ -48,20 +48,24 @@ def top_detections(detections: DataFrame, keys: list[str], k: int = 300) -> Data
     return detections.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def with_prev_tick(rows: DataFrame, bucket_us: int = DAY) -> DataFrame:
-    """Add ``prev_tick``, the latest earlier value of ``t`` in the whole table.
+def tick_timeline(frames: DataFrame, bucket_us: int = HOUR) -> DataFrame:
+    """(t, prev_tick) of the distinct times of ``frames``; the first has no earlier one.
 
-    Time is cut into buckets, so no task orders all rows; the last tick of the bucket
+    Time is cut into buckets, so no task orders all ticks; the last tick of the bucket
     before comes from a table with one row a bucket.
     """
-    bucketed = rows.withColumn("_bucket", F.floor(F.col("t") / bucket_us))
-    inside = Window.partitionBy("_bucket").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    ends = bucketed.groupBy("_bucket").agg(F.max("t").alias("_last"))
+    ticks = frames.select("t").distinct().withColumn("_bucket", F.floor(F.col("t") / bucket_us))
+    ends = ticks.groupBy("_bucket").agg(F.max("t").alias("_last"))
     carried = ends.select("_bucket", F.lag("_last").over(Window.partitionBy(F.lit(0)).orderBy("_bucket")).alias("_carried"))
-    own = bucketed.withColumn("_own", F.max("t").over(inside))
-    return own.join(carried, "_bucket").withColumn("prev_tick", F.coalesce("_own", "_carried")).drop("_bucket", "_own", "_carried")
+    own = ticks.withColumn("_own", F.lag("t").over(Window.partitionBy("_bucket").orderBy("t")))
+    return own.join(carried, "_bucket").select("t", F.coalesce("_own", "_carried").alias("prev_tick"))
 
 
-def tick_timeline(frames: DataFrame, bucket_us: int = DAY) -> DataFrame:
-    """(t, prev_tick) of the distinct ticks of ``frames``."""
-    return with_prev_tick(frames.select("t").distinct(), bucket_us)
+def with_prev_tick(rows: DataFrame, frames: DataFrame | None = None, bucket_us: int = HOUR) -> DataFrame:
+    """Add ``prev_tick``, the latest tick before ``t``, to rows with the time of a tick.
+
+    Every frame of a batch with lines in force ticks, whether it shows an object or not:
+    give them as ``frames`` (``t`` is read). Without them the rows' own times are the ticks.
+    The rows are not ordered; they meet the timeline, one row a tick, by their time.
+    """
+    return rows.join(tick_timeline(rows if frames is None else frames, bucket_us), "t")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,32 +21,78 @@ def totals(events: DataFrame, *keys: str) -> DataFrame:
     return counted.withColumn("footfall", F.greatest(F.lit(0).cast("long"), F.col("entries") - F.col("exits")))
 
 
+class RateFold:
+    """The open rate window of one source, and what frames do to it."""
+
+    def __init__(self, config: CounterConfig, start: int | None = None, count: int = 0):
+        self.width, self.unit, self.start, self.count = config.fps_window_us, config.fps_unit_us, start, count
+
+    def feed(self, t: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(closed_at, frames, elapsed_us, fps) of the windows that the frames at the ascending times ``t`` close."""
+        out, i = [], 0
+        if self.start is None and len(t):
+            self.start = int(t[0])
+        while i < len(t):
+            at = int(np.searchsorted(t, self.start + self.width, side="left"))
+            at = max(at, i)
+            if at == len(t):
+                self.count += at - i
+                break
+            self.count += at - i + 1
+            elapsed = int(t[at]) - self.start
+            out.append((int(t[at]), self.count, elapsed, round(self.count / (elapsed / self.unit), 2)))
+            self.start, self.count, i = int(t[at]), 0, at + 1
+        return out
+
+
+RATE = "source_id int, closed_at long, frames long, elapsed_us long, fps double"
+
+
 def fps_windows(frames: DataFrame, config: CounterConfig) -> DataFrame:
     """(source_id, closed_at, frames, elapsed_us, fps) of every closed rate window.
 
     A window closes at the first frame that lies ``fps_window_us`` or more after its start
-    and the next starts there without that frame; the very first frame counts. Rows of a
-    source stream through one task in order, none is held.
+    and the next starts there without that frame; the very first frame counts. ``fps`` is
+    frames per ``fps_unit_us``, rounded to two places as Python does it. A restart depends
+    on the window before, so the frames of a source stream through one task in order, from
+    window to window; none is held.
     """
-    width = config.fps_window_us
     names = ["source_id", "closed_at", "frames", "elapsed_us", "fps"]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, start, count = None, 0, 0
+        source, open_ = None, None
         for batch in batches:
-            out = []
-            for s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if s != source:
-                    source, start, count = s, t, 0
-                count += 1
-                if t - start >= width:
-                    out.append((s, t, count, t - start, round(count / ((t - start) / 1e6), 2)))
-                    start, count = t, 0
+            ids, t, out = np.asarray(batch.column(0)), np.asarray(batch.column(1)), []
+            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)] if len(ids) else [0]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if open_ is None or ids[lo] != source:
+                    source, open_ = ids[lo], RateFold(config)
+                out += [(int(source), *x) for x in open_.feed(t[lo:hi])]
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
 
-    ordered = frames.select("source_id", "t", "frame_seq").repartition("source_id").sortWithinPartitions("source_id", "t", "frame_seq")
-    return ordered.select("source_id", "t").mapInArrow(fold, "source_id int, closed_at long, frames long, elapsed_us long, fps double")
+    ordered = frames.where("source_id is not null and t is not null").select("source_id", "t", "frame_seq").repartition("source_id").sortWithinPartitions("source_id", "t", "frame_seq")
+    return ordered.select("source_id", "t").mapInArrow(fold, RATE)
+
+
+OPEN_RATES = "source_id int, start long, count long, fps double"
+
+
+def carry_rates(open_rates: DataFrame, frames: DataFrame, config: CounterConfig) -> DataFrame:
+    """(source_id, start, count, fps): the open window of each source and its latest rate, after more frames.
+
+    ``open_rates`` is the result before them, so a stream folds its rates from one
+    micro-batch to the next.
+    """
+
+    def fold(held: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        source = int((held if len(held) else new).source_id.iloc[0])
+        start, count, fps = (held.iloc[0][c] for c in ("start", "count", "fps")) if len(held) else (None, 0, None)
+        one = RateFold(config, None if start is None else int(start), int(count))
+        closed = one.feed(np.sort(new.t.to_numpy(np.int64)))
+        return pd.DataFrame([(source, one.start, one.count, closed[-1][3] if closed else fps)], columns=["source_id", "start", "count", "fps"])
+
+    return open_rates.groupBy("source_id").cogroup(frames.select("source_id", "t").groupBy("source_id")).applyInPandas(fold, OPEN_RATES)
 
 
 def fps_by_source(windows: DataFrame) -> DataFrame:
@@ -65,12 +114,13 @@ def state_snapshot(events: DataFrame, by_source: DataFrame, frames: DataFrame) -
     """The single state row: counts, rates and the time of the last frame in seconds."""
     fps = fps_total(by_source).scalar()
     rates = fps_map(by_source).scalar()
-    at = frames.agg(F.max("t") / F.lit(1e6)).scalar()
+    at = frames.agg((F.max("t").cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")).scalar()
     return totals(events).select("entries", "exits", "footfall", fps.alias("fps"), rates.alias("fps_by_source"), at.alias("updated_at"))
 
 
 def as_json(row: DataFrame) -> DataFrame:
-    return row.select(F.to_json(F.struct("*")).alias("json"))
+    """Rows as JSON text, nulls spelled out."""
+    return row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def running_totals(events: DataFrame, bucket_us: int) -> DataFrame:
@@ -78,3 +128,13 @@ def running_totals(events: DataFrame, bucket_us: int) -> DataFrame:
     per = totals(events.withColumn("bucket", F.floor(F.col("t") / bucket_us) * bucket_us), "bucket").drop("footfall")
     w = Window.partitionBy(F.lit(0)).orderBy("bucket")  # a row for each bucket
     return per.withColumn("entries_so_far", F.sum("entries").over(w)).withColumn("exits_so_far", F.sum("exits").over(w))
+
+
+def _ship() -> None:
+    """Send the folds with the tasks, so executors need no copy of this package."""
+    import sys
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship()

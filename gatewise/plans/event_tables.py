@@ -1,7 +1,7 @@
 """Observations, frames and control rows made from the ``events`` table, in Spark and in SQL.
 
 Every event is one frame with one object and one tick; its columns become a box by fixed
-arithmetic. Events lie hours apart, so the windows are hours too.
+arithmetic. Events lie hours apart, so windows are hours and rates are per hour.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from ..config import LINE_VERSIONS, SECOND, CounterConfig, Line
 from ..operators.ingest import with_prev_tick
 
 LINE1, LINE2 = Line(0.0, 0.40, 1.0, 0.50), Line(0.0, 0.60, 1.0, 0.70)
-CONFIG = CounterConfig(window_us=21_600 * SECOND, ttl_us=86_400 * SECOND, fps_window_us=21_600 * SECOND)
+CONFIG = CounterConfig(window_us=21_600 * SECOND, ttl_us=86_400 * SECOND, fps_window_us=21_600 * SECOND, fps_unit_us=3_600 * SECOND)
 WEEK = 7 * 86_400 * SECOND
 START = 1_704_067_200 * SECOND  # 2024-01-01
 
@@ -49,8 +49,13 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(t, source_id, frame_seq) of every frame."""
+    return observations(spark, sf_dir).select("t", "source_id", "frame_seq")
+
+
 def ticked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_prev_tick(observations(spark, sf_dir))
+    return with_prev_tick(observations(spark, sf_dir), frames(spark, sf_dir))
 
 
 def line_versions(spark: SparkSession) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import CounterConfig
 from ..functions import geometry as g
 from ..operators import assoc, control, ingest, lifecycle, metrics, tracks, transitions
-from ..sources import jpeg, settings
+from ..sources import control_tables, jpeg, settings
 from . import event_tables as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,15 +93,26 @@ def detections_topk(spark, d):
 
 @query(
     "flatten_batches",
-    f"WITH {ev.OBS} SELECT t, CAST(0 AS BIGINT) AS frame_seq, 0 AS obj_seq, source_id, class_id, track_id, \"left\", top, width, height FROM obs",
+    f"""WITH {ev.OBS}, b AS (SELECT *, CAST(floor(t / 86400000000) AS BIGINT) AS day FROM obs),
+    f AS (SELECT *, dense_rank() OVER (PARTITION BY day ORDER BY source_id) - 1 AS f, row_number() OVER (PARTITION BY day, source_id ORDER BY frame_seq) - 1 AS o FROM b)
+    SELECT day AS t, f AS frame_seq, CAST(o AS INTEGER) AS obj_seq, source_id, class_id, track_id, "left", top, width, height FROM f""",
 )
 def flatten_batches(spark, d):
-    """Nests every event as a batch of one frame with one object, unsigned ids and all, and flattens it again."""
-    obs = ev.observations(spark, d)
-    rect = F.struct("left", "top", "width", "height").alias("rect")
+    """Nests the events of a day as a batch of a frame for each source, unsigned ids and all, and flattens it again."""
+    obs = ev.observations(spark, d).withColumn("day", F.floor(F.col("t") / 86_400_000_000))
     raw = F.coalesce(F.col("track_id").cast("decimal(20,0)"), F.lit(ingest.UNTRACKED).cast("decimal(20,0)")).alias("object_id")
-    objects = F.array(F.struct("class_id", raw, rect)).alias("objects")
-    return ingest.flatten_batches(obs.select("t", F.array(F.struct("source_id", objects)).alias("frames")))
+    one = F.struct("frame_seq", "class_id", raw, F.struct("left", "top", "width", "height").alias("rect"))
+    frames = obs.groupBy("day", "source_id").agg(F.sort_array(F.collect_list(one)).alias("objects"))
+    return ingest.flatten_batches(frames.groupBy(F.col("day").alias("t")).agg(F.sort_array(F.collect_list(F.struct("source_id", "objects"))).alias("frames")))
+
+
+@query(
+    "letterbox_scaled",
+    f"WITH {ev.OBS} SELECT t, frame_seq, \"left\" * CAST(0.5 AS DOUBLE) AS x, top * CAST(0.5 AS DOUBLE) + CAST(140 AS DOUBLE) AS y, width * CAST(0.5 AS DOUBLE) AS w, height * CAST(0.5 AS DOUBLE) AS h FROM obs",
+)
+def letterbox_scaled(spark, d):
+    box = g.letterbox(F.col("left"), F.col("top"), F.col("width"), F.col("height"), (1280, 720), (640, 640))
+    return ev.observations(spark, d).select("t", "frame_seq", box["left"].alias("x"), box["top"].alias("y"), box["width"].alias("w"), box["height"].alias("h"))
 
 
 @query("letterbox_boxes", f"WITH {ev.OBS} SELECT t, frame_seq, \"left\" * CAST(1 AS DOUBLE) + CAST(0 AS DOUBLE) AS x, top * CAST(1 AS DOUBLE) + CAST(8 AS DOUBLE) AS y, width * CAST(1 AS DOUBLE) AS w, height * CAST(1 AS DOUBLE) AS h FROM obs")
@@ -214,7 +225,8 @@ def lines_gate(spark, d):
 
 @query("lines_versioned_counts", f"WITH {ev.WITH_VERSIONS}{ev.steps_sql('gated_ticked', lines=False)} {ev.COUNTS} FROM happened")
 def lines_versioned_counts(spark, d):
-    gated = ingest.with_prev_tick(control.with_lines(ev.observations(spark, d), ev.line_versions(spark)))
+    versions = ev.line_versions(spark)
+    gated = ingest.with_prev_tick(control.with_lines(ev.observations(spark, d), versions), control.with_lines(ev.frames(spark, d), versions))
     return metrics.totals(transitions.crossing_events(gated, "line1", "line2", ev.CONFIG))
 
 
@@ -268,28 +280,26 @@ _RATES = f"""rates AS (
 )"""
 
 
-@query("fps_windows", f"WITH RECURSIVE {ev.OBS}, {_RATES} SELECT source_id, closed_at, frames, elapsed_us FROM windows")
-def fps_windows(spark, d):
-    return metrics.fps_windows(ev.observations(spark, d), ev.CONFIG).select("source_id", "closed_at", "frames", "elapsed_us")
+#: Frames per hour, rounded as decimal output rounds the binary value.
+_FPS = f"CAST(printf('%.2f', frames / (elapsed_us / CAST({ev.CONFIG.fps_unit_us} AS DOUBLE))) AS DOUBLE)"
 
 
-def _minute_rates(spark: SparkSession, d: str) -> DataFrame:
-    """Rates per hour rather than per second: events are far apart."""
-    windows = metrics.fps_windows(ev.observations(spark, d), ev.CONFIG)
-    return windows.withColumn("fps", F.round(F.col("frames") * F.lit(3.6e9) / F.col("elapsed_us"), 2))
+@query("fps_windows", f"WITH RECURSIVE {ev.OBS}, {_RATES} SELECT source_id, closed_at, frames, elapsed_us, {_FPS} AS fps FROM windows")
+def fps_windows(spark, d):
+    return metrics.fps_windows(ev.frames(spark, d), ev.CONFIG)
 
 
-_LAST = f"{_RATES}, last AS (SELECT source_id, arg_max(round(frames * CAST(3.6e9 AS DOUBLE) / elapsed_us, 2), closed_at) AS fps FROM windows GROUP BY source_id)"
+_LAST = f"{_RATES}, last AS (SELECT source_id, arg_max({_FPS}, closed_at) AS fps FROM windows GROUP BY source_id)"
 
 
 @query("fps_by_source", f"WITH RECURSIVE {ev.OBS}, {_LAST} SELECT source_id, fps FROM last")
 def fps_by_source(spark, d):
-    return metrics.fps_by_source(_minute_rates(spark, d))
+    return metrics.fps_by_source(metrics.fps_windows(ev.frames(spark, d), ev.CONFIG))
 
 
-@query("fps_total", f"WITH RECURSIVE {ev.OBS}, {_LAST} SELECT round(sum(fps ORDER BY source_id), 1) AS fps FROM last")
+@query("fps_total", f"WITH RECURSIVE {ev.OBS}, {_LAST} SELECT CAST(printf('%.2f', sum(fps ORDER BY source_id)) AS DOUBLE) AS fps FROM last")
 def fps_total(spark, d):
-    return metrics.fps_total(fps_by_source(spark, d)).select(F.round("fps", 1).alias("fps"))
+    return metrics.fps_total(fps_by_source(spark, d))
 
 
 @query("fps_map", f"WITH RECURSIVE {ev.OBS}, {_LAST} SELECT string_agg(source_id || '=' || CAST(fps * 100 AS BIGINT), ',' ORDER BY source_id) AS rates FROM last")
@@ -298,23 +308,54 @@ def fps_map(spark, d):
     return metrics.fps_map(fps_by_source(spark, d)).select(F.array_join(entries, ",").alias("rates"))
 
 
-@query("state_snapshot", _with(f"{ev.COUNTS}, (SELECT max(t) / CAST(1e6 AS DOUBLE) FROM obs) AS updated_at FROM happened"))
+_STATE = f"""{_LAST}, counts AS ({ev.COUNTS} FROM happened), rate AS (
+  SELECT CAST(printf('%.2f', coalesce(sum(fps ORDER BY source_id), 0)) AS DOUBLE) AS fps,
+         coalesce(string_agg('"' || source_id || '":' || CAST(fps AS VARCHAR), ',' ORDER BY CAST(source_id AS VARCHAR)), '') AS each FROM last
+), clock AS (
+  SELECT max(t) // 1000000 || '.' || lpad(CAST(max(t) % 1000000 AS VARCHAR), 6, '0') AS stamp FROM obs
+)"""
+_STATE_JSON = """'{"entries":' || entries || ',"exits":' || exits || ',"footfall":' || footfall || ',"fps":' || CAST(fps AS VARCHAR)
+  || ',"fps_by_source":{' || each || '},"updated_at":' || stamp"""
+
+
+def _with_state(select: str) -> str:
+    return f"WITH RECURSIVE {ev.TICKED}{ev.steps_sql()}, {_STATE} {select} FROM counts, rate, clock"
+
+
+def _state(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.state_snapshot(_events(spark, d), fps_by_source(spark, d), ev.frames(spark, d))
+
+
+@query("state_snapshot", _with_state("SELECT entries, exits, footfall, fps, '{' || each || '}' AS fps_by_source, CAST(stamp AS DECIMAL(18, 6)) AS updated_at"))
 def state_snapshot(spark, d):
-    frames = ev.observations(spark, d)
-    return metrics.state_snapshot(_events(spark, d), fps_by_source(spark, d), frames).select("entries", "exits", "footfall", "updated_at")
+    return _state(spark, d).withColumn("fps_by_source", F.to_json("fps_by_source"))
 
 
-@query("state_snapshot_json")
+@query("state_snapshot_json", _with_state(f"SELECT {_STATE_JSON} || '}}' AS json"))
 def state_snapshot_json(spark, d):
-    return metrics.as_json(metrics.state_snapshot(_events(spark, d), fps_by_source(spark, d), ev.observations(spark, d)))
+    return metrics.as_json(_state(spark, d))
+
+
+def _lines_text(version: tuple) -> str:
+    import json
+
+    each = [None if version[1] is None else [[x.x1, x.y1], [x.x2, x.y2]] for x in version[1] or (None, None)]
+    return json.dumps({"width": 1280, "height": 720, "line1": each[0], "line2": each[1]}, separators=(",", ":"))
+
 
+@query("api_lines", f"SELECT '{_lines_text(ev.VERSIONS[-1])}' AS json FROM (SELECT 1)")
+def api_lines(spark, d):
+    """The lines in force, as they are served."""
+    row = ev.line_versions(spark).withColumn("row", F.struct("valid_from", "line1", "line2"))
+    return control_tables.lines_json(control.latest(row, "valid_from", "row").select("row.*")).select("json")
 
-@query("api_state")
+
+@query("api_state", _with_state(f"SELECT {_STATE_JSON} || ',\"lines\":' || '{_lines_text(ev.VERSIONS[-1])}' || '}}' AS json"))
 def api_state(spark, d):
     """The state with the lines in force nested into it."""
-    lines = control.latest(ev.line_versions(spark).withColumn("lines", F.struct("line1", "line2")), "valid_from", "lines").scalar()
-    state = metrics.state_snapshot(_events(spark, d), fps_by_source(spark, d), ev.observations(spark, d))
-    return metrics.as_json(state.withColumn("lines", lines))
+    row = ev.line_versions(spark).withColumn("row", F.struct("valid_from", "line1", "line2"))
+    lines = control_tables.lines_rows(control.latest(row, "valid_from", "row").select("row.*")).select("lines").scalar()
+    return metrics.as_json(_state(spark, d).withColumn("lines", lines))
 
 
 @query("latest_by_source", f"WITH {ev.OBS} SELECT source_id, max(t) AS t, arg_max(frame_seq, t) AS frame_seq FROM obs GROUP BY source_id")
@@ -463,13 +504,13 @@ def targets_topk(spark, d):
     "cosine_reid",
     """WITH e AS (SELECT vec_id AS track, label AS g, vec_id AS frame, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
     p AS (SELECT b.g AS label, b.track AS new, a.track AS old, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) / (sqrt(list_sum(list_transform(a.v, lambda x: x * x))) * sqrt(list_sum(list_transform(b.v, lambda x: x * x)))) AS similarity
-      FROM e a JOIN e b ON a.g = b.g AND b.frame > a.frame AND b.frame - a.frame <= 90 WHERE a.track % 2 = 0 AND b.track % 2 = 1),
+      FROM e a JOIN e b ON a.g = b.g AND b.frame > a.frame AND b.frame - a.frame <= 90),
     r AS (SELECT *, row_number() OVER (PARTITION BY label, new ORDER BY similarity DESC, old) AS k FROM p WHERE similarity >= CAST('0.0771' AS DOUBLE))
     SELECT label, new, old, round(similarity, 6) AS similarity FROM r WHERE k = 1""",
 )
 def cosine_reid(spark, d):
     vectors = spark.read.parquet(f"{d}/embeddings.parquet").select("label", F.col("vec_id").alias("track"), F.col("vec_id").alias("frame"), "embedding")
-    found = assoc.reassociate(vectors.where("track % 2 = 0"), vectors.where("track % 2 = 1"), "label")
+    found = assoc.reassociate(vectors, vectors, "label")  # an older track has an earlier frame
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -516,10 +557,11 @@ def mjpeg_parts(spark, d):
     return jpeg.multipart(jpeg.jpeg_frames(_chunks(spark, d))).select("stream", "seq", F.octet_length("part").cast("long").alias("part_bytes"))
 
 
-@query("snapshot", f"{_JPEG} SELECT body, true AS available FROM j WHERE stream = 0 ORDER BY seq DESC LIMIT 1")
+@query("snapshot", f"{_JPEG} SELECT stream, arg_max(body, seq) AS body, true AS available FROM j GROUP BY stream")
 def snapshot(spark, d):
-    one = jpeg.snapshot(jpeg.jpeg_frames(_chunks(spark, d)).where("stream = 0"))
-    return one.select(F.expr("cast(substring(jpeg, 3, octet_length(jpeg) - 4) as string)").alias("body"), "available")
+    """The latest frame of every stream."""
+    one = jpeg.snapshots(jpeg.jpeg_frames(_chunks(spark, d)))
+    return one.select("stream", F.expr("cast(substring(jpeg, 3, octet_length(jpeg) - 4) as string)").alias("body"), "available")
 
 
 @query("stream_counts", _with(f"{ev.COUNTS} FROM happened"))
@@ -530,6 +572,18 @@ def stream_counts(spark, d):
     return metrics.totals(replay.replay_events(ev.ticked(spark, d), ev.LINE1, ev.LINE2, ev.CONFIG))
 
 
+@query("live_counts", f"WITH RECURSIVE {ev.WITH_VERSIONS}{ev.steps_sql('gated_ticked', lines=False)}, {_LAST}, c AS ({ev.COUNTS} FROM happened WHERE t > {max(ev.RESETS)}) SELECT c.*, r.fps FROM c, (SELECT CAST(printf('%.2f', sum(fps ORDER BY source_id)) AS DOUBLE) AS fps FROM last) r")
+def live_counts(spark, d):
+    """Events as files of batches through the live queries, stopped and started in between: lines, ticks, resets and rates all found on the way."""
+    from ..streaming import replay
+
+    box = F.struct("left", "top", "width", "height").alias("rect")
+    raw = F.coalesce(F.col("track_id").cast("decimal(20,0)"), F.lit(ingest.UNTRACKED).cast("decimal(20,0)")).alias("object_id")
+    objects = F.array(F.struct("class_id", raw, box)).alias("objects")
+    batches = ev.observations(spark, d).select("t", F.array(F.struct("source_id", objects)).alias("frames"))
+    return replay.live_state(batches, ev.line_versions(spark), ev.resets(spark), ev.CONFIG)
+
+
 def queries() -> dict[str, Query]:
     return dict(_spark)
 

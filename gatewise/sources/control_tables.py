@@ -25,13 +25,18 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.unionByName(start)
 
 
-def lines_json(version: DataFrame) -> DataFrame:
-    """Versions in the JSON form of the edge, with the frame size stamped in."""
+def lines_rows(version: DataFrame) -> DataFrame:
+    """(valid_from, lines): versions in the shape of the JSON edge, with the frame size stamped in."""
+
     def points(c):
         return F.when(F.col(c).isNotNull(), F.array(F.array(f"{c}.x1", f"{c}.y1"), F.array(f"{c}.x2", f"{c}.y2")))
 
     body = F.struct(F.lit(FRAME[0]).alias("width"), F.lit(FRAME[1]).alias("height"), points("line1").alias("line1"), points("line2").alias("line2"))
-    return version.select("valid_from", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+    return version.select("valid_from", body.alias("lines"))
+
+
+def lines_json(version: DataFrame) -> DataFrame:
+    return lines_rows(version).select("valid_from", F.to_json("lines", {"ignoreNullFields": "false"}).alias("json"))
 
 
 def append_reset(spark: SparkSession, path: str, at_us: int) -> None:

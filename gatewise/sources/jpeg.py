@@ -56,6 +56,11 @@ def snapshot(frames: DataFrame) -> DataFrame:
     return last.select("jpeg", F.col("jpeg").isNotNull().alias("available"))
 
 
+def snapshots(frames: DataFrame) -> DataFrame:
+    """(stream, jpeg, available): the latest frame of each stream."""
+    return frames.groupBy("stream").agg(F.max_by("jpeg", "seq").alias("jpeg")).withColumn("available", F.col("jpeg").isNotNull())
+
+
 def multipart(frames: DataFrame) -> DataFrame:
     """Each frame as a part of a multipart stream."""
     head = F.concat(F.lit("--frame\r\nContent-Type: image/jpeg\r\nContent-Length: "), F.octet_length("jpeg").cast("string"), F.lit("\r\n\r\n"))

@@ -90,7 +90,7 @@ def camera_rows(text: str | None) -> list[tuple]:
 def requested_ids(spark: SparkSession, wanted: str) -> DataFrame:
     """(pos, id) of a comma list: trimmed, blanks dropped, order and repeats kept."""
     one = spark.range(1).select(F.posexplode(F.split(F.lit(wanted), ",")).alias("pos", "id"))
-    return one.select("pos", F.trim("id").alias("id")).where("id <> ''")
+    return one.select("pos", _stripped("id").alias("id")).where("id <> ''")
 
 
 def select_cameras(requested: DataFrame, registry: DataFrame) -> DataFrame:
@@ -138,10 +138,47 @@ def _by_position():
 
 def parse_env(lines: DataFrame, column: str = "value") -> DataFrame:
     """(key, value) of ``KEY=value`` lines: blanks and comments skipped, split once, quotes stripped."""
-    text = lines.select(F.trim(F.col(column)).alias("line")).where("line <> '' and not startswith(line, '#') and contains(line, '=')")
+    text = lines.select(_stripped(column).alias("line")).where("line <> '' and not startswith(line, '#') and contains(line, '=')")
     parts = F.split("line", "=", 2)
-    value = F.regexp_replace(F.regexp_replace(F.trim(parts[1]), '^"+|"+$', ""), "^'+|'+$", "")
-    return text.select(F.trim(parts[0]).alias("key"), value.alias("value"))
+    value = F.regexp_replace(F.regexp_replace(_stripped(parts[1]), '^"+|"+$', ""), "^'+|'+$", "")
+    return text.select(_stripped(parts[0]).alias("key"), value.alias("value"))
+
+
+def _stripped(text):
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^[\s\x1c-\x1f\x85\xa0]+|[\s\x1c-\x1f\x85\xa0]+$", "")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small settings file, whole; None if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def read_cameras(spark: SparkSession, path: str) -> DataFrame:
+    """The camera registry of a YAML file; empty if it is missing."""
+    return cameras(spark, camera_rows(read_text(spark, path)))
+
+
+def read_env(spark: SparkSession, path: str) -> DataFrame:
+    """(key, value) of an environment file; empty if it is missing."""
+    text = read_text(spark, path)
+    return parse_env(spark.createDataFrame([(x,) for x in (text or "").splitlines()], "value string"))
+
+
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """(class_id, label) of a file with a label a line; the line number is the class id."""
+    return labels(spark, [x.strip() for x in (read_text(spark, path) or "").splitlines()])
+
+
+def read_detector(spark: SparkSession, path: str) -> DetectorSettings:
+    return DetectorSettings.read(read_text(spark, path) or "")
+
+
+def read_tracker(spark: SparkSession, path: str) -> DataFrame:
+    return tracker_parameters(spark, read_text(spark, path) or "")
 
 
 def overlay_env(file_values: DataFrame, process: DataFrame) -> DataFrame:
@@ -150,8 +187,9 @@ def overlay_env(file_values: DataFrame, process: DataFrame) -> DataFrame:
     return file_values.join(over, "key", "left").select("key", F.coalesce("_over", "value").alias("value"))
 
 
-def labels(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(LABELS)), "class_id int, label string")
+def labels(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
+    """The label dimension; ``names`` default to the fixed ones."""
+    return spark.createDataFrame(list(enumerate(LABELS if names is None else names)), "class_id int, label string")
 
 
 @dataclass(frozen=True)

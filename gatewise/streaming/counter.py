@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import CounterConfig, Line
@@ -27,23 +28,24 @@ _STATE = "rows binary, track binary"
 class TrackFold:
     """The state of one track and what an observation does to it."""
 
-    def __init__(self, line1: Line, line2: Line, config: CounterConfig):
+    def __init__(self, line1: Line | None, line2: Line | None, config: CounterConfig):
         self.lines, self.config = (line1, line2), config
 
-    def _crossed(self, before: tuple[float, float], after: tuple[float, float]) -> int | None:
-        for number, line in enumerate(self.lines, 1):
+    @staticmethod
+    def _crossed(lines: tuple, before: tuple[float, float], after: tuple[float, float]) -> int | None:
+        for number, line in enumerate(lines, 1):
             a, b = ((line.x2 - line.x1) * (y - line.y1) - (line.y2 - line.y1) * (x - line.x1) for x, y in (before, after))
             if a == 0 or b == 0 or (a < 0) != (b < 0):
                 return number
         return None
 
-    def step(self, track: dict | None, t: int, prev_tick: int | None, point: tuple[float, float]) -> tuple[dict, str | None]:
+    def step(self, track: dict | None, t: int, prev_tick: int | None, point: tuple[float, float], lines: tuple | None = None) -> tuple[dict, str | None]:
         """The track after the observation, and "entry" or "exit" if it completes one."""
         if track and track["seen"] < t and prev_tick is not None and prev_tick - track["seen"] > self.config.ttl_us:
             track = None
         if track is None:
             return {"point": point, "line": None, "at": t, "seen": t}, None
-        kind, number = None, self._crossed(track["point"], point)
+        kind, number = None, self._crossed(lines or self.lines, track["point"], point)
         line, at = track["line"], track["at"]
         if number is not None:
             if line is not None and line != number and t - at <= self.config.window_us:
@@ -53,27 +55,37 @@ class TrackFold:
         return {"point": point, "line": line, "at": at, "seen": t}, kind
 
 
-def crossing_stream(observations: DataFrame, line1: Line, line2: Line, config: CounterConfig, delay: str = "0 seconds") -> DataFrame:
+_ENDS = [f"line{n}.{c}" for n in (1, 2) for c in ("x1", "y1", "x2", "y2")]
+
+
+def crossing_stream(observations: DataFrame, line1: Line | None, line2: Line | None, config: CounterConfig, delay: str = "0 seconds") -> DataFrame:
     """Append-mode events from streaming observations with ``prev_tick`` and ``at`` (the time as a timestamp).
 
-    Rows behind the watermark are dropped. The last rows of a stream come out only when
-    later rows, of any track, move the watermark past them.
+    With lines of None the rows bring their own, as structs ``line1`` and ``line2``. Rows
+    behind the watermark are dropped (``late_rows`` counts them). The last rows of a stream
+    come out only when later rows, of any track, move the watermark past them.
     """
     fold = TrackFold(line1, line2, config)
     ttl = config.ttl_us
+    own_lines = line1 is None
+    names = ["t", "frame_seq", "obj_seq", "prev_tick", "px", "py", *(f"_l{i}" for i in range(8) if own_lines)]
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         waiting, track = (pickle.loads(x) for x in state.get) if state.exists else ([], None)
         for f in frames:
-            waiting += list(zip(f.t, f.frame_seq, f.obj_seq, f.prev_tick.astype("object").where(f.prev_tick.notna(), None), f.px, f.py, strict=True))
+            f = f.assign(prev_tick=f.prev_tick.astype("object").where(f.prev_tick.notna(), None))
+            waiting += list(zip(*(f[c] for c in names), strict=True))
         upto = state.getCurrentWatermarkMs() * 1000
         waiting.sort(key=lambda r: r[:3])
-        out = []
-        while waiting and waiting[0][0] < upto:
-            t, frame, obj, tick, x, y = waiting.pop(0)
-            track, kind = fold.step(track, int(t), None if tick is None else int(tick), (float(x), float(y)))
+        out, done = [], 0
+        while done < len(waiting) and waiting[done][0] < upto:
+            t, frame, obj, tick, x, y, *ends = waiting[done]
+            done += 1
+            lines = (Line(*ends[:4]), Line(*ends[4:])) if own_lines else None
+            track, kind = fold.step(track, int(t), None if tick is None else int(tick), (float(x), float(y)), lines)
             if kind:
                 out.append((int(t), int(frame), int(obj), int(key[0]), int(key[1]), kind))
+        waiting = waiting[done:]
         if waiting:
             due = int(waiting[0][0]) // 1000 + 1
         elif track and track["seen"] + 2 * ttl > upto:
@@ -89,30 +101,75 @@ def crossing_stream(observations: DataFrame, line1: Line, line2: Line, config: C
         yield pd.DataFrame(out, columns=["t", "frame_seq", "obj_seq", "source_id", "track_id", "kind"])
 
     points = with_foot_point(tracked(persons(observations)), config).withWatermark("at", delay)
-    slim = points.select("source_id", "track_id", "t", "frame_seq", "obj_seq", F.col("prev_tick").cast("double"), "px", "py", "at")
+    ends = [F.col(c).alias(f"_l{i}") for i, c in enumerate(_ENDS)] if own_lines else []
+    slim = points.select("source_id", "track_id", "t", "frame_seq", "obj_seq", F.col("prev_tick").cast("double"), "px", "py", *ends, "at")
     return slim.groupBy("source_id", "track_id").applyInPandasWithState(run, EVENT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def write_state(batch: DataFrame, epoch: int, path: str) -> None:
-    """A ``foreachBatch`` sink that keeps one small JSON state file, replaced as a whole."""
-    from ..operators.metrics import totals
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a running or finished query dropped because they came behind the watermark."""
+    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in json.loads(p.json)["stateOperators"])
+
+
+# ---- the state file
+
+FIRST_STATE = {"entries": 0, "exits": 0, "footfall": 0, "fps": 0.0, "fps_by_source": {}, "updated_at": 0, "epoch": -1, "reset_at": None}
 
-    spark = batch.sparkSession
-    row = totals(batch).first().asDict()
+
+def read_state(spark: SparkSession, path: str) -> dict:
+    """The state file with defaults for what it lacks; all defaults if it is missing or broken."""
     fs = spark._jvm.org.apache.hadoop.fs
+    target = fs.Path(path)
+    state = dict(FIRST_STATE)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        try:
+            held = json.loads("\n".join(r[0] for r in spark.read.text(path).collect()))
+            state |= {k: held[k] for k in FIRST_STATE if k in held}
+            state |= {k: int(state[k]) for k in ("entries", "exits", "footfall")} | {"fps": float(state["fps"])}
+        except (ValueError, TypeError):
+            return dict(FIRST_STATE)
+    return state
+
+
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write ``text`` beside ``path`` and move it there in one step: readers see the old file or the new one."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs
     target, temporary = fs.Path(path), fs.Path(path + ".tmp")
-    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if system.exists(target):
-        held = json.loads("\n".join(r[0] for r in spark.read.text(path).collect()))
-        if held["epoch"] >= epoch:
-            return  # the batch is being replayed
-        row = {k: row[k] + held[k] for k in ("entries", "exits")}
-    row |= {"footfall": max(0, row["entries"] - row["exits"]), "epoch": epoch}
-    out = system.create(temporary, True)
-    out.write(bytearray(json.dumps(row, separators=(",", ":")).encode()))
+    out = target.getFileSystem(conf).create(temporary, True)
+    out.write(bytearray(text.encode()))
     out.close()
-    system.delete(target, False)
-    system.rename(temporary, target)
+    kind = getattr(fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    context = fs.FileContext.getFileContext(target.getFileSystem(conf).getUri(), conf)
+    context.rename(context.makeQualified(temporary), context.makeQualified(target), how)
+
+
+def write_state(batch: DataFrame, epoch: int, path: str, resets: DataFrame | None = None, rates: DataFrame | None = None, updated_at: float | None = None) -> None:
+    """A ``foreachBatch`` sink that keeps one small JSON state file, replaced in one step.
+
+    ``batch`` holds new crossing events, ``rates`` (source_id, fps) the latest rates.
+    Counts are those after the last of ``resets`` (t); tracks live on. A batch that is
+    replayed changes nothing.
+    """
+    from ..operators.metrics import fps_total, totals
+
+    state = read_state(batch.sparkSession, path)
+    if state["epoch"] >= epoch:
+        return
+    reset_at = resets.agg(F.max("t")).first()[0] if resets is not None else None
+    if reset_at is not None and (state["reset_at"] is None or reset_at > state["reset_at"]):
+        state |= {"entries": 0, "exits": 0, "reset_at": reset_at}
+    new = totals(batch if state["reset_at"] is None else batch.where(F.col("t") > state["reset_at"])).first()
+    state |= {k: state[k] + new[k] for k in ("entries", "exits")}
+    if rates is not None:
+        known = rates.where("fps is not null")
+        state |= {"fps": fps_total(known).first()[0], "fps_by_source": {str(r.source_id): r.fps for r in known.orderBy("source_id").collect()}}  # a row for each source
+    if updated_at is not None:
+        state["updated_at"] = updated_at
+    state |= {"footfall": max(0, state["entries"] - state["exits"]), "epoch": epoch}
+    replace_file(batch.sparkSession, path, json.dumps(state, separators=(",", ":")))
 
 
 def ship() -> None:

@@ -15,8 +15,9 @@ HEARTBEAT_TRACK = -1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where driver and executors both see files: ``spark.checkpoint.dir``, or a folder of a local session."""
-    path = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/") + f"/gatewise/replay-{uuid.uuid4().hex}"
+    """Where driver and executors both see files: ``spark.checkpoint.dir``, else the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
+    path = root.rstrip("/") + f"/gatewise/replay-{uuid.uuid4().hex}"
     atexit.register(_drop, spark, path)
     return path
 
@@ -42,14 +43,40 @@ def replay_events(ticked: DataFrame, line1: Line, line2: Line, config: CounterCo
     if first is None:
         return spark.createDataFrame([], EVENT)
     step = (last - first) // files + 1
-    for k in range(files):  # one file after another, so that the file source meets them in time order
+    for k in range(files):  # one folder after another, so that the file source meets them in time order
         part = rows.where((F.col("t") >= first + k * step) & (F.col("t") < first + (k + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        part.write.mode("append").parquet(f"{root}/in")
     beat = {"t": last + 4 * config.ttl_us, "track_id": HEARTBEAT_TRACK, "source_id": -1}
     one = spark.range(1).select(*[F.lit(beat.get(c, 0)).cast(rows.schema[c].dataType).alias(c) for c in names])
     one.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/in")
     events = crossing_stream(stream.withColumn("at", F.timestamp_micros("t")), line1, line2, config, delay="1 hour")
     done = events.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     done.awaitTermination()
     return spark.read.schema(events.schema).parquet(f"{root}/out").where(F.col("track_id") != HEARTBEAT_TRACK)
+
+
+def live_state(batches: DataFrame, versions: DataFrame, resets: DataFrame, config: CounterConfig, slices: int = 2) -> DataFrame:
+    """One row, the state file after ``batches`` (t, frames) went through both live queries slice by slice.
+
+    The queries stop and start again between the slices. A last batch without objects,
+    long after the others, moves time past the end.
+    """
+    from ..sources.streams import batch_stream
+    from .counter import read_state
+    from .live import start_counter, start_ticker
+
+    spark = batches.sparkSession
+    root = shared_folder(spark)
+    first, last = batches.agg(F.min("t"), F.max("t")).first()
+    step = ((last or 0) - (first or 0)) // slices + 1
+    for k in range(slices + 1):
+        if first is not None and k < slices:
+            part = batches.where((F.col("t") >= first + k * step) & (F.col("t") < first + (k + 1) * step))
+        else:
+            part = batches.limit(0) if first is None else spark.range(1).select(F.lit(last + 4 * config.ttl_us).alias("t"), F.expr("array()").cast(batches.schema["frames"].dataType).alias("frames"))
+        part.write.mode("append").json(f"{root}/in")
+        start_ticker(batch_stream(spark, f"{root}/in"), f"{root}/live", lambda: versions, config, availableNow=True).awaitTermination()
+        start_counter(spark, f"{root}/live", f"{root}/state.json", lambda: resets, config, availableNow=True).awaitTermination()
+    state = read_state(spark, f"{root}/state.json")
+    return spark.createDataFrame([(state["entries"], state["exits"], state["footfall"], state["fps"])], "entries long, exits long, footfall long, fps double")

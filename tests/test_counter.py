@@ -92,10 +92,27 @@ def trial(seed):
 @pytest.mark.parametrize("seed", range(12))
 def test_windows_equal_fold(spark, seed):
     rows, config = trial(seed)
-    events = crossing_events(with_prev_tick(spark.createDataFrame(rows, OBSERVATION), 7 * SECOND), L1, L2, config)
+    events = crossing_events(with_prev_tick(spark.createDataFrame(rows, OBSERVATION), bucket_us=7 * SECOND), L1, L2, config)
     assert sorted(map(tuple, events.collect())) == folded(rows, (L1, L2), config)
 
 
+def test_empty_frames_forget_a_track(spark):
+    """A frame without objects ticks like any other: the track of 0 s is gone at 131 s, so nothing links."""
+    rows = spark.createDataFrame(script((0, 0.3), (131, 0.5), (132, 0.7)), OBSERVATION)
+    frames = spark.createDataFrame([(round(t * SECOND),) for t in (0, 121, 131, 132)], "t long")
+    assert tuple(totals(crossing_events(with_prev_tick(rows, frames), L1, L2, CONFIG)).first()) == (0, 0, 0)
+    early = frames.where(f"t <> {121 * SECOND}").union(spark.createDataFrame([(120 * SECOND,)], "t long"))
+    assert tuple(totals(crossing_events(with_prev_tick(rows, early), L1, L2, CONFIG)).first()) == (1, 0, 1)
+
+
+def test_no_window_orders_the_observations_by_time(spark):
+    ticked = with_prev_tick(spark.createDataFrame(script(*S01), OBSERVATION))
+    plan = ticked._jdf.queryExecution().optimizedPlan().toString()
+    below = [line for line in plan.split("\n") if "Window [" in line]
+    assert below
+    assert all("left" not in line and "track_id" not in line for line in below)
+
+
 def test_first_sighting_on_a_line(spark):
     assert count(spark, script((0, 0.4), (1, 0.7)), (L1, L2)) == (0, 0, 0)
     assert count(spark, script((0, 0.6), (1, 0.3)), (L1, L2)) == (0, 0, 0)

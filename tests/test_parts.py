@@ -170,14 +170,76 @@ def test_files_of_batches_as_stream_and_table(spark, tmp_path):
 def test_state_file(spark, tmp_path):
     import json
 
-    from gatewise.streaming.counter import write_state
+    from gatewise.streaming.counter import read_state, write_state
 
     path = str(tmp_path / "state.json")
+    held = lambda: json.loads((tmp_path / "state.json").read_text())
     rows = spark.createDataFrame([(1, "entry"), (2, "entry"), (3, "exit")], "t long, kind string")
+    rates = spark.createDataFrame([(0, 1.25), (3, 2.5), (4, None)], "source_id int, fps double")
     write_state(rows, 0, path)
     write_state(rows, 0, path)  # a replayed batch changes nothing
-    write_state(rows, 1, path)
-    assert json.loads((tmp_path / "state.json").read_text()) == {"entries": 4, "exits": 2, "footfall": 2, "epoch": 1}
+    write_state(rows, 1, path, rates=rates, updated_at=7.5)
+    assert held() == {"entries": 4, "exits": 2, "footfall": 2, "fps": 3.75, "fps_by_source": {"0": 1.25, "3": 2.5}, "updated_at": 7.5, "epoch": 1, "reset_at": None}
+    resets = spark.createDataFrame([(2,)], "t long")
+    write_state(rows, 2, path, resets)
+    assert {k: held()[k] for k in ("entries", "exits", "footfall", "fps", "reset_at")} == {"entries": 0, "exits": 1, "footfall": 0, "fps": 3.75, "reset_at": 2}
+    write_state(rows, 3, path, resets)
+    assert held()["exits"] == 2
+    (tmp_path / ".state.json.crc").unlink(missing_ok=True)
+    (tmp_path / "state.json").write_text("{broken")
+    assert read_state(spark, path)["entries"] == 0
+    assert read_state(spark, str(tmp_path / "none.json"))["fps_by_source"] == {}
+
+
+def test_live_counting_with_a_restart(spark, tmp_path):
+    """Lines change, nobody is seen for a while, a reset comes in: counted as the reference scenario has it."""
+    import json
+
+    from gatewise.config import Line
+    from gatewise.sources import control_tables as c
+    from gatewise.sources import streams
+    from gatewise.streaming import live
+    from gatewise.streaming.counter import read_state
+
+    inside, root, state = tmp_path / "in", str(tmp_path / "live"), str(tmp_path / "state.json")
+    inside.mkdir()
+    config = CounterConfig(width=1.0, height=1.0)
+    raw = lambda a, b: json.dumps({"line1": [[0, a], [1, a]], "line2": [[0, b], [1, b]]})
+    c.append_lines(spark, str(tmp_path / "lines"), raw(0.4, 0.6), 0)
+    c.append_lines(spark, str(tmp_path / "lines"), raw(0.1, 0.2), 500 * SECOND)
+
+    def put(n, t, *people):
+        objects = [{"class_id": 0, "object_id": k, "rect": {"left": 0.5, "top": y, "width": 0.0, "height": 0.0}} for k, y in people]
+        (inside / f"{n:03d}.json").write_text(json.dumps({"t": round(t * SECOND), "frames": [{"source_id": 0, "objects": objects}]}))
+
+    def run():
+        spark_versions = lambda: c.read_lines(spark, str(tmp_path / "lines"))
+        live.start_ticker(streams.batch_stream(spark, str(inside)), root, spark_versions, config, availableNow=True).awaitTermination()
+        query = live.start_counter(spark, root, state, lambda: c.read_resets(spark, str(tmp_path / "resets")), config, availableNow=True)
+        query.awaitTermination()
+        return query
+
+    for n, (t, y) in enumerate([(1, 0.3), (2, 0.5), (3, 0.7), (4, 0.5)]):
+        put(n, t, (7, y), (8, 0.3))
+    put(10, 5, (8, 0.5))
+    run()
+    put(11, 6, (7, 0.3))  # 7 goes out again, after the restart
+    put(12, 140)  # nobody: 8 is forgotten
+    put(13, 200, (8, 0.7))
+    put(14, 501, (9, 0.05))
+    put(15, 502, (9, 0.15))
+    put(16, 503, (9, 0.3))  # in over the new lines
+    put(17, 5000)
+    run()
+    got = read_state(spark, state)
+    assert (got["entries"], got["exits"], got["footfall"]) == (2, 1, 1)
+    assert got["updated_at"] == 5000
+    assert got["fps_by_source"] == {"0": round(1 / (5000 - 503), 2)}
+    c.append_reset(spark, str(tmp_path / "resets"), 400 * SECOND)
+    put(18, 6000)
+    run()
+    assert read_state(spark, state)["entries"] == 0  # what was counted before the reset was seen is gone
+    assert Line(*spark.read.schema(live.SEEN).option("recursiveFileLookup", "true").parquet(f"{root}/observations").where("track_id = 9").first().line1).y1 == 0.1
 
 
 ANCHORS = {"sf0.001": (5, 6, 0), "sf0.01": (63, 53, 10), "sf0.1": (813, 693, 120)}
@@ -202,7 +264,7 @@ def test_every_query_has_the_columns_of_its_sql(spark):
     con = duckdb.connect()
     for table in ("events", "embeddings"):
         con.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
-    slow = {"stream_counts"}
+    slow = {"stream_counts", "live_counts"}
     sql = plans.oracle_sql()
     for name, make in plans.queries().items():
         if name in sql and name not in slow:
