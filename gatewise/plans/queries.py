@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import CounterConfig
 from ..functions import geometry as g
-from ..operators import assoc, control, ingest, lifecycle, metrics, tracks, transitions
-from ..sources import control_tables, jpeg, settings
+from ..operators import assoc, control, ingest, lifecycle, metrics, motion, tracks, transitions
+from ..sources import control_tables, detections, jpeg, settings
 from . import event_tables as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -480,6 +480,10 @@ _PAIRS = f"""{_BOXES}, j AS (
 )"""
 
 
+#: Two numbers of each box that stand for its appearance.
+_FEATURE_SQL = '[CAST("left" % 100 + 1 AS DOUBLE), CAST(top % 90 - 40 AS DOUBLE)]'
+
+
 @query("iou_pairs", f"WITH {ev.OBS}, {_PAIRS} SELECT * FROM pairs")
 def iou_pairs(spark, d):
     return _pairs(spark, d)
@@ -494,10 +498,96 @@ def greedy_match(spark, d):
     return assoc.mutual_best(_pairs(spark, d), ["source_id", "frame"])
 
 
-@query("targets_topk", f"WITH {ev.OBS}, r AS (SELECT source_id, frame_seq AS obj_seq, CAST(row_number() OVER (PARTITION BY source_id ORDER BY width * height DESC, frame_seq) AS INTEGER) AS rank FROM obs) SELECT * FROM r WHERE rank <= 150")
+@query(
+    "greedy_all",
+    f"""WITH RECURSIVE {ev.OBS}, {_PAIRS}, o AS (SELECT *, row_number() OVER (PARTITION BY source_id, frame ORDER BY score DESC, target, detection) AS k FROM pairs),
+    walk AS (
+      SELECT DISTINCT source_id, frame, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ts, CAST([] AS BIGINT[]) AS ds, CAST(NULL AS BIGINT) AS target, CAST(NULL AS BIGINT) AS detection FROM o
+      UNION ALL
+      SELECT w.source_id, w.frame, o.k, CASE WHEN list_contains(ts, o.target) OR list_contains(ds, o.detection) THEN ts ELSE list_append(ts, o.target) END,
+             CASE WHEN list_contains(ts, o.target) OR list_contains(ds, o.detection) THEN ds ELSE list_append(ds, o.detection) END,
+             CASE WHEN NOT (list_contains(ts, o.target) OR list_contains(ds, o.detection)) THEN o.target END, CASE WHEN NOT (list_contains(ts, o.target) OR list_contains(ds, o.detection)) THEN o.detection END
+      FROM walk w JOIN o ON o.source_id = w.source_id AND o.frame = w.frame AND o.k = w.k + 1
+    ) SELECT source_id, frame, target, detection FROM walk WHERE target IS NOT NULL""",
+)
+def greedy_all(spark, d):
+    return assoc.greedy(_pairs(spark, d), ["source_id", "frame"]).select("source_id", "frame", "target", "detection")
+
+
+@query(
+    "visual_pairs",
+    f"""WITH {ev.OBS}, m AS (SELECT *, {_FEATURE_SQL} AS f FROM obs), b AS (SELECT source_id, CAST(floor(t / 21600000000) AS BIGINT) AS frame, frame_seq AS o, "left" AS l, top AS u, width AS w, height AS h, f FROM m),
+    j AS (SELECT d.source_id, d.frame, a.o AS target, d.o AS detection, a.w * a.h AS sa, d.w * d.h AS sd, a.f AS fa, d.f AS fd,
+      greatest(CAST(0 AS DOUBLE), least(a.l + a.w, d.l + d.w) - greatest(a.l, d.l)) * greatest(CAST(0 AS DOUBLE), least(a.u + a.h, d.u + d.h) - greatest(a.u, d.u)) AS i
+      FROM b a JOIN b d ON a.source_id = d.source_id AND a.frame + 1 = d.frame),
+    s AS (SELECT *, i / (sa + sd - i) AS iou, least(sa, sd) / greatest(sa, sd) AS z, (fa[1] * fd[1] + fa[2] * fd[2]) / (sqrt(fa[1] * fa[1] + fa[2] * fa[2]) * sqrt(fd[1] * fd[1] + fd[2] * fd[2])) AS visual FROM j),
+    p AS (SELECT *, CAST('0.6003' AS DOUBLE) * z + CAST('0.4033' AS DOUBLE) * iou + CAST('0.3951' AS DOUBLE) * visual AS score FROM s WHERE iou >= CAST('0.0548' AS DOUBLE) AND z >= CAST('0.3552' AS DOUBLE))
+    SELECT source_id, frame, target, detection, round(visual, 9) AS visual, round(score, 9) AS score FROM p WHERE visual >= CAST('0.4' AS DOUBLE) AND score >= CAST('0.0222' AS DOUBLE)""",
+)
+def visual_pairs(spark, d):
+    boxes = _boxes(spark, d).withColumn("feature", F.array((F.col("left") % 100 + 1).cast("double"), (F.col("top") % 90 - 40).cast("double")))
+    pairs = assoc.pairs_in_frame(boxes.withColumn("frame", F.col("frame") + 1), boxes, ["source_id", "frame"], "feature")
+    return pairs.select("source_id", "frame", "target", "detection", F.round("visual", 9).alias("visual"), F.round("score", 9).alias("score"))
+
+
+@query(
+    "targets_topk",
+    f"WITH {ev.OBS}, r AS (SELECT source_id, CAST(floor(t / 86400000000) AS BIGINT) AS frame, frame_seq AS obj_seq, CAST(row_number() OVER (PARTITION BY source_id, floor(t / 86400000000) ORDER BY width * height DESC, frame_seq) AS INTEGER) AS rank FROM obs) SELECT * FROM r WHERE rank <= 150",
+)
 def targets_topk(spark, d):
-    scored = ev.observations(spark, d).select("source_id", F.col("frame_seq").alias("obj_seq"), (F.col("width") * F.col("height")).alias("confidence"))
-    return ingest.top_detections(scored, ["source_id"], 150).drop("confidence")
+    """The targets of each stream and frame (here a day), up to the limit."""
+    scored = ev.observations(spark, d).select("source_id", F.floor(F.col("t") / 86_400_000_000).alias("frame"), F.col("frame_seq").alias("obj_seq"), (F.col("width") * F.col("height")).alias("confidence"))
+    return ingest.top_detections(scored, ["source_id", "frame"], 150).drop("confidence")
+
+
+@query(
+    "tracklet_reid",
+    """WITH e AS (SELECT vec_id AS track, label AS g, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v, CAST(vec_id % 7 - 3 AS DOUBLE) AS vx, CAST(vec_id % 5 - 2 AS DOUBLE) AS vy, CAST(100 + vec_id % 300 AS DOUBLE) AS z FROM embeddings),
+    p AS (SELECT b.g AS label, b.track AS new, a.track AS old, sqrt(a.vx * a.vx + a.vy * a.vy) AS sa, sqrt(b.vx * b.vx + b.vy * b.vy) AS sb, a.vx * b.vy - a.vy * b.vx AS across, a.vx * b.vx + a.vy * b.vy AS along, a.z AS za, b.z AS zb,
+      list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) / (sqrt(list_sum(list_transform(a.v, lambda x: x * x))) * sqrt(list_sum(list_transform(b.v, lambda x: x * x)))) AS similarity
+      FROM e a JOIN e b ON a.g = b.g AND b.track > a.track AND b.track - a.track <= 90),
+    q AS (SELECT *, CASE WHEN sa > 0 AND sb > 0 THEN degrees(abs(atan2(across, along))) ELSE 0 END AS angle, CASE WHEN greatest(sa, sb) > 0 THEN least(sa, sb) / greatest(sa, sb) ELSE 1 END AS speed, least(za, zb) / greatest(za, zb) AS size FROM p),
+    r AS (SELECT *, ((1 - angle / 180) + speed + size) / 3 AS tracklet FROM q WHERE angle <= 67 AND speed >= 0.0574 AND size >= 0.1013 AND similarity >= 0.0771),
+    o AS (SELECT *, CAST('0.7981' AS DOUBLE) * tracklet + CAST('0.3848' AS DOUBLE) * similarity AS overall FROM r WHERE tracklet >= 0.294),
+    k AS (SELECT *, row_number() OVER (PARTITION BY label, new ORDER BY overall DESC, old) AS n FROM o WHERE overall >= 0.6622)
+    SELECT label, new, old, round(tracklet, 6) AS tracklet, round(similarity, 6) AS similarity, round(overall, 6) AS overall FROM k WHERE n = 1""",
+)
+def tracklet_reid(spark, d):
+    v = F.col("vec_id")
+    moving = spark.read.parquet(f"{d}/embeddings.parquet").select(
+        "label", v.alias("track"), v.alias("frame"), (v % 7 - 3).cast("double").alias("vx"), (v % 5 - 2).cast("double").alias("vy"), (100 + v % 300).cast("double").alias("size"), "embedding"
+    )
+    found = assoc.reassociate_tracklets(moving, moving, "label")
+    return found.select("label", "new", "old", *[F.round(c, 6).alias(c) for c in ("tracklet", "similarity", "overall")])
+
+
+def _hours(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes of tracks with the hour as the frame."""
+    seen = ingest.tracked(ev.observations(spark, d)).withColumn("frame", F.floor(F.col("t") / 3_600_000_000))
+    return seen.select("source_id", "track_id", "frame", "left", "top", "width", "height")
+
+
+@query("state_estimates")
+def state_estimates(spark, d):
+    return motion.estimate(_hours(spark, d))
+
+
+@query("projected_trajectories")
+def projected_trajectories(spark, d):
+    return motion.project(motion.estimate(_hours(spark, d)), motion.MotionConfig(least_length=4))
+
+
+@query(
+    "parsed_detections",
+    f"""WITH {ev.OBS}, x AS (SELECT t, source_id, "left", top, width, height, frame_seq FROM obs)
+    SELECT t, source_id, 0 AS obj_seq, 0 AS class_id, (frame_seq % 10) / CAST(10 AS DOUBLE) AS confidence, "left", top, width, height FROM x WHERE (frame_seq % 10) / CAST(10 AS DOUBLE) >= CAST('0.45' AS DOUBLE)""",
+)
+def parsed_detections(spark, d):
+    """Every event as detector output of two rows: its box, and one of a class that is left out."""
+    x1, y1 = F.col("left"), F.col("top")
+    box = [x1, y1, x1 + F.col("width"), y1 + F.col("height"), (F.col("frame_seq") % 10) / F.lit(10.0)]
+    output = F.array(*[c.cast("double") for c in [*box, F.lit(0), *box, F.lit(7)]])
+    return detections.parse(ev.observations(spark, d).select("t", "source_id", output.alias("output")))
 
 
 @query(
@@ -557,6 +647,17 @@ def mjpeg_parts(spark, d):
     return jpeg.multipart(jpeg.jpeg_frames(_chunks(spark, d))).select("stream", "seq", F.octet_length("part").cast("long").alias("part_bytes"))
 
 
+@query(
+    "mjpeg_repeats",
+    f"""WITH {ev.OBS}, u AS (SELECT DISTINCT ON (source_id, t) source_id, t, frame_seq FROM obs ORDER BY source_id, t, frame_seq), f AS (SELECT CAST(source_id AS BIGINT) AS stream, t, frame_seq, coalesce(lead(t) OVER (PARTITION BY source_id ORDER BY t), {ev.START + 5 * ev.WEEK}) - 1 AS upto FROM u),
+    g AS (SELECT stream, frame_seq, unnest(range(CAST(ceil(t / 21600000000) AS BIGINT) * 21600000000, upto + 1, 21600000000)) AS tick FROM f) SELECT stream, tick, 'x' || frame_seq AS body FROM g""",
+)
+def mjpeg_repeats(spark, d):
+    """What a viewer gets every six hours: the latest frame again and again."""
+    frames = ev.frames(spark, d).groupBy(F.col("source_id").cast("long").alias("stream"), "t").agg(F.concat(F.lit("x"), F.min("frame_seq")).alias("jpeg"))
+    return jpeg.repeated(frames, 21_600_000_000, ev.START + 5 * ev.WEEK).withColumnRenamed("jpeg", "body")
+
+
 @query("snapshot", f"{_JPEG} SELECT stream, arg_max(body, seq) AS body, true AS available FROM j GROUP BY stream")
 def snapshot(spark, d):
     """The latest frame of every stream."""

@@ -86,6 +86,76 @@ def test_overlap(spark):
     assert {(r.target, r.detection) for r in best} == {(1, 1), (2, 2), (3, 3)}
 
 
+def test_greedy_goes_on_to_its_end(spark):
+    pairs = spark.createDataFrame([(0, 1, 1, 0.9), (0, 1, 2, 0.8), (0, 2, 1, 0.7), (0, 2, 2, 0.1), (0, 3, 3, 0.5), (0, 3, 4, 0.5), (1, 1, 1, 0.2)], "frame int, target long, detection long, score double")
+    got = {(r.frame, r.target, r.detection) for r in assoc.greedy(pairs, ["frame"]).collect()}
+    assert got == {(0, 1, 1), (0, 2, 2), (0, 3, 3), (1, 1, 1)}
+
+
+def test_estimates_against_the_full_filter(spark):
+    """The separated filter equals the textbook one with all six states in one matrix."""
+    import numpy as np
+
+    from gatewise.operators import motion
+
+    r, c = np.random.default_rng(1), motion.MotionConfig()
+    frames = np.cumsum(r.integers(1, 4, 30))
+    boxes = r.normal(size=(30, 4)) * 20 + [300, 200, 40, 90]
+    rows = [(1, k, int(f), *map(float, b)) for k in (5, 6) for f, b in zip(frames, boxes + k, strict=True)]
+    rows += [(1, None, 3, 1.0, 1.0, 1.0, 1.0), (1, 7, 3, None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "source_id int, track_id long, frame long, left double, top double, width double, height double")
+    got = motion.estimate(df).orderBy("track_id", "frame").collect()
+    assert len(got) == 60
+    move = np.eye(6)
+    move[0, 4] = move[1, 5] = 1
+    noise, see = np.diag([c.location] * 2 + [c.size] * 2 + [c.velocity] * 2), np.eye(4, 6)
+    for k in (5, 6):
+        state, cov, last = None, None, None
+        for f, (left, top, w, h), x in zip(frames, boxes + k, [x for x in got if x.track_id == k], strict=True):
+            z = np.array([left + w / 2, top + h / 2, w, h])
+            if state is None:
+                state, cov = np.append(z, [0, 0]), np.diag([c.measurement] * 4 + [c.velocity] * 2)
+            else:
+                for _ in range(f - last):
+                    state, cov = move @ state, move @ cov @ move.T + noise
+                gain = cov @ see.T @ np.linalg.inv(see @ cov @ see.T + c.measurement * np.eye(4))
+                state, cov = state + gain @ (z - see @ state), (np.eye(6) - gain @ see) @ cov
+            last = f
+            assert np.allclose([x.x, x.y, x.width, x.height, x.vx, x.vy], state)
+    ahead = motion.project(motion.estimate(df)).where("track_id = 5").orderBy("frame").collect()
+    end = [x for x in got if x.track_id == 5][-1]
+    assert [a.frame for a in ahead] == list(range(end.frame + 1, end.frame + 34))
+    assert np.isclose(ahead[9].x, end.x + 10 * end.vx)
+    assert motion.project(motion.estimate(df.where("frame < 10"))).count() == 0
+
+
+def test_parsers_of_detector_output(spark):
+    import numpy as np
+
+    from gatewise.sources import detections
+
+    rows = [(1, 0, [0.0, 0.0, 4.0, 2.0, 0.9, 0.0, 1.0, 1.0, 2.0, 2.0, 0.4, 0.0, 1.0, 1.0, 2.0, 2.0, 0.9, 5.0]), (2, 0, None), (3, 0, []), (4, 0, [float("nan")] * 6)]
+    df = spark.createDataFrame(rows, "t long, source_id int, output array<float>")
+    assert [(r.t, r.obj_seq, r.left, r.width, r.height) for r in detections.parse(df).collect()] == [(1, 0, 0.0, 4.0, 2.0)]
+    own = lambda output: np.array([[0, 1, *output[:4]]]) if len(output) else np.zeros((0, 6))
+    assert [(r.t, r.width) for r in detections.parse(df, own).collect()] == [(1, 4.0)]
+
+
+def test_settings_files(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text("cameras:\n  - id: a\n    name: x\n    nvr: 1\n    channel: 2\n    subtype: 0\n")
+    (tmp_path / "l.txt").write_text("person\nbicycle\n")
+    (tmp_path / "e").write_text("# c\n\tA = '1'\t\nB=2=3\n")
+    (tmp_path / "d.txt").write_text("[property]\nbatch-size = 5\nfilter-out-class-ids = 1;2\n[class-attrs-all]\npre-cluster-threshold = 0.3\ntopk = 7\n")
+    (tmp_path / "t.yml").write_text("%YAML:1.0\nA:\n  x: 1    # one\n")
+    at = lambda n: str(tmp_path / n)
+    assert [tuple(r) for r in settings.read_cameras(spark, at("c.yaml")).collect()] == [(0, "a", "x", 1, 2, 0)]
+    assert settings.read_cameras(spark, at("none")).count() == 0 == settings.read_env(spark, at("none")).count()
+    assert [tuple(r) for r in settings.read_labels(spark, at("l.txt")).collect()] == [(0, "person"), (1, "bicycle")]
+    assert sorted(map(tuple, settings.read_env(spark, at("e")).collect())) == [("A", "1"), ("B", "2=3")]
+    assert settings.read_detector(spark, at("d.txt")) == settings.DetectorSettings(0.3, 7, (1, 2), 5)
+    assert [tuple(r) for r in settings.read_tracker(spark, at("t.yml")).collect()] == [("A", "x", "1")]
+
+
 def test_repeated_frames(spark):
     frames = spark.createDataFrame([(1, 0, b"a"), (1, 250, b"b"), (1, 260, b"c"), (2, 90, b"d")], "stream long, t long, jpeg binary")
     got = jpeg.repeated(frames, 100, 400).collect()
