@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,13 @@ HEARTBEAT_TRACK = -1
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where driver and executors both see files: ``spark.checkpoint.dir``, else the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir") + "/scratch"
-    path = root.rstrip("/") + f"/gatewise/replay-{uuid.uuid4().hex}"
+    """Where driver and executors both see files: ``spark.checkpoint.dir``, else the warehouse, or on one machine a folder of its own."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root and context.master.startswith("local"):
+        root = tempfile.mkdtemp(prefix="gatewise-")
+        context.setCheckpointDir(root)
+    path = (root or spark.conf.get("spark.sql.warehouse.dir") + "/scratch").rstrip("/") + f"/gatewise/replay-{uuid.uuid4().hex}"
     atexit.register(_drop, spark, path)
     return path
 
