@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import sys
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -26,8 +27,15 @@ by_value(__name__)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: ``spark.checkpoint.dir``, else the context's, else one in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder shared by driver and executors: ``spark.checkpoint.dir``, else the context's, else one in the warehouse.
+
+    A session on one machine (master ``local``) without the setting gets a folder of its own.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found and context.master.startswith("local"):
+        found = tempfile.mkdtemp(prefix="gatewise-")
+        context.setCheckpointDir(found)
     return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch").rstrip("/")
 
 
