@@ -73,9 +73,16 @@ class Lattice:
         hashes = np.array([self._hash(p) for p in vocab], np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], order.astype(np.int64)
+        self.logs = self.probs = None
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(hashes & U64((1 << 20) - 1)).astype(np.int64)] = True
 
+    def _least(self, logs: np.ndarray) -> float:
+        """The smallest of ``logs``; keeps ``probs``, their exponentials, for the next calls with the same ones."""
+        if self.logs is not logs:
+            self.logs, self.probs, self.least = logs, np.exp(logs), float(logs.min(initial=0.0))
+        return self.least
+
     @staticmethod
     def _hash(piece: str) -> np.uint64:
         h = np.zeros(1, np.uint64)
@@ -128,10 +135,25 @@ class Lattice:
             total[rows] += np.exp(value - at_one[rows])
         return at_one + np.log(total)
 
+    def _plain(self, codes: np.ndarray, probs: np.ndarray) -> np.ndarray:
+        """The forward sum without logarithms, for words too short to leave the range of numbers."""
+        n, width = codes.shape
+        now = np.ones((n, probs.shape[1]))
+        coming: dict[int, list] = {}
+        for i, own in enumerate(self.arcs(codes, 0, width)):
+            for k, rows, ids in own[1:]:
+                coming.setdefault(i + k, []).append((rows, now[rows] * probs[ids]))
+            now = now * probs[own[0][2]]
+            for rows, value in coming.pop(i + 1, []):
+                now[rows] += value
+        return now
+
     def forward(self, words: list[str], logs: np.ndarray, keep: bool = False) -> np.ndarray:
         """Log-likelihood[word, model] of words of one length for logs[piece, model]; of every prefix if ``keep``."""
         codes = self.codes(words)
         n, width = codes.shape
+        if not keep and n * width <= _STRETCH and self._least(logs) * width > -600:
+            return np.log(self._plain(codes, self.probs))
         now = np.zeros((n, logs.shape[1]))
         every = [now]
         coming: dict[int, list] = {}
