@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_text, lang_id, licenses, line_dedup, near_dedup, packing, quality, top_k
+from . import chat, codebooks, decontaminate, html_text, lang_id, licenses, line_dedup, near_dedup, packing, quality, ranked_search, simhash, top_k
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_decontamination": decontaminate.op9_decontamination,
         "op10_near_dedup": near_dedup.op10_near_dedup,
+        "op11_simhash": simhash.op11_simhash,
+        "op12_vector_codes": codebooks.op12_vector_codes,
+        "op13_ranked_search": ranked_search.op13_ranked_search,
         "license_base_places": licenses.license_base_places,
     }
 
@@ -28,5 +31,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_line_dedup": line_dedup.ORACLE,
         "op9_decontamination": decontaminate.ORACLE,
         "op10_near_dedup": near_dedup.ORACLE,
+        "op12_vector_codes": codebooks.ORACLE,
+        "op13_ranked_search": ranked_search.ORACLE,
         "license_base_places": licenses.BASE_SQL,
     }

@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_line_dedup": "doc_id:bigint n_lines:bigint n_dropped:bigint kept_sha256:string",
     "op9_decontamination": "doc_id:bigint n_words:bigint n_hit:bigint n_items:bigint items_sha256:string contaminated:boolean",
     "op10_near_dedup": "doc_id:bigint n_shingles:bigint component_id:bigint kept:boolean",
+    "op11_simhash": "doc_id:bigint fingerprint:string component_id:bigint",
+    "op12_vector_codes": "vec_id:bigint code:string error:bigint label_error:bigint codebooks_sha256:string",
+    "op13_ranked_search": "item_id:bigint rank:int doc_id:bigint score:bigint",
     "license_base_places": "doc_id:bigint n_words:bigint n_base:bigint first_word:bigint last_word:bigint base_labels:string",
 }
 
