@@ -4,7 +4,8 @@ A page becomes blocks of text, each with its path of tags from the root. For eve
 path the text outside links, the punctuation and the number of blocks are summed. The
 ratios of text and of punctuation to blocks are fused into one score of the path, which is
 smoothed over the paths that come before and after it in the page and share its container,
-and compared with a share of the best score. The blocks of the paths above it are the article.
+and, anywhere inside the container of the heaviest path, with that path. It is then compared
+with a share of the best score. The blocks of the paths above it are the article.
 
 What a tag or a class says of an element (navigation, advert, comments ...) decides nothing:
 it multiplies the scores of the paths below it, unless the heaviest path lies there too.
@@ -34,12 +35,12 @@ _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 #: Elements whose content is no markup up to their own end tag.
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 #: Elements whose content is no text of a page.
-_UNSEEN = {"head", "noscript", "template", "object", "svg", "math", "canvas", "select", "option", "optgroup", "datalist", "button", "audio", "video", "map"}
+_UNSEEN = {"head", "template", "object", "svg", "canvas", "select", "option", "optgroup", "datalist", "button", "audio", "video", "annotation", "annotation-xml"}
 _OF_HEAD = {"title", "meta", "link", "base", "script", "style", "noscript", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt",
-    "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img",
+    "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "math", "map",
 }
 _P_ENDS = {
     "address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form",
@@ -53,6 +54,7 @@ _PROSE = _HEADINGS | {"p", "li", "dt", "dd", "blockquote", "pre", "figcaption",
 
 #: Tags, roles and words of a class or id that speak against an element.
 _BESIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
+_QUOTE = re.compile(r"(?:^|[^a-z])(?:pull-?)?quotes?(?:$|[^a-z])", re.I)
 _ROLE = re.compile(r"navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu|toolbar", re.I)
 _WORDS = re.compile(
     r"(?:^|[^a-z])(?:ads?|adverts?|advertisements?|advertising|adsense|adsbox|sponsor(?:ed|s)?|promo(?:tions?)?|banners?|nav|navbar|navigation|menus?|menubar|breadcrumbs?|"
@@ -76,31 +78,38 @@ DOUBT = 0.02
 
 
 class _Block:
-    __slots__ = ("linked", "parts", "path")
+    __slots__ = ("element", "linked", "parts", "path")
 
-    def __init__(self, path: int):
-        self.path, self.linked, self.parts = path, 0, []
+    def __init__(self, path: int, element: int):
+        self.path, self.element, self.linked, self.parts = path, element, 0, []
 
 
 class _Open:
-    """An open element; inline ones share the path of the element around them."""
+    """An open element; inline ones share path and number of the element around them."""
 
-    __slots__ = ("framed", "path", "tag", "unseen")
+    __slots__ = ("element", "framed", "path", "tag", "unseen")
 
-    def __init__(self, tag: str, path: int, framed: bool, unseen: bool):
-        self.tag, self.path, self.framed, self.unseen = tag, path, framed, unseen
+    def __init__(self, tag: str, path: int, element: int, framed: bool, unseen: bool):
+        self.tag, self.path, self.element, self.framed, self.unseen = tag, path, element, framed, unseen
 
 
 class Page:
-    """The blocks of a page, and its distinct paths as a tree (``parent`` of each, its last ``tag``, ``doubted`` or not)."""
+    """The blocks of a page, and its distinct paths as a tree (``parent`` of each, its last ``tag``, how it is ``doubted``).
+
+    ``articles`` holds the path of every article element. ``element`` has the element of
+    every block, and ``around`` the element around each, with its path.
+    """
 
     def __init__(self, page: str):
-        self.parent, self.tag, self.doubted = [-1], [""], [False]
+        self.parent, self.tag, self.doubted = [-1], [""], [0]
         self.blocks: list[tuple[int, int, str]] = []
-        self._numbers: dict[tuple[int, str, bool], int] = {}
+        self.articles: list[int] = []
+        self.element: list[int] = []
+        self.around: list[tuple[int, int]] = [(-1, 0)]
+        self._numbers: dict[tuple[int, str, int], int] = {}
         self._read(page)
 
-    def _path(self, parent: int, tag: str, names: str, doubted: bool) -> int:
+    def _path(self, parent: int, tag: str, names: str, doubted: int) -> int:
         key = (parent, f"{tag}.{names}", doubted)
         found = self._numbers.get(key)
         if found is None:
@@ -111,7 +120,7 @@ class Page:
         return found
 
     def _read(self, page: str) -> None:
-        stack = [_Open("", 0, False, False)]
+        stack = [_Open("", 0, 0, False, False)]
         opened: dict[str, int] = {}
         out: list[_Block] = []
         now: _Block | None = None
@@ -123,7 +132,7 @@ class Page:
                 gone = stack.pop()
                 opened[gone.tag] -= 1
                 unseen -= gone.unseen
-                if gone.tag not in _INLINE:
+                if gone.tag not in _INLINE and not opened.get("math"):
                     now = None
 
         def close_up_to(tags: set[str], stop) -> None:
@@ -148,7 +157,7 @@ class Page:
                 if now is None:
                     if text.isspace():
                         continue
-                    now = _Block(stack[-1].path)
+                    now = _Block(stack[-1].path, stack[-1].element)
                     out.append(now)
                 text = html.unescape(text)
                 now.parts.append(text)
@@ -180,29 +189,59 @@ class Page:
             around = stack[-1]
             attributes = {k.lower(): x or y or z for k, x, y, z in _ATTRIBUTE.findall(m.group(3))} if m.group(3) else {}
             unseen_here = tag in _UNSEEN or "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
-            if tag in _INLINE:
-                stack.append(_Open(tag, around.path, around.framed, unseen_here))
+            if tag in _INLINE or opened.get("math"):
+                stack.append(_Open(tag, around.path, around.element, around.framed, unseen_here))
             else:
                 now = None
                 framed = around.framed or tag in ("article", "main", "section")
                 names = " ".join(sorted(c for c in attributes.get("class", "").split() if not any(x.isdigit() for x in c)))
-                stack.append(_Open(tag, self._path(around.path, tag, names, _doubted(tag, attributes, around.framed)), framed, unseen_here))
+                path = self._path(around.path, tag, names, _doubted(tag, attributes, around.framed))
+                stack.append(_Open(tag, path, len(self.around), framed, unseen_here))
+                self.around.append((around.element, path))
+                if tag == "article":
+                    self.articles.append(path)
             opened[tag] = opened.get(tag, 0) + 1
             unseen += unseen_here
         for block in out:
             text = _SPACE.sub(" ", "".join(block.parts)).strip()
             if text:
                 self.blocks.append((block.path, min(block.linked, len(text)), text))
+                self.element.append(block.element)
+
 
+#: How an element can be doubted: by a word of its class or id, or by its tag or role.
+_BY_WORD, _BY_TAG = 1, 2
 
-def _doubted(tag: str, attributes: dict[str, str], framed: bool) -> bool:
-    """Whether tag, role, class or id speak against an element; a header inside an article does not."""
-    if tag in _BESIDE or tag == "header" and not framed or _ROLE.search(attributes.get("role", "")):
-        return True
+
+def _doubted(tag: str, attributes: dict[str, str], framed: bool) -> int:
+    """What speaks against an element, 0 if nothing does: ``_BY_TAG`` or ``_BY_WORD``.
+
+    Inside an article a header and a noscript are nothing special, and an aside whose class
+    calls it a quote belongs to the text anywhere.
+    """
+    names = attributes.get("class", "")
+    if tag == "aside" and _QUOTE.search(names):
+        return 0
+    if tag in _BESIDE or tag in ("header", "noscript") and not framed or _ROLE.search(attributes.get("role", "")):
+        return _BY_TAG
     if tag in _HEADINGS or tag in ("html", "body", "article", "main"):
-        return False
-    named = _ABOUT_OTHERS.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}")
-    return bool(_WORDS.search(named)) or not framed and bool(_HEAD_WORDS.search(named))
+        return 0
+    named = _ABOUT_OTHERS.sub(" ", f"{names} {attributes.get('id', '')}")
+    return _BY_WORD if _WORDS.search(named) or not framed and _HEAD_WORDS.search(named) else 0
+
+
+def _container(page: Page, path: int) -> int:
+    """The outermost article around ``path``, else the outermost main, else its parent without sections; 0 if that is the page itself."""
+    around, p = [], page.parent[path]
+    while p > 0:
+        around.append(p)
+        p = page.parent[p]
+    for tag in ("article", "main"):
+        found = [p for p in around if page.tag[p] == tag]
+        if found:
+            return found[-1]
+    plain = [p for p in around if page.tag[p] not in ("html", "body")]
+    return next((p for p in plain if page.tag[p] != "section"), plain[-1] if plain else 0)
 
 
 def _kinship(page: Page, a: int, b: int) -> float:
@@ -220,14 +259,18 @@ def _kinship(page: Page, a: int, b: int) -> float:
     return 0.0
 
 
-def path_scores(page: Page, window: int = WINDOW, doubt: float = DOUBT) -> dict[int, float]:
-    """The fused and smoothed score of every path that holds text, in page order.
+def path_scores(page: Page, window: int = WINDOW, doubt: float = DOUBT) -> tuple[dict[int, float], list[float]]:
+    """The fused and smoothed score of every path that holds text, in page order, and the score of every block.
 
     Of a path with n blocks, c characters outside links and p punctuation marks the ratios
     fuse to ``c/n * (1 + log(1 + p/n)) * sqrt(c)``; 0 if more than half of its text is links. Smoothing
     takes the mean with the paths up to ``window`` before and after, weighted by kinship, and
     never lowers a score. ``doubt`` multiplies scores of doubted paths; doubts about elements
-    around the heaviest path (most text, after ``doubt``) are void.
+    around the heaviest path (most text, after ``doubt``) are void, and so are words against
+    what is around the only article element of a page. A block has the score of its path. In
+    the element that contains most of the heaviest path it has at least the mean of the ratio
+    of its path and of the heaviest one, so headings, tables, lists and short sections stay
+    with their text, at any depth.
     """
     order: dict[int, int] = {}
     for path, _, _ in page.blocks:
@@ -251,35 +294,64 @@ def path_scores(page: Page, window: int = WINDOW, doubt: float = DOUBT) -> dict[
                 weight += k
         score[i] = max(ratio[i], total / weight)
     own = list(page.doubted)
+    if len(page.articles) == 1:
+        p = page.parent[page.articles[0]]
+        while p > 0:
+            own[p] = 0 if own[p] == _BY_WORD else own[p]
+            p = page.parent[p]
 
     def doubted() -> np.ndarray:
-        below = list(own)
+        below = [bool(x) for x in own]
         for p in range(1, len(below)):  # a parent has the smaller number
             below[p] |= below[page.parent[p]]
         return np.where([below[p] for p in paths], doubt, 1.0)
 
-    if paths:
-        p = paths[int(np.argmax(plain * prose * doubted()))]
-        while p > 0:
-            own[p] = False
-            p = page.parent[p]
-        score = score * doubted()
-    return dict(zip(paths, score.tolist(), strict=True))
+    if not paths:
+        return {}, []
+    heaviest = int(np.argmax(plain * prose * doubted()))
+    p, home = paths[heaviest], _container(page, paths[heaviest])
+    while p > 0:
+        own[p] = 0
+        p = page.parent[p]
+    factor = doubted()
+    score, shared = score * factor, np.where(prose, (ratio + ratio[heaviest]) / 2, 0.0) * factor
+    each = [score[order[path]] for path, _, _ in page.blocks]
+    if home:
+        below = _elements_inside(page, home, paths[heaviest])
+        each = [max(x, shared[order[path]]) if below[e] else x for x, (path, _, _), e in zip(each, page.blocks, page.element, strict=True)]
+    return dict(zip(paths, score.tolist(), strict=True)), [float(x) for x in each]
+
+
+def _elements_inside(page: Page, home: int, heaviest: int) -> list[bool]:
+    """Whether each element lies in the one of path ``home`` that holds most text of the path ``heaviest``."""
+    held = [-1] * len(page.around)  # the element of path ``home`` around each
+    for e in range(1, len(held)):
+        parent, path = page.around[e]
+        held[e] = e if path == home else held[parent]
+    weight: dict[int, int] = {}
+    for (path, linked, text), e in zip(page.blocks, page.element, strict=True):
+        if path == heaviest:
+            weight[held[e]] = weight.get(held[e], 0) + len(text) - linked
+    most = max(weight, key=lambda e: (weight[e], -e))
+    return [h == most and most >= 0 for h in held]
 
 
 def main_text(page: str | None, share: float = SHARE, window: int = WINDOW, doubt: float = DOUBT) -> str:
-    """The article of ``page``, its blocks joined by an empty line; "" if there is none."""
+    """The article of ``page``, its blocks joined by an empty line; "" if there is none. A ``br`` ends a block as a paragraph does."""
     read = Page(page or "")
-    scores = path_scores(read, window, doubt)
-    least = share * max(scores.values(), default=0.0)
-    return "\n\n".join(text for path, _, text in read.blocks if scores[path] >= least and scores[path] > 0)
+    _, scores = path_scores(read, window, doubt)
+    least = share * max(scores, default=0.0)
+    return "\n\n".join(text for (_, _, text), score in zip(read.blocks, scores, strict=True) if score >= least and score > 0)
 
 
 def extract(pages: DataFrame, html_col: str = "html", share: float = SHARE) -> DataFrame:
     """``pages`` with ``text``, the main text of each page, and ``n_chars``, its code points.
 
     Null and empty pages, and pages without text outside links, give an empty text. Input
-    columns of these names give way, others pass unchanged; repeated rows stay as they are.
+    columns of these names give way, others pass unchanged; repeated rows stay as they are,
+    and an empty table gives an empty one. A formula (math) is part of its sentence, graphics
+    (svg) and fallbacks of embedded objects are no text, an aside is a sidebar unless its
+    class calls it a quote, and a noscript counts inside an article only.
     """
     new = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
 

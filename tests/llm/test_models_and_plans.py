@@ -1,6 +1,7 @@
 """Packing, language ID, quality, HTML, top-k: round trips, held-out accuracy, brute force, edge cases."""
 
 import random
+import re
 import zlib
 from itertools import product
 
@@ -343,7 +344,9 @@ def scores_in_full(paths, window):
     for i, p in enumerate(order):
         near = [(kin(p, q), ratio[q]) for q in order[max(0, i - window) : i + window + 1] if q != p] if prose[p] else []
         out.append(max(ratio[p], (ratio[p] + sum(k * x for k, x in near)) / (1 + sum(k for k, _ in near))))
-    return out
+    heavy = max(order, key=lambda p: prose[p] * sum(len(t) - n for q, t, n in paths if q == p))
+    shared = {p: (ratio[p] + ratio[heavy]) / 2 if prose[p] else 0.0 for p in order}
+    return dict(zip(order, out, strict=True)), shared, heavy
 
 
 def nested(r, depth, paths, at=("", "body")):
@@ -370,11 +373,31 @@ def test_path_scores_against_brute_force():
         page = f"<body>{nested(r, 3, paths)}</body>"
         read = html_text.Page(page)
         assert [t for _, _, t in read.blocks] == [t for _, t, _ in paths]
-        got = html_text.path_scores(read)
-        assert np.allclose(list(got.values()), scores_in_full(paths, html_text.WINDOW))
-        order = dict(zip(dict.fromkeys(p for p, _, _ in paths), got.values(), strict=True))
-        best = max(order.values())
-        assert html_text.main_text(page) == "\n\n".join(t for p, t, _ in paths if order[p] >= html_text.SHARE * best and order[p] > 0)
+        got, each = html_text.path_scores(read)
+        want, shared, heavy = scores_in_full(paths, html_text.WINDOW)
+        assert np.allclose(list(got.values()), list(want.values()))
+        # The container is the innermost element that is no section around the heaviest path; here elements are told apart by where they open.
+        tree, marks = re.split(r"(<[^>]*>)", page), []
+        stack, number = [], 0
+        for piece in tree:
+            if piece.startswith("</"):
+                stack.pop() if piece != "</a>" else None
+            elif piece.startswith("<"):
+                number += 1
+                stack += [(piece[1:-1], number)] if not piece.startswith("<a ") else []
+            elif piece:
+                marks.append(list(stack))
+        around = [heavy[:k] for k in range(len(heavy) - 1, 2, -1)]
+        home = next((a for a in around if a[-1] != "section"), around[-1] if around else None)
+        holder = [m[len(home) - 2][1] if home and p[: len(home)] == home else None for (p, _, _), m in zip(paths, marks, strict=True)]
+        weight = {}
+        for (p, t, n), h in zip(paths, holder, strict=True):
+            if p == heavy and h:
+                weight[h] = weight.get(h, 0) + len(t) - n
+        most = max(weight, key=lambda h: (weight[h], -h)) if weight else 0
+        score = [max(want[p], shared[p]) if h == most else want[p] for (p, _, _), h in zip(paths, holder, strict=True)]
+        assert np.allclose(each, score)
+        assert html_text.main_text(page) == "\n\n".join(t for (p, t, _), x in zip(paths, score, strict=True) if x >= html_text.SHARE * max(score) * (1 - 1e-12) and x > 0)
 
 
 def made_page(r):
@@ -401,6 +424,35 @@ def test_made_pages_and_what_the_threshold_does():
     assert not any(html_text.main_text(p, share=0.0, doubt=1.0) == want for p, want in pages)
 
 
+_P = "A sentence of the text, which is long enough to weigh something. And here is one more of them, so that it has punctuation, too."
+
+
+def test_nothing_of_the_article_is_lost():
+    table_ = "<table><thead><tr><th>Year</th></tr></thead><tbody><tr><td>1990</td><td>12</td></tr></tbody></table>"
+    for page, want in {
+        f"<article><h1>Title</h1><div>{_P}</div><div>{_P}</div></article>": ["Title", _P, _P],
+        f"<body><div id=x><h1>Title</h1><div>{_P}</div><div>{_P}</div></div></body>": ["Title", _P, _P],
+        f"<article><p>{_P}</p><p>{_P}</p>{table_}</article>": [_P, _P, "Year", "1990", "12"],
+        f"<article><p>{_P}</p><div><div><ul><li>One</li><li>Two</li></ul></div></div></article>": [_P, "One", "Two"],
+        f"<main><section><h2>Intro</h2><p>{_P}</p><p>{_P}</p></section><section class=end><h2>End</h2><p>Short end.</p></section></main>": ["Intro", _P, _P, "End", "Short end."],
+        f"<article><p>{_P} <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> ends.</p></article>": [f"{_P} x=1 ends."],
+        f"<article><p>{_P}</p><noscript><p>An image of it.</p></noscript></article>": [_P, "An image of it."],
+        f"<noscript>Please turn on scripts.</noscript><article><p>{_P}</p></article>": [_P],
+        f"<article><p>{_P}</p><aside class=pull-quote><p>It has punctuation.</p></aside><aside><p>Read more, elsewhere.</p></aside></article>": [_P, "It has punctuation."],
+        f"<div class='news-related'><article><p>{_P}</p></article></div><div class=footer><p>{_P}</p><p>{_P}</p></div>": [_P],
+        f"<div class='related'><article><p>Short, one.</p></article><article><p>Short, two.</p></article></div><div class=text><p>{_P}</p></div>": [_P],
+        f"<article><p>{_P}</p><nav><p>Menu, of it.</p></nav><div class=comments><p>{_P}</p></div></article>": [_P],
+        f"<article><p>{_P}<br>Next line.</p></article>": [_P, "Next line."],
+    }.items():
+        assert html_text.main_text(page) == "\n\n".join(want), page
+
+
+def test_repeated_pages_and_ties(spark):
+    page = f"<div><p>{_P}</p></div><section><p>{_P}</p></section>"
+    got = html_text.extract(spark.createDataFrame([(1, page)] * 3, "page_id long, html string")).collect()
+    assert {r.text for r in got} == {f"{_P}\n\n{_P}"} and len(got) == 3
+
+
 def test_html_edges(spark):
     odd = [None, "", "<", "<p", "plain, text.", "<div>" * 5000 + "deep, text.", "<p>a<script>never ends", "<!-- open", "</p></div>", "<p>" + "word, " * 50_000, "<a href='x'>only</a>"]
     pages = spark.createDataFrame([(i, "u", t, "old") for i, t in enumerate(odd)], "page_id long, url string, html string, text string")
