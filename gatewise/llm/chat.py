@@ -1,9 +1,10 @@
 """Chat formatting in DataFrame and SQL functions only.
 
-A declarative template names the marks and the roles that carry loss; a finite-state
-machine over roles tells whether the turns follow a valid order. A conversation becomes a
-list of text segments with a loss flag each; their concatenation is the formatted text.
-Control strings inside texts get one more backslash, which reading back takes away.
+A declarative template names the marks and a finite-state machine over roles. The machine
+goes through the turns: every move writes the segments of one turn and says whether its text
+carries loss, and the state at the end tells whether the order was valid. A conversation
+so becomes a list of text segments with a loss flag each; their concatenation is the formatted
+text. Control strings inside texts get one more backslash, which reading back takes away.
 """
 
 from __future__ import annotations
@@ -14,9 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Move:
+    """Where a turn leads the machine, and whether the text it writes carries loss."""
+
+    to: str
+    loss: bool = False
+
+
 @dataclass(frozen=True)
 class Template:
-    """``opening`` + role + newline + text + ``closing`` for each turn, and where loss lies.
+    """``opening`` + role + newline + text + ``closing`` for each turn, and the machine that writes them.
 
     Both marks begin with two different characters. ``closing`` must not begin with the second
     character of ``opening``, or a text could make up a mark together with it.
@@ -24,18 +33,19 @@ class Template:
 
     opening: str = "<|im_start|>"
     closing: str = "<|im_end|>\n"
-    loss_roles: tuple[str, ...] = ("assistant",)
     start: str = "start"
-    #: (state, role) -> state; a pair that is missing leads to ``broken``.
-    moves: dict[tuple[str, str], str] = field(
+    #: What a turn does in a state: (state, role) -> move.
+    moves: dict[tuple[str, str], Move] = field(
         default_factory=lambda: {
-            ("start", "system"): "told",
-            ("start", "user"): "asked",
-            ("told", "user"): "asked",
-            ("asked", "assistant"): "answered",
-            ("answered", "user"): "asked",
+            ("start", "system"): Move("told"),
+            ("start", "user"): Move("asked"),
+            ("told", "user"): Move("asked"),
+            ("asked", "assistant"): Move("answered", loss=True),
+            ("answered", "user"): Move("asked"),
         }
     )
+    #: What a turn out of order does in any state, by its role; roles that are not named take the move of "".
+    strays: dict[str, Move] = field(default_factory=lambda: {"assistant": Move("broken", loss=True), "": Move("broken")})
     ends: tuple[str, ...] = ("answered",)
 
     def __post_init__(self):
@@ -91,29 +101,45 @@ def format_chats(rows: DataFrame, template: Template | None = None) -> DataFrame
 
     Turns are ordered by turn, then role, then text, so repeated turns have a fixed order;
     null turns come first, null roles and texts are empty. ``segments`` is the ordered list
-    of (text, loss); ``valid`` tells whether the machine ends in an accepting state, and
+    of (text, loss) that the machine's moves write, three a turn; ``valid`` tells whether it
+    ends in an accepting state. Turns out of order take the template's stray moves, so
     invalid conversations are formatted all the same. Null ids form one conversation; an
     empty table gives an empty one; other columns are not read.
     """
     t = template or Template()
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("_turns"))  # one conversation is one output text
-    opening, closing = _quoted(t.opening), _quoted(t.closing)
-    loss = f"x.role in ({', '.join(map(_quoted, t.loss_roles))})"
-    segments = (
-        f"flatten(transform(_turns, x -> array("
-        f"struct(concat({opening}, {_role_out('x.role', t)}, '\\n') as text, false as loss), "
-        f"struct({_escape('x.text', t)} as text, {loss} as loss), "
-        f"struct({closing} as text, false as loss))))"
+    moves, run = _machine(t)
+    written = (
+        f"array(struct(concat({_quoted(t.opening)}, {_role_out('x.role', t)}, '\\n') as text, false as loss), "
+        f"struct({_escape('x.text', t)} as text, substr({_quoted(moves)}, ascii(get(_moves, i)) - {ord(_FIRST) - 1}, 1) = '1' as loss), "
+        f"struct({_quoted(t.closing)} as text, false as loss))"
     )
-    cases = " ".join(f"when s = {_quoted(a)} and x.role = {_quoted(role)} then {_quoted(b)}" for (a, role), b in t.moves.items())
-    state = f"aggregate(_turns, {_quoted(t.start)}, (s, x) -> case {cases} else 'broken' end)"
+    turns = turns.select("conv_id", "_turns", F.expr(run).alias("_run")).select("conv_id", "_turns", F.split("_run.moves", "").alias("_moves"), F.col("_run.state").alias("_state"))
     return (
-        turns.select("conv_id", F.expr(segments).alias("segments"), F.expr(state).alias("_state"))
+        turns.select("conv_id", F.expr(f"flatten(transform(_turns, (x, i) -> {written}))").alias("segments"), "_state")
         .select("conv_id", F.expr("array_join(transform(segments, s -> s.text), '')").alias("formatted"), "segments", F.col("_state").isin(*t.ends).alias("valid"))
     )
 
 
+_FIRST = "!"
+
+
+def _machine(t: Template) -> tuple[str, str]:
+    """The loss flags of all moves as a string of 0 and 1, and SQL that runs ``_turns`` through the machine.
+
+    Its result holds the last ``state`` and ``moves``, a character for the move of each
+    turn (``_FIRST`` stands for the first move): one short string grows, not a list of segments.
+    """
+    every = [(f"a.state = {_quoted(state)} and x.role = {_quoted(role)}", m) for (state, role), m in t.moves.items()]
+    every += [(f"x.role = {_quoted(role)}", m) for role, m in t.strays.items() if role]
+    every.append(("true", t.strays.get("", Move("broken"))))
+    if len(every) > 90:
+        raise ValueError("more moves than characters to write them with")
+    steps = " ".join(f"when {when} then struct({_quoted(m.to)} as state, concat(a.moves, {_quoted(chr(ord(_FIRST) + i))}) as moves)" for i, (when, m) in enumerate(every))
+    return "".join("01"[m.loss] for _, m in every), f"aggregate(_turns, struct({_quoted(t.start)} as state, '' as moves), (a, x) -> case {steps} end)"
+
+
 def loss_mask(segments: str = "segments") -> str:
     """SQL: runs (start, length) of the formatted text under the loss flag, counted in code points from 0.
 
