@@ -74,7 +74,7 @@ def benchmark_tables(bench: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     each = long_.select("item", F.expr(f"inline(transform(sequence(0, size(_w) - {window}), i -> struct({window} as len, {_joined('_w', window)} as win)))"))
     each = each.unionByName(short.selectExpr("item", "size(_w) as len", "array_join(_w, ' ') as win"))
     windows = each.groupBy("len", "win").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return stash(prints, "bench-prints"), stash(windows.withColumn("set_id", F.xxhash64(F.concat_ws(",", "items"))), "bench-windows")
+    return stash(prints, "bench-prints"), stash(windows.withColumn("set_id", F.xxhash64("items")), "bench-windows")
 
 
 def fingerprint_hits(docs: DataFrame, doc_fields: list[str], prints: DataFrame, short: tuple[int, ...], window: int, gram: int, broadcast: bool) -> tuple[DataFrame, DataFrame]:
@@ -82,7 +82,8 @@ def fingerprint_hits(docs: DataFrame, doc_fields: list[str], prints: DataFrame,
 
     ``docs`` has ``_doc``, a struct of columns to carry on, and the words ``_w``. The texts
     are read once if the benchmark's fingerprints are broadcast. Otherwise numbers alone are
-    shuffled to meet them, and only then joined to the words. (Outer generators: for the
+    shuffled to meet them, and only then joined to the words; adaptive execution splits what
+    meets a fingerprint of very many documents. (Outer generators: for the
     others Spark derives a filter that works out all fingerprints once more, step by step.)
     """
     carried = F.struct(*[F.col("_doc")[c].alias(c) for c in doc_fields], F.size("_w").cast("long").alias("n_words")).alias("doc")
