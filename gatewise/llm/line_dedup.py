@@ -1,9 +1,8 @@
 """Drop lines that many documents share.
 
-Distinct line hashes are indexed by a sharded minimal perfect hash, whose shards hold
+All distinct line hashes are indexed by a sharded minimal perfect hash, whose shards hold
 compact fingerprint and count arrays; documents probe these arrays, no line is joined, and
-drop the lines whose count is large enough. Hashes of too few documents, which no probe
-could drop, are not put into the index. While the arrays fit ``BROADCAST_BYTES`` every task
+drop the lines whose count is large enough. While the arrays fit ``BROADCAST_BYTES`` every task
 gets them; beyond that the line references (never the lines) are routed to the shards,
 each shard split into as many salted copies as its share of references asks for.
 """
@@ -27,7 +26,7 @@ SHARD_KEYS = 1 << 16
 #: Line references that one routed task takes.
 ROUTED_REFS = 1 << 20
 _SPACE = b" \t\n\x0b\x0c\r"
-_BYTES_A_KEY = 14
+_BYTES_A_KEY = 10
 
 
 def line_hashes(text: str | None) -> tuple[list[bytes], list[bytes]]:
@@ -48,6 +47,11 @@ def _place(h1: np.ndarray, h2: np.ndarray, level: int, size: np.ndarray | int) -
     return mix64(h1 + U64((level * 0x9E3779B97F4A7C15 + 1) & 0xFFFFFFFFFFFFFFFF) ^ (h2 * U64(0xD6E8FEB86659FD93))) % np.asarray(size, U64)
 
 
+def _print(h2: np.ndarray) -> np.ndarray:
+    """The compact fingerprint of a key. Keys of the indexed table never need it: each owns its slot."""
+    return (h2 >> U64(32)).astype(np.uint32)
+
+
 def build_shard(h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, gamma: float = 2.0) -> dict:
     """Bits, level sizes, fingerprints and counts of a minimal perfect hash over distinct (h1, h2)."""
     sizes, levels, left, owner = [], [], np.arange(len(h1)), []
@@ -68,7 +72,7 @@ def build_shard(h1: np.ndarray, h2: np.ndarray, counts: np.ndarray, gamma: float
     return {
         "sizes": np.array(sizes, np.int64).tobytes(),
         "bits": b"".join(x.tobytes() for x in levels),
-        "prints": h2[order].tobytes(),
+        "prints": _print(h2[order]).tobytes(),
         "counts": np.minimum(counts[order], 2**31 - 1).astype(np.int32).tobytes(),
     }
 
@@ -91,12 +95,12 @@ class LineIndex:
             self.start[s, :n] = at + np.concatenate([[0], np.cumsum(sizes[s])[:-1]])
             at += int(sizes[s].sum())
             bits.append(shards[s]["bits"])
-            prints.append(np.frombuffer(shards[s]["prints"], np.uint64))
+            prints.append(np.frombuffer(shards[s]["prints"], np.uint32))
             counts.append(np.frombuffer(shards[s]["counts"], np.int32))
             keys += len(prints[-1])
         self.words = np.frombuffer(b"".join(bits), np.uint64)
         self.rank = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words).astype(np.int64))])
-        self.prints = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
+        self.prints = np.concatenate(prints) if prints else np.zeros(0, np.uint32)
         self.counts = np.concatenate(counts) if counts else np.zeros(0, np.int32)
 
     def count(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -115,7 +119,7 @@ class LineIndex:
             got = (self.words[word] >> bit) & U64(1) == 1
             hit, word, bit = live[got], word[got], bit[got]
             slot = self.rank[word] + np.bitwise_count(self.words[word] & ((U64(1) << bit) - U64(1)))
-            same = self.prints[slot] == h2[hit]
+            same = self.prints[slot] == _print(h2[hit])
             out[hit[same]] = self.counts[slot[same]]
             live = live[~got]
         return out
@@ -149,7 +153,7 @@ def line_counts(docs: DataFrame, text_col: str = "text", min_chars: int = 1) ->
 _SHARD = "shard int, sizes binary, bits binary, prints binary, counts binary"
 
 
-def shard_table(common: DataFrame, n_shards: int) -> DataFrame:
+def shard_table(counted: DataFrame, n_shards: int) -> DataFrame:
     """One row of arrays for each shard of the (h1, h2, n) table."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -157,7 +161,7 @@ def shard_table(common: DataFrame, n_shards: int) -> DataFrame:
         return pd.DataFrame([{"shard": int(pdf.shard.iloc[0]), **made}])
 
     shard = F.expr(f"cast(pmod(pmod(h1, {n_shards}) + if(h1 < 0, {(1 << 64) % n_shards}, 0), {n_shards}) as int)")  # h1 counts as unsigned
-    return common.withColumn("shard", shard).groupBy("shard").applyInPandas(build, _SHARD)
+    return counted.withColumn("shard", shard).groupBy("shard").applyInPandas(build, _SHARD)
 
 
 def _kept(docs: DataFrame, text_col: str, fields: list[T.StructField], find) -> DataFrame:
@@ -199,11 +203,10 @@ def drop_common_lines(
     and empty texts are one empty line and come back as an empty text. Every row counts
     as a document, repeated ids included; an empty table gives an empty table.
     """
-    counted = line_counts(docs, text_col, min_chars).where(F.col("n") >= min_docs)
-    common = stash(counted, "lines")
-    total = common.count()
+    counted = stash(line_counts(docs, text_col, min_chars), "lines")
+    total = counted.count()
     n_shards = max(1, -(-total // SHARD_KEYS))
-    shards = shard_table(common, n_shards)
+    shards = shard_table(counted, n_shards)
     fields = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
     if total * _BYTES_A_KEY > broadcast_bytes:
         return _routed(docs, text_col, fields, shards, n_shards, min_docs)
