@@ -2,7 +2,8 @@
 
 Texts become words; a rule is a regular expression over them, tried only where all its
 keywords occur. The order of the rules is their priority. A detection inside another is
-suppressed, and of two that overlap, or are equal, the one of the later rule.
+suppressed, of equal ones the later rule's; the rest is gone through in order of priority,
+and one stays if it overlaps none that stays already.
 """
 
 from __future__ import annotations
@@ -54,11 +55,12 @@ SIGNATURES = [
     ("apache-2.0", ["apache"], [rf"apache (?:software )?licen[cs]e{_V} ?2(?: 0)?", r"(?:www )?apache org licenses license 2 0", r"apache 2 0 license", r"apache 2 license", r"licensed under the apache 2(?: 0)?"]),
     ("apache", ["apache"], [r"apache (?:software |public )?licen[cs]e", r"(?:www )?apache org licenses"]),
     ("apache-2.0", ["asl"], [r"asl 2 0"]),
-    ("mit", ["mit"], [r"(?:the )?mit licen[cs]e", r"mit x11 license", r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?mit", r"opensource org licenses mit(?: license)?", r"mit style license", r"expat mit"]),
+    ("mit", ["mit"], [r"(?:the )?mit licen[cs]e", r"mit x11 license", r"(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?mit", r"opensource org licenses mit(?: license)?", r"mit style license", r"expat mit", r"mit licen[cs]ed"]),
     ("mit", ["granted"], [r"permission is hereby granted free of charge to any person obtaining a copy"]),
     ("mit", ["permission", "copies"], [r"the above copyright notice and this permission notice shall be included in all copies"]),
     ("mit", ["expat"], [r"expat license"]),
     ("mit-0", ["attribution"], [r"mit no attribution(?: license)?"]),
+    ("mit-0", ["mit", "0"], [r"mit 0 licen[cs]e", r"licensed under (?:the )?mit 0"]),
     ("bsd-2-clause", ["bsd"], [r"bsd 2 clause(?: license)?", r"2 clause bsd(?: license)?", r"simplified bsd license"]),
     ("bsd-2-clause", ["freebsd"], [r"freebsd license"]),
     ("bsd-3-clause", ["bsd"], [r"bsd 3 clause(?: license)?", r"3 clause bsd(?: license)?", r"(?:new|modified|revised) bsd license", r"opensource org licenses bsd 3 clause"]),
@@ -292,6 +294,7 @@ SIGNATURES = [
     ("lgpl-3.0", ["spdx", "lgpl"], [r"spdx license identifier lgpl 3 0(?: only| or later)?"]),
     ("agpl-3.0", ["spdx", "agpl"], [r"spdx license identifier agpl 3 0(?: only| or later)?"]),
     ("apache-2.0", ["spdx", "apache"], [r"spdx license identifier apache 2 0"]),
+    ("mit-0", ["spdx", "mit", "0"], [r"spdx license identifier mit 0"]),
     ("mit", ["spdx", "mit"], [r"spdx license identifier mit"]),
     ("bsd-2-clause", ["spdx", "bsd", "2"], [r"spdx license identifier bsd 2 clause"]),
     ("bsd-3-clause", ["spdx", "bsd", "3"], [r"spdx license identifier bsd 3 clause"]),
@@ -314,16 +317,16 @@ SIGNATURES = [
 
 def rules() -> list[dict]:
     """The rules in order of priority: base phrases, then signatures."""
-    out = [{"label": label, "needs": [phrase.split()[0], phrase.split()[-1]], "regex": phrase, "base": True, "weight": 0.9} for phrase, label in BASE.items()]
+    out = [{"label": label, "needs": [phrase.split()[0], phrase.split()[-1]], "regex": phrase, "base": True} for phrase, label in BASE.items()]
     for label, needs, expressions in SIGNATURES:
-        out += [{"label": label, "needs": needs, "regex": e, "base": False, "weight": 0.9 if len(e.split()) > 2 else 0.7} for e in expressions]
+        out += [{"label": label, "needs": needs, "regex": e, "base": False} for e in expressions]
     return [{"order": i, **r, "regex": rf"(?<= ){r['regex']}(?= )"} for i, r in enumerate(out)]
 
 
-_RULE = "array<struct<order: int, label: string, needs: array<string>, regex: string, base: boolean, weight: double>>"
+_RULE = "array<struct<order: int, label: string, needs: array<string>, regex: string, base: boolean>>"
 
 
-_FOUND = "array<struct<start: int, upto: int, order: int, label: string, base: boolean, weight: double>>"
+_FOUND = "array<struct<start: int, upto: int, order: int, label: string, base: boolean>>"
 
 
 #: SQL conditions: a text holds a mark, a word begins or ends with one. Words hold no control characters.
@@ -339,10 +342,9 @@ def scan(docs: DataFrame, text_col: str = "text", table: list[dict] | None = Non
     """``docs`` with ``n_words``, ``found`` and ``detections``.
 
     ``found`` lists every place where a rule matches, as structs (start, upto, order, label,
-    base, weight) in words from 0, sorted by start, longest first, then rule. ``detections``
-    is what stays: a place inside another one goes, of equal ones the later rule's; then, of
-    two neighbours that overlap, the one of the later rule (what each neighbour of a place
-    is, is settled before). Null and empty texts have no words. Repeated rows stay as they
+    base) in words from 0, sorted by start, longest first, then rule. ``detections``
+    is what stays: a place inside another one goes, of equal ones the later rule's; the others
+    are gone through by rule, then by place, and one stays if it overlaps none that stays. Null and empty texts have no words. Repeated rows stay as they
     are; input columns named like an output give way, others pass unchanged.
     """
     table = rules() if table is None else table
@@ -354,11 +356,11 @@ def scan(docs: DataFrame, text_col: str = "text", table: list[dict] | None = Non
     df = df.withColumn("_keys", F.array_distinct(F.filter("_w", lambda w: w.isin(keys)))).withColumn("n_words", F.size("_w").cast("long"))
     # Matches are marked in the text, so the place of a mark among the words is the place of the match: linear in the words.
     marked = r"regexp_replace(_text, r.regex, '\u0001$0\u0002')"
-    place = "struct(a as start, -b - 1 as neg, r.order as order, r.label as label, r.base as base, r.weight as weight)"
+    place = "struct(a as start, -b - 1 as neg, r.order as order, r.label as label, r.base as base)"
     one = f"if({_MARKED}, flatten(transform(array(split(trim(m), ' ')), ws -> zip_with({_places(_BEGINS)}, {_places(_ENDS)}, (a, b) -> {place}))), array())"
     tried = "filter(_rules, r -> size(array_except(r.needs, _keys)) = 0)"
     every = f"sort_array(flatten(transform({tried}, r -> flatten(transform(array({marked}), m -> {one})))))"
-    found = f"if(_text is null, cast(array() as {_FOUND}), transform({every}, x -> struct(x.start as start, -x.neg as upto, x.order as order, x.label as label, x.base as base, x.weight as weight)))"
+    found = f"if(_text is null, cast(array() as {_FOUND}), transform({every}, x -> struct(x.start as start, -x.neg as upto, x.order as order, x.label as label, x.base as base)))"
     df = df.withColumn("_text", F.when(some, F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")))).withColumn("_rules", literal)
     carried = [c for c in df.columns if c in ("_given", "n_words")]
     df = df.select(*carried, F.expr(found).alias("found"))
@@ -368,11 +370,21 @@ def scan(docs: DataFrame, text_col: str = "text", table: list[dict] | None = Non
     df = df.withColumn("_reach", F.expr("transform(_blocks, b -> array_max(transform(b, x -> x.upto)))"))
     inside = f"aggregate(b, struct(coalesce(array_max(slice(_reach, 1, i)), -1) as far, cast(array() as {_FOUND}) as out), (a, x) -> if(x.upto <= a.far, a, struct(x.upto as far, concat(a.out, array(x)) as out)), a -> a.out)"
     df = df.withColumn("_outer", F.expr(f"flatten(transform(_blocks, (b, i) -> {inside}))"))
-    loses = "(coalesce(get(_outer, i - 1).upto > x.start and get(_outer, i - 1).order < x.order, false) or coalesce(get(_outer, i + 1).start < x.upto and get(_outer, i + 1).order < x.order, false))"
-    kept = F.expr(f"filter(_outer, (x, i) -> not {loses})")
+    # Places have ascending ends by now, so those that hang together by overlaps follow each other; each such chain is resolved by itself.
+    begins = "filter(transform(_outer, (x, i) -> if(i = 0 or get(_outer, i - 1).upto <= x.start, i, null)), i -> i is not null)"
+    chains = "transform(_begins, (s, j) -> slice(_outer, s + 1, coalesce(get(_begins, j + 1), size(_outer)) - s))"
+    ordered = "sort_array(transform(c, x -> struct(x.order as by, x.start as at, x as x)))"
+    free = "not exists(a, k -> k.start < p.x.upto and p.x.start < k.upto)"
+    kept = f"if(size(c) = 1, c, aggregate({ordered}, cast(array() as {_FOUND}), (a, p) -> if({free}, concat(a, array(p.x)), a)))"
+    df = df.withColumn("_begins", F.expr(begins))
+    kept = F.expr(f"sort_array(flatten(transform({chains}, c -> {kept})))")
     return df.select(*([F.col("_given")[c].alias(c) for c in given]), "n_words", "found", kept.alias("detections"))
 
 
+#: SQL: how sure a text holds a license. A detection of n words stands for n / (n + 2), and each one leaves its share of the doubt.
+_SCORE = "aggregate(detections, 1.0D, (d, x) -> d * 2.0D / (x.upto - x.start + 2.0D), d -> 1.0D - d)"
+
+
 def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of ``op3_license_scan`` that SQL can express."""
     return op3_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -390,7 +402,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("array_max(transform(_base, x -> x.start))").cast("long").alias("last_word"),
         F.expr(f"array_join(array_sort({base}), ',')").alias("base_labels"),
         F.expr(f"array_join(array_sort(array_union({base}, transform(detections, x -> x.label))), ',')").alias("labels"),
-        F.expr("coalesce(array_max(transform(detections, x -> x.weight)), 0.0D)").alias("score"),
+        F.expr(_SCORE).alias("score"),
     )
 
 

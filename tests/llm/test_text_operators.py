@@ -46,6 +46,22 @@ def test_line_dedup(spark, broadcast_bytes):
     assert nothing.count() == 0
 
 
+@pytest.mark.parametrize("broadcast_bytes", [line_dedup.BROADCAST_BYTES, 0])
+def test_the_count_array_decides(spark, monkeypatch, broadcast_bytes):
+    """Every distinct line is in the index; a line goes or stays by its count there."""
+    texts = ["often\ntwice\nonce %d" % i if i < 2 else "often" for i in range(6)]
+    whole, made = line_dedup.shard_table, []
+
+    def changed(counted, n_shards):
+        made.append(sorted(r.n for r in counted.collect()))
+        return whole(counted.withColumn("n", F.when(F.col("n") == 6, 1).when(F.col("n") == 2, 5).otherwise(F.col("n"))), n_shards)
+
+    monkeypatch.setattr(line_dedup, "shard_table", changed)
+    got = line_dedup.drop_common_lines(spark, table(spark, texts), min_docs=5, broadcast_bytes=broadcast_bytes).orderBy("doc_id").collect()
+    assert made == [[1, 1, 2, 6]]
+    assert [r.text for r in got] == ["often\nonce 0", "often\nonce 1", *["often"] * 4]
+
+
 def test_perfect_hash():
     h = np.random.default_rng(0).integers(0, 2**64, (7000, 2), dtype=np.uint64)
     shard = h[:, 0] % np.uint64(3)
@@ -248,6 +264,14 @@ def test_without_shared_fingerprints_no_window_is_compared(spark, broadcast):
     assert not decontaminate.fingerprint_hits(docs, ["doc_id"], prints.limit(0), (2,), 10, 5, broadcast)[1].count()
 
 
+@pytest.mark.parametrize("broadcast_rows", [decontaminate.BROADCAST_ROWS, 0])
+def test_items_whose_ids_hold_commas(spark, broadcast_rows):
+    one, two = ("a b c d e f g h i j", "k l m n o p q r s t")
+    bench = spark.createDataFrame([("a,b", one), ("a", two), ("b", two)], "item_id string, text string")
+    got = decontaminate.contamination(spark, table(spark, [one, two, one + " x " + two]), bench, broadcast_rows=broadcast_rows).orderBy("doc_id").collect()
+    assert [x["items"] for x in got] == [["a,b"], ["a", "b"], ["a", "a,b", "b"]]
+
+
 def test_decontamination_of_nothing(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     some = decontaminate.contamination(spark, table(spark, ["a b", None]), bench).collect()
@@ -266,16 +290,22 @@ def base_places(text):
 
 
 def resolved(found):
-    """The detections that stay, place by place and pair by pair."""
+    """The detections that stay: none lies in another, and by priority each one that meets none before it."""
     places = [(f.start, f.upto, f.order) for f in found]
     inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1] and ((a[0], a[1]) != (b[0], b[1]) or b[2] < a[2])
-    outer = [a for a in places if not any(inside(a, b) for b in places)]
     out = []
-    for i, a in enumerate(outer):
-        beside = outer[max(0, i - 1) : i] + outer[i + 1 : i + 2]
-        if not any(a[0] < b[1] and b[0] < a[1] and b[2] < a[2] for b in beside):
+    for a in sorted((a for a in places if not any(inside(a, b) for b in places)), key=lambda a: (a[2], a[0])):
+        if all(a[1] <= b[0] or b[1] <= a[0] for b in out):
             out.append(a)
-    return out
+    return sorted(out)
+
+
+def test_a_suppressed_detection_suppresses_none(spark):
+    table = [{"order": i, "label": e[0], "needs": [], "base": False, "regex": f"(?<= ){e}(?= )"} for i, e in enumerate(["a b c", "c d e", "e f g", "g h", "c d e f"])]
+    texts = ["a b c d e f g", "c d e f g", "e f g h a b c d e", "c d e f g h"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), table=table).orderBy("doc_id").collect()
+    assert [[(f.start, f.order) for f in x.detections] for x in got] == [[(0, 0), (4, 2)], [(2, 2)], [(0, 2), (4, 0)], [(2, 2)]]
+    assert [[(f.start, f.upto, f.order) for f in x.detections] for x in got] == [resolved(x.found) for x in got]
 
 
 def test_license_scan(spark):
@@ -324,6 +354,8 @@ def test_license_rules(spark):
         "GNU Lesser General Public License v2.1": ["lgpl-2.1"],
         "released under CC BY-NC-SA 4.0 and the zlib license": ["cc-by-nc-sa", "zlib"],
         "the mitten apache gnu license": [],
+        "SPDX-License-Identifier: MIT-0": ["mit-0"],
+        "this is MIT licensed work": ["mit"],
     }
     rows = spark.createDataFrame(list(enumerate(say)), "doc_id long, text string")
     got = licenses.scan(rows).orderBy("doc_id").collect()
@@ -442,6 +474,18 @@ def test_templates_that_cannot_be_kept_apart():
             chat.Template(opening=opening, closing=closing)
 
 
+def test_the_machine_says_what_carries_loss(spark):
+    """Only answers after the first one carry loss, and so does a tool's text out of order."""
+    go = chat.Move
+    moves = {("start", "user"): go("asked"), ("asked", "assistant"): go("first"), ("first", "user"): go("again"), ("again", "assistant"): go("first", loss=True)}
+    template = chat.Template(moves=moves, strays={"tool": go("tooled", loss=True), "": go("broken")}, ends=("first", "tooled"))
+    names = {"u": "user", "a": "assistant", "t": "tool", "'": "it's"}
+    say = {"uaua": ([3], True), "ua": ([], True), "au": ([], False), "uat": ([2], True), "uatt": ([2, 3], True), "u'a": ([], False), "": ([], None)}
+    rows = [(i, n, names[r], "x") for i, path in enumerate(say) for n, r in enumerate(path)]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), template).orderBy("conv_id").collect()
+    assert [([i // 3 for i, s in enumerate(x.segments) if s.loss], x.valid) for x in got] == list(say.values())[:-1]
+
+
 def test_chat_of_very_many_turns(spark):
     rows = spark.range(40_000).selectExpr("0L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('t', id) as text")
     done = chat.format_chats(rows).withColumn("mask", F.expr(chat.loss_mask()))
