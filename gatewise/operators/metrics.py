@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -12,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CounterConfig
+from ..shared import written
+from .ingest import HOUR
 
 
 def totals(events: DataFrame, *keys: str) -> DataFrame:
@@ -46,33 +46,95 @@ class RateFold:
 
 
 RATE = "source_id int, closed_at long, frames long, elapsed_us long, fps double"
+_EXITS = "source_id int, a long, b long, last long, before long"
 
 
-def fps_windows(frames: DataFrame, config: CounterConfig) -> DataFrame:
+def fps_windows(frames: DataFrame, config: CounterConfig, block_us: int | None = None) -> DataFrame:
     """(source_id, closed_at, frames, elapsed_us, fps) of every closed rate window.
 
     A window closes at the first frame that lies ``fps_window_us`` or more after its start
     and the next starts there without that frame; the very first frame counts. ``fps`` is
-    frames per ``fps_unit_us``, rounded to two places as Python does it. A restart depends
-    on the window before, so the frames of a source stream through one task in order, from
-    window to window; none is held.
+    frames per ``fps_unit_us``, rounded to two places as Python does it.
+
+    Where a window starts depends on the one before, but every time has one successor, the
+    time that would close a window started there. Time is cut into blocks of ``block_us``
+    (an hour, or 16 windows if that is longer). A task for each block finds where the chain leaves it, from every time by
+    which it can come in; those lie within one window of its start, so the chains shrink
+    to a small table. There pointer doubling marks the times that the chain from the first frame
+    comes by, in as many rounds as the logarithm of the number of blocks. Then each block
+    walks its own part. No task holds more of a source than a block.
     """
-    names = ["source_id", "closed_at", "frames", "elapsed_us", "fps"]
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, open_ = None, None
-        for batch in batches:
-            ids, t, out = np.asarray(batch.column(0)), np.asarray(batch.column(1)), []
-            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)] if len(ids) else [0]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if open_ is None or ids[lo] != source:
-                    source, open_ = ids[lo], RateFold(config)
-                out += [(int(source), *x) for x in open_.feed(t[lo:hi])]
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
-
-    ordered = frames.where("source_id is not null and t is not null").select("source_id", "t", "frame_seq").repartition("source_id").sortWithinPartitions("source_id", "t", "frame_seq")
-    return ordered.select("source_id", "t").mapInArrow(fold, RATE)
+    width = config.fps_window_us
+    block = max(block_us or max(HOUR, 16 * width), width)
+    number = F.floor(F.col("t") / block)
+    times = frames.where("source_id is not null and t is not null").groupBy(F.col("source_id").cast("int").alias("source_id"), "t").agg(F.count("*").alias("n")).withColumn("block", number)
+    times = written(times, "rate-times")  # a row for each time, read by both passes
+    is_head = F.col("t") < F.col("block") * block + width
+    blocks = times.groupBy("source_id", "block").agg(F.min("t").alias("first"), F.min(F.when(~is_head, F.col("t"))).alias("behind"), F.sum("n").alias("n"))
+    w = Window.partitionBy("source_id").orderBy("block")  # a row for each block
+    follows = F.lead("block").over(w) == F.col("block") + 1
+    beyond = F.when(follows, F.coalesce(F.lead("behind").over(w), F.lead("first", 2).over(w))).otherwise(F.lead("first").over(w))
+    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    root = F.min("first").over(Window.partitionBy("source_id"))
+    blocks = written(blocks.select("source_id", "block", "first", "behind", beyond.alias("beyond"), before.alias("before"), root.alias("root")), "rate-blocks")
+
+    heads = times.where(is_head).withColumn("block", F.col("block") - 1).withColumn("own", F.lit(False))
+    around = times.withColumn("own", F.lit(True)).unionByName(heads).join(blocks, ["source_id", "block"])
+
+    def leave(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("t")
+        t, own, n = (rows[c].to_numpy() for c in ("t", "own", "n"))
+        mine, count = t[own], n[own]
+        ahead = np.searchsorted(t, mine + width)
+        far = rows["beyond"][0].as_py()
+        passed = int(rows["before"][0].as_py()) + np.cumsum(count) - count
+        exits, last = [None] * len(mine), [0] * len(mine)
+        for i in range(len(mine) - 1, -1, -1):
+            j = int(ahead[i])
+            if j < len(mine):
+                exits[i], last[i] = exits[j], last[j]
+            else:
+                exits[i], last[i] = int(t[j]) if j < len(t) else far, i
+        start = int(rows["block"][0].as_py()) * block
+        ways_in = np.flatnonzero((mine < start + width) | (mine == (rows["behind"][0].as_py() or -1)))
+        ends = np.array(last, np.int64)[ways_in]
+        return pa.table(
+            {
+                "source_id": pa.array(np.full(len(ways_in), rows["source_id"][0].as_py(), np.int32)), "a": pa.array(mine[ways_in]),
+                "b": pa.array([exits[i] for i in ways_in], pa.int64()), "last": pa.array(mine[ends]), "before": pa.array(passed[ends]),
+            }
+        )
+
+    links = written(around.groupBy("source_id", "block").applyInArrow(leave, _EXITS), "rate-links")
+    rounds = (blocks.groupBy("source_id").count().agg(F.max("count")).first()[0] or 0).bit_length()  # a chain comes by each block once at most
+    met, jumps = blocks.select("source_id", F.col("root").alias("a")).distinct(), links.where("b is not null").select("source_id", "a", "b")
+    for k in range(rounds):
+        met = met.join(jumps, ["source_id", "a"], "left").select("source_id", F.explode(F.array_compact(F.array("a", "b"))).alias("a"))
+        if k + 1 < rounds:
+            second = jumps.select("source_id", F.col("a").alias("b"), F.col("b").alias("c"))
+            jumps = written(jumps.join(second, ["source_id", "b"]).select("source_id", "a", F.col("c").alias("b")), "rate-jumps")
+    met = met.distinct()
+    entries = met.join(links, ["source_id", "a"]).where("b is not null").select("source_id", F.col("b").alias("entry"), "last", F.col("before").alias("last_before"))
+    first = blocks.select("source_id", F.col("root").alias("entry")).distinct().withColumns({c: F.lit(None).cast("long") for c in ("last", "last_before")})
+    entries = entries.unionByName(first).withColumn("block", F.floor(F.col("entry") / block))
+
+    def walk(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("t")
+        t, n = rows["t"].to_numpy(), rows["n"].to_numpy()
+        entry, last, last_before, source, start, root = (rows[c][0].as_py() for c in ("entry", "last", "last_before", "source_id", "before", "root"))
+        passed = start + np.cumsum(n) - n
+        i, out = int(np.searchsorted(t, entry)), []
+        if last is not None:
+            out.append((entry, int(passed[i]) - last_before + (last == root), entry - last))
+        while (j := int(np.searchsorted(t, t[i] + width))) < len(t):
+            out.append((int(t[j]), int(passed[j] - passed[i]) + (int(t[i]) == root), int(t[j] - t[i])))
+            i = j
+        closed, frames_, elapsed = zip(*out, strict=True) if out else ((), (), ())
+        fps = [round(k / (e / config.fps_unit_us), 2) for k, e in zip(frames_, elapsed, strict=True)]
+        return pa.table([pa.array([source] * len(out), pa.int32()), *(pa.array(x, pa.int64()) for x in (closed, frames_, elapsed)), pa.array(fps, pa.float64())], names=[c.split()[0] for c in RATE.split(", ")])
+
+    mine = times.join(entries, ["source_id", "block"]).join(blocks.select("source_id", "block", "before", "root"), ["source_id", "block"])
+    return mine.groupBy("source_id", "block").applyInArrow(walk, RATE)
 
 
 OPEN_RATES = "source_id int, start long, count long, fps double"

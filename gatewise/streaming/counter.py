@@ -1,28 +1,47 @@
 """Crossing events from a stream of observations, with the batch semantics.
 
-Each track is a state group. Rows wait in the state until the watermark passes them, are
-then put in order and folded; the state leaves once the track's lifetime is over.
+Each track is a state group with a list of rows that wait for the watermark, the track
+itself, and event-time timers. Arriving rows are appended to the list; a timer takes those
+that the watermark has passed in order, folds them, and in the end removes a track whose
+lifetime is over. Rows that come behind the watermark leave at once, marked as late, so
+every row is either used or reported.
 """
 
 from __future__ import annotations
 
 import json
-import pickle
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import CounterConfig, Line
 from ..operators.ingest import persons, tracked
 from ..operators.tracks import with_foot_point
 
 EVENT = "t long, frame_seq long, obj_seq int, source_id int, track_id long, kind string"
-_STATE = "rows binary, track binary"
+#: ``kind`` of a row that came behind the watermark.
+LATE = "late"
+TRACK = "x double, y double, line int, at long, seen long"
+WAITING = "t long, frame_seq long, obj_seq int, prev_tick long, px double, py double, ends array<double>"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in the store that the state API needs; the session's own setting comes back after."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
 
 
 class TrackFold:
@@ -58,57 +77,106 @@ class TrackFold:
 _ENDS = [f"line{n}.{c}" for n in (1, 2) for c in ("x1", "y1", "x2", "y2")]
 
 
+class TrackCounter(StatefulProcessor):
+    """Folds the rows of one (source, track) in order of time as the watermark passes them."""
+
+    def __init__(self, line1: Line | None, line2: Line | None, config: CounterConfig):
+        self.fold, self.ttl = TrackFold(line1, line2, config), config.ttl_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.track, self.waiting = handle.getValueState("track", TRACK), handle.getListState("waiting", WAITING)
+
+    def _wake(self, at: int, watermark: int) -> None:
+        """Keep the earliest timer ahead of the watermark; those behind it fire in this batch or have just done so."""
+        ahead = [x for x in self.handle.listTimers() if x > watermark]
+        if not ahead or at < min(ahead):
+            for old in ahead:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        new = []
+        for r in rows:
+            if r.t < watermark * 1000:
+                yield Row(t=r.t, frame_seq=r.frame_seq, obj_seq=r.obj_seq, source_id=key[0], track_id=key[1], kind=LATE)
+            else:
+                new.append((r.t, r.frame_seq, r.obj_seq, r.prev_tick, r.px, r.py, r.ends))
+        if new:
+            self.waiting.appendList(new)
+            self._wake(max(min(x[0] for x in new) // 1000 + 1, watermark + 1), watermark)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        held = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted((x for x in held if x[0] < watermark * 1000), key=lambda x: x[:3])
+        rest = [x for x in held if x[0] >= watermark * 1000]
+        track = None
+        if self.track.exists():
+            x, y, line, at, seen = self.track.get()
+            track = {"point": (x, y), "line": line, "at": at, "seen": seen}
+        for t, frame, obj, tick, x, y, ends in due:
+            lines = (Line(*ends[:4]), Line(*ends[4:])) if ends else None
+            track, kind = self.fold.step(track, t, tick, (x, y), lines)
+            if kind:
+                yield Row(t=t, frame_seq=frame, obj_seq=obj, source_id=key[0], track_id=key[1], kind=kind)
+        if due and rest:
+            self.waiting.put(rest)
+        elif due:
+            self.waiting.clear()
+        over = track is None or track["seen"] + 2 * self.ttl < watermark * 1000
+        if over and track and not rest:
+            self.track.clear()
+        elif due:
+            self.track.update((*track["point"], track["line"], track["at"], track["seen"]))
+        if rest:
+            self._wake(max(min(x[0] for x in rest) // 1000 + 1, watermark + 1), watermark)
+        elif not over:
+            self._wake(max((track["seen"] + 2 * self.ttl) // 1000 + 1, watermark + 1), watermark)
+
+
 def crossing_stream(observations: DataFrame, line1: Line | None, line2: Line | None, config: CounterConfig, delay: str = "0 seconds") -> DataFrame:
     """Append-mode events from streaming observations with ``prev_tick`` and ``at`` (the time as a timestamp).
 
-    With lines of None the rows bring their own, as structs ``line1`` and ``line2``. Rows
-    behind the watermark are dropped (``late_rows`` counts them). The last rows of a stream
-    come out only when later rows, of any track, move the watermark past them.
+    With lines of None the rows bring their own, as structs ``line1`` and ``line2``. A row
+    behind the watermark comes out with the kind ``late`` instead of being counted. The last
+    rows of a stream come out only when later rows, of any track, move the watermark past
+    them. Start the query inside ``state_store``.
     """
-    fold = TrackFold(line1, line2, config)
-    ttl = config.ttl_us
-    own_lines = line1 is None
-    names = ["t", "frame_seq", "obj_seq", "prev_tick", "px", "py", *(f"_l{i}" for i in range(8) if own_lines)]
-
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, track = (pickle.loads(x) for x in state.get) if state.exists else ([], None)
-        for f in frames:
-            f = f.assign(prev_tick=f.prev_tick.astype("object").where(f.prev_tick.notna(), None))
-            waiting += list(zip(*(f[c] for c in names), strict=True))
-        upto = state.getCurrentWatermarkMs() * 1000
-        waiting.sort(key=lambda r: r[:3])
-        out, done = [], 0
-        while done < len(waiting) and waiting[done][0] < upto:
-            t, frame, obj, tick, x, y, *ends = waiting[done]
-            done += 1
-            lines = (Line(*ends[:4]), Line(*ends[4:])) if own_lines else None
-            track, kind = fold.step(track, int(t), None if tick is None else int(tick), (float(x), float(y)), lines)
-            if kind:
-                out.append((int(t), int(frame), int(obj), int(key[0]), int(key[1]), kind))
-        waiting = waiting[done:]
-        if waiting:
-            due = int(waiting[0][0]) // 1000 + 1
-        elif track and track["seen"] + 2 * ttl > upto:
-            due = (track["seen"] + 2 * ttl) // 1000 + 1
-        else:
-            due = None
-        if due is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((pickle.dumps(waiting), pickle.dumps(track)))
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["t", "frame_seq", "obj_seq", "source_id", "track_id", "kind"])
-
     points = with_foot_point(tracked(persons(observations)), config).withWatermark("at", delay)
-    ends = [F.col(c).alias(f"_l{i}") for i, c in enumerate(_ENDS)] if own_lines else []
-    slim = points.select("source_id", "track_id", "t", "frame_seq", "obj_seq", F.col("prev_tick").cast("double"), "px", "py", *ends, "at")
-    return slim.groupBy("source_id", "track_id").applyInPandasWithState(run, EVENT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    ends = F.array(*[F.col(c) for c in _ENDS]) if line1 is None else F.lit(None).cast("array<double>")
+    # Without ``at`` the rows behind the watermark are not dropped before the processor sees them.
+    slim = points.select("source_id", "track_id", "t", "frame_seq", "obj_seq", F.col("prev_tick").cast("long").alias("prev_tick"), "px", "py", ends.alias("ends"))
+    return slim.groupBy("source_id", "track_id").transformWithState(TrackCounter(line1, line2, config), EVENT, "append", "eventtime")
+
 
+def checkpointed_tracks(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(source_id, track_id, x, y, line, at, seen): the tracks that a counter's checkpoint holds, as a table."""
+    held = spark.read.format("statestore").option("stateVarName", "track").load(checkpoint)
+    return held.select("key.*", "value.*")
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that a running or finished query dropped because they came behind the watermark."""
-    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in json.loads(p.json)["stateOperators"])
+
+def tracks_from_events(ticked: DataFrame, line1: Line, line2: Line, config: CounterConfig, upto: int) -> DataFrame:
+    """The same tracks worked out of the table of observations, all rows before the time ``upto`` (microseconds) folded.
+
+    What waits for another crossing is the last one of a track's last incarnation, unless a match used it up.
+    """
+    from ..operators.tracks import with_incarnation, with_previous_point
+    from ..operators.transitions import with_crossing, with_links, with_matches
+
+    kept = tracked(persons(ticked.where(F.col("t") < upto)))
+    steps = with_crossing(with_previous_point(with_incarnation(with_foot_point(kept, config), config)), line1, line2)
+    key = ["source_id", "track_id"]
+    order = F.struct("t", "frame_seq", "obj_seq")
+    last = steps.groupBy(*key).agg(F.max_by(F.struct("incarnation", "px", "py", "t"), order).alias("now"))
+    born = steps.groupBy(*key, "incarnation").agg(F.min("t").alias("born"))
+    crossed = with_matches(with_links(steps, config)).groupBy(*key, "incarnation").agg(F.max_by(F.struct(F.when(~F.col("match"), F.col("z")).alias("line"), "t"), order).alias("crossing"))
+    # A match leaves the time of the crossing it used up, the one before it.
+    held = with_matches(with_links(steps, config)).groupBy(*key, "incarnation").agg(F.max(F.when(~F.col("match"), F.col("t"))).alias("armed"))
+    rows = last.withColumn("incarnation", F.col("now.incarnation")).join(born, [*key, "incarnation"]).join(crossed, [*key, "incarnation"], "left").join(held, [*key, "incarnation"], "left")
+    rows = rows.where(F.col("now.t") + 2 * config.ttl_us >= upto)
+    return rows.select(*key, F.col("now.px").alias("x"), F.col("now.py").alias("y"), F.col("crossing.line").cast("int").alias("line"), F.coalesce("armed", "born").alias("at"), F.col("now.t").alias("seen"))
 
 
 # ---- the state file
@@ -161,6 +229,7 @@ def write_state(batch: DataFrame, epoch: int, path: str, resets: DataFrame | Non
     reset_at = resets.agg(F.max("t")).first()[0] if resets is not None else None
     if reset_at is not None and (state["reset_at"] is None or reset_at > state["reset_at"]):
         state |= {"entries": 0, "exits": 0, "reset_at": reset_at}
+    batch = batch.where(F.col("kind") != LATE)
     new = totals(batch if state["reset_at"] is None else batch.where(F.col("t") > state["reset_at"])).first()
     state |= {k: state[k] + new[k] for k in ("entries", "exits")}
     if rates is not None:

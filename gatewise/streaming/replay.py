@@ -2,46 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CounterConfig, Line
-from .counter import EVENT, crossing_stream
+from ..operators.tracker import TRACKED, Tracker, typed
+from ..shared import shared_folder
+from .counter import EVENT, LATE, crossing_stream, state_store
 
 HEARTBEAT_TRACK = -1
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Where driver and executors both see files: ``spark.checkpoint.dir``, else the warehouse, or on one machine a folder of its own."""
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not root and context.master.startswith("local"):
-        root = tempfile.mkdtemp(prefix="gatewise-")
-        context.setCheckpointDir(root)
-    path = (root or spark.conf.get("spark.sql.warehouse.dir") + "/scratch").rstrip("/") + f"/gatewise/replay-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
-    return path
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have ended before the interpreter does
-        return
-
-
 def replay_events(ticked: DataFrame, line1: Line, line2: Line, config: CounterConfig, files: int = 4) -> DataFrame:
     """Crossing events of ``ticked`` observations, written in time order as files and read as a stream.
 
     A heartbeat after the last row moves the watermark past the end, so nothing stays behind.
     """
     spark = ticked.sparkSession
-    root = shared_folder(spark)
+    root = shared_folder(spark, "replay")
     names = ["t", "frame_seq", "obj_seq", "source_id", "class_id", "track_id", "left", "top", "width", "height", "prev_tick"]
     rows = ticked.select(*names)
     first, last = rows.agg(F.min("t"), F.max("t")).first()
@@ -56,9 +36,34 @@ def replay_events(ticked: DataFrame, line1: Line, line2: Line, config: CounterCo
     one.coalesce(1).write.mode("append").parquet(f"{root}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/in")
     events = crossing_stream(stream.withColumn("at", F.timestamp_micros("t")), line1, line2, config, delay="1 hour")
-    done = events.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    with state_store(spark):
+        done = events.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     done.awaitTermination()
-    return spark.read.schema(events.schema).parquet(f"{root}/out").where(F.col("track_id") != HEARTBEAT_TRACK)
+    return spark.read.schema(events.schema).parquet(f"{root}/out").where((F.col("track_id") != HEARTBEAT_TRACK) & (F.col("kind") != LATE))
+
+
+def replay_tracks(detections: DataFrame, make: Callable[[], Tracker], slices: int = 2) -> DataFrame:
+    """What ``tracked_stream`` gives for a table of detections, written slice by slice; the query stops and starts again in between."""
+    from .tracking import tracked_stream
+
+    spark = detections.sparkSession
+    root = shared_folder(spark, "replay")
+    rows = typed(detections)
+    first, last = rows.agg(F.min("t"), F.max("t")).first()
+    if first is None:
+        return spark.createDataFrame([], TRACKED)
+    step = (last - first) // slices + 1
+    beat = {"t": last + 3_600_000_000, "source_id": -1}
+    one = spark.range(1).select(*[F.lit(beat.get(f.name, None if f.name == "feature" else 0)).cast(f.dataType).alias(f.name) for f in rows.schema])
+    for k in range(slices + 1):
+        part = rows.where((F.col("t") >= first + k * step) & (F.col("t") < first + (k + 1) * step)) if k < slices else one
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in").withColumn("at", F.timestamp_micros("t"))
+        tracked = tracked_stream(stream, make)
+        with state_store(spark):
+            query = tracked.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(tracked.schema).parquet(f"{root}/out").where("source_id >= 0")
 
 
 def live_state(batches: DataFrame, versions: DataFrame, resets: DataFrame, config: CounterConfig, slices: int = 2) -> DataFrame:
@@ -72,7 +77,7 @@ def live_state(batches: DataFrame, versions: DataFrame, resets: DataFrame, confi
     from .live import start_counter, start_ticker
 
     spark = batches.sparkSession
-    root = shared_folder(spark)
+    root = shared_folder(spark, "replay")
     first, last = batches.agg(F.min("t"), F.max("t")).first()
     step = ((last or 0) - (first or 0)) // slices + 1
     for k in range(slices + 1):

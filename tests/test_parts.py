@@ -1,7 +1,9 @@
 """Settings, control tables, rates, byte streams, streaming."""
 
 import os
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,36 @@ def test_rate_windows(spark):
     assert metrics.fps_total(by.limit(0)).first()[0] == 0.0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_rate_windows_by_blocks_equal_fold(spark, seed):
+    """Many blocks, gaps of whole blocks, frames of one time, a source with a single frame."""
+    r = random.Random(seed)
+    config = CounterConfig(fps_window_us=10, fps_unit_us=7)
+    rows = [(9, 55, 0)]
+    for source in range(4):
+        t = r.randint(-40, 40)
+        for i in range(r.randint(20, 120)):
+            rows.append((source, t, i))
+            t += r.choice([0, 0, 1, 3, 9, 10, 11, r.randint(0, 90)])
+    frames = spark.createDataFrame(rows, "source_id int, t long, frame_seq long")
+    want = []
+    for source in {x[0] for x in rows}:
+        want += [(source, *x) for x in metrics.RateFold(config).feed(np.sort(np.array([x[1] for x in rows if x[0] == source])))]
+    for block in (10, 16, 35, 10_000):
+        assert sorted(map(tuple, metrics.fps_windows(frames, config, block_us=block).collect())) == sorted(want), block
+    assert metrics.fps_windows(frames.limit(0), config).count() == 0
+
+
+def test_rate_windows_hold_no_whole_source(spark):
+    """Frames are exchanged by source and block, never by source alone."""
+    rows = [(0, t * SECOND, t) for t in range(0, 40_000, 7)]
+    frames = spark.createDataFrame(rows, "source_id int, t long, frame_seq long")
+    plan = metrics.fps_windows(frames, CounterConfig())._jdf.queryExecution().executedPlan().toString()
+    exchanged = [line for line in plan.split("\n") if "Exchange hashpartitioning(source_id" in line]
+    assert exchanged
+    assert all(", block" in line or ", a#" in line or ", entry" in line for line in exchanged), exchanged
+
+
 def test_jpeg_cut_anywhere(spark):
     stream = b"junk\xff" + b"\xff\xd8one\xff\xd9" + b"\xff\xd8\xff\xd9" + b"x" + b"\xff\xd8two\xff\xff\xd9" + b"\xff\xd8open"
     want = [b"\xff\xd8one\xff\xd9", b"\xff\xd8\xff\xd9", b"\xff\xd8two\xff\xff\xd9"]
@@ -213,7 +245,7 @@ def test_files_of_batches_as_stream_and_table(spark, tmp_path):
     from gatewise.config import Line
     from gatewise.operators.transitions import crossing_events
     from gatewise.sources import streams
-    from gatewise.streaming.counter import crossing_stream
+    from gatewise.streaming.counter import crossing_stream, state_store
 
     box = lambda y: {"left": 0.5, "top": y, "width": 0.0, "height": 0.0}
     inside = tmp_path / "in"
@@ -232,7 +264,8 @@ def test_files_of_batches_as_stream_and_table(spark, tmp_path):
     want = sorted(map(tuple, crossing_events(streams.observations(table), *lines, config).collect()))
     assert [w[-1] for w in want] == ["entry", "exit"]
     live = crossing_stream(streams.observations(streams.batch_stream(spark, str(inside), 2)), *lines, config)
-    run = live.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    with state_store(spark):
+        run = live.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted(map(tuple, spark.read.schema(live.schema).parquet(str(tmp_path / "out")).collect())) == want
 
@@ -285,7 +318,7 @@ def test_live_counting_with_a_restart(spark, tmp_path):
     def run():
         spark_versions = lambda: c.read_lines(spark, str(tmp_path / "lines"))
         live.start_ticker(streams.batch_stream(spark, str(inside)), root, spark_versions, config, availableNow=True).awaitTermination()
-        query = live.start_counter(spark, root, state, lambda: c.read_resets(spark, str(tmp_path / "resets")), config, availableNow=True)
+        query = live.start_counter(spark, root, state, lambda: c.read_resets(spark, str(tmp_path / "resets")), config, counted="off", availableNow=True)
         query.awaitTermination()
         return query
 
@@ -312,6 +345,82 @@ def test_live_counting_with_a_restart(spark, tmp_path):
     assert Line(*spark.read.schema(live.SEEN).option("recursiveFileLookup", "true").parquet(f"{root}/observations").where("track_id = 9").first().line1).y1 == 0.1
 
 
+def test_what_live_queries_list_does_not_grow(spark, tmp_path, monkeypatch):
+    """Many micro-batches, some rows late: carried folders stay few, and late and used rows are all rows."""
+    import json
+
+    from gatewise.config import Line
+    from gatewise.sources import streams
+    from gatewise.streaming import live
+    from gatewise.streaming.counter import read_state
+
+    monkeypatch.setattr(live, "KEPT", 3)
+    inside, root, state = tmp_path / "in", str(tmp_path / "live"), str(tmp_path / "state.json")
+    inside.mkdir()
+    config = CounterConfig(width=1.0, height=1.0)
+    lines = spark.createDataFrame([(0, (0.0, 0.4, 1.0, 0.4), (0.0, 0.6, 1.0, 0.6))], LINE_VERSIONS)
+    number = iter(range(1000))
+
+    def put(t, *people):
+        objects = [{"class_id": 0, "object_id": k, "rect": {"left": 0.5, "top": y, "width": 0.0, "height": 0.0}} for k, y in people]
+        (inside / f"{next(number):03d}.json").write_text(json.dumps({"t": round(t * SECOND), "frames": [{"source_id": 0, "objects": objects}]}))
+
+    def run():
+        live.start_ticker(streams.batch_stream(spark, str(inside), 1), root, lambda: lines, config, availableNow=True).awaitTermination()
+        live.start_counter(spark, root, state, lambda: spark.createDataFrame([], "t long"), config, availableNow=True).awaitTermination()
+
+    rows = 0
+    for k in range(4):
+        for i in range(3):
+            put(10 * k + 1 + i, (k, 0.3 + 0.2 * i), (100, 0.1))
+            rows += 2
+        run()
+    put(5, (0, 0.5), (200, 0.3))  # 26 s behind by now
+    put(6, (200, 0.5))
+    put(5000)
+    rows += 3
+    run()
+    assert live.late_rows(spark, root) == 3
+    assert sorted((r.track_id, r.t // SECOND) for r in live.happened(spark, root).where("kind = 'late'").collect()) == [(0, 5), (200, 5), (200, 6)]
+    assert read_state(spark, state)["entries"] == 4
+    listed = {name: len(list((tmp_path / "live" / name).iterdir())) for name in ("clock", "rates", "observations")}
+    assert max(listed.values()) <= 7, listed
+    assert not list((tmp_path / "live" / "unfinished").iterdir())
+    assert Line(*lines.first().line1).y1 == 0.4
+
+
+def test_an_epoch_is_written_once(spark, tmp_path):
+    from gatewise.streaming import live
+
+    spark.conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        live._once(spark.range(3), str(tmp_path), "rates", 4)
+        live._once(spark.range(9), str(tmp_path), "rates", 4)
+    finally:
+        spark.conf.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+    assert live._carried(spark, str(tmp_path), "rates", 5, "id long").count() == 3
+    assert live.latest(spark, str(tmp_path), "rates", "id long").count() == 3
+    with pytest.raises(FileNotFoundError):
+        live._carried(spark, str(tmp_path), "rates", 4, "id long")
+
+
+def test_tracks_of_a_checkpoint(spark, tmp_path):
+    """The state as a table equals the fold over the table of observations, at the watermark the query had reached."""
+    from gatewise.streaming.counter import checkpointed_tracks, crossing_stream, state_store, tracks_from_events
+
+    rows = ev.ticked(spark, DATA)
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")).withColumn("at", F.timestamp_micros("t"))
+    with state_store(spark):
+        query = crossing_stream(stream, ev.LINE1, ev.LINE2, ev.CONFIG).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = rows.where("class_id = 0 and track_id is not null").agg(F.max("t")).first()[0]
+    upto = last // 1000 * 1000
+    got = sorted(map(tuple, checkpointed_tracks(spark, str(tmp_path / "state")).collect()))
+    want = tracks_from_events(rows, ev.LINE1, ev.LINE2, ev.CONFIG, upto)
+    assert got and got == sorted(map(tuple, want.select("source_id", "track_id", "x", "y", "line", "at", "seen").collect()))
+
+
 ANCHORS = {"sf0.001": (5, 6, 0), "sf0.01": (63, 53, 10), "sf0.1": (813, 693, 120)}
 
 
