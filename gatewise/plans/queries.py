@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import CounterConfig
 from ..functions import geometry as g
-from ..operators import assoc, control, ingest, lifecycle, metrics, motion, tracks, transitions
+from ..operators import assoc, control, ingest, lifecycle, metrics, motion, tracker, tracks, transitions
 from ..sources import control_tables, detections, jpeg, settings
 from . import event_tables as ev
 
@@ -514,6 +514,76 @@ def greedy_all(spark, d):
     return assoc.greedy(_pairs(spark, d), ["source_id", "frame"]).select("source_id", "frame", "target", "detection")
 
 
+def _walk(pairs: str, found: str) -> str:
+    """CTE ``found``: greedy matching of the CTE ``pairs``, one pair after another."""
+    used = "list_contains(ts, o.target) OR list_contains(ds, o.detection)"
+    return f"""o_{found} AS (SELECT *, row_number() OVER (PARTITION BY source_id, frame ORDER BY score DESC, target, detection) AS k FROM {pairs}),
+    w_{found} AS (
+      SELECT DISTINCT source_id, frame, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ts, CAST([] AS BIGINT[]) AS ds, CAST(NULL AS BIGINT) AS target, CAST(NULL AS BIGINT) AS detection FROM o_{found}
+      UNION ALL
+      SELECT w.source_id, w.frame, o.k, CASE WHEN {used} THEN ts ELSE list_append(ts, o.target) END, CASE WHEN {used} THEN ds ELSE list_append(ds, o.detection) END,
+             CASE WHEN NOT ({used}) THEN o.target END, CASE WHEN NOT ({used}) THEN o.detection END
+      FROM w_{found} w JOIN o_{found} o ON o.source_id = w.source_id AND o.frame = w.frame AND o.k = w.k + 1
+    ), {found} AS (SELECT source_id, frame, target, detection FROM w_{found} WHERE target IS NOT NULL)"""
+
+
+@query(
+    "cascade_match",
+    f"""WITH RECURSIVE {ev.OBS}, {_BOXES}, j AS (
+      SELECT d.source_id, d.frame, a.o AS target, d.o AS detection, a.o % 3 AS st, (d.o * 7919 % 1000) / CAST(1000 AS DOUBLE) AS conf, a.w * a.h AS sa, d.w * d.h AS sd,
+        greatest(CAST(0 AS DOUBLE), least(a.l + a.w, d.l + d.w) - greatest(a.l, d.l)) * greatest(CAST(0 AS DOUBLE), least(a.u + a.h, d.u + d.h) - greatest(a.u, d.u)) AS i
+      FROM b a JOIN b d ON a.source_id = d.source_id AND a.frame + 1 = d.frame
+    ), s AS (SELECT *, i / (sa + sd - i) AS iou, least(sa, sd) / greatest(sa, sd) AS z FROM j WHERE i > 0),
+    p1 AS (SELECT source_id, frame, target, detection, CAST('0.6003' AS DOUBLE) * z + CAST('0.4033' AS DOUBLE) * iou AS score FROM s WHERE st < 2 AND conf >= CAST('0.3' AS DOUBLE) AND iou >= CAST('0.0548' AS DOUBLE) AND z >= CAST('0.3552' AS DOUBLE)),
+    {_walk('p1', 'm1')},
+    p2 AS (SELECT source_id, frame, target, detection, iou AS score FROM s ANTI JOIN m1 USING (source_id, frame, target) WHERE st = 0 AND conf < CAST('0.3' AS DOUBLE) AND iou >= CAST('0.2852' AS DOUBLE)),
+    {_walk('p2', 'm2')},
+    p3 AS (SELECT source_id, frame, target, detection, iou AS score FROM s ANTI JOIN m1 USING (source_id, frame, detection) WHERE st = 2 AND conf >= CAST('0.3' AS DOUBLE) AND iou >= CAST('0.0548' AS DOUBLE)),
+    {_walk('p3', 'm3')}
+    SELECT *, 1 AS stage FROM m1 UNION ALL SELECT *, 2 FROM m2 UNION ALL SELECT *, 3 FROM m3""",
+)
+def cascade_match(spark, d):
+    """Boxes of one six-hour frame as targets, in sight, in the shadow or on probation, against the detections of the next."""
+    boxes = _boxes(spark, d)
+    status = F.element_at(F.array(*[F.lit(x) for x in (assoc.ACTIVE, assoc.SHADOW, assoc.TENTATIVE)]), (F.col("obj_seq") % 3 + 1).cast("int"))
+    targets = boxes.withColumn("frame", F.col("frame") + 1).withColumn("status", status)
+    found = boxes.withColumn("confidence", (F.col("obj_seq") * 7919 % 1000) / F.lit(1000.0))
+    return assoc.cascade(targets, found, ["source_id", "frame"], tentative_confidence=0.3).select("source_id", "frame", "target", "detection", "stage")
+
+
+@query("optimal_match")
+def optimal_match(spark, d):
+    """The same frames as in ``greedy_all``, matched for the largest sum of scores."""
+    return assoc.optimal(_pairs(spark, d), ["source_id", "frame"]).select("source_id", "frame", "target", "detection")
+
+
+_TRACKING = tracker.TrackerConfig(tentative_confidence=0.3, life=lifecycle.LifecycleConfig(probation=3, early_termination=2, shadow=8))
+
+
+def _detections(spark: SparkSession, d: str) -> DataFrame:
+    """Events as detections of six-hour frames, the best 300 of each; all of a frame have its end as their time."""
+    frame = F.floor(F.col("t") / 21_600_000_000)
+    rows = ev.observations(spark, d).select(
+        ((frame + 1) * 21_600_000_000).alias("t"), frame.alias("frame"), F.col("frame_seq").alias("obj_seq"), "source_id", "class_id",
+        ((F.col("frame_seq") * 7919 % 1000) / F.lit(1000.0)).alias("confidence"), "left", "top", "width", "height",
+    )
+    return ingest.top_detections(rows, ["source_id", "frame"], 300).drop("rank")
+
+
+@query("tracked_detections")
+def tracked_detections(spark, d):
+    """Detections without ids get those of the tracker, frame by frame."""
+    return tracker.track_table(_detections(spark, d), lambda: tracker.CascadeTracker(_TRACKING))
+
+
+@query("online_tracks")
+def online_tracks(spark, d):
+    """The same from a stream that is stopped and started in between; the tracker's targets are the query's state."""
+    from ..streaming import replay
+
+    return replay.replay_tracks(_detections(spark, d), lambda: tracker.CascadeTracker(_TRACKING))
+
+
 @query(
     "visual_pairs",
     f"""WITH {ev.OBS}, m AS (SELECT *, {_FEATURE_SQL} AS f FROM obs), b AS (SELECT source_id, CAST(floor(t / 21600000000) AS BIGINT) AS frame, frame_seq AS o, "left" AS l, top AS u, width AS w, height AS h, f FROM m),
