@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import CounterConfig
 from ..functions import geometry as g
-from ..operators import assoc, control, ingest, lifecycle, metrics, motion, tracker, tracks, transitions
+from ..operators import assoc, control, ingest, lifecycle, metrics, motion, reid, tracker, tracks, transitions
 from ..sources import control_tables, detections, jpeg, settings
 from . import event_tables as ev
 
@@ -637,14 +637,88 @@ def _hours(spark: SparkSession, d: str) -> DataFrame:
     return seen.select("source_id", "track_id", "frame", "left", "top", "width", "height")
 
 
-@query("state_estimates")
+def _estimates(rows: str, found: str, config: motion.MotionConfig) -> str:
+    """CTE ``found``: the filter over the rows (source_id, track_id, frame, cx, cy, w, h, k) of the CTE ``rows``, one after another."""
+    c = {k: f"CAST('{getattr(config, k)!r}' AS DOUBLE)" for k in ("location", "size", "velocity", "measurement")}
+    return f"""{found} AS (
+      SELECT source_id, track_id, k, frame, cx AS x, cy AS y, w AS width, h AS height, CAST(0 AS DOUBLE) AS vx, CAST(0 AS DOUBLE) AS vy, {c['measurement']} AS p, CAST(0 AS DOUBLE) AS q, {c['velocity']} AS r, {c['measurement']} AS s
+      FROM {rows} WHERE k = 1
+      UNION ALL
+      SELECT source_id, track_id, k, frame, ax + gain * (cx - ax), ay + gain * (cy - ay), width + fit * (w - width), height + fit * (h - height), vx + pull * (cx - ax), vy + pull * (cy - ay),
+             (1 - gain) * p, (1 - gain) * q, r - pull * q, (1 - fit) * s
+      FROM (
+        SELECT *, p / (p + {c['measurement']}) AS gain, q / (p + {c['measurement']}) AS pull, s / (s + {c['measurement']}) AS fit FROM (
+          SELECT b.source_id, b.track_id, b.k, b.frame, b.cx, b.cy, b.w, b.h, e.width, e.height, e.vx, e.vy, e.x + n * e.vx AS ax, e.y + n * e.vy AS ay,
+            e.p + 2 * (n * e.q + n * (n - 1) / 2 * e.r + n * (n - 1) * (n - 2) / 6 * {c['velocity']}) + n * e.r + n * (n - 1) / 2 * {c['velocity']} + n * {c['location']} AS p,
+            e.q + n * e.r + n * (n - 1) / 2 * {c['velocity']} AS q, e.r + n * {c['velocity']} AS r, e.s + n * {c['size']} AS s
+          FROM {found} e JOIN {rows} b ON b.source_id = e.source_id AND b.track_id = e.track_id AND b.k = e.k + 1, LATERAL (SELECT CAST(b.frame - e.frame AS DOUBLE) AS n)
+        )
+      )
+    )"""
+
+
+_BOX_ORDER = 'frame, "left", top, width, height'
+_HOURS = f"""hours AS (SELECT source_id, track_id, CAST(floor(t / 3600000000) AS BIGINT) AS frame, "left", top, width, height FROM obs WHERE track_id IS NOT NULL),
+    seen AS (SELECT source_id, track_id, frame, "left" + width / 2 AS cx, top + height / 2 AS cy, width AS w, height AS h, row_number() OVER (PARTITION BY source_id, track_id ORDER BY {_BOX_ORDER}) AS k FROM hours)"""
+_STATES = ("x", "y", "width", "height", "vx", "vy")
+
+
+@query("state_estimates", f"WITH RECURSIVE {ev.OBS}, {_HOURS}, {_estimates('seen', 'e', motion.MotionConfig())} SELECT source_id, track_id, frame, {', '.join(f'round({c}, 5) AS {c}' for c in _STATES)} FROM e")
 def state_estimates(spark, d):
-    return motion.estimate(_hours(spark, d))
+    return motion.estimate(_hours(spark, d)).select("source_id", "track_id", "frame", *[F.round(c, 5).alias(c) for c in _STATES])
 
 
-@query("projected_trajectories")
+@query(
+    "projected_trajectories",
+    f"""WITH RECURSIVE {ev.OBS}, {_HOURS}, {_estimates('seen', 'e', motion.MotionConfig())}, l AS (SELECT *, max(k) OVER (PARTITION BY source_id, track_id) AS n FROM e), s AS (SELECT * FROM l WHERE k = n AND n >= 4)
+    SELECT source_id, track_id, frame + i AS frame, round(x + vx * i, 4) AS x, round(y + vy * i, 4) AS y FROM s, range(1, 34) t(i)""",
+)
 def projected_trajectories(spark, d):
-    return motion.project(motion.estimate(_hours(spark, d)), motion.MotionConfig(least_length=4))
+    ahead = motion.project(motion.estimate(_hours(spark, d)), motion.MotionConfig(least_length=4))
+    return ahead.select("source_id", "track_id", "frame", *[F.round(c, 4).alias(c) for c in ("x", "y")])
+
+
+_PATHS = reid.PathConfig(region_scale=3.0)
+_SCALED = motion.MotionConfig(**{k: getattr(motion.MotionConfig(), k) * 0.01 for k in ("location", "size", "velocity")}, measurement=motion.MotionConfig().measurement * 100.0)
+
+
+@query(
+    "path_reid",
+    f"""WITH RECURSIVE {ev.TICKED}{ev.steps_sql()}, hours AS (SELECT source_id, track_id * 1000 + incarnation AS track_id, CAST(floor(t / 3600000000) AS BIGINT) AS frame, "left", top, width, height FROM steps),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY source_id, track_id ORDER BY frame DESC, "left" DESC, top DESC, width DESC, height DESC) AS newest, count(*) OVER (PARTITION BY source_id, track_id) AS n FROM hours),
+    sighted AS (SELECT source_id, track_id, frame, "left" + width / 2 AS cx, top + height / 2 AS cy, width AS w, height AS h, row_number() OVER (PARTITION BY source_id, track_id ORDER BY {_BOX_ORDER}) AS k FROM ranked WHERE newest <= 20 AND n >= 2),
+    {_estimates("sighted", "e", _SCALED)},
+    s AS (SELECT * FROM e QUALIFY k = max(k) OVER (PARTITION BY source_id, track_id)),
+    paths AS (SELECT source_id, track_id AS old, frame AS last, frame + i AS frame, x + vx * i AS x, y + vy * i AS y, width * 4 AS w, height * 4 AS h FROM s, range(1, 34) t(i)),
+    pts AS (SELECT source_id, track_id AS new, frame, "left" + width / 2 AS px, top + height / 2 AS py, min(frame) OVER (PARTITION BY source_id, track_id) AS first FROM hours),
+    met AS (SELECT p.source_id, new, old, last, greatest(abs(px - x) / w, abs(py - y) / h) AS off FROM paths p JOIN pts q ON p.source_id = q.source_id AND p.frame = q.frame WHERE first > last AND first - last <= 90),
+    pairs AS (SELECT source_id, new, old, any_value(last) AS last, count(*) AS aligned, sum(1 - off) AS near FROM met WHERE off <= 1 GROUP BY source_id, new, old),
+    scored AS (SELECT p.source_id, p.new, old, any_value(aligned) AS aligned, any_value(near) / count(*) AS path FROM pairs p JOIN pts q ON p.source_id = q.source_id AND p.new = q.new AND q.frame <= p.last + 33 GROUP BY ALL)
+    SELECT source_id, new, old, aligned, round(path, 6) AS path FROM scored""",
+)
+def path_reid(spark, d):
+    """Tracks cut where they were forgotten: which of the later pieces follow the projected path of an earlier one."""
+    pieces = _steps(spark, d).select("source_id", (F.col("track_id") * 1000 + F.col("incarnation")).alias("track_id"), F.floor(F.col("t") / 3_600_000_000).alias("frame"), "left", "top", "width", "height")
+    paths = reid.projected_paths(pieces, motion.MotionConfig(least_length=2), _PATHS)
+    return reid.path_similarity(paths, pieces, _PATHS).withColumn("path", F.round("path", 6))
+
+
+@query(
+    "gallery_reid",
+    """WITH s AS (SELECT (vec_id // 8) % 3 AS source_id, vec_id // 8 AS track, vec_id AS frame, (vec_id * 37 % 100) / CAST(100 AS DOUBLE) AS vis, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+    t AS (SELECT source_id, track, min(frame) AS first, max(frame) AS last FROM s GROUP BY ALL),
+    g AS (SELECT source_id, track, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u, row_number() OVER (PARTITION BY source_id, track ORDER BY frame DESC) AS k FROM s WHERE vis >= CAST('0.6' AS DOUBLE) AND frame % 2 = 0),
+    p AS (SELECT a.source_id, a.track AS old, b.track AS new FROM t a JOIN t b ON a.source_id = b.source_id AND b.first > a.last AND b.first - a.last <= 90),
+    m AS (SELECT p.source_id, p.new, p.old, max(list_inner_product(x.u, y.u)) AS similarity FROM p JOIN g x ON x.source_id = p.source_id AND x.track = p.old AND x.k <= 100 JOIN g y ON y.source_id = p.source_id AND y.track = p.new AND y.k <= 100 GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY source_id, new ORDER BY similarity DESC, old) AS n FROM m WHERE similarity >= CAST('0.0771' AS DOUBLE))
+    SELECT source_id, new, old, round(similarity, 6) AS similarity FROM r WHERE n = 1""",
+)
+def gallery_reid(spark, d):
+    """Eight vectors in a row are one track's; tracks of one of three sources are found again by their galleries."""
+    v = F.col("vec_id")
+    track = F.floor(v / 8)
+    seen = spark.read.parquet(f"{d}/embeddings.parquet").select((track % 3).alias("source_id"), track.alias("track"), v.alias("frame"), ((v * 37 % 100) / F.lit(100.0)).alias("visibility"), "embedding")
+    return reid.reassociate_galleries(seen, "source_id").withColumn("similarity", F.round("similarity", 6))
 
 
 @query(
