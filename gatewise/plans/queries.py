@@ -817,16 +817,31 @@ def stream_counts(spark, d):
     return metrics.totals(replay.replay_events(ev.ticked(spark, d), ev.LINE1, ev.LINE2, ev.CONFIG))
 
 
-@query("live_counts", f"WITH RECURSIVE {ev.WITH_VERSIONS}{ev.steps_sql('gated_ticked', lines=False)}, {_LAST}, c AS ({ev.COUNTS} FROM happened WHERE t > {max(ev.RESETS)}) SELECT c.*, r.fps FROM c, (SELECT CAST(printf('%.2f', sum(fps ORDER BY source_id)) AS DOUBLE) AS fps FROM last) r")
-def live_counts(spark, d):
-    """Events as files of batches through the live queries, stopped and started in between: lines, ticks, resets and rates all found on the way."""
-    from ..streaming import replay
+_LIVE_SQL = f"WITH RECURSIVE {ev.WITH_VERSIONS}{ev.steps_sql('gated_ticked', lines=False)}, {_LAST}, c AS ({ev.COUNTS} FROM happened WHERE t > {max(ev.RESETS)}) SELECT c.*, r.fps FROM c, (SELECT CAST(printf('%.2f', sum(fps ORDER BY source_id)) AS DOUBLE) AS fps FROM last) r"
+
 
+def _batches(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as a batch of one frame."""
     box = F.struct("left", "top", "width", "height").alias("rect")
     raw = F.coalesce(F.col("track_id").cast("decimal(20,0)"), F.lit(ingest.UNTRACKED).cast("decimal(20,0)")).alias("object_id")
     objects = F.array(F.struct("class_id", raw, box)).alias("objects")
-    batches = ev.observations(spark, d).select("t", F.array(F.struct("source_id", objects)).alias("frames"))
-    return replay.live_state(batches, ev.line_versions(spark), ev.resets(spark), ev.CONFIG)
+    return ev.observations(spark, d).select("t", F.array(F.struct("source_id", objects)).alias("frames"))
+
+
+@query("live_counts", _LIVE_SQL)
+def live_counts(spark, d):
+    """Events as files of batches through the live queries, stopped and started in between: lines, ticks, resets and rates all found on the way."""
+    from ..streaming import replay
+
+    return replay.live_state(_batches(spark, d), ev.line_versions(spark), ev.resets(spark), ev.CONFIG)
+
+
+@query("live_source_counts", _LIVE_SQL)
+def live_source_counts(spark, d):
+    """The same from segments that each camera appends to its own folder, read by the streaming source with offsets."""
+    from ..streaming import replay
+
+    return replay.source_state(_batches(spark, d), ev.line_versions(spark), ev.resets(spark), ev.CONFIG)
 
 
 def queries() -> dict[str, Query]:

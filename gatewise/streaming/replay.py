@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..config import CounterConfig, Line
 from ..operators.tracker import TRACKED, Tracker, typed
 from ..shared import shared_folder
-from .counter import EVENT, LATE, crossing_stream, state_store
+from ..sources.live_source import append_segment, camera_stream
+from .counter import EVENT, LATE, crossing_stream, read_state, state_store
 
 HEARTBEAT_TRACK = -1
 
@@ -66,6 +68,37 @@ def replay_tracks(detections: DataFrame, make: Callable[[], Tracker], slices: in
     return spark.read.schema(tracked.schema).parquet(f"{root}/out").where("source_id >= 0")
 
 
+def write_segments(batches: DataFrame, path: str, number: int) -> None:
+    """``batches`` (t, frames) as segment ``number`` of the cameras whose frames they hold, each written by one task."""
+    frame = batches.select("t", F.explode("frames").alias("frame"))
+    line = F.to_json(F.struct("t", F.array("frame").alias("frames")))
+
+    def put(pdf):
+        append_segment(path, f"camera-{pdf.source_id.iloc[0]}", number, [json.loads(x) for x in pdf.sort_values("t").line])
+        return pdf[["source_id"]].iloc[:1]
+
+    frame.select(F.col("frame.source_id").alias("source_id"), "t", line.alias("line")).groupBy("source_id").applyInPandas(put, "source_id int").count()
+
+
+def source_state(batches: DataFrame, versions: DataFrame, resets: DataFrame, config: CounterConfig, slices: int = 2) -> DataFrame:
+    """As ``live_state``, but the batches come from the cameras' own segments."""
+    from .live import start_counter, start_ticker
+
+    spark = batches.sparkSession
+    root = shared_folder(spark, "replay")
+    first, last = batches.agg(F.min("t"), F.max("t")).first()
+    step = ((last or 0) - (first or 0)) // slices + 1
+    for k in range(slices + 1):
+        if first is not None and k < slices:
+            write_segments(batches.where((F.col("t") >= first + k * step) & (F.col("t") < first + (k + 1) * step)), f"{root}/in", k)
+        else:
+            append_segment(f"{root}/in", "clock", k, [{"t": (last or 0) + 4 * config.ttl_us, "frames": []}])
+        start_ticker(camera_stream(spark, f"{root}/in"), f"{root}/live", lambda: versions, config, availableNow=True).awaitTermination()
+        start_counter(spark, f"{root}/live", f"{root}/state.json", lambda: resets, config, availableNow=True).awaitTermination()
+    state = read_state(spark, f"{root}/state.json")
+    return spark.createDataFrame([(state["entries"], state["exits"], state["footfall"], state["fps"])], "entries long, exits long, footfall long, fps double")
+
+
 def live_state(batches: DataFrame, versions: DataFrame, resets: DataFrame, config: CounterConfig, slices: int = 2) -> DataFrame:
     """One row, the state file after ``batches`` (t, frames) went through both live queries slice by slice.
 
@@ -73,7 +106,6 @@ def live_state(batches: DataFrame, versions: DataFrame, resets: DataFrame, confi
     long after the others, moves time past the end.
     """
     from ..sources.streams import batch_stream
-    from .counter import read_state
     from .live import start_counter, start_ticker
 
     spark = batches.sparkSession

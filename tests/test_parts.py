@@ -110,6 +110,39 @@ def test_jpeg_cut_anywhere(spark):
     assert jpeg.snapshot(got.where("stream = 3")).first().available is False
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_pieces_of_chunks_make_the_same_frames(seed):
+    """Any cutting of a byte stream, entered chunk by chunk, gives the frames of the whole."""
+    r = random.Random(seed)
+    stream = b"".join(r.choice([b"\xff", b"\xd8", b"\xd9", b"\xff\xd8", b"\xff\xd9", b"x"]) for _ in range(r.randint(1, 60)))
+    want = jpeg.FrameCutter().feed(stream)
+    cuts = sorted({0, len(stream), *(r.randint(0, len(stream)) for _ in range(r.randint(0, 20)))})
+    state, number, held, frames = jpeg.OUTSIDE, 0, b"", []
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        chunk = stream[lo:hi]
+        for start, end, opens, closes in jpeg.walk(chunk, state):
+            held = (b"\xff" if start < 0 else b"") if opens else held
+            held += chunk[max(start, 0) : end]
+            if closes:
+                frames.append(held)
+        state, closed = jpeg.passage(chunk, state)
+        number += closed
+    assert frames == want and number == len(want)
+
+
+def test_one_hot_stream_is_cut_by_many_tasks(spark, monkeypatch):
+    r, kept = random.Random(1), {}
+    stream = b"".join(b"\xff\xd8" + bytes([r.randint(0, 9)]) * r.choice([0, 3, 900]) + b"\xff\xd9" + b"junk" * r.randint(0, 2) for _ in range(80))
+    rows = [(5, i, stream[i : i + 7]) for i in range(0, len(stream), 7)]
+    original = jpeg.written
+    monkeypatch.setattr(jpeg, "written", lambda df, name: kept.setdefault(name, original(df, name)))
+    got = jpeg.jpeg_frames(spark.createDataFrame(rows, "stream long, seq long, chunk binary"), partitions=9)
+    assert [(x.seq, bytes(x.jpeg)) for x in got.orderBy("seq").collect()] == list(enumerate(jpeg.FrameCutter().feed(stream)))
+    sizes = [x["count"] for x in kept["jpeg-ranges"].groupBy("part").count().collect()]
+    assert len(sizes) > 6 and max(sizes) < len(rows) / 4
+    assert kept["jpeg-pieces"].where("not (opens and closes)").count() > 6  # frames that reach over an edge
+
+
 def test_overlap(spark):
     boxes = spark.createDataFrame([(0, 0, 1, 0.0, 0.0, 10.0, 10.0), (0, 0, 2, 5.0, 0.0, 10.0, 10.0), (0, 1, 3, 0.0, 0.0, 10.0, 10.0)], "frame int, class_id int, obj_seq int, left double, top double, width double, height double")
     got = {(r.target, r.detection): round(r.iou, 4) for r in assoc.pairs_in_frame(boxes, boxes, ["frame"]).collect()}
