@@ -66,3 +66,16 @@ def tiler(n: Column, width: Column, height: Column) -> dict[str, Column]:
 def percent_encoded(text: Column) -> Column:
     """URL quoting that keeps only letters, digits, ``_.-~``; form encoding differs in three characters."""
     return F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def fixed_tenths(x):
+    """A number as text with one decimal, as a web page writes it: the binary value is rounded, exact ties go up.
+
+    A product with 10 can round to a tie that the exact one is below, so the part it lost is worked out too.
+    """
+    ten, wide = x * 10.0, x * 134217729.0
+    high = wide - (wide - x)
+    lost = (high * 10.0 - ten) + (x - high) * 10.0
+    part = ten - F.floor(ten)
+    up = (part > 0.5) | ((part == 0.5) & (lost >= 0))
+    return F.format_string("%.1f", (F.floor(ten) + F.when(up, 1).otherwise(0)) / F.lit(10.0))

@@ -235,30 +235,42 @@ def counts_since_reset(spark, d):
     return metrics.totals(control.since_last_reset(_events(spark, d), ev.resets(spark)))
 
 
-_LINES_JSON = [
-    (1, '{"width":1280,"height":720,"line1":[[0.1,0.4],[0.9,0.5]],"line2":[[0.1,0.6],[0.9,0.7]]}'),
-    (2, '{"line1":null,"line2":[[0,0.6],[1,0.7]]}'),
-    (3, '{"line1":[[0.1,0.4]],"line2":[[0,0.6],[1,0.7]]}'),
-    (4, "not json"),
-    (5, '[1,2]'),
-    (6, '{"line1":[[0,0.25],[1,0.25]],"line2":[[0,0.75],[1,0.75]]}'),
-]
+#: What is posted as lines: good ones, one line missing, a point missing, no JSON, no object.
+_POSTED = """CASE event_id % 5 WHEN 0 THEN '{"width":1280,"height":720,"line1":[[0.1,0.' || kk || '],[0.9,0.5]],"line2":[[0,0.6],[1,0.' || kk || ']]}'
+  WHEN 1 THEN '{"line1":null,"line2":[[0,0.6],[1,0.7]]}' WHEN 2 THEN '{"line1":[[0.1,0.' || kk || ']],"line2":[[0,0.6],[1,0.7]]}' WHEN 3 THEN 'not json' ELSE '[1,2]' END"""
+
+
+def _posted(spark: SparkSession, d: str) -> DataFrame:
+    """(t, n, a, b): every event posts lines as text, often malformed ones, and these are read."""
+    kk = F.lpad(F.get_json_object("props", "$.k"), 2, "0")
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", ev.micros("ts").alias("t"), kk.alias("kk"))
+    a, b = control.parse_lines(F.expr(_POSTED))
+    return rows.select("t", F.col("event_id").alias("n"), a.alias("line1"), b.alias("line2"))
+
+
+_KK = "(SELECT event_id, epoch_us(ts) AS t, lpad(json_extract_string(props, '$.k'), 2, '0') AS kk FROM events)"
 
 
 @query(
     "lines_json_parse",
-    "SELECT * FROM (VALUES (1, true, CAST(0.4 AS DOUBLE), CAST(0.7 AS DOUBLE)), (2, false, NULL, NULL), (3, false, NULL, NULL), (4, false, NULL, NULL), (5, false, NULL, NULL), (6, true, CAST(0.25 AS DOUBLE), CAST(0.75 AS DOUBLE))) v(n, active, a_y1, b_y2)",
+    f"SELECT event_id AS n, event_id % 5 = 0 AS active, CASE WHEN event_id % 5 = 0 THEN CAST('0.' || kk AS DOUBLE) END AS a_y1, CASE WHEN event_id % 5 = 0 THEN CAST('0.' || kk AS DOUBLE) END AS b_y2 FROM {_KK}",
 )
 def lines_json_parse(spark, d):
-    a, b = control.parse_lines(F.col("raw"))
-    rows = spark.createDataFrame(_LINES_JSON, "n int, raw string").select("n", a.alias("a"), b.alias("b"))
-    return rows.select("n", F.col("a").isNotNull().alias("active"), F.col("a.y1").alias("a_y1"), F.col("b.y2").alias("b_y2"))
+    return _posted(spark, d).select("n", F.col("line1").isNotNull().alias("active"), F.col("line1.y1").alias("a_y1"), F.col("line2.y2").alias("b_y2"))
+
+
+_NEWEST = f"(SELECT t, CAST('0.' || kk AS DOUBLE) AS y FROM {_KK} WHERE event_id % 5 = 0 ORDER BY t DESC LIMIT 1)"
+
+
+def _newest(spark: SparkSession, d: str) -> DataFrame:
+    """The well-formed lines that were posted last."""
+    whole = _posted(spark, d).where("line1 is not null").withColumn("row", F.struct(F.col("t").alias("valid_from"), "line1", "line2"))
+    return control.latest(whole, "t", "row").select("row.*")
 
 
-@query("lines_latest", f"SELECT f AS valid_from, ax1, by2 FROM (VALUES {ev.VERSIONS_SQL}) v(f, ax1, ay1, ax2, ay2, bx1, by1, bx2, by2) ORDER BY f DESC LIMIT 1")
+@query("lines_latest", f"SELECT t AS valid_from, CAST('0.1' AS DOUBLE) AS ax1, y AS by2 FROM {_NEWEST}")
 def lines_latest(spark, d):
-    v = ev.line_versions(spark).withColumn("row", F.struct("valid_from", "line1", "line2"))
-    return control.latest(v, "valid_from", "row").select("row.valid_from", F.col("row.line1.x1").alias("ax1"), F.col("row.line2.y2").alias("by2"))
+    return _newest(spark, d).select("valid_from", F.col("line1.x1").alias("ax1"), F.col("line2.y2").alias("by2"))
 
 
 _RATES = f"""rates AS (
@@ -343,11 +355,10 @@ def _lines_text(version: tuple) -> str:
     return json.dumps({"width": 1280, "height": 720, "line1": each[0], "line2": each[1]}, separators=(",", ":"))
 
 
-@query("api_lines", f"SELECT '{_lines_text(ev.VERSIONS[-1])}' AS json FROM (SELECT 1)")
+@query("api_lines", f"""SELECT '{{"width":1280,"height":720,"line1":[[0.1,' || CAST(y AS VARCHAR) || '],[0.9,0.5]],"line2":[[0.0,0.6],[1.0,' || CAST(y AS VARCHAR) || ']]}}' AS json FROM {_NEWEST}""")
 def api_lines(spark, d):
     """The lines in force, as they are served."""
-    row = ev.line_versions(spark).withColumn("row", F.struct("valid_from", "line1", "line2"))
-    return control_tables.lines_json(control.latest(row, "valid_from", "row").select("row.*")).select("json")
+    return control_tables.lines_json(_newest(spark, d)).select("json")
 
 
 @query("api_state", _with_state(f"SELECT {_STATE_JSON} || ',\"lines\":' || '{_lines_text(ev.VERSIONS[-1])}' || '}}' AS json"))
@@ -364,67 +375,81 @@ def latest_by_source(spark, d):
     return control.latest_by(obs, "source_id", ["t", "frame_seq"], ["t", "frame_seq"])
 
 
-@query("ui_format", _with(f"SELECT CAST(entries AS VARCHAR) AS entries_text, printf('%.1f', entries / CAST(8 AS DOUBLE)) AS rate_text FROM ({ev.COUNTS} FROM happened)"))
+@query("ui_format", _with_state("SELECT CAST(entries AS VARCHAR) AS entries_text, CAST(exits AS VARCHAR) AS exits_text, CASE WHEN fps * 4 = floor(fps * 4) AND fps * 2 <> floor(fps * 2) THEN printf('%.1f', floor(fps * 10 + 0.5) / 10) ELSE printf('%.1f', fps) END AS rate_text"))
 def ui_format(spark, d):
-    t = entries_exits_footfall(spark, d)
-    return t.select(F.coalesce("entries", F.lit(0)).cast("string").alias("entries_text"), F.format_string("%.1f", F.col("entries") / F.lit(8.0)).alias("rate_text"))
+    """What the page shows: counts, and the rate with one decimal."""
+    text = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    return _state(spark, d).select(text("entries").alias("entries_text"), text("exits").alias("exits_text"), g.fixed_tenths(F.coalesce("fps", F.lit(0.0))).alias("rate_text"))
 
 
 # ---- registry and settings
 
 _CAMS = "(VALUES " + ", ".join(f"({i}, '{c[0]}', '{c[1]}', {c[2]}, {c[3]}, {c[4]})" for i, c in enumerate(settings.CAMERAS)) + ") c(p, id, name, nvr, channel, subtype)"
-_WANTED = " ground_03, ,ground_01,ground_03 ,nowhere"
-_WANTED_SQL = "(VALUES (0, 'ground_03'), (2, 'ground_01'), (3, 'ground_03'), (4, 'nowhere')) r(pos, id)"
+#: Every event asks for two cameras in a list with a blank entry; two of the ids do not exist.
+_WANTED_SQL = """(SELECT event_id AS request, pos, id FROM (
+  SELECT event_id, 0 AS pos, 'ground_0' || (user_id % 8 + 1) AS id FROM events UNION ALL SELECT event_id, 2, 'ground_0' || (event_id % 8 + 1) FROM events)) r"""
+
 
+def _requested(spark: SparkSession, d: str) -> DataFrame:
+    wanted = F.concat(F.lit(" ground_0"), F.col("user_id") % 8 + 1, F.lit(", ,ground_0"), F.col("event_id") % 8 + 1, F.lit("\t"))
+    lists = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("request"), wanted.alias("wanted"))
+    return settings.request_rows(lists, "request")
 
-def _selected(spark: SparkSession) -> DataFrame:
-    return settings.select_cameras(settings.requested_ids(spark, _WANTED), settings.cameras(spark))
 
+def _selected(spark: SparkSession, d: str) -> DataFrame:
+    return settings.select_cameras(_requested(spark, d), settings.cameras(spark))
 
-@query("camera_registry", f"SELECT p AS pos, id, name, nvr, channel, subtype FROM {_CAMS}")
+
+@query("camera_registry", f"SELECT p AS pos, id, name, nvr, channel, subtype, count(*) AS frames FROM {_CAMS} JOIN events ON user_id % 6 = p GROUP BY ALL")
 def camera_registry(spark, d):
-    return settings.cameras(spark)
+    """The registered cameras with the frames each of them sent."""
+    sent = ev.frames(spark, d).groupBy(F.col("source_id").alias("pos")).agg(F.count("*").alias("frames"))
+    return settings.cameras(spark).join(sent, "pos")
 
 
-@query("cameras_requested", f"SELECT pos, r.id, name, nvr, channel, subtype FROM {_WANTED_SQL} JOIN {_CAMS} ON r.id = c.id")
+@query("cameras_requested", f"SELECT request, pos, r.id, name, nvr, channel, subtype FROM {_WANTED_SQL} JOIN {_CAMS} ON r.id = c.id")
 def cameras_requested(spark, d):
-    return _selected(spark)
+    return _selected(spark, d)
 
 
-@query("cameras_missing_anti", f"SELECT pos, id FROM {_WANTED_SQL} WHERE id NOT IN (SELECT id FROM {_CAMS})")
+@query("cameras_missing_anti", f"SELECT request, pos, id FROM {_WANTED_SQL} WHERE id NOT IN (SELECT id FROM {_CAMS})")
 def cameras_missing_anti(spark, d):
-    return settings.missing_cameras(settings.requested_ids(spark, _WANTED), settings.cameras(spark)).select("pos", "id")
+    return settings.missing_cameras(_requested(spark, d), settings.cameras(spark)).select("request", "pos", "id")
 
 
-@query("subtype_override", f"SELECT pos, r.id, 0 AS subtype FROM {_WANTED_SQL} JOIN {_CAMS} ON r.id = c.id")
+@query("subtype_override", f"SELECT request, pos, r.id, 0 AS subtype FROM {_WANTED_SQL} JOIN {_CAMS} ON r.id = c.id")
 def subtype_override(spark, d):
-    return settings.override_subtype(_selected(spark), " 0 ").select("pos", "id", "subtype")
+    return settings.override_subtype(_selected(spark, d), " 0 ").select("request", "pos", "id", "subtype")
 
 
 _DUMMY = {"CAMERA_USERNAME": "user name+1", "CAMERA_PASSWORD": "p@ss/w*rd~é", "NVR_225_HOST": "host.invalid", "NVR_225_PORT": "554"}
 
 
-@query("rtsp_url", f"SELECT pos, 'rtsp://user%20name%2B1:p%40ss%2Fw%2Ard~%C3%A9@host.invalid:554/cam/realmonitor?channel=' || channel || '&subtype=' || subtype AS url FROM {_WANTED_SQL} JOIN {_CAMS} ON r.id = c.id")
+@query("rtsp_url", f"SELECT request, pos, 'rtsp://user%20name%2B1:p%40ss%2Fw%2Ard~%C3%A9@host.invalid:554/cam/realmonitor?channel=' || channel || '&subtype=' || subtype AS url FROM {_WANTED_SQL} JOIN {_CAMS} ON r.id = c.id")
 def rtsp_url(spark, d):
-    return settings.stream_urls(_selected(spark), _DUMMY).select("pos", "url")
+    return settings.stream_urls(_selected(spark, d), _DUMMY).select("request", "pos", "url")
 
 
-@query("offline_url", f"SELECT pos, printf('file:///videos/cam_%02d.mp4', row_number() OVER (ORDER BY pos) - 1) AS url FROM {_WANTED_SQL} JOIN {_CAMS} ON r.id = c.id")
+@query("offline_url", f"SELECT request, pos, printf('file:///videos/cam_%02d.mp4', row_number() OVER (PARTITION BY request ORDER BY pos) - 1) AS url FROM {_WANTED_SQL} JOIN {_CAMS} ON r.id = c.id")
 def offline_url(spark, d):
-    return settings.offline_urls(_selected(spark), "/videos").select("pos", "url")
+    return settings.offline_urls(_selected(spark, d), "/videos", "request").select("request", "pos", "url")
 
 
-_ENV = ["# comment", "", "A=1", " B = \"two = 2\" ", "C='three'", "no separator", "D="]
+#: Every customer is a line of an environment file: a comment, a plain value, a quoted one, a line without a value, a blank one.
+_ENV = """CASE c_custkey % 5 WHEN 0 THEN '# ' || c_name WHEN 1 THEN 'K' || c_custkey || '=' || c_name WHEN 2 THEN ' K' || c_custkey || ' = "' || c_mktsegment || ' = 2" '
+  WHEN 3 THEN 'no separator ' || c_name ELSE '' END"""
+_ENV_SQL = "(SELECT 'K' || c_custkey AS key, CASE c_custkey % 5 WHEN 1 THEN c_name ELSE c_mktsegment || ' = 2' END AS value FROM customer WHERE c_custkey % 5 IN (1, 2)) f"
 
 
-@query("env_scan", "SELECT * FROM (VALUES ('A', '1'), ('B', 'two = 2'), ('C', 'three'), ('D', '')) v(key, value)")
+@query("env_scan", f"SELECT key, value FROM {_ENV_SQL}")
 def env_scan(spark, d):
-    return settings.parse_env(spark.createDataFrame([(x,) for x in _ENV], "value string"))
+    return settings.parse_env(spark.read.parquet(f"{d}/customer.parquet").select(F.expr(_ENV).alias("value")))
 
 
-@query("env_overlay", "SELECT * FROM (VALUES ('A', 'over'), ('B', 'two = 2'), ('C', 'three'), ('D', '')) v(key, value)")
+@query("env_overlay", f"SELECT f.key, coalesce(s_name, value) AS value FROM {_ENV_SQL} LEFT JOIN supplier ON f.key = 'K' || s_suppkey * 3")
 def env_overlay(spark, d):
-    process = spark.createDataFrame([("A", "over"), ("Z", "not taken")], "key string, value string")
+    """Suppliers are the process environment: some of its keys are in the file, and only these count."""
+    process = spark.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("K"), F.col("s_suppkey") * 3).alias("key"), F.col("s_name").alias("value"))
     return settings.overlay_env(env_scan(spark, d), process)
 
 
@@ -436,22 +461,37 @@ def label_join(spark, d):
     return ev.observations(spark, d).join(settings.labels(spark), "class_id").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("tiler_layout", "SELECT n, CASE WHEN n <= 2 THEN 1 ELSE 2 END AS rows, CASE n WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS columns, 1280 * CASE n WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS total_width, 720 * CASE WHEN n <= 2 THEN 1 ELSE 2 END AS total_height FROM (SELECT CAST(unnest(range(1, 7)) AS INTEGER) AS n)")
+@query("tiler_layout", f"""WITH {ev.OBS}, f AS (SELECT CAST(floor(t / 3600000000) AS BIGINT) AS hour, CAST(count(DISTINCT source_id) AS INTEGER) AS n FROM obs GROUP BY 1)
+    SELECT hour, n, CASE WHEN n <= 2 THEN 1 ELSE 2 END AS rows, CASE n WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS columns, 1280 * CASE n WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS total_width, 720 * CASE WHEN n <= 2 THEN 1 ELSE 2 END AS total_height FROM f""")
 def tiler_layout(spark, d):
-    n = spark.range(1, 7).select(F.col("id").cast("int").alias("n"))
-    return n.select("n", *[c.cast("int").alias(k) for k, c in g.tiler(F.col("n"), F.lit(1280), F.lit(720)).items()])
+    """How the cameras that sent something in an hour are tiled."""
+    seen = ev.frames(spark, d).groupBy(F.floor(F.col("t") / 3_600_000_000).alias("hour")).agg(F.count_distinct("source_id").cast("int").alias("n"))
+    return seen.select("hour", "n", *[c.cast("int").alias(k) for k, c in g.tiler(F.col("n"), F.lit(1280), F.lit(720)).items()])
+
 
+_CONFIDENCE = "(frame_seq * 7919 % 1000) / CAST(1000 AS DOUBLE)"
 
-@query("detector_settings", "SELECT CAST('0.45' AS DOUBLE) AS threshold, 300 AS top_k, 79 AS excluded, 6 AS batch_size")
+
+@query(
+    "detector_settings",
+    f"""WITH {ev.OBS}, r AS (SELECT source_id, row_number() OVER (PARTITION BY source_id, floor(t / 86400000000) ORDER BY {_CONFIDENCE} DESC, frame_seq) AS k FROM obs WHERE class_id = 0 AND {_CONFIDENCE} >= CAST('0.45' AS DOUBLE))
+    SELECT source_id, count(*) AS kept FROM r WHERE k <= 3 GROUP BY source_id""",
+)
 def detector_settings(spark, d):
-    s = settings.DetectorSettings.read("[property]\nbatch-size = 6\nfilter-out-class-ids = " + ";".join(map(str, range(1, 80))) + "\n[class-attrs-all]\npre-cluster-threshold = 0.45\ntopk = 300\n")
-    return spark.createDataFrame([(s.threshold, s.top_k, len(s.excluded), s.batch_size)], "threshold double, top_k int, excluded int, batch_size int")
+    """What settings read from a file keep of the events: classes, confidence, the best of a day."""
+    s = settings.DetectorSettings.read("[property]\nbatch-size = 6\nfilter-out-class-ids = " + ";".join(map(str, range(1, 80))) + "\n[class-attrs-all]\npre-cluster-threshold = 0.45\ntopk = 3\n")
+    rows = ev.observations(spark, d).select("source_id", F.floor(F.col("t") / 86_400_000_000).alias("day"), "class_id", F.col("frame_seq").alias("obj_seq"), ((F.col("frame_seq") * 7919 % 1000) / F.lit(1000.0)).alias("confidence"))
+    kept = ingest.confident(rows.where(~F.col("class_id").isin(*s.excluded)), s.threshold)
+    return ingest.top_detections(kept, ["source_id", "day"], s.top_k).groupBy("source_id").agg(F.count("*").alias("kept"))
 
 
-@query("tracker_settings", "SELECT * FROM (VALUES ('DataAssociator', 'minMatchingScore4Iou', '0.0548'), ('ReID', 'inferDims', '[3, 256, 128]'), ('TargetManagement', 'maxTargetsPerStream', '150')) v(section, parameter, value)")
+@query("tracker_settings", f"WITH {ev.OBS} SELECT source_id, count(*) AS kept FROM obs WHERE {_CONFIDENCE} >= CAST('0.1894' AS DOUBLE) GROUP BY source_id")
 def tracker_settings(spark, d):
-    text = "%YAML:1.0\n####\nTargetManagement:\n  maxTargetsPerStream: 150    # limit\nDataAssociator:\n  minMatchingScore4Iou: 0.0548   # Min\nReID:\n  inferDims: [3, 256, 128]    # shape\n"
-    return settings.tracker_parameters(spark, text)
+    """What the tracker's own least confidence, read from its file, keeps of the events."""
+    text = "%YAML:1.0\n####\nBaseConfig:\n  minDetectorConfidence: 0.1894    # least\nTargetManagement:\n  maxTargetsPerStream: 150    # limit\nReID:\n  inferDims: [3, 256, 128]    # shape\n"
+    least = settings.tracker_parameters(spark, text).where("parameter = 'minDetectorConfidence'").select(F.col("value").cast("double").alias("least")).scalar()
+    rows = ev.observations(spark, d).select("source_id", ((F.col("frame_seq") * 7919 % 1000) / F.lit(1000.0)).alias("confidence"))
+    return rows.where(F.col("confidence") >= least).groupBy("source_id").agg(F.count("*").alias("kept"))
 
 
 # ---- association (approximate)

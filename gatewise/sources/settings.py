@@ -6,7 +6,7 @@ import configparser
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import percent_encoded
@@ -89,14 +89,19 @@ def camera_rows(text: str | None) -> list[tuple]:
 
 def requested_ids(spark: SparkSession, wanted: str) -> DataFrame:
     """(pos, id) of a comma list: trimmed, blanks dropped, order and repeats kept."""
-    one = spark.range(1).select(F.posexplode(F.split(F.lit(wanted), ",")).alias("pos", "id"))
-    return one.select("pos", _stripped("id").alias("id")).where("id <> ''")
+    return request_rows(spark.range(1).select(F.lit(wanted).alias("wanted")))
+
+
+def request_rows(lists: DataFrame, *keep: str) -> DataFrame:
+    """(keep, pos, id): the ids of every comma list in ``wanted``, as ``requested_ids`` reads one."""
+    each = lists.select(*keep, F.posexplode(F.split("wanted", ",")).alias("pos", "id"))
+    return each.select(*keep, "pos", _stripped("id").alias("id")).where("id <> ''")
 
 
 def select_cameras(requested: DataFrame, registry: DataFrame) -> DataFrame:
     """Requested cameras in request order; of a repeated registry id the last row counts."""
     last = registry.groupBy("id").agg(F.max_by(F.struct("name", "nvr", "channel", "subtype"), "pos").alias("c"))
-    return requested.join(last, "id").select("pos", "id", "c.*")
+    return requested.join(last, "id").select(*[c for c in requested.columns if c not in ("pos", "id")], "pos", "id", "c.*")
 
 
 def missing_cameras(requested: DataFrame, registry: DataFrame) -> DataFrame:
@@ -126,14 +131,10 @@ def stream_urls(selected: DataFrame, env: Mapping[str, str]) -> DataFrame:
     return selected.withColumn("url", F.concat(base, F.col("channel").cast("string"), F.lit("&subtype="), F.col("subtype").cast("string")))
 
 
-def offline_urls(selected: DataFrame, folder: str) -> DataFrame:
-    return selected.withColumn("url", F.format_string("file://%s/cam_%02d.mp4", F.lit(folder.rstrip("/") or "/"), F.row_number().over(_by_position()) - 1))
-
-
-def _by_position():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).orderBy("pos")  # a handful of cameras
+def offline_urls(selected: DataFrame, folder: str, request: str | None = None) -> DataFrame:
+    """Adds ``url`` by a camera's place in its request; ``request`` names the column that tells requests apart."""
+    place = Window.partitionBy(request or F.lit(0)).orderBy("pos")  # a handful of cameras each
+    return selected.withColumn("url", F.format_string("file://%s/cam_%02d.mp4", F.lit(folder.rstrip("/") or "/"), F.row_number().over(place) - 1))
 
 
 def parse_env(lines: DataFrame, column: str = "value") -> DataFrame:
