@@ -227,7 +227,7 @@ def inverted_index(forward: DataFrame, gains: np.ndarray, docs: int, words: int)
         by = np.lexsort((doc, term))
         term, doc, score = term[by], doc[by], score[by].astype(np.int32)
         starts = np.flatnonzero(np.diff(term, prepend=-1))
-        ends = np.append(starts[1:], len(term))
+        ends = np.append(starts, len(term))[1:]
         n = len(starts) + 1
         ids = shard["doc_id"].chunk(0)
         return pa.table(
