@@ -28,7 +28,7 @@ by_value(__name__)
 
 SEED = 42
 #: Fingerprints that live in one shard, about.
-SHARD = 20_000
+SHARD = 4000
 #: The upper tree is fitted on at most one fingerprint in ``SHARE`` and at most ``SAMPLE`` of them; all are routed through it.
 SHARE, SAMPLE = 8, 65_536
 #: Sampled fingerprints that a leaf of the upper tree keeps at least.
