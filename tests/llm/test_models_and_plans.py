@@ -484,21 +484,23 @@ def test_pages_against_their_template(spark):
 def nearest(rows, k, wanted):
     use = [(i, np.floor(256 * np.array(v, float)).astype(np.int64)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, q in use:
+    for n, (i, q) in enumerate(use):
         if wanted(i):
-            best = sorted(((-int(q @ c), j) for j, c in use if j != i and len(c) == len(q)))[:k]
+            best = sorted(((-int(q @ c), j) for m, (j, c) in enumerate(use) if m != n and len(c) == len(q)))[:k]
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     return sorted(out)
 
 
-@pytest.mark.parametrize(("queries", "candidates"), [(4096, 16_384), (3, 40)])
-def test_top_k(spark, monkeypatch, queries, candidates):
+@pytest.mark.parametrize(("queries", "candidates", "drawn"), [(4096, 16_384, 1024), (3, 40, 60), (7, 50, 0)])
+def test_top_k(spark, monkeypatch, queries, candidates, drawn):
+    monkeypatch.setattr(top_k, "DRAWN", drawn)
+    monkeypatch.setattr(top_k, "LONGEST", drawn // 10)
     monkeypatch.setattr(top_k, "QUERY_BLOCK", queries)
     monkeypatch.setattr(top_k, "CANDIDATE_BLOCK", candidates)
     r = np.random.default_rng(5)
     base = r.normal(size=(8, 24))
     rows = [(i, [float(np.float32(x)) for x in (base[r.integers(8)] + r.choice([0, 0.2]) * r.normal(size=24))]) for i in range(300)]
-    rows += [(300, None), (310, [None] * 24), (320, [float("nan")] * 24), (330, [1.0, 2.0]), (340, [3.0, 1.0]), (350, []), (None, rows[0][1]), (7, rows[7][1])]
+    rows += [(300, None), (310, [None] * 24), (320, [float("nan")] * 24), (330, [1.0, 2.0]), (340, [3.0, 1.0]), (350, []), (None, rows[0][1]), (7, rows[7][1]), (10, rows[10][1]), (10, rows[11][1])]
     df = spark.createDataFrame([(*x, 1) for x in rows], "vec_id long, embedding array<float>, score int")
     got = top_k.top_k(spark, df, F.col("vec_id") % 10 == 0, k=5).collect()
     assert sorted(map(tuple, got)) == nearest(rows, 5, lambda i: i % 10 == 0)
