@@ -26,12 +26,12 @@ by_value(__name__)
 #: The model is fitted on a sample of about this many labelled documents a language.
 TRAIN_DOCS = 1000
 #: More languages than this are refused: the model holds a number for each piece of each.
-MOST_LANGUAGES = 1000
+MOST_LANGUAGES = 256
 EM_ROUNDS = 4
 SMOOTH = 0.02
 _ASCII, _LETTERS = re.compile(r"[a-z]+"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
-#: Words whose likelihoods a task remembers, and the longest of them; others are worked out again.
-_REMEMBERED, _REMEMBERED_LETTERS = 300_000, 64
+#: Words whose likelihoods a task remembers, the bytes these may take, and the longest of them; others are worked out again.
+_REMEMBERED, _REMEMBERED_BYTES, _REMEMBERED_LETTERS = 300_000, 32 << 20, 64
 #: Letters of a stretch of words that is looked up at once.
 _STRETCH = 1 << 18
 _START = "▁"
@@ -225,7 +225,7 @@ class Scorer:
             own = [words_of(t) for t in texts[lo : lo + 400]]
             every = {w for w in set().union(*own) if len(w) <= _REMEMBERED_LETTERS}
             new = every.difference(self.known)
-            if len(self.known) + len(new) > _REMEMBERED:
+            if len(self.known) + len(new) > min(_REMEMBERED, _REMEMBERED_BYTES // (8 * max(1, len(self.langs)))):
                 self.known, self.table, new = {}, self.table[:0], every
             if new and self.langs:
                 self._learn(sorted(new))
