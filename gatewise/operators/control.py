@@ -30,18 +30,20 @@ def with_lines(observations: DataFrame, versions: DataFrame, bucket_us: int = DA
     """Add the lines in force (``line1``, ``line2``) and drop rows without both.
 
     As-of join on time buckets: each version that ended is cut into the buckets it covers,
-    then an equi-join on the bucket with the bounds as a residual condition. The version
-    still in force has no end and is one row; rows from its start on get it.
+    and rows look for theirs by an equi-join on the bucket with the bounds as a residual condition. The version
+    still in force has no end; it is one row, and rows from its start on take it. The
+    observations are read once.
     """
     ends = Window.partitionBy(F.lit(0)).orderBy("valid_from")  # a handful of versions
     spans = versions.withColumn("valid_to", F.lead("valid_from").over(ends)).where("line1 is not null and line2 is not null")
-    bucket = F.floor(F.col("t") / bucket_us)
     first, last = F.floor(F.col("valid_from") / bucket_us), F.floor((F.col("valid_to") - 1) / bucket_us)
-    closed = spans.where("valid_to is not null").withColumn("_bucket", F.explode(F.sequence(first, last)))
-    met = observations.withColumn("_bucket", bucket).join(closed, "_bucket").where("t >= valid_from and t < valid_to").drop("_bucket")
-    open_ = spans.where("valid_to is null")  # the last version, if it is on: one row without an end
-    still = observations.join(F.broadcast(open_), observations["t"] >= open_["valid_from"])
-    return met.unionByName(still).drop("valid_from", "valid_to")
+    closed = spans.where("valid_to is not null").select(F.explode(F.sequence(first, last)).alias("_bucket"), F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"), F.struct("line1", "line2").alias("_ended"))
+    open_ = spans.where("valid_to is null").select(F.struct("valid_from", "line1", "line2").alias("_open"))  # the last version, if it is on: one row without an end
+    rows = observations.withColumn("_bucket", F.floor(F.col("t") / bucket_us)).withColumn("_open", open_.scalar())
+    inside = (rows["_bucket"] == closed["_bucket"]) & (rows["t"] >= closed["_from"]) & (rows["t"] < closed["_to"])
+    met = rows.join(closed, inside, "left").drop("_bucket", "_from", "_to")
+    lines = F.coalesce("_ended", F.when(F.col("t") >= F.col("_open.valid_from"), F.struct("_open.line1", "_open.line2")))
+    return met.withColumn("_lines", lines).where("_lines is not null").withColumns({"line1": F.col("_lines.line1"), "line2": F.col("_lines.line2")}).drop("_ended", "_open", "_lines")
 
 
 def since_last_reset(events: DataFrame, resets: DataFrame) -> DataFrame:

@@ -42,9 +42,9 @@ def with_matches(links: DataFrame) -> DataFrame:
     return runs.withColumn("match", F.col("link") & (place % 2 == 0))
 
 
-def crossing_events(observations: DataFrame, line1: Line | str, line2: Line | str, config: CounterConfig) -> DataFrame:
-    """(t, frame_seq, obj_seq, source_id, track_id, kind) from observations with ``prev_tick``."""
-    steps = with_previous_point(with_incarnation(with_foot_point(tracked(persons(observations)), config), config))
+def crossing_events(observations: DataFrame, line1: Line | str, line2: Line | str, config: CounterConfig, ticks: DataFrame | None = None) -> DataFrame:
+    """(t, frame_seq, obj_seq, source_id, track_id, kind) from observations with ``prev_tick``, or with the times of all frames as ``ticks``."""
+    steps = with_previous_point(with_incarnation(with_foot_point(tracked(persons(observations)), config), config, ticks))
     matched = with_matches(with_links(with_crossing(steps, line1, line2), config)).where("match")
     kind = F.when(F.col("z") == 2, F.lit("entry")).otherwise(F.lit("exit"))
     return matched.select(*ORDER, *KEY, kind.alias("kind"))

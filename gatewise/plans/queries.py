@@ -33,8 +33,8 @@ KEYS = ["t", "frame_seq", "source_id", "track_id"]
 
 
 def _steps(spark: SparkSession, d: str) -> DataFrame:
-    kept = ingest.tracked(ingest.persons(ev.ticked(spark, d)))
-    return tracks.with_previous_point(tracks.with_incarnation(tracks.with_foot_point(kept, ev.CONFIG), ev.CONFIG))
+    kept = ingest.tracked(ingest.persons(ev.observations(spark, d)))
+    return tracks.with_previous_point(tracks.with_incarnation(tracks.with_foot_point(kept, ev.CONFIG), ev.CONFIG, ev.frames(spark, d)))
 
 
 def _crossed(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +42,7 @@ def _crossed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    return transitions.crossing_events(ev.ticked(spark, d), ev.LINE1, ev.LINE2, ev.CONFIG)
+    return transitions.crossing_events(ev.observations(spark, d), ev.LINE1, ev.LINE2, ev.CONFIG, ev.frames(spark, d))
 
 
 def _with(select: str) -> str:
@@ -226,8 +226,8 @@ def lines_gate(spark, d):
 @query("lines_versioned_counts", f"WITH {ev.WITH_VERSIONS}{ev.steps_sql('gated_ticked', lines=False)} {ev.COUNTS} FROM happened")
 def lines_versioned_counts(spark, d):
     versions = ev.line_versions(spark)
-    gated = ingest.with_prev_tick(control.with_lines(ev.observations(spark, d), versions), control.with_lines(ev.frames(spark, d), versions))
-    return metrics.totals(transitions.crossing_events(gated, "line1", "line2", ev.CONFIG))
+    gated, ticks = control.with_lines(ev.observations(spark, d), versions), control.with_lines(ev.frames(spark, d).select("t").distinct(), versions)
+    return metrics.totals(transitions.crossing_events(gated, "line1", "line2", ev.CONFIG, ticks))
 
 
 @query("counts_since_reset", _with(f"{ev.COUNTS} FROM happened WHERE t > {max(ev.RESETS)}"))

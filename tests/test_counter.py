@@ -92,8 +92,10 @@ def trial(seed):
 @pytest.mark.parametrize("seed", range(12))
 def test_windows_equal_fold(spark, seed):
     rows, config = trial(seed)
-    events = crossing_events(with_prev_tick(spark.createDataFrame(rows, OBSERVATION), bucket_us=7 * SECOND), L1, L2, config)
+    table = spark.createDataFrame(rows, OBSERVATION)
+    events = crossing_events(with_prev_tick(table, bucket_us=7 * SECOND), L1, L2, config)
     assert sorted(map(tuple, events.collect())) == folded(rows, (L1, L2), config)
+    assert sorted(map(tuple, crossing_events(table, L1, L2, config, ticks=table).collect())) == folded(rows, (L1, L2), config)
 
 
 def test_empty_frames_forget_a_track(spark):
@@ -101,8 +103,10 @@ def test_empty_frames_forget_a_track(spark):
     rows = spark.createDataFrame(script((0, 0.3), (131, 0.5), (132, 0.7)), OBSERVATION)
     frames = spark.createDataFrame([(round(t * SECOND),) for t in (0, 121, 131, 132)], "t long")
     assert tuple(totals(crossing_events(with_prev_tick(rows, frames), L1, L2, CONFIG)).first()) == (0, 0, 0)
+    assert tuple(totals(crossing_events(rows, L1, L2, CONFIG, ticks=frames)).first()) == (0, 0, 0)
     early = frames.where(f"t <> {121 * SECOND}").union(spark.createDataFrame([(120 * SECOND,)], "t long"))
     assert tuple(totals(crossing_events(with_prev_tick(rows, early), L1, L2, CONFIG)).first()) == (1, 0, 1)
+    assert tuple(totals(crossing_events(rows, L1, L2, CONFIG, ticks=early)).first()) == (1, 0, 1)
 
 
 def test_no_window_orders_the_observations_by_time(spark):
@@ -136,3 +140,19 @@ def test_one_exchange_after_the_ticks(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.count("Exchange hashpartitioning(source_id") == 1
+
+
+def test_observations_are_never_exchanged_by_time(spark):
+    """Whole rows go by (source, track); by time go the ticks and the rows after a gap, without their boxes."""
+    rows = spark.createDataFrame(script(*S01), OBSERVATION)
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(keep, ("false", "-1"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        plan = crossing_events(rows, L1, L2, CONFIG, rows.select("t"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    exchanges = [x for x in plan.split("\n") if "Exchange hashpartitioning(" in x]
+    assert exchanges
+    assert all("hashpartitioning(source_id" in x or "hashpartitioning(t#" in x or "hashpartitioning(_bucket" in x for x in exchanges)
