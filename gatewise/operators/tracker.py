@@ -118,13 +118,14 @@ class CascadeTracker:
             return []
         boxes = np.array([self.targets[k].motion.ahead(frame) for k in ids])
         iou, size = overlaps(boxes, np.array([(d.left, d.top, d.width, d.height) for d in found], np.float64))
-        same = np.array([[self.targets[k].class_id == d.class_id for d in found] for k in ids])
+        same = np.equal.outer([self.targets[k].class_id for k in ids], [d.class_id for d in found])
         if whole:
             score = assoc.WEIGHT_SIZE * size + assoc.WEIGHT_IOU * iou
             able = same & (iou >= assoc.MIN_IOU) & (size >= assoc.MIN_SIZE)
-            for i, j in np.argwhere(able):
+            seen = np.logical_and.outer([bool(self.targets[k].feature) for k in ids], [bool(d.feature) for d in found])
+            for i, j in np.argwhere(able & seen):
                 a, b = self.targets[ids[i]].feature, found[j].feature
-                if a and b:
+                if len(a) == len(b):
                     visual = float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b) or 1.0))
                     score[i, j] += assoc.WEIGHT_VISUAL * visual
                     able[i, j] = visual >= assoc.MIN_VISUAL
