@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import CounterConfig
 from ..functions import geometry as g
 from ..operators import assoc, control, ingest, lifecycle, metrics, motion, reid, tracker, tracks, transitions
+from ..shared import shared_folder
 from ..sources import control_tables, detections, jpeg, settings
 from . import event_tables as ev
 
@@ -273,6 +274,32 @@ def lines_latest(spark, d):
     return _newest(spark, d).select("valid_from", F.col("line1.x1").alias("ax1"), F.col("line2.y2").alias("by2"))
 
 
+@query(
+    "lines_sink",
+    f"""SELECT t AS valid_from, event_id % 5 = 0 AS active, CASE WHEN event_id % 5 = 0 THEN CAST('0.' || kk AS DOUBLE) END AS a_y1 FROM {_KK}
+    UNION ALL SELECT -CAST(4611686018427387904 AS BIGINT), false, NULL""",
+)
+def lines_sink(spark, d):
+    """Every post of lines appended to the control table, and the table as it is read back; before the first there are no lines."""
+    path = shared_folder(spark, "lines")
+    kk = F.lpad(F.get_json_object("props", "$.k"), 2, "0")
+    posts = spark.read.parquet(f"{d}/events.parquet").select("event_id", ev.micros("ts").alias("t"), kk.alias("kk"))
+    control_tables.append_versions(posts.select("t", F.expr(_POSTED).alias("raw")), path)
+    return control_tables.read_lines(spark, path).select("valid_from", F.col("line1").isNotNull().alias("active"), F.col("line1.y1").alias("a_y1"))
+
+
+_RESET = "event_type = 'signup' AND json_extract_string(props, '$.k') = '7'"
+
+
+@query("reset_sink", _with(f"{ev.COUNTS} FROM happened WHERE t > coalesce((SELECT max(epoch_us(ts)) FROM events WHERE {_RESET}), -1)"))
+def reset_sink(spark, d):
+    """Resets posted by some events, appended to their table and read back: what was counted after the last one."""
+    path = shared_folder(spark, "resets")
+    rows = spark.read.parquet(f"{d}/events.parquet").where((F.col("event_type") == "signup") & (F.get_json_object("props", "$.k") == "7"))
+    control_tables.append_resets(rows.select(ev.micros("ts").alias("t")), path)
+    return metrics.totals(control.since_last_reset(_events(spark, d), control_tables.read_resets(spark, path)))
+
+
 _RATES = f"""rates AS (
   SELECT source_id, t, CAST(row_number() OVER (PARTITION BY source_id ORDER BY t, frame_seq) AS BIGINT) AS i FROM obs
 ), walk AS (

@@ -13,9 +13,13 @@ FRAME = (1280, 720)
 
 def append_lines(spark: SparkSession, path: str, raw: str, at_us: int) -> None:
     """Put new lines (the JSON edge) in force from ``at_us``; anything malformed switches counting off."""
-    a, b = parse_lines(F.lit(raw))
-    row = spark.range(1).select(F.lit(at_us).cast("long").alias("valid_from"), a.alias("line1"), b.alias("line2"))
-    row.coalesce(1).write.mode("append").parquet(path)
+    append_versions(spark.range(1).select(F.lit(at_us).cast("long").alias("t"), F.lit(raw).alias("raw")).coalesce(1), path)
+
+
+def append_versions(posted: DataFrame, path: str) -> None:
+    """Append a version for every row of ``posted`` (t, raw), in force from its time on."""
+    a, b = parse_lines(F.col("raw"))
+    posted.select(F.col("t").alias("valid_from"), a.alias("line1"), b.alias("line2")).write.mode("append").parquet(path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -41,7 +45,12 @@ def lines_json(version: DataFrame) -> DataFrame:
 
 def append_reset(spark: SparkSession, path: str, at_us: int) -> None:
     """Counts start again after ``at_us``; tracks live on."""
-    spark.range(1).select(F.lit(at_us).cast("long").alias("t")).coalesce(1).write.mode("append").parquet(path)
+    append_resets(spark.range(1).select(F.lit(at_us).cast("long").alias("t")).coalesce(1), path)
+
+
+def append_resets(times: DataFrame, path: str) -> None:
+    """Append a reset for every row of ``times`` (t)."""
+    times.select(F.col("t").cast("long").alias("t")).write.mode("append").parquet(path)
 
 
 def read_resets(spark: SparkSession, path: str) -> DataFrame:
