@@ -255,11 +255,11 @@ def visit(index: DataFrame, visits: DataFrame, weights: dict[int, tuple[np.ndarr
 
     def run(shard: pa.Table) -> pa.Table:
         term = shard["term"].to_pylist()
-        ids = shard["ids"].combine_chunks()
-        ids = ids[term.index(-1)].values
+        at = term.index(-1)
+        ids = shard["ids"][at].values
         postings = {t: (np.frombuffer(p, np.int32), np.frombuffer(s, np.int32)) for t, p, s in zip(term, shard["places"].to_pylist(), shard["impacts"].to_pylist(), strict=True) if t >= 0}
         rows, scores, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for q in shard["asked"][0].as_py():
+        for q in shard["asked"][at].as_py():
             total = np.zeros(len(ids), np.int64)
             for t, w in zip(*(x.tolist() for x in held.value[q["row"]]), strict=True):
                 if t in postings:
@@ -275,7 +275,8 @@ def visit(index: DataFrame, visits: DataFrame, weights: dict[int, tuple[np.ndarr
         return pa.table({"row": np.concatenate(rows), "score": np.concatenate(scores), "doc_id": ids.take(pa.array(np.concatenate(found)))})
 
     fields = T.StructType([T.StructField("row", T.LongType()), T.StructField("score", T.LongType()), T.StructField("doc_id", index.schema["ids"].dataType.elementType)])
-    return index.join(visits, ["leaf", "part"]).groupBy("leaf", "part").applyInArrow(run, fields)
+    visited = index.join(visits, ["leaf", "part"]).withColumn("asked", F.when(F.col("term") == -1, F.col("asked")))  # once a shard, not with each term
+    return visited.groupBy("leaf", "part").applyInArrow(run, fields)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
