@@ -118,7 +118,7 @@ def contamination(
     (``item_id``, ``text``), ``items`` holds the ids of items with such a window, sorted as
     strings. Null texts have no words, items without words no windows; a null item id hits
     but is not listed. Repeated rows and ids stay as they are. Input columns named like an
-    output give way, other columns pass unchanged. With an empty benchmark nothing is hit.
+    output give way, other columns pass unchanged. With an empty benchmark nothing is hit; no documents give no rows.
     """
     prints, windows = benchmark_tables(bench, window, gram)
     short = tuple(sorted(r[0] for r in windows.where(F.col("len") < window).select("len").distinct().collect()))  # less than ``window`` values

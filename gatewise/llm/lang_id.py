@@ -322,7 +322,7 @@ def identify(
     letter, and for all if nothing is labelled. ``score`` is the posterior of the language
     named; of equal ones the first by name wins. Words of any length are summed whole. A
     null id is never held out. Input columns named like an output give way, others pass
-    unchanged; repeated rows stay. More than ``MOST_LANGUAGES`` languages are an error.
+    unchanged; repeated rows stay, and an empty table gives an empty one. More than ``MOST_LANGUAGES`` languages are an error.
     """
     vocab = vocabulary(path or default_vocabulary())
     out = held_out(F.col(id_col))

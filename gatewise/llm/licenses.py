@@ -344,7 +344,7 @@ def scan(docs: DataFrame, text_col: str = "text", table: list[dict] | None = Non
     ``found`` lists every place where a rule matches, as structs (start, upto, order, label,
     base) in words from 0, sorted by start, longest first, then rule. ``detections``
     is what stays: a place inside another one goes, of equal ones the later rule's; the others
-    are gone through by rule, then by place, and one stays if it overlaps none that stays. Null and empty texts have no words. Repeated rows stay as they
+    are gone through by rule, then by place, and one stays if it overlaps none that stays. Null and empty texts have no words, an empty table gives an empty one. Repeated rows stay as they
     are; input columns named like an output give way, others pass unchanged.
     """
     table = rules() if table is None else table

@@ -287,7 +287,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text_col: str = "text"
     fewer. Rows are linked when 100 * intersection >= ``percent`` * union, and
     ``component_id`` is the smallest id reachable. Rows without words are linked with
     nothing. A null id counts as larger than any other: it names a component only of null
-    ids. Repeated ids stay separate rows; equal texts share a component. ``docs`` may
+    ids. Repeated ids stay separate rows; equal texts share a component, and an empty table
+    gives an empty one. ``docs`` may
     hold any other columns. The signatures miss a pair at the threshold with a
     probability of at most ``MISSED``, and none that differs in fewer components than
     the pigeonhole allows; a ``percent`` too low for that is an error.

@@ -210,7 +210,8 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, text_
     is not 2; the text alone is scored. Null labels and ids are not learned from, several
     labels of one id count as their mean, repeated rows are learned from and scored each.
     Null and empty texts are scored by their all-zero statistics. Without labels of both
-    kinds the score is their mean, or 0.5 if there are none. Other columns are not read.
+    kinds the score is their mean, or 0.5 if there are none. An empty table gives an empty
+    one. Other columns are not read.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     table = stash(statistics_table(base, "text", ["doc_id"]), "quality")

@@ -238,6 +238,20 @@ def test_language_edges(spark):
     assert lang_id.identify(spark, docs.limit(0)).count() == 0
 
 
+def test_tied_languages_and_clashing_columns(spark):
+    """Two languages learned from the same texts: the first by name wins everywhere."""
+    rows = [(i + 100 * k, "one and the same text", lang, "old", "old", "old") for i in range(40) for k, lang in enumerate(("zz", "aa"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, held_out string, lang_pred string")
+    even = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2")
+    n = {r.lang: r["count"] for r in even.groupBy("lang").count().collect()}
+    drop = abs(n["zz"] - n["aa"])
+    more = max(n, key=n.get)
+    spare = [r.doc_id for r in even.where(F.col("lang") == more).limit(drop).collect()]
+    got = lang_id.identify(spark, docs.where(~F.col("doc_id").isin(spare)) if spare else docs)
+    assert {r.lang_pred for r in got.collect()} == {"aa"}
+    assert dict(got.dtypes)["score"] == "double" and dict(got.dtypes)["held_out"] == "boolean"
+
+
 # ---- quality
 
 

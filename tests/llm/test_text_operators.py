@@ -39,9 +39,10 @@ def lines_dropped(texts, least):
 def test_line_dedup(spark, broadcast_bytes):
     r = random.Random(1)
     texts = EDGES + ["\n".join(r.choice(["Menu", " menu\t", "Ünique", "ÜNIQUE", "x%d" % r.randint(0, 40), ""]) for _ in range(r.randint(0, 9))) for _ in range(60)]
-    got = line_dedup.drop_common_lines(spark, table(spark, texts), min_docs=3, broadcast_bytes=broadcast_bytes).orderBy("doc_id").collect()
+    docs = table(spark, texts, "n_lines string, kept string, _row string, _gone string, shard string, line string")
+    got = line_dedup.drop_common_lines(spark, docs, min_docs=3, broadcast_bytes=broadcast_bytes).orderBy("doc_id").collect()
     assert [(r.n_lines, r.n_dropped, r.text) for r in got] == lines_dropped(texts, 3)
-    assert got[0].kept == "old"
+    assert got[0].kept == got[0]._row == got[0]._gone == got[0].line == "old"
     nothing = line_dedup.drop_common_lines(spark, table(spark, []), min_docs=3, broadcast_bytes=broadcast_bytes)
     assert nothing.count() == 0
 
