@@ -51,3 +51,16 @@ def test_no_pair_of_mutual_bests_is_shuffled(spark):
 
     plan = plans.greedy_match(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Join" not in plan
+
+
+def test_optimal_in_frames(spark):
+    """Frames matched from boxes reach the same sum as their listed pairs do."""
+    from gatewise.plans import queries as plans
+
+    r = random.Random(6)
+    a, b = (spark.createDataFrame(crowd(r, 2, 40), BOX) for _ in range(2))
+    once = lambda df: df.dropDuplicates(["frame", "obj_seq"]).persist()
+    a, b = once(a), once(b)
+    sums = [sum(x.score for x in df.collect()) for df in (assoc.optimal(assoc.pairs_in_frame(a, b, KEYS), KEYS), assoc.optimal_in_frame(a, b, KEYS))]
+    assert sums[0] > 5 and sums[1] == pytest.approx(sums[0])
+    assert "Join" not in plans.optimal_match(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
