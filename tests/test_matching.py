@@ -64,3 +64,9 @@ def test_optimal_in_frames(spark):
     sums = [sum(x.score for x in df.collect()) for df in (assoc.optimal(assoc.pairs_in_frame(a, b, KEYS), KEYS), assoc.optimal_in_frame(a, b, KEYS))]
     assert sums[0] > 5 and sums[1] == pytest.approx(sums[0])
     assert "Join" not in plans.optimal_match(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_pair_of_the_greedy_matching_is_shuffled(spark):
+    from gatewise.plans import queries as plans
+
+    assert "Join" not in plans.greedy_all(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
