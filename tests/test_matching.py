@@ -70,3 +70,9 @@ def test_no_pair_of_the_greedy_matching_is_shuffled(spark):
     from gatewise.plans import queries as plans
 
     assert "Join" not in plans.greedy_all(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_pair_of_a_cascade_is_shuffled(spark):
+    from gatewise.plans import queries as plans
+
+    assert "Join" not in plans.cascade_match(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
