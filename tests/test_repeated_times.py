@@ -29,3 +29,10 @@ def against_sql(spark, path, name):
 def test_a_time_is_one_tick(spark, repeated):
     got, want = against_sql(spark, repeated, "tick_timeline")
     assert len(got) == 1000 and got == want
+
+
+@pytest.mark.parametrize("name", ["mjpeg_parts", "mjpeg_frames", "snapshot"])
+def test_frames_of_one_time_stay_whole(spark, repeated, name):
+    """Halves of frames of one time in one stream may not mix; their order is that of their numbers."""
+    got, want = against_sql(spark, repeated, name)
+    assert got and got == want
