@@ -18,9 +18,10 @@ HEARTBEAT_TRACK = -1
 
 
 def replay_events(ticked: DataFrame, line1: Line, line2: Line, config: CounterConfig, files: int = 4) -> DataFrame:
-    """Crossing events of ``ticked`` observations, written in time order as files and read as a stream.
+    """Crossing events of ``ticked`` observations, written in time order as slices and read as a stream.
 
-    A heartbeat after the last row moves the watermark past the end, so nothing stays behind.
+    The files of a slice are in no order of time, so the query takes a slice whole, however
+    many files it has, and stops and starts again before the next. A heartbeat after the last row moves the watermark past the end, so nothing stays behind.
     """
     spark = ticked.sparkSession
     root = shared_folder(spark, "replay")
@@ -30,17 +31,16 @@ def replay_events(ticked: DataFrame, line1: Line, line2: Line, config: CounterCo
     if first is None:
         return spark.createDataFrame([], EVENT)
     step = (last - first) // files + 1
-    for k in range(files):  # one folder after another, so that the file source meets them in time order
-        part = rows.where((F.col("t") >= first + k * step) & (F.col("t") < first + (k + 1) * step))
-        part.write.mode("append").parquet(f"{root}/in")
     beat = {"t": last + 4 * config.ttl_us, "track_id": HEARTBEAT_TRACK, "source_id": -1}
     one = spark.range(1).select(*[F.lit(beat.get(c, 0)).cast(rows.schema[c].dataType).alias(c) for c in names])
-    one.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{root}/in")
-    events = crossing_stream(stream.withColumn("at", F.timestamp_micros("t")), line1, line2, config, delay="1 hour")
-    with state_store(spark):
-        done = events.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    done.awaitTermination()
+    for k in range(files + 1):
+        part = rows.where((F.col("t") >= first + k * step) & (F.col("t") < first + (k + 1) * step)) if k < files else one
+        part.write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        events = crossing_stream(stream.withColumn("at", F.timestamp_micros("t")), line1, line2, config, delay="1 hour")
+        with state_store(spark):
+            done = events.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+        done.awaitTermination()
     return spark.read.schema(events.schema).parquet(f"{root}/out").where((F.col("track_id") != HEARTBEAT_TRACK) & (F.col("kind") != LATE))
 
 
