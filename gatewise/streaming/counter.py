@@ -1,8 +1,9 @@
 """Crossing events from a stream of observations, with the batch semantics.
 
-Each track is a state group with a list of rows that wait for the watermark, the track
-itself, and event-time timers. Arriving rows are appended to the list; a timer takes those
-that the watermark has passed in order, folds them, and in the end removes a track whose
+The tracks of a source are dealt to buckets, each a state group with a list of rows that
+wait for the watermark, all that came together as one value, a list of its tracks, and event-time timers: what is asked of the
+state store grows with buckets, not with tracks. Arriving rows are appended to the list; a timer takes those
+that the watermark has passed in order, folds them track by track, and removes tracks whose
 lifetime is over. Rows that come behind the watermark leave at once, marked as late, so
 every row is either used or reported.
 """
@@ -10,6 +11,7 @@ every row is either used or reported.
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -25,8 +27,11 @@ from ..operators.tracks import with_foot_point
 EVENT = "t long, frame_seq long, obj_seq int, source_id int, track_id long, kind string"
 #: ``kind`` of a row that came behind the watermark.
 LATE = "late"
-TRACK = "x double, y double, line int, at long, seen long"
-WAITING = "t long, frame_seq long, obj_seq int, prev_tick long, px double, py double, ends array<double>"
+TRACK = "track_id long, x double, y double, line int, at long, seen long"
+#: Rows (track_id, t, frame_seq, obj_seq, prev_tick, px, py, ends) that came together, as one value of the state.
+WAITING = "rows binary"
+#: State groups of a source.
+BUCKETS = 64
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -78,14 +83,14 @@ _ENDS = [f"line{n}.{c}" for n in (1, 2) for c in ("x1", "y1", "x2", "y2")]
 
 
 class TrackCounter(StatefulProcessor):
-    """Folds the rows of one (source, track) in order of time as the watermark passes them."""
+    """Folds the rows of the tracks in one bucket, each track's in order of time, as the watermark passes them."""
 
     def __init__(self, line1: Line | None, line2: Line | None, config: CounterConfig):
         self.fold, self.ttl = TrackFold(line1, line2, config), config.ttl_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.track, self.waiting = handle.getValueState("track", TRACK), handle.getListState("waiting", WAITING)
+        self.tracks, self.waiting = handle.getListState("tracks", TRACK), handle.getListState("waiting", WAITING)
 
     def _wake(self, at: int, watermark: int) -> None:
         """Keep the earliest timer ahead of the watermark; those behind it fire in this batch or have just done so."""
@@ -100,40 +105,39 @@ class TrackCounter(StatefulProcessor):
         new = []
         for r in rows:
             if r.t < watermark * 1000:
-                yield Row(t=r.t, frame_seq=r.frame_seq, obj_seq=r.obj_seq, source_id=key[0], track_id=key[1], kind=LATE)
+                yield Row(t=r.t, frame_seq=r.frame_seq, obj_seq=r.obj_seq, source_id=key[0], track_id=r.track_id, kind=LATE)
             else:
-                new.append((r.t, r.frame_seq, r.obj_seq, r.prev_tick, r.px, r.py, r.ends))
+                new.append((r.track_id, r.t, r.frame_seq, r.obj_seq, r.prev_tick, r.px, r.py, r.ends))
         if new:
-            self.waiting.appendList(new)
-            self._wake(max(min(x[0] for x in new) // 1000 + 1, watermark + 1), watermark)
+            self.waiting.appendValue((pickle.dumps(new),))
+            self._wake(max(min(x[1] for x in new) // 1000 + 1, watermark + 1), watermark)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
-        due = sorted((x for x in held if x[0] < watermark * 1000), key=lambda x: x[:3])
-        rest = [x for x in held if x[0] >= watermark * 1000]
-        track = None
-        if self.track.exists():
-            x, y, line, at, seen = self.track.get()
-            track = {"point": (x, y), "line": line, "at": at, "seen": seen}
-        for t, frame, obj, tick, x, y, ends in due:
+        held = [x for (rows,) in self.waiting.get() for x in pickle.loads(bytes(rows))] if self.waiting.exists() else []
+        due = sorted((x for x in held if x[1] < watermark * 1000), key=lambda x: x[:4])
+        rest = [x for x in held if x[1] >= watermark * 1000]
+        tracks = {}
+        for one, x, y, line, at, seen in self.tracks.get() if self.tracks.exists() else ():
+            tracks[one] = {"point": (x, y), "line": line, "at": at, "seen": seen}
+        for one, t, frame, obj, tick, x, y, ends in due:
             lines = (Line(*ends[:4]), Line(*ends[4:])) if ends else None
-            track, kind = self.fold.step(track, t, tick, (x, y), lines)
+            tracks[one], kind = self.fold.step(tracks.get(one), t, tick, (x, y), lines)
             if kind:
-                yield Row(t=t, frame_seq=frame, obj_seq=obj, source_id=key[0], track_id=key[1], kind=kind)
+                yield Row(t=t, frame_seq=frame, obj_seq=obj, source_id=key[0], track_id=one, kind=kind)
         if due and rest:
-            self.waiting.put(rest)
+            self.waiting.put([(pickle.dumps(rest),)])
         elif due:
             self.waiting.clear()
-        over = track is None or track["seen"] + 2 * self.ttl < watermark * 1000
-        if over and track and not rest:
-            self.track.clear()
-        elif due:
-            self.track.update((*track["point"], track["line"], track["at"], track["seen"]))
-        if rest:
-            self._wake(max(min(x[0] for x in rest) // 1000 + 1, watermark + 1), watermark)
-        elif not over:
-            self._wake(max((track["seen"] + 2 * self.ttl) // 1000 + 1, watermark + 1), watermark)
+        expected = {x[0] for x in rest}
+        left = {one: track for one, track in tracks.items() if one in expected or track["seen"] + 2 * self.ttl >= watermark * 1000}
+        if left and (due or len(left) < len(tracks)):
+            self.tracks.put([(one, *track["point"], track["line"], track["at"], track["seen"]) for one, track in left.items()])
+        elif tracks and not left:
+            self.tracks.clear()
+        times = [x[1] for x in rest] + [track["seen"] + 2 * self.ttl for one, track in left.items() if one not in expected]
+        if times:
+            self._wake(max(min(times) // 1000 + 1, watermark + 1), watermark)
 
 
 def crossing_stream(observations: DataFrame, line1: Line | None, line2: Line | None, config: CounterConfig, delay: str = "0 seconds") -> DataFrame:
@@ -147,14 +151,15 @@ def crossing_stream(observations: DataFrame, line1: Line | None, line2: Line | N
     points = with_foot_point(tracked(persons(observations)), config).withWatermark("at", delay)
     ends = F.array(*[F.col(c) for c in _ENDS]) if line1 is None else F.lit(None).cast("array<double>")
     # Without ``at`` the rows behind the watermark are not dropped before the processor sees them.
-    slim = points.select("source_id", "track_id", "t", "frame_seq", "obj_seq", F.col("prev_tick").cast("long").alias("prev_tick"), "px", "py", ends.alias("ends"))
-    return slim.groupBy("source_id", "track_id").transformWithState(TrackCounter(line1, line2, config), EVENT, "append", "eventtime")
+    bucket = F.pmod(F.hash("track_id"), F.lit(BUCKETS))
+    slim = points.select("source_id", bucket.alias("bucket"), "track_id", "t", "frame_seq", "obj_seq", F.col("prev_tick").cast("long").alias("prev_tick"), "px", "py", ends.alias("ends"))
+    return slim.groupBy("source_id", "bucket").transformWithState(TrackCounter(line1, line2, config), EVENT, "append", "eventtime")
 
 
 def checkpointed_tracks(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(source_id, track_id, x, y, line, at, seen): the tracks that a counter's checkpoint holds, as a table."""
-    held = spark.read.format("statestore").option("stateVarName", "track").load(checkpoint)
-    return held.select("key.*", "value.*")
+    held = spark.read.format("statestore").option("stateVarName", "tracks").load(checkpoint)
+    return held.select("key.source_id", "list_element.*")
 
 
 def tracks_from_events(ticked: DataFrame, line1: Line, line2: Line, config: CounterConfig, upto: int) -> DataFrame:

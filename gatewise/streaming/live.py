@@ -102,6 +102,7 @@ def start_ticker(batches: DataFrame, root: str, versions: Callable[[], DataFrame
     spark = batches.sparkSession
 
     def step(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()  # read once for all that is made of it
         held = _carried(spark, root, "clock", epoch, CLOCK).first()
         last_tick, last_frame = (held.last_tick, held.last_frame) if held else (None, None)
         every, lines = frames(batch), versions()
@@ -118,6 +119,7 @@ def start_ticker(batches: DataFrame, root: str, versions: Callable[[], DataFrame
         now = batch.agg(F.max("t").alias("t")).select(F.greatest(F.lit(last_frame).cast("long"), "t").alias("last_frame"))
         tick = ticks.agg(F.greatest(F.lit(last_tick).cast("long"), F.max("t")).alias("last_tick"))
         _once(tick.crossJoin(now).select("last_tick", "last_frame").coalesce(1), root, "clock", epoch)  # one row and one row
+        batch.unpersist()
         _tidy(spark, root, epoch)
 
     return batches.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoints/ticker").trigger(**trigger).start()
