@@ -76,3 +76,18 @@ def test_no_pair_of_a_cascade_is_shuffled(spark):
     from gatewise.plans import queries as plans
 
     assert "Join" not in plans.cascade_match(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_equal_boxes_come_together(spark):
+    """Rows with the same values stand side by side, so a table of all pairs packs them; nothing is lost or repeated."""
+    r = random.Random(8)
+    places = [(r.randrange(100, 150), r.randrange(100, 150), r.randrange(20, 60), r.randrange(20, 60)) for _ in range(12)]
+    rows = [(0, 0, i, 0, *map(float, places[i % 12])) for i in range(240)]
+    r.shuffle(rows)
+    table = spark.createDataFrame([*rows, (0, 0, None, 0, 0.0, 0.0, 9.0, 9.0), (0, 0, 999, 0, 0.0, 0.0, None, 9.0)], BOX).repartition(3)
+    got = [x for x in assoc.pairs_in_frame(table, table, KEYS).collect() if x.target is not None]
+    assert len({(x.target, x.detection) for x in got}) == len(got) and not {999} & {x.target for x in got}
+    kinds = {(x.target % 12, x.detection % 12) for x in got}
+    assert len(got) == 400 * len(kinds) and len(kinds) > 40
+    runs = sum((x.target, x.detection % 12) != (y.target, y.detection % 12) for x, y in zip(got, got[1:], strict=False))
+    assert runs < len(got) / 15
