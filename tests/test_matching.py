@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gatewise.operators import assoc, matching
 
@@ -91,3 +92,23 @@ def test_pairs_of_equal_boxes_come_together(spark):
     assert len(got) == 400 * len(kinds) and len(kinds) > 40
     runs = sum((x.target, x.detection % 12) != (y.target, y.detection % 12) for x, y in zip(got, got[1:], strict=False))
     assert runs < len(got) / 15
+
+
+@pytest.mark.parametrize("feature", [None, "feature"])
+def test_a_crowded_cell_is_dealt_to_many_tasks(spark, monkeypatch, feature):
+    """Boxes of one cell meet in blocks: no task has all of them, and no pair is lost or repeated."""
+    monkeypatch.setattr(assoc, "BLOCK", 20, raising=False)
+    r = random.Random(9)
+    rows = [(0, f, i, c, float(r.randrange(20)), float(r.randrange(20)), 60.0, 80.0) for f, c, n in ((0, 0, 150), (1, 0, 5), (2, 0, 150), (2, 1, 1)) for i in range(n)]
+    boxes = spark.createDataFrame(rows, BOX).withColumn("feature", F.array(F.col("left") + 30, F.col("top") + 30))
+    a, b = boxes, boxes.where("frame < 2 or obj_seq < 3")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = assoc.pairs_in_frame(a, b, KEYS, feature).select("frame", "class_id", "target", "detection", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    pairs = [(x.frame, x.class_id, x.target, x.detection) for x in got]
+    want = [(0, 0, i, j) for i in range(150) for j in range(150)] + [(1, 0, i, j) for i in range(5) for j in range(5)] + [(2, 0, i, j) for i in range(150) for j in range(3)] + [(2, 1, 0, 0)]
+    assert sorted(pairs) == sorted(want)
+    tasks = [x.task for x in got if x.frame == 0]
+    assert len(set(tasks)) > 2 and max(map(tasks.count, set(tasks))) < 0.7 * len(tasks)
