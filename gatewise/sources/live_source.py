@@ -1,14 +1,17 @@
 """A streaming source of frame batches: every camera appends closed segments to a folder of its own.
 
 The source keeps an offset for each camera, the last segment read, so cameras come, go and fall
-behind independently. A micro-batch has one partition for each camera with something new. It
+behind independently. A micro-batch has a partition for each camera with something new, several
+if that is more than ``SPAN`` segments, and a task holds ``LINES`` batches at a time. It
 is planned from two offsets, so a repeated or restarted micro-batch reads the same segments.
 """
 
 from __future__ import annotations
 
+import io
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -17,6 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 NAME = "camera_segments"
+#: Segments that one task reads, at most.
+SPAN = 8
+#: Batches of a segment that are held at a time.
+LINES = 4096
 SEGMENT = (
     "t bigint, frames array<struct<source_id: int, objects: array<struct<"
     "class_id: int, object_id: string, rect: struct<left: double, top: double, width: double, height: double>>>>>"
@@ -64,7 +71,14 @@ class SegmentReader(DataSourceStreamReader):
         return {camera: names[-1] for camera, names in segments(self.path).items()} or {"": ""}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [Unread(camera, start.get(camera, ""), upto) for camera, upto in sorted(end.items()) if camera and upto > start.get(camera, "")]
+        held, out = segments(self.path), []
+        for camera, upto in sorted(end.items()):
+            after = start.get(camera, "")
+            if camera and upto > after:
+                names = [name for name in held.get(camera, []) if after < name <= upto]
+                ends = [after, *names[SPAN - 1 : -1 : SPAN], upto]
+                out += [Unread(camera, *ends[k : k + 2]) for k in range(len(ends) - 1)]
+        return out
 
     def read(self, partition: Unread) -> Iterator[pa.RecordBatch]:
         system, root = _located(self.path, partition.camera)
@@ -72,12 +86,13 @@ class SegmentReader(DataSourceStreamReader):
         for name in names:
             if partition.after < name <= partition.upto:
                 with system.open_input_stream(f"{root}/{name}") as file:
-                    lines = [json.loads(x) for x in file.read().decode().splitlines() if x.strip()]
-                for row in lines:
-                    for frame in row.get("frames") or []:
-                        for one in frame.get("objects") or []:
-                            one["object_id"] = None if one.get("object_id") is None else str(one["object_id"])
-                yield pa.RecordBatch.from_pylist(lines, schema=_ARROW)
+                    lines = (x for x in io.TextIOWrapper(file, "utf-8", newline="\n") if x.strip())
+                    while rows := [json.loads(x) for x in islice(lines, LINES)]:
+                        for row in rows:
+                            for frame in row.get("frames") or []:
+                                for one in frame.get("objects") or []:
+                                    one["object_id"] = None if one.get("object_id") is None else str(one["object_id"])
+                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     def commit(self, end: dict) -> None:
         """With the option ``consumed`` set to "delete", segments up to ``end`` leave: the query will not ask for them again."""
@@ -112,10 +127,15 @@ def camera_stream(spark: SparkSession, path: str, consumed: str = "keep") -> Dat
 
 def append_segment(path: str, camera: str, number: int, batches: list[dict]) -> None:
     """What a camera does: write a segment beside, then move it to its name in one step."""
+    append_lines(path, camera, number, map(json.dumps, batches))
+
+
+def append_lines(path: str, camera: str, number: int, lines: Iterable[str]) -> None:
+    """``append_segment`` of batches that are JSON already."""
     system, root = _located(path, camera)
     system.create_dir(root)
     with system.open_output_stream(f"{root}/.{number:012d}") as file:
-        file.write("".join(json.dumps(b) + "\n" for b in batches).encode())
+        file.write("".join(x + "\n" for x in lines).encode())
     system.move(f"{root}/.{number:012d}", f"{root}/{number:012d}.jsonl")
 
 

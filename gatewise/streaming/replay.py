@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CounterConfig, Line
 from ..operators.tracker import TRACKED, Tracker, typed
 from ..shared import shared_folder
-from ..sources.live_source import append_segment, camera_stream
+from ..sources.live_source import append_lines, append_segment, camera_stream
 from .counter import EVENT, LATE, crossing_stream, read_state, state_store
 
 HEARTBEAT_TRACK = -1
@@ -69,15 +70,26 @@ def replay_tracks(detections: DataFrame, make: Callable[[], Tracker], slices: in
 
 
 def write_segments(batches: DataFrame, path: str, number: int) -> None:
-    """``batches`` (t, frames) as segment ``number`` of the cameras whose frames they hold, each written by one task."""
+    """``batches`` (t, frames) as segments of the cameras whose frames they hold, in order of time.
+
+    Cameras are cut by time among tasks. A task writes what it holds of a camera, an Arrow batch at a time,
+    so neither it nor a segment grows with the camera. Segments of a later ``number`` come later.
+    """
     frame = batches.select("t", F.explode("frames").alias("frame"))
     line = F.to_json(F.struct("t", F.array("frame").alias("frames")))
-
-    def put(pdf):
-        append_segment(path, f"camera-{pdf.source_id.iloc[0]}", number, [json.loads(x) for x in pdf.sort_values("t").line])
-        return pdf[["source_id"]].iloc[:1]
-
-    frame.select(F.col("frame.source_id").alias("source_id"), "t", line.alias("line")).groupBy("source_id").applyInPandas(put, "source_id int").count()
+    rows = frame.select(F.col("frame.source_id").alias("source_id"), "t", line.alias("line")).repartitionByRange("source_id", "t").sortWithinPartitions("source_id", "t")
+
+    def put(parts):
+        task, chunk = TaskContext.get().partitionId(), 0
+        for part in parts:
+            cameras = part["source_id"].to_pylist()
+            for camera in dict.fromkeys(cameras):
+                first, n = cameras.index(camera), cameras.count(camera)
+                append_lines(path, f"camera-{camera}", number * 10**9 + task * 10**4 + chunk, part["line"].slice(first, n).to_pylist())
+            chunk += 1
+            yield pa.record_batch([pa.array([len(cameras)], pa.int64())], ["n"])
+
+    rows.mapInArrow(put, "n long").count()
 
 
 def source_state(batches: DataFrame, versions: DataFrame, resets: DataFrame, config: CounterConfig, slices: int = 2) -> DataFrame:
