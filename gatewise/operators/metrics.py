@@ -144,17 +144,20 @@ def carry_rates(open_rates: DataFrame, frames: DataFrame, config: CounterConfig)
     """(source_id, start, count, fps): the open window of each source and its latest rate, after more frames.
 
     ``open_rates`` is the result before them, so a stream folds its rates from one
-    micro-batch to the next.
+    micro-batch to the next. Frames of a time are counted first, and every source may have a task of its own.
     """
 
     def fold(held: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         source = int((held if len(held) else new).source_id.iloc[0])
         start, count, fps = (held.iloc[0][c] for c in ("start", "count", "fps")) if len(held) else (None, 0, None)
         one = RateFold(config, None if start is None else int(start), int(count))
-        closed = one.feed(np.sort(new.t.to_numpy(np.int64)))
+        new = new.sort_values("t")
+        closed = one.feed(np.repeat(new.t.to_numpy(np.int64), new.n.to_numpy(np.int64)))
         return pd.DataFrame([(source, one.start, one.count, closed[-1][3] if closed else fps)], columns=["source_id", "start", "count", "fps"])
 
-    return open_rates.groupBy("source_id").cogroup(frames.select("source_id", "t").groupBy("source_id")).applyInPandas(fold, OPEN_RATES)
+    times = frames.groupBy("source_id", "t").agg(F.count("*").alias("n"))
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said here, as tasks are made fewer by their bytes otherwise
+    return open_rates.repartition(parts, "source_id").groupBy("source_id").cogroup(times.repartition(parts, "source_id").groupBy("source_id")).applyInPandas(fold, OPEN_RATES)
 
 
 def fps_by_source(windows: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Crossing events from a stream of observations, with the batch semantics.
 
 The tracks of a source are dealt to buckets, each a state group with a list of rows that
-wait for the watermark, all that came together as one value, a list of its tracks, and event-time timers: what is asked of the
+wait for the watermark, those that came together as columns in one value, a list of its tracks, and event-time timers: what is asked of the
 state store grows with buckets, not with tracks. Arriving rows are appended to the list; a timer takes those
 that the watermark has passed in order, folds them track by track, and removes tracks whose
 lifetime is over. Rows that come behind the watermark leave at once, marked as late, so
@@ -14,9 +14,12 @@ import json
 import pickle
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import repeat
 
+import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,8 +31,10 @@ EVENT = "t long, frame_seq long, obj_seq int, source_id int, track_id long, kind
 #: ``kind`` of a row that came behind the watermark.
 LATE = "late"
 TRACK = "track_id long, x double, y double, line int, at long, seen long"
-#: Rows (track_id, t, frame_seq, obj_seq, prev_tick, px, py, ends) that came together, as one value of the state.
+#: Columns of rows that came together, as one value of the state.
 WAITING = "rows binary"
+#: Source and track of rows that only say how late it is.
+HEARTBEAT = -1
 #: State groups of a source.
 BUCKETS = 64
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -80,6 +85,20 @@ class TrackFold:
 
 
 _ENDS = [f"line{n}.{c}" for n in (1, 2) for c in ("x1", "y1", "x2", "y2")]
+#: What is known of a waiting row; behind it the ends of its lines, if it brings its own.
+_KNOWN = ["track_id", "t", "frame_seq", "obj_seq", "prev_tick", "px", "py"]
+#: Stands for no tick before.
+_NEVER = -(1 << 63)
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of waiting rows; lines that all rows share are kept once."""
+    return pickle.dumps([*columns[: len(_KNOWN)], *[x[:1] if (x == x[0]).all() else x for x in columns[len(_KNOWN) :]]], protocol=5)
+
+
+def _unpacked(rows: bytes) -> list[np.ndarray]:
+    columns = pickle.loads(bytes(rows))
+    return [x if len(x) == len(columns[0]) else np.repeat(x, len(columns[0])) for x in columns]
 
 
 class TrackCounter(StatefulProcessor):
@@ -100,42 +119,61 @@ class TrackCounter(StatefulProcessor):
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(at)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        watermark = timerValues.getCurrentWatermarkInMs()
-        new = []
-        for r in rows:
-            if r.t < watermark * 1000:
-                yield Row(t=r.t, frame_seq=r.frame_seq, obj_seq=r.obj_seq, source_id=key[0], track_id=r.track_id, kind=LATE)
-            else:
-                new.append((r.track_id, r.t, r.frame_seq, r.obj_seq, r.prev_tick, r.px, r.py, r.ends))
-        if new:
-            self.waiting.appendValue((pickle.dumps(new),))
-            self._wake(max(min(x[1] for x in new) // 1000 + 1, watermark + 1), watermark)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    @staticmethod
+    def _events(key: tuple, t, frame, obj, track, kind) -> pd.DataFrame:
+        numbers = {"t": (t, np.int64), "frame_seq": (frame, np.int64), "obj_seq": (obj, np.int32), "source_id": (key[0], np.int32), "track_id": (track, np.int64)}
+        return pd.DataFrame({c: np.broadcast_to(np.asarray(x, kind_), len(t)) for c, (x, kind_) in numbers.items()} | {"kind": kind})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        watermark, first = timerValues.getCurrentWatermarkInMs(), None
+        for held in rows:
+            held = held[[c for c in held.columns if c not in ("source_id", "bucket")]]
+            late = held.t.to_numpy() < watermark * 1000
+            if late.any():
+                yield self._events(key, *[held[c].to_numpy()[late] for c in ("t", "frame_seq", "obj_seq", "track_id")], LATE)
+            if not late.all():
+                columns = [held[c].to_numpy()[~late] for c in held.columns]
+                self.waiting.appendValue((_packed(columns),))
+                soonest = int(columns[1].min())
+                first = soonest if first is None else min(first, soonest)
+        if first is not None:
+            self._wake(max(first // 1000 + 1, watermark + 1), watermark)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = [x for (rows,) in self.waiting.get() for x in pickle.loads(bytes(rows))] if self.waiting.exists() else []
-        due = sorted((x for x in held if x[1] < watermark * 1000), key=lambda x: x[:4])
-        rest = [x for x in held if x[1] >= watermark * 1000]
-        tracks = {}
+        parts = [_unpacked(rows) for (rows,) in self.waiting.get()] if self.waiting.exists() else []
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        passed = columns[1] < watermark * 1000 if columns else np.zeros(0, bool)
+        due, rest = [x[passed] for x in columns], [x[~passed] for x in columns]
+        some, later = bool(passed.any()), not passed.all()
+        tracks, found = {}, []
         for one, x, y, line, at, seen in self.tracks.get() if self.tracks.exists() else ():
             tracks[one] = {"point": (x, y), "line": line, "at": at, "seen": seen}
-        for one, t, frame, obj, tick, x, y, ends in due:
-            lines = (Line(*ends[:4]), Line(*ends[4:])) if ends else None
-            tracks[one], kind = self.fold.step(tracks.get(one), t, tick, (x, y), lines)
-            if kind:
-                yield Row(t=t, frame_seq=frame, obj_seq=obj, source_id=key[0], track_id=one, kind=kind)
-        if due and rest:
-            self.waiting.put([(pickle.dumps(rest),)])
-        elif due:
-            self.waiting.clear()
-        expected = {x[0] for x in rest}
+        if some:
+            order = np.lexsort(due[3::-1])  # by track, time, frame and object
+            known = [x[order].tolist() for x in due[: len(_KNOWN)]]
+            own = [x[order].tolist() for x in due[len(_KNOWN) :]]
+            both: dict = {None: None}
+            for one, t, frame, obj, tick, x, y, ends in zip(*known, zip(*own, strict=True) if own else repeat(None, len(order)), strict=True):
+                if ends not in both:
+                    both[ends] = (Line(*ends[:4]), Line(*ends[4:]))
+                tracks[one], kind = self.fold.step(tracks.get(one), t, None if tick == _NEVER else tick, (x, y), both[ends])
+                if kind:
+                    found.append((t, frame, obj, one, kind))
+            if found:
+                yield self._events(key, *zip(*found, strict=True))
+            if later:
+                self.waiting.put([(_packed(rest),)])
+            else:
+                self.waiting.clear()
+        expected = set(rest[0].tolist()) if later else set()
         left = {one: track for one, track in tracks.items() if one in expected or track["seen"] + 2 * self.ttl >= watermark * 1000}
-        if left and (due or len(left) < len(tracks)):
+        if left and (some or len(left) < len(tracks)):
             self.tracks.put([(one, *track["point"], track["line"], track["at"], track["seen"]) for one, track in left.items()])
         elif tracks and not left:
             self.tracks.clear()
-        times = [x[1] for x in rest] + [track["seen"] + 2 * self.ttl for one, track in left.items() if one not in expected]
+        times = [int(rest[1].min())] if later else []
+        times += [track["seen"] + 2 * self.ttl for one, track in left.items() if one not in expected]
         if times:
             self._wake(max(min(times) // 1000 + 1, watermark + 1), watermark)
 
@@ -145,15 +183,19 @@ def crossing_stream(observations: DataFrame, line1: Line | None, line2: Line | N
 
     With lines of None the rows bring their own, as structs ``line1`` and ``line2``. A row
     behind the watermark comes out with the kind ``late`` instead of being counted. The last
-    rows of a stream come out only when later rows, of any track, move the watermark past
+    rows of a stream come out only when later rows, of any track or of none (``HEARTBEAT`` as source and track), move the watermark past
     them. Start the query inside ``state_store``.
     """
     points = with_foot_point(tracked(persons(observations)), config).withWatermark("at", delay)
-    ends = F.array(*[F.col(c) for c in _ENDS]) if line1 is None else F.lit(None).cast("array<double>")
+    ends = [F.col(c).cast("double").alias(c.replace(".", "_")) for c in _ENDS] if line1 is None else []
+    box = [F.coalesce(c, F.raise_error(F.lit("an observation has no box")).cast("double")).alias(c) for c in ("px", "py")]
+    tick = F.coalesce(F.col("prev_tick").cast("long"), F.lit(_NEVER)).alias("prev_tick")
     # Without ``at`` the rows behind the watermark are not dropped before the processor sees them.
     bucket = F.pmod(F.hash("track_id"), F.lit(BUCKETS))
-    slim = points.select("source_id", bucket.alias("bucket"), "track_id", "t", "frame_seq", "obj_seq", F.col("prev_tick").cast("long").alias("prev_tick"), "px", "py", ends.alias("ends"))
-    return slim.groupBy("source_id", "bucket").transformWithState(TrackCounter(line1, line2, config), EVENT, "append", "eventtime")
+    # Heartbeats move the watermark and go no further, or one group would get every tick; the condition on ``at`` keeps the filter above the watermark.
+    seen = points.where((F.col("source_id") != HEARTBEAT) | (F.col("track_id") != HEARTBEAT) | (F.col("at") < F.lit("0001-01-01").cast("timestamp")))
+    slim = seen.select("source_id", bucket.alias("bucket"), "track_id", "t", "frame_seq", "obj_seq", tick, *box, *ends)
+    return slim.groupBy("source_id", "bucket").transformWithStateInPandas(TrackCounter(line1, line2, config), EVENT, "append", "eventtime")
 
 
 def checkpointed_tracks(spark: SparkSession, checkpoint: str) -> DataFrame:

@@ -26,9 +26,8 @@ from ..operators.control import with_lines
 from ..operators.ingest import flatten_batches, tick_timeline
 from ..operators.metrics import OPEN_RATES, carry_rates
 from ..sources.streams import frames
-from .counter import LATE, crossing_stream, state_store, write_state
+from .counter import HEARTBEAT, LATE, crossing_stream, state_store, write_state
 
-HEARTBEAT = -1
 SEEN = T.StructType(
     [*OBSERVATION.fields, T.StructField("line1", LINE), T.StructField("line2", LINE), T.StructField("prev_tick", T.LongType())]
 )
@@ -142,7 +141,7 @@ def start_counter(
     system, where = _system(spark, f"{root}/observations")
     system.mkdirs(where)
     seen = spark.readStream.schema(SEEN).option("recursiveFileLookup", "true").option("cleanSource", counted).parquet(f"{root}/observations")
-    events = crossing_stream(seen.withColumn("at", F.timestamp_micros("t")), None, None, config, delay).where(F.col("track_id") != HEARTBEAT)
+    events = crossing_stream(seen.withColumn("at", F.timestamp_micros("t")), None, None, config, delay)
 
     def step(batch: DataFrame, epoch: int) -> None:
         batch.persist()

@@ -13,9 +13,10 @@ from ..config import CounterConfig, Line
 from ..operators.tracker import TRACKED, Tracker, typed
 from ..shared import shared_folder
 from ..sources.live_source import append_lines, append_segment, camera_stream
-from .counter import EVENT, LATE, crossing_stream, read_state, state_store
+from .counter import EVENT, HEARTBEAT, LATE, crossing_stream, read_state, state_store
 
-HEARTBEAT_TRACK = -1
+#: More files than a slice can have: its files are in no order of time, so it is taken whole.
+WHOLE = (1 << 31) - 1
 
 
 def replay_events(ticked: DataFrame, line1: Line, line2: Line, config: CounterConfig, files: int = 4) -> DataFrame:
@@ -32,7 +33,7 @@ def replay_events(ticked: DataFrame, line1: Line, line2: Line, config: CounterCo
     if first is None:
         return spark.createDataFrame([], EVENT)
     step = (last - first) // files + 1
-    beat = {"t": last + 4 * config.ttl_us, "track_id": HEARTBEAT_TRACK, "source_id": -1}
+    beat = {"t": last + 4 * config.ttl_us, "track_id": HEARTBEAT, "source_id": HEARTBEAT}
     one = spark.range(1).select(*[F.lit(beat.get(c, 0)).cast(rows.schema[c].dataType).alias(c) for c in names])
     for k in range(files + 1):
         part = rows.where((F.col("t") >= first + k * step) & (F.col("t") < first + (k + 1) * step)) if k < files else one
@@ -42,7 +43,7 @@ def replay_events(ticked: DataFrame, line1: Line, line2: Line, config: CounterCo
         with state_store(spark):
             done = events.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
         done.awaitTermination()
-    return spark.read.schema(events.schema).parquet(f"{root}/out").where((F.col("track_id") != HEARTBEAT_TRACK) & (F.col("kind") != LATE))
+    return spark.read.schema(events.schema).parquet(f"{root}/out").where(F.col("kind") != LATE)
 
 
 def replay_tracks(detections: DataFrame, make: Callable[[], Tracker], slices: int = 2) -> DataFrame:
@@ -130,7 +131,7 @@ def live_state(batches: DataFrame, versions: DataFrame, resets: DataFrame, confi
         else:
             part = batches.limit(0) if first is None else spark.range(1).select(F.lit(last + 4 * config.ttl_us).alias("t"), F.expr("array()").cast(batches.schema["frames"].dataType).alias("frames"))
         part.write.mode("append").json(f"{root}/in")
-        start_ticker(batch_stream(spark, f"{root}/in"), f"{root}/live", lambda: versions, config, availableNow=True).awaitTermination()
+        start_ticker(batch_stream(spark, f"{root}/in", WHOLE), f"{root}/live", lambda: versions, config, availableNow=True).awaitTermination()
         start_counter(spark, f"{root}/live", f"{root}/state.json", lambda: resets, config, availableNow=True).awaitTermination()
     state = read_state(spark, f"{root}/state.json")
     return spark.createDataFrame([(state["entries"], state["exits"], state["footfall"], state["fps"])], "entries long, exits long, footfall long, fps double")

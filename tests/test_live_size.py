@@ -1,12 +1,16 @@
-"""What a task of the live queries holds does not grow with a camera."""
+"""What a task of the live queries holds does not grow with a camera, and ticks are no state."""
 
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from gatewise.config import OBSERVATION, SECOND, CounterConfig, Line
+from gatewise.operators.ingest import with_prev_tick
+from gatewise.operators.metrics import OPEN_RATES, carry_rates
 from gatewise.sources import live_source
-from gatewise.streaming import replay
+from gatewise.streaming import counter, replay
 
+L1, L2, CONFIG = Line(0, 0.4, 1, 0.4), Line(0, 0.6, 1, 0.6), CounterConfig(width=1.0, height=1.0)
 FRAMES = "array<struct<source_id: int, objects: array<struct<class_id: int, object_id: decimal(20,0), rect: struct<left: double, top: double, width: double, height: double>>>>>"
 
 
@@ -41,3 +45,24 @@ def test_segments_are_shared_out_and_read_in_parts(tmp_path, monkeypatch):
     assert [(p.after, p.upto) for p in parts] == [(names[0], names[3]), (names[3], names[6]), (names[6], names[7])]
     held = [[b.num_rows for b in reader.read(p)] for p in parts]
     assert held == [[4, 4, 3] * 3, [4, 4, 3] * 3, [4, 4, 3]]
+
+
+def test_heartbeats_move_the_watermark_and_are_no_state(spark, tmp_path):
+    rows = [(t * SECOND, t, 0, 0, 0, 7, 0.5, y, 0.0, 0.0) for t, y in ((1, 0.3), (2, 0.5), (3, 0.7))]
+    beats = [(t * SECOND, 0, 0, -1, 0, -1, 0.0, 0.0, 0.0, 0.0) for t in range(10, 60)]
+    table = with_prev_tick(spark.createDataFrame(rows + beats, OBSERVATION))
+    table.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(table.schema).parquet(str(tmp_path / "in")).withColumn("at", F.timestamp_micros("t"))
+    with counter.state_store(spark):
+        out = counter.crossing_stream(stream, L1, L2, CONFIG).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        out.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert [(r.t, r.source_id, r.track_id, r.kind) for r in spark.read.schema(counter.EVENT).parquet(str(tmp_path / "out")).collect()] == [(3 * SECOND, 0, 7, "entry")]
+    assert [r.source_id for r in counter.checkpointed_tracks(spark, str(tmp_path / "state")).collect()] == [0]
+
+
+def test_rates_of_sources_are_carried_by_several_tasks(spark):
+    frames = spark.createDataFrame([(s, t) for s in range(12) for t in (0, 1, 1, 2)], "source_id int, t long")
+    config = CounterConfig(fps_window_us=2, fps_unit_us=1)
+    got = carry_rates(spark.createDataFrame([], OPEN_RATES), frames, config).select("*", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.source_id, r["start"], r["count"], r.fps) for r in got) == [(s, 2, 0, 2.0) for s in range(12)]
+    assert len({r.task for r in got}) > 1
